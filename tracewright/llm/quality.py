@@ -99,8 +99,9 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(best, 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, decay: float = 1e-4, rate: float = 0.05) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, decay: float | None = None, rate: float = 0.05) -> Model:
     """The model for rows of features() of trusted positives and of unlabelled text."""
+    decay = 3 / len(positive) if decay is None else decay  # few positives say little
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     model = Model(mean, scale, np.zeros(0), 0.5)
     p, u = model.design(positive), model.design(unlabelled)
