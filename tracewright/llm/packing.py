@@ -18,7 +18,9 @@ often as they occur. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,39 +37,87 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters whose composed form, lower case and byte encoding need no tokenizer.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+STOPS = ".,;:!?"
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself where printable, else the next from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b and b != 173]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class ChunkIds:
-    """Little-endian 32-bit ids of texts, by chunk."""
+    """Little-endian 32-bit ids of texts, by chunk.
+
+    Ids of ``keep`` chunks at least and twice as many at most are remembered, the recently used ones. A word with stops
+    behind it is its letters' ids and the stops' ids, for the pre-tokenizer parts them there.
+    """
 
-    def __init__(self, vocabulary: str, keep: int = 200_000):
+    def __init__(self, vocabulary: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.keep = keep
         self.seen: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.seen) + len(chunks) > self.keep:
-            self.seen.clear()
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        for chunk, one in zip(chunks, found, strict=True):
-            self.seen[chunk] = b"".join(i.to_bytes(4, "little") for i in one.ids)
+        self.older: dict[bytes, bytes] = {}
+
+    def _put(self, key: bytes, ids: bytes) -> bytes:
+        if len(self.seen) >= self.keep:
+            self.older, self.seen = self.seen, {}
+        self.seen[key] = ids
+        return ids
+
+    def _find(self, key: bytes) -> bytes | None:
+        found = self.seen.get(key)
+        if found is None:
+            found = self.older.get(key)
+            if found is not None:
+                self._put(key, found)
+        return found
+
+    def _word(self, word: str) -> bytes:
+        raw = word.encode()
+        found = self._find(raw)
+        if found is None:
+            spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, raw))
+            found = self._put(raw, array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes())
+        return found
+
+    def chunk(self, chunk: bytes) -> bytes:
+        found = self._find(chunk)
+        if found is not None:
+            return found
+        text = chunk.decode("utf-8", "replace")
+        core = text.rstrip(STOPS)
+        if LETTERS.fullmatch(core):
+            low = core.lower()
+            if len(core) == len(text):
+                found = self._word(low)
+                return found if low == text else self._put(chunk, found)
+            return self._put(chunk, self._word(low) + self.chunk(text[len(core) :].encode()))
+        return self._put(chunk, array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
 
     def encode(self, text: bytes) -> bytes:
         chunks = text.split()
         try:
             return b"".join(map(self.seen.__getitem__, chunks))
         except KeyError:
-            out = []
-            for i in range(0, len(chunks), 50_000):  # a chunk table that is cleared must hold these at least
-                part = chunks[i : i + 50_000]
-                missing = [c for c in dict.fromkeys(part) if c not in self.seen]
-                if missing:
-                    if len(self.seen) + len(missing) > self.keep:
-                        self.seen.clear()
-                        missing = list(dict.fromkeys(part))
-                    self._learn(missing)
-                out.extend(map(self.seen.__getitem__, part))
-            return b"".join(out)
+            return b"".join(map(self.chunk, chunks))
+
+
+_ENCODERS: dict[str, ChunkIds] = {}
+
+
+def encoder(vocabulary: str) -> ChunkIds:
+    """One per Python worker: a reused worker remembers what its earlier tasks met."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = ChunkIds(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 class OpenBins:
@@ -129,11 +179,11 @@ def pack(
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bins = ChunkIds(vocabulary), OpenBins(size, open_bins, TaskContext.get().partitionId() << 33)
+        ids_of, bins = encoder(vocabulary).encode, OpenBins(size, open_bins, TaskContext.get().partitionId() << 33)
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for doc_id, text in common.rows_of(batch, "doc_id", "text"):
-                ids = encoder.encode(text) + end
+                ids = ids_of(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     where, offset = bins.place(len(part) // 4)
