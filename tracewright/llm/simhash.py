@@ -229,7 +229,7 @@ def forest(rows: DataFrame, radius: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def components(prints: DataFrame, radius: int = 4, shard: int = 8192, sample: int = 16384) -> DataFrame:
+def components(prints: DataFrame, radius: int = 4, shard: int = 32768, sample: int = 16384) -> DataFrame:
     """fp, component_id for each distinct fp of prints(doc_id, fp)."""
     spark = prints.sparkSession
     classes, _ = common.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))

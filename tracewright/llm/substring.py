@@ -6,8 +6,9 @@ phrase. Equal passages are cut alike wherever they stand. The corpus is indexed
 hash partition of anchors; every document is factored against the block of each of its anchors:
 
 - an anchor seen once: nothing there repeats, and its windows never leave the first step;
-- all occurrences carry the same phrase: each but the earliest copies it whole;
-- occurrences differ: here a factor begins or ends, so the windows of the phrase are checked one by one.
+- equal phrases: each but the earliest copies it whole;
+- the anchor has different phrases: there a factor begins or ends, so the windows of the earliest
+  of each are checked one by one.
 
 Phrases and windows that have an earlier source run together, greedily and over their
 overlaps, into the factors that are removed. Each step is a combined aggregation by hash and an
@@ -125,10 +126,11 @@ def repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
     blocks = blocks.where("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("mixed"))
     again, _ = common.save(cuts.join(blocks, "anchor"))
     place = F.struct("doc_id", "start")
-    whole = again.where(~F.col("mixed")).select("anchor", "doc_id", "part", "start", "windows")
-    first = whole.groupBy("anchor").agg(F.min(place).alias("first"))
-    copied = whole.join(first, "anchor").where(place > F.col("first")).select("doc_id", "part", "start", "windows")
-    edges = again.where("mixed").groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    # of equal phrases the earliest is looked at more closely, and only where its anchor has others
+    first = again.groupBy("anchor", "phrase").agg(F.min(place).alias("first"))
+    again = again.join(first, ["anchor", "phrase"]).withColumn("later", place > F.col("first"))
+    copied = again.where("later").select("doc_id", "part", "start", "windows")
+    edges = again.where("mixed and not later").groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +144,7 @@ def repeats(docs: DataFrame, window: int = 20, gram: int = 5) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["one", "two", "doc_id", "part", "start"])
 
-    single = docs.join(edges, ["doc_id", "part"], "left").mapInArrow(check, "one long, two long, doc_id long, part long, start int")
+    single = docs.join(edges, ["doc_id", "part"]).mapInArrow(check, "one long, two long, doc_id long, part long, start int")
     first = single.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     checked = single.join(first, ["one", "two"]).where(place > F.col("first")).select("doc_id", "part", "start", F.lit(1).alias("windows"))
     return copied.union(checked)
