@@ -1,4 +1,337 @@
-"""Registered queries and the SQL that must give the same rows."""
+"""Registered queries, named by operator, and the SQL that must give the same rows.
+
+All run over the whole tables through the adapters in ``tracewright.sources.adapters``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bits
+from ..functions.expr import evaluate_udf
+from ..operators import names, slicer, sva, trace
+from ..sources import adapters
+from . import report
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+#: What the oracles share, in DuckDB's SQL.
+WAVE = """
+ev AS (SELECT 'events' AS trace_id, epoch_us(ts) AS t, event_id AS seq, user_id, event_type, value FROM events),
+wave AS (SELECT trace_id, concat('top.u', CAST(user_id % 8 AS VARCHAR), '.', event_type) AS signal, t, seq,
+  lpad(bin(CAST(floor(value) AS BIGINT) % 16), 4, '0') AS value FROM ev),
+clk AS (SELECT trace_id, t, seq, CASE WHEN event_type = 'view' THEN '1' ELSE '0' END AS value FROM ev),
+edges AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY t, seq) - 1 AS cycle, t AS t_start FROM
+  (SELECT *, lag(value) OVER (PARTITION BY trace_id ORDER BY t, seq) AS prev FROM clk)
+  WHERE value = '1' AND (prev IS NULL OR prev IN ('0', 'x', 'X'))),
+placed AS (SELECT w.trace_id, w.signal, w.t, w.seq, w.value, coalesce(e.cycle, 0) AS cycle FROM wave w ASOF LEFT JOIN edges e ON w.trace_id = e.trace_id AND w.t >= e.t_start),
+sampled AS (SELECT trace_id, signal, cycle, last(value ORDER BY t, seq) AS value FROM placed GROUP BY ALL),
+signals AS (SELECT DISTINCT trace_id, signal FROM wave),
+cv AS (SELECT g.trace_id, g.signal, g.cycle, coalesce(s.value, 'x') AS value FROM
+  (SELECT s.trace_id, s.signal, e.cycle FROM signals s JOIN edges e USING (trace_id)) g
+  ASOF LEFT JOIN sampled s ON g.trace_id = s.trace_id AND g.signal = s.signal AND g.cycle >= s.cycle),
+moved AS (SELECT * FROM (SELECT *, lag(value) OVER w AS old_value, row_number() OVER w AS n FROM cv WINDOW w AS (PARTITION BY trace_id, signal ORDER BY cycle))
+  WHERE n > 1 AND value IS DISTINCT FROM old_value)
+"""
+DEPS = """
+deps AS (SELECT p_partkey AS dep_id, CAST(p_partkey % 40 AS INTEGER) AS target, CAST((p_partkey * 7 + p_size) % 40 AS INTEGER) AS source,
+  (['combinational', 'sequential', 'assertion'])[p_size % 3 + 1] AS dep_type FROM part WHERE p_partkey < 120)
+"""
+SLICE = """
+steps AS (SELECT DISTINCT target, source, dep_type FROM (SELECT *, row_number() OVER (PARTITION BY target, source, dep_type ORDER BY dep_id) AS n FROM deps WHERE source <> target)),
+r AS (SELECT 0 AS signal, 5 AS cycle UNION
+  SELECT s.source, CASE WHEN s.dep_type = 'sequential' THEN greatest(r.cycle - 1, 0) ELSE r.cycle END FROM r JOIN steps s ON s.target = r.signal)
+"""
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def _trace(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return adapters.wave(spark, sf_dir), trace.clock_edges(adapters.clock(spark, sf_dir))
+
+
+@query("w01_clock_edges", f"WITH {WAVE} SELECT trace_id, cycle, t_start FROM edges")
+def w01(spark, sf_dir):
+    return _trace(spark, sf_dir)[1]
+
+
+@query("w03_cycle_count", f"WITH {WAVE} SELECT trace_id, count(*) AS cycles FROM edges GROUP BY trace_id")
+def w03(spark, sf_dir):
+    return _trace(spark, sf_dir)[1].groupBy("trace_id").agg(F.count("*").alias("cycles"))
+
+
+@query("w04_time_to_cycle", f"WITH {WAVE} SELECT signal, t, seq, cycle FROM placed")
+def w04(spark, sf_dir):
+    return trace.time_to_cycle(*_trace(spark, sf_dir)).select("signal", "t", "seq", "cycle")
+
+
+@query("w05_cycle_to_time", f"""WITH {WAVE}, c AS (SELECT unnest(range(-1, 2000, 7)) AS cycle)
+SELECT c.cycle, CASE WHEN c.cycle < 0 THEN (SELECT min(t) FROM wave) ELSE coalesce(e.t_start, (SELECT max(t) FROM wave)) END AS t FROM c LEFT JOIN edges e ON e.cycle = c.cycle""")
+def w05(spark, sf_dir):
+    changes, edges = _trace(spark, sf_dir)
+    ends = changes.groupBy("trace_id").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    asked = ends.withColumn("cycle", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.lit(1999).cast("bigint"), F.lit(7).cast("bigint"))))
+    met = asked.join(edges, ["trace_id", "cycle"], "left")
+    return met.select("cycle", F.when(F.col("cycle") < 0, F.col("first")).otherwise(F.coalesce("t_start", "last")).alias("t"))
+
+
+@query("w06_cycle_range", f"""WITH {WAVE} SELECT trace_id, cycle, t_start, coalesce(lead(t_start) OVER (ORDER BY cycle) - 1, (SELECT max(t) FROM wave)) AS t_end FROM edges""")
+def w06(spark, sf_dir):
+    changes, edges = _trace(spark, sf_dir)
+    return trace.cycle_ranges(edges, changes)
+
+
+@query("w07_cycle_sample", f"WITH {WAVE} SELECT trace_id, signal, cycle, value FROM cv")
+def w07(spark, sf_dir):
+    return trace.cycle_values(*_trace(spark, sf_dir))
+
+
+@query("w07_cycle_runs", f"""WITH {WAVE} SELECT trace_id, signal, cycle AS cycle_from,
+coalesce(lead(cycle) OVER (PARTITION BY trace_id, signal ORDER BY cycle), (SELECT count(*) FROM edges)) - 1 AS cycle_to, value FROM sampled""")
+def w07r(spark, sf_dir):
+    return trace.cycle_runs(*_trace(spark, sf_dir))
+
+
+@query("w08_cycle_start_sample", f"""WITH {WAVE}, l AS (SELECT trace_id, signal, t, max_by(value, seq) AS value FROM wave GROUP BY ALL)
+SELECT g.trace_id, g.signal, g.cycle, l.value FROM (SELECT s.trace_id, s.signal, e.cycle, e.t_start FROM signals s JOIN edges e USING (trace_id)) g
+ASOF JOIN l ON g.trace_id = l.trace_id AND g.signal = l.signal AND g.t_start >= l.t""")
+def w08(spark, sf_dir):
+    return trace.start_samples(*_trace(spark, sf_dir))
+
+
+@query("w09_transitions", f"""WITH {WAVE}, m AS (SELECT *, lag(value) OVER (PARTITION BY trace_id, signal ORDER BY t, seq) AS old_value FROM placed)
+SELECT trace_id, signal, cycle, t, old_value, value AS new_value FROM m WHERE old_value IS NOT NULL AND old_value <> value""")
+def w09(spark, sf_dir):
+    return trace.transitions(*_trace(spark, sf_dir))
+
+
+@query("w10_find_signal", f"WITH {WAVE} SELECT trace_id, signal FROM signals WHERE lower(signal) LIKE '%view%' ORDER BY signal LIMIT 5")
+def w10(spark, sf_dir):
+    return trace.find_signal(adapters.wave(spark, sf_dir).select("trace_id", "signal").distinct(), "VIEW", 5)
+
+
+@query("w11_snapshot", f"WITH {WAVE} SELECT signal, value FROM cv WHERE cycle = 7")
+def w11(spark, sf_dir):
+    return trace.snapshot(trace.cycle_values(*_trace(spark, sf_dir)), 7).select(F.explode("values").alias("signal", "value"))
+
+
+@query("w12_value_changes", f"WITH {WAVE} SELECT trace_id, signal, cycle, old_value, value AS new_value FROM moved")
+def w12(spark, sf_dir):
+    return trace.value_changes(trace.cycle_values(*_trace(spark, sf_dir)))
+
+
+@query("w13_value_table", f"WITH {WAVE} SELECT signal, cycle, value FROM cv WHERE signal IN ('top.u0.view', 'top.u1.view') AND cycle BETWEEN 3 AND 40")
+def w13(spark, sf_dir):
+    samples = trace.cycle_values(adapters.wave(spark, sf_dir).where(F.col("signal").isin("top.u0.view", "top.u1.view")), _trace(spark, sf_dir)[1])
+    return samples.where(F.col("cycle").between(3, 40)).select("signal", "cycle", "value")
+
+
+@query("s03_signals", f"WITH {WAVE} SELECT signal FROM signals")
+def s03(spark, sf_dir):
+    return adapters.wave(spark, sf_dir).select("signal").distinct()
+
+
+@query("s04_metadata", f"WITH {WAVE} SELECT trace_id, min(t) AS start_time, max(t) AS end_time, count(DISTINCT signal) AS signal_count FROM wave GROUP BY trace_id")
+def s04(spark, sf_dir):
+    return adapters.wave(spark, sf_dir).groupBy("trace_id").agg(F.min("t").alias("start_time"), F.max("t").alias("end_time"), F.countDistinct("signal").alias("signal_count"))
+
+
+@query("a02_fail_cycle", f"""WITH {WAVE}, b AS (SELECT trace_id, signal, t, seq, cycle, substring(value, 4, 1) AS value FROM placed),
+p AS (SELECT *, lag(value) OVER (PARTITION BY trace_id, signal ORDER BY t, seq) AS prev FROM b)
+SELECT trace_id, signal, coalesce(min(cycle) FILTER (prev = '1' AND value = '0'), min(cycle) FILTER (value = '0'), 0) AS cycle FROM p GROUP BY trace_id, signal""")
+def a02(spark, sf_dir):
+    changes, edges = _trace(spark, sf_dir)
+    return trace.fail_cycle(changes.withColumn("value", F.substring("value", 4, 1)), edges)
+
+
+@query("a05_assertion_signals", f"WITH {WAVE} SELECT signal FROM signals WHERE regexp_matches(split_part(signal, '.', 3), 'view|click')")
+def a05(spark, sf_dir):
+    signals = adapters.wave(spark, sf_dir).select("signal").distinct()
+    return signals.where(names.base(F.col("signal")).rlike("view|click"))
+
+
+VALUES = "v AS (SELECT value AS a, lag(value) OVER (PARTITION BY signal ORDER BY t, seq) AS b, seq FROM wave), p AS (SELECT * FROM v WHERE b IS NOT NULL)"
+
+
+def _pairs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("signal").orderBy("t", "seq")
+    return adapters.wave(spark, sf_dir).select("seq", F.col("value").alias("a"), F.lag("value").over(w).alias("b")).where("b is not null")
+
+
+@query("b01_parse_invert", f"WITH {WAVE}, {VALUES} SELECT seq, CAST(list_sum([CAST(a[i] AS INTEGER) * CAST(pow(2, 4 - i) AS INTEGER) FOR i IN [1, 2, 3, 4]]) AS BIGINT) AS number, translate(a, '01', '10') AS inverse, contains(a, '1') AS truth FROM p")
+def b01(spark, sf_dir):
+    a = F.col("a")
+    return _pairs(spark, sf_dir).select("seq", bits.parse_binary(a).alias("number"), bits.invert(a).alias("inverse"), bits.truthy(a).alias("truth"))
+
+
+@query("b03_differ", f"""WITH {WAVE}, {VALUES}, d AS (SELECT seq, a, b, len([i FOR i IN [1, 2, 3, 4] IF a[i] <> b[i]]) AS n FROM p)
+SELECT seq, n > 0 AS differ, CAST(n AS INTEGER) AS bits, least(1.0, n / 4.0 + 0.5)::DOUBLE AS score FROM d""")
+def b03(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return _pairs(spark, sf_dir).select("seq", bits.values_differ(a, b).alias("differ"), bits.differing_bits(a, b).alias("bits"), bits.contribution(a, b).alias("score"))
+
+
+NUMBERS = "n AS (SELECT seq, a, b, CAST(list_sum([CAST(a[i] AS INTEGER) * CAST(pow(2, 4 - i) AS INTEGER) FOR i IN [1, 2, 3, 4]]) AS BIGINT) AS x, CAST(list_sum([CAST(b[i] AS INTEGER) * CAST(pow(2, 4 - i) AS INTEGER) FOR i IN [1, 2, 3, 4]]) AS BIGINT) AS y FROM p)"
+
+
+@query("e06_bitwise", f"""WITH {WAVE}, {VALUES}, {NUMBERS} SELECT seq, lpad(bin(x & y), 4, '0') AS "and", lpad(bin(x | y), 4, '0') AS "or", lpad(bin(xor(x, y)), 4, '0') AS "xor", lpad(bin(15 - xor(x, y)), 4, '0') AS "xnor" FROM n""")
+def e06(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return _pairs(spark, sf_dir).select("seq", bits.bit_and(a, b).alias("and"), bits.bit_or(a, b).alias("or"), bits.bit_xor(a, b).alias("xor"), bits.bit_xnor(a, b).alias("xnor"))
+
+
+@query("e09_arithmetic", f"""WITH {WAVE}, {VALUES}, {NUMBERS} SELECT seq, lpad(bin((x + y) % 16), 4, '0') AS plus, lpad(bin((x - y + 16) % 16), 4, '0') AS minus, lpad(bin((x * y) % 16), 4, '0') AS times,
+CASE WHEN y <> 0 THEN lpad(bin(x // y), 4, '0') END AS over, CASE WHEN y <> 0 THEN lpad(bin(x % y), 4, '0') END AS rest, lpad(bin((x << 1) % 16), 4, '0') AS shifted,
+CASE WHEN x < y THEN '1' ELSE '0' END AS less, CASE WHEN a = b THEN '1' ELSE '0' END AS same, lpad(bin((16 - x) % 16), 4, '0') AS negative FROM n""")
+def e09(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    named = {"plus": "+", "minus": "-", "times": "*", "over": "/", "rest": "%"}
+    return _pairs(spark, sf_dir).select("seq", *(bits.arithmetic(a, op, b).alias(n) for n, op in named.items()), bits.arithmetic(a, "<<", F.lit("1")).alias("shifted"), bits.compare(a, "<", b).alias("less"), bits.equal(a, b).alias("same"), bits.negate(a).alias("negative"))
+
+
+@query("e16_reductions", f"WITH {WAVE}, {VALUES} SELECT seq, CASE WHEN a = '1111' THEN '1' ELSE '0' END AS every, CASE WHEN a <> '0000' THEN '1' ELSE '0' END AS some, CAST(length(replace(a, '0', '')) % 2 AS VARCHAR) AS parity, CASE WHEN a = '0000' THEN '1' ELSE '0' END AS nothing FROM p")
+def e16(spark, sf_dir):
+    a = F.col("a")
+    return _pairs(spark, sf_dir).select("seq", bits.reduce_and(a).alias("every"), bits.reduce_or(a).alias("some"), bits.reduce_xor(a).alias("parity"), bits.logical_not(a).alias("nothing"))
+
+
+@query("e20_expressions", f"""WITH {WAVE}, {VALUES}, {NUMBERS} SELECT seq, CASE WHEN a <> '0000' THEN lpad(bin(x & y), 4, '0') ELSE translate(b, '01', '10') END AS chosen,
+CASE WHEN x > y THEN CASE WHEN a <> '0000' AND b <> '0000' THEN '1' ELSE '0' END ELSE '1' END AS implied, a || b AS joined FROM n""")
+def e20(spark, sf_dir):
+    told = evaluate_udf()
+    env = F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))
+    return _pairs(spark, sf_dir).select("seq", told(F.lit("a ? a & b : ~b"), env).alias("chosen"), told(F.lit("a > b |-> ##[1:4] a && b"), env).alias("implied"), told(F.lit("{a, b}"), env).alias("joined"))
+
+
+@query("r01_names", f"WITH {WAVE} SELECT signal, split_part(signal, '.', 3) AS base, concat(split_part(signal, '.', 1), '.', split_part(signal, '.', 2)) AS hierarchy, signal AS qualified FROM signals")
+def r01(spark, sf_dir):
+    s = F.col("signal")
+    told = adapters.wave(spark, sf_dir).select("signal").distinct()
+    return told.select("signal", names.base(s).alias("base"), names.hierarchy(s).alias("hierarchy"), names.qualify(names.hierarchy(s), names.base(s)).alias("qualified"))
+
+
+@query("p16_dependency_lookup", f"WITH {DEPS} SELECT dep_id, target, source, dep_type FROM deps WHERE target < 10")
+def p16(spark, sf_dir):
+    d = adapters.deps(spark, sf_dir)
+    named = d.select("dep_id", F.lit("top").alias("module"), F.col("target").cast("string").alias("target"), "source", "dep_type")
+    wanted = spark.range(10).select(F.lit("top").alias("module"), F.col("id").cast("string").alias("signal"))
+    return names.lookup(named, wanted).select("dep_id", F.col("target").cast("int").alias("target"), "source", "dep_type")
+
+
+@query("p17_dependency_index", f"WITH {DEPS} SELECT target AS key, string_agg(DISTINCT concat(lpad(CAST(source AS VARCHAR), 2, '0'), ':', dep_type), ',' ORDER BY concat(lpad(CAST(source AS VARCHAR), 2, '0'), ':', dep_type)) AS sources FROM deps GROUP BY target")
+def p17(spark, sf_dir):
+    index = names.dependency_index(adapters.deps(spark, sf_dir))
+    return index.select("key", F.array_join(F.transform("sources", lambda x: F.concat(F.lpad(x["source"].cast("string"), 2, "0"), F.lit(":"), x["dep_type"])), ",").alias("sources"))
+
+
+@query("g03_self_loops", f"WITH {DEPS} SELECT dep_id, target FROM deps WHERE source = target")
+def g03(spark, sf_dir):
+    return adapters.deps(spark, sf_dir).where("source = target").select("dep_id", "target")
+
+
+@query("c01_parent_cycle", f"WITH {DEPS} SELECT dep_id, CAST(CASE WHEN dep_type = 'sequential' THEN greatest(dep_id % 3 - 1, 0) ELSE dep_id % 3 END AS BIGINT) AS cycle FROM deps")
+def c01(spark, sf_dir):
+    return adapters.deps(spark, sf_dir).select("dep_id", slicer.parent_cycle(F.col("dep_type"), F.col("dep_id") % 3).cast("bigint").alias("cycle"))
+
+
+def _slice(spark, sf_dir):
+    seeds = spark.range(1).select(F.lit("events").alias("trace_id"), F.lit(0).alias("signal"), F.lit(5).alias("cycle"))
+    return slicer.backward_slice(adapters.deps(spark, sf_dir), seeds, max_depth=60)
+
+
+@query("g02_backward_slice", f"WITH RECURSIVE {DEPS}, {SLICE} SELECT signal, cycle FROM r")
+def g02(spark, sf_dir):
+    return _slice(spark, sf_dir)[0].select("signal", "cycle")
+
+
+@query("g05_slice_edges", f"""WITH RECURSIVE {DEPS}, {SLICE} SELECT DISTINCT s.source, CASE WHEN s.dep_type = 'sequential' THEN greatest(r.cycle - 1, 0) ELSE r.cycle END AS source_cycle, s.target, r.cycle AS target_cycle FROM r JOIN steps s ON s.target = r.signal""")
+def g05(spark, sf_dir):
+    return _slice(spark, sf_dir)[1].select("source", "source_cycle", "target", "target_cycle")
+
+
+@query("g08_roots", f"""WITH RECURSIVE {DEPS}, {SLICE} SELECT signal, cycle FROM r WHERE signal NOT IN (SELECT target FROM steps) AND NOT (signal = 0 AND cycle = 5)""")
+def g08(spark, sf_dir):
+    return slicer.roots(*_slice(spark, sf_dir)).select("signal", "cycle")
+
+
+@query("g01_node_ids", f"WITH {WAVE} SELECT signal, cycle, substring(md5(concat(signal, '@', CAST(cycle AS VARCHAR), '=', value)), 1, 12) AS id FROM cv WHERE cycle < 50")
+def g01(spark, sf_dir):
+    samples = trace.cycle_values(*_trace(spark, sf_dir)).where("cycle < 50")
+    return samples.select("signal", "cycle", slicer.node_id(F.col("signal"), F.col("cycle"), F.col("value")).alias("id"))
+
+
+@query("c04_toggle_correlation", f"""WITH {WAVE} SELECT a.signal AS source, b.signal AS target, a.cycle, 0.7::DOUBLE AS score FROM moved a JOIN moved b ON a.trace_id = b.trace_id AND a.cycle = b.cycle
+WHERE replace(a.signal, '.view', '.click') = b.signal AND a.signal LIKE '%.view'""")
+def c04(spark, sf_dir):
+    changes = trace.value_changes(trace.cycle_values(*_trace(spark, sf_dir)))
+    views = adapters.wave(spark, sf_dir).where("signal like '%.view'").select(F.col("signal").alias("source")).distinct()
+    pairs = views.withColumn("target", F.regexp_replace("source", r"\.view$", ".click"))
+    return slicer.toggle_correlation(changes, pairs).select("source", "target", "cycle", "score")
+
+
+@query("c02_counterfactual")
+def c02(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    cases = p.select("seq", F.lit("a & b").alias("expression"), F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b")).alias("env"), F.lit("a").alias("source"))
+    return slicer.counterfactuals(cases).select("seq", "original", "perturbed", "causal", "score")
+
+
+@query("v01_time_window", f"""WITH {DEPS} SELECT dep_id, CASE WHEN dep_id % 3 = 2 THEN NULL ELSE CAST(dep_id % 7 AS INTEGER) END AS least, CASE dep_id % 3 WHEN 0 THEN CAST(dep_id % 7 + 9 AS INTEGER) WHEN 1 THEN CAST(dep_id % 7 AS INTEGER) END AS most FROM deps""")
+def v01(spark, sf_dir):
+    k, n = F.col("dep_id") % 3, (F.col("dep_id") % 7).cast("string")
+    text = F.when(k == 0, F.concat(F.lit("a |-> ##["), n, F.lit(":"), (F.col("dep_id") % 7 + 9).cast("string"), F.lit("] b"))).when(k == 1, F.concat(F.lit("a |-> ##"), n, F.lit(" b"))).otherwise("a |-> b")
+    least, most = sva.time_window(text)
+    return adapters.deps(spark, sf_dir).select("dep_id", least.alias("least"), most.alias("most"))
+
+
+@query("v03_trigger_cycle", f"""WITH {WAVE}, h AS (SELECT signal, cycle, substring(value, 1, 1) = '1' AS holds FROM cv WHERE cycle <= 200),
+g AS (SELECT *, sum(CASE WHEN holds THEN 0 ELSE 1 END) OVER (PARTITION BY signal ORDER BY cycle) AS run FROM h),
+s AS (SELECT signal, run, min(cycle) AS cycle FROM g WHERE holds GROUP BY signal, run)
+SELECT signal, max(cycle) AS trigger_cycle FROM s GROUP BY signal""")
+def v03(spark, sf_dir):
+    samples = trace.cycle_values(*_trace(spark, sf_dir)).where("cycle <= 200")
+    truth = samples.select(F.col("signal").alias("trace_id"), "cycle", (F.substring("value", 1, 1) == "1").alias("holds"))
+    return sva.trigger_cycle(truth).withColumnRenamed("trace_id", "signal")
+
+
+@query("v05_interesting_cycles", f"""WITH {WAVE}, f AS (SELECT signal, cycle, row_number() OVER (PARTITION BY signal ORDER BY cycle) AS n FROM moved WHERE cycle BETWEEN 20 AND 60),
+u AS (SELECT signal, cycle FROM f WHERE n <= 5 UNION SELECT signal, unnest([20, 60, 30, 40, 50]) FROM (SELECT DISTINCT signal FROM moved)),
+o AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY cycle) AS n FROM u) SELECT signal, CAST(cycle AS BIGINT) AS cycle FROM o WHERE n <= 8""")
+def v05(spark, sf_dir):
+    changes = trace.value_changes(trace.cycle_values(*_trace(spark, sf_dir)))
+    windows = spark.range(1).select(F.lit("events").alias("trace_id"), F.lit(20).cast("bigint").alias("first"), F.lit(60).cast("bigint").alias("last"))
+    return sva.interesting_cycles(changes, windows).select("signal", "cycle")
+
+
+@query("k05_node_csv", f"WITH RECURSIVE {DEPS}, {SLICE} SELECT concat_ws(',', concat('n', CAST(signal AS VARCHAR), '_', CAST(cycle AS VARCHAR)), CAST(signal AS VARCHAR), CAST(cycle AS VARCHAR), '0', CASE WHEN signal = 0 THEN '0' ELSE '1' END) AS line FROM r")
+def k05(spark, sf_dir):
+    nodes = _slice(spark, sf_dir)[0]
+    named = nodes.select(F.concat(F.lit("n"), F.col("signal").cast("string"), F.lit("_"), F.col("cycle").cast("string")).alias("id"), "signal", "cycle", F.lit(0).alias("depth"), (F.col("signal") != 0).alias("is_root"))
+    return report.node_lines(named)
+
+
+@query("k04_edge_csv", f"""WITH {DEPS} SELECT concat(concat_ws(',', CAST(source AS VARCHAR), CAST(target AS VARCHAR), '0.30', dep_type), ',"from; ', CAST(dep_id AS VARCHAR), '"') AS line FROM deps""")
+def k04(spark, sf_dir):
+    d = adapters.deps(spark, sf_dir)
+    edges = d.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.lit(0.3).alias("weight"), F.col("dep_type").alias("type"), F.concat(F.lit("from, "), F.col("dep_id").cast("string")).alias("reason"))
+    return report.edge_lines(edges)
+
+
+@query("k06_styles", f"""WITH {DEPS} SELECT dep_id, CASE WHEN dep_id % 11 = 0 THEN 'red' WHEN dep_id % 7 = 0 THEN 'green' WHEN dep_id % 5 = 0 THEN 'gray' WHEN dep_id / 100.0 > 0.7 THEN 'orange' WHEN dep_id / 100.0 > 0.4 THEN 'yellow' ELSE 'none' END AS style,
+CASE dep_type WHEN 'sequential' THEN 'purple' ELSE 'black' END AS colour FROM deps""")
+def k06(spark, sf_dir):
+    i = F.col("dep_id")
+    kind = F.when(F.col("dep_type") == "sequential", "state").otherwise(F.col("dep_type"))
+    return adapters.deps(spark, sf_dir).select("dep_id", report.node_style(i % 11 == 0, i % 7 == 0, i % 5 == 0, i / 100).alias("style"), report.edge_colour(kind).alias("colour"))
