@@ -28,7 +28,7 @@ def node_id(signal: Column, cycle: Column, value: Column) -> Column:
     return F.substring(F.md5(F.concat(signal.cast("string"), F.lit("@"), cycle.cast("string"), F.lit("="), value).cast("binary")), 1, 12)
 
 
-def _table(df: DataFrame) -> DataFrame:
+def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewright-")
     path = f"{folder.rstrip('/')}/levels/{uuid.uuid4().hex}"
@@ -36,23 +36,30 @@ def _table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
+def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, judge=None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) reachable backwards from seeds(trace_id, signal, cycle).
 
     nodes: trace_id, signal, cycle, depth; edges: trace_id, source, source_cycle, target, target_cycle, dep_type,
     the lowest dep_id for each pair. max_nodes keeps the first of each trace by depth, cycle and signal.
+    judge(step, depth) may add score and kind columns to a level's candidate edges and drop those it rejects; the lowest
+    dep_id that it accepts then stands for a pair, and edges carry score, kind and dep_id too.
     """
     known = deps.where(F.col("source") != F.col("target")).where(~F.col("source").cast("string").isin(*IGNORED))
-    nodes = _table(seeds.select("trace_id", "signal", "cycle").distinct().withColumn("depth", F.lit(0)))
+    nodes = table(seeds.select("trace_id", "signal", "cycle").distinct().withColumn("depth", F.lit(0)))
     frontier, edges = nodes, None
     for depth in range(max_depth):
         step = frontier.select("trace_id", F.col("signal").alias("target"), F.col("cycle").alias("target_cycle")).join(known, "target")
         step = step.withColumn("source_cycle", parent_cycle(F.col("dep_type"), F.col("target_cycle")))
-        found = step.groupBy("trace_id", "source", "source_cycle", "target", "target_cycle").agg(F.min_by("dep_type", "dep_id").alias("dep_type"))
-        found = _table(found)
+        pair = ["trace_id", "source", "source_cycle", "target", "target_cycle"]
+        if judge is None:
+            found = table(step.groupBy(*pair).agg(F.min_by("dep_type", "dep_id").alias("dep_type")))
+        else:
+            told = ["dep_id", "dep_type", "score", "kind"]
+            found = judge(table(step), depth).groupBy(*pair).agg(F.min(F.struct(*told)).alias("first"))
+            found = table(found.select(*pair, *(F.col(f"first.{c}").alias(c) for c in told)))
         edges = found if edges is None else edges.union(found)
         fresh = found.select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct()
-        frontier = _table(fresh.join(nodes, ["trace_id", "signal", "cycle"], "left_anti").withColumn("depth", F.lit(depth + 1)))
+        frontier = table(fresh.join(nodes, ["trace_id", "signal", "cycle"], "left_anti").withColumn("depth", F.lit(depth + 1)))
         if frontier.isEmpty():
             break
         nodes = nodes.unionByName(frontier)
@@ -82,12 +89,32 @@ def suspect_scores(edges: DataFrame) -> DataFrame:
 
 
 def counterfactuals(cases: DataFrame) -> DataFrame:
-    """cases(expression, env map, source) with original, perturbed, causal and score: flips the source and evaluates again."""
-    from ..functions import bits
-    from ..functions.expr import evaluate_udf
+    """cases(expression, env map, source) with original, perturbed, causal and score.
 
-    told = evaluate_udf()
-    flipped = F.map_concat(F.map_filter("env", lambda k, _: k != F.col("source")), F.create_map("source", bits.invert(F.element_at("env", F.col("source")))))
-    out = cases.withColumn("original", told("expression", "env")).withColumn("perturbed", told("expression", flipped))
-    causal = F.coalesce(bits.values_differ(F.col("original"), F.col("perturbed")), F.lit(False))
-    return out.withColumn("causal", causal).withColumn("score", F.when(causal, bits.contribution(F.col("original"), F.col("perturbed"))).otherwise(0.0))
+    The source is flipped and the expression evaluated again. Where that changes nothing and the expression compares
+    the source with a literal, the source is set to that literal, or to its inverse where it is equal already.
+    Cases without a value of the source aren't causal; original is null where the expression can't be told.
+    """
+    from ..functions import bits
+    from ..functions.expr import evaluate_udf, literal_udf
+
+    told, compared = evaluate_udf(), literal_udf()
+    now = F.try_element_at("env", F.col("source"))
+
+    def changed(value: Column) -> Column:
+        return told("expression", F.map_concat(F.map_filter("env", lambda k, _: k != F.col("source")), F.create_map("source", value)))
+
+    def score(perturbed: str) -> Column:
+        causal = F.coalesce(bits.values_differ(F.col("original"), F.col(perturbed)), F.lit(False)) & now.isNotNull()
+        return F.when(causal, bits.contribution(F.col("original"), F.col(perturbed)))
+
+    out = cases.withColumn("original", told("expression", "env")).withColumn("_flip", changed(bits.invert(now))).withColumn("_score", score("_flip"))
+    wanted = F.when(F.col("_score").isNull() & F.col("expression").contains("=="), compared("expression", "source"))
+    out = out.withColumn("_wanted", wanted)
+    width = F.greatest(F.length("_wanted"), F.length(now))
+    equal = F.lpad("_wanted", width, "0") == F.lpad(now, width, "0")
+    out = out.withColumn("_smart", F.when(F.col("_wanted").isNotNull(), changed(F.when(equal, bits.invert(F.col("_wanted"))).otherwise(F.col("_wanted")))))
+    out = out.withColumn("score", F.coalesce("_score", score("_smart")))
+    perturbed = F.when(F.col("_score").isNull() & F.col("score").isNotNull(), F.col("_smart")).otherwise(F.col("_flip"))
+    out = out.withColumn("perturbed", perturbed).withColumn("causal", F.col("score").isNotNull())
+    return out.withColumn("score", F.coalesce("score", F.lit(0.0))).drop("_flip", "_score", "_wanted", "_smart")

@@ -12,7 +12,7 @@ from ..functions import bits
 from ..functions.expr import evaluate_udf
 from ..operators import names, slicer, sva, trace
 from ..sources import adapters
-from . import report
+from . import build, report
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -36,8 +36,9 @@ moved AS (SELECT * FROM (SELECT *, lag(value) OVER w AS old_value, row_number()
   WHERE n > 1 AND value IS DISTINCT FROM old_value)
 """
 DEPS = """
-deps AS (SELECT p_partkey AS dep_id, CAST(p_partkey % 40 AS INTEGER) AS target, CAST((p_partkey * 7 + p_size) % 40 AS INTEGER) AS source,
-  (['combinational', 'sequential', 'assertion'])[p_size % 3 + 1] AS dep_type FROM part WHERE p_partkey < 120)
+deps AS (SELECT p_partkey AS dep_id, CAST(p_partkey // 3 AS INTEGER) AS target,
+  CAST(CASE WHEN p_size % 11 = 0 THEN p_partkey // 6 WHEN p_size % 13 = 0 THEN p_partkey // 3 ELSE p_partkey // 3 * 3 + 1 + p_size % 7 END AS INTEGER) AS source,
+  (['combinational', 'sequential', 'assertion'])[p_size % 3 + 1] AS dep_type FROM part)
 """
 SLICE = """
 steps AS (SELECT DISTINCT target, source, dep_type FROM (SELECT *, row_number() OVER (PARTITION BY target, source, dep_type ORDER BY dep_id) AS n FROM deps WHERE source <> target)),
@@ -46,6 +47,24 @@ r AS (SELECT 0 AS signal, 5 AS cycle UNION
 """
 
 
+GRAPH = """
+smp AS (SELECT l_partkey AS signal, l_linenumber - 1 AS cycle, max(CAST(floor(l_quantity) AS BIGINT)) % 16 AS v FROM lineitem GROUP BY ALL),
+cand AS (SELECT s.dep_id, s.dep_type, s.source, CASE WHEN s.dep_type = 'sequential' THEN greatest(r.cycle - 1, 0) ELSE r.cycle END AS source_cycle, s.target, r.cycle AS target_cycle
+  FROM r JOIN deps s ON s.target = r.signal WHERE s.source <> s.target),
+told AS (SELECT c.*, s1.v AS v, s1.v IS NOT NULL AND t1.v IS NOT NULL AS known, coalesce(s0.v <> s1.v AND t0.v <> t1.v, false) AND c.dep_id % 4 = 2 AS toggled FROM cand c
+  LEFT JOIN smp s1 ON s1.signal = c.source AND s1.cycle = c.source_cycle LEFT JOIN smp s0 ON s0.signal = c.source AND s0.cycle = c.source_cycle - 1
+  LEFT JOIN smp t1 ON t1.signal = c.target AND t1.cycle = c.target_cycle LEFT JOIN smp t0 ON t0.signal = c.target AND t0.cycle = c.target_cycle - 1),
+judged AS (SELECT *, CAST(CASE WHEN NOT known THEN 0.3 WHEN dep_id % 4 = 0 THEN 0.75 WHEN dep_id % 4 = 3 OR dep_id % 4 = 1 AND v IN (0, 15) THEN 1.0 WHEN toggled THEN 0.7 ELSE 0.3 END AS DOUBLE) AS score,
+  CASE dep_type WHEN 'sequential' THEN 'state' WHEN 'assertion' THEN 'conditional' ELSE CASE WHEN toggled THEN 'toggle' ELSE 'expr_eval' END END AS type FROM told),
+ge AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY source, source_cycle, target, target_cycle ORDER BY dep_id) = 1),
+gv AS (SELECT r.signal, r.cycle, coalesce(lpad(bin(m.v), 4, '0'), 'x') AS value FROM r LEFT JOIN smp m ON m.signal = r.signal AND m.cycle = r.cycle),
+gn AS (SELECT substring(md5(concat('s', gv.signal, '@', gv.cycle, '=', value)), 1, 12) AS id, signal, cycle, value, signal = 0 AND cycle = 5 AS is_endpoint,
+  CASE WHEN signal = 0 AND cycle = 5 THEN 1.0::DOUBLE ELSE coalesce((SELECT max(score) FROM ge WHERE source = gv.signal AND source_cycle = gv.cycle) * 0.9::DOUBLE, 0.0::DOUBLE) END AS suspect_score,
+  NOT (signal = 0 AND cycle = 5) AND NOT EXISTS (SELECT 1 FROM ge WHERE target = gv.signal AND target_cycle = gv.cycle) AS is_root,
+  signal NOT IN (SELECT target FROM deps) AS rtl_missing FROM gv)
+"""
+
+
 def query(name: str, sql: str | None = None):
     def keep(f):
         QUERIES[name] = f
@@ -222,18 +241,18 @@ def r01(spark, sf_dir):
     return told.select("signal", names.base(s).alias("base"), names.hierarchy(s).alias("hierarchy"), names.qualify(names.hierarchy(s), names.base(s)).alias("qualified"))
 
 
-@query("p16_dependency_lookup", f"WITH {DEPS} SELECT dep_id, target, source, dep_type FROM deps WHERE target < 10")
+@query("p16_dependency_lookup", f"WITH {DEPS} SELECT dep_id, target, source, dep_type FROM deps WHERE target IN (SELECT source FROM deps)")
 def p16(spark, sf_dir):
     d = adapters.deps(spark, sf_dir)
     named = d.select("dep_id", F.lit("top").alias("module"), F.col("target").cast("string").alias("target"), "source", "dep_type")
-    wanted = spark.range(10).select(F.lit("top").alias("module"), F.col("id").cast("string").alias("signal"))
+    wanted = named.select("module", F.col("source").cast("string").alias("signal")).distinct()
     return names.lookup(named, wanted).select("dep_id", F.col("target").cast("int").alias("target"), "source", "dep_type")
 
 
-@query("p17_dependency_index", f"WITH {DEPS} SELECT target AS key, string_agg(DISTINCT concat(lpad(CAST(source AS VARCHAR), 2, '0'), ':', dep_type), ',' ORDER BY concat(lpad(CAST(source AS VARCHAR), 2, '0'), ':', dep_type)) AS sources FROM deps GROUP BY target")
+@query("p17_dependency_index", f"WITH {DEPS} SELECT target AS key, string_agg(DISTINCT concat(lpad(CAST(source AS VARCHAR), 9, '0'), ':', dep_type), ',' ORDER BY concat(lpad(CAST(source AS VARCHAR), 9, '0'), ':', dep_type)) AS sources FROM deps GROUP BY target")
 def p17(spark, sf_dir):
     index = names.dependency_index(adapters.deps(spark, sf_dir))
-    return index.select("key", F.array_join(F.transform("sources", lambda x: F.concat(F.lpad(x["source"].cast("string"), 2, "0"), F.lit(":"), x["dep_type"])), ",").alias("sources"))
+    return index.select("key", F.array_join(F.transform("sources", lambda x: F.concat(F.lpad(x["source"].cast("string"), 9, "0"), F.lit(":"), x["dep_type"])), ",").alias("sources"))
 
 
 @query("g03_self_loops", f"WITH {DEPS} SELECT dep_id, target FROM deps WHERE source = target")
@@ -266,9 +285,9 @@ def g08(spark, sf_dir):
     return slicer.roots(*_slice(spark, sf_dir)).select("signal", "cycle")
 
 
-@query("g01_node_ids", f"WITH {WAVE} SELECT signal, cycle, substring(md5(concat(signal, '@', CAST(cycle AS VARCHAR), '=', value)), 1, 12) AS id FROM cv WHERE cycle < 50")
+@query("g01_node_ids", f"WITH {WAVE} SELECT signal, cycle, substring(md5(concat(signal, '@', CAST(cycle AS VARCHAR), '=', value)), 1, 12) AS id FROM cv")
 def g01(spark, sf_dir):
-    samples = trace.cycle_values(*_trace(spark, sf_dir)).where("cycle < 50")
+    samples = trace.cycle_values(*_trace(spark, sf_dir))
     return samples.select("signal", "cycle", slicer.node_id(F.col("signal"), F.col("cycle"), F.col("value")).alias("id"))
 
 
@@ -296,12 +315,12 @@ def v01(spark, sf_dir):
     return adapters.deps(spark, sf_dir).select("dep_id", least.alias("least"), most.alias("most"))
 
 
-@query("v03_trigger_cycle", f"""WITH {WAVE}, h AS (SELECT signal, cycle, substring(value, 1, 1) = '1' AS holds FROM cv WHERE cycle <= 200),
+@query("v03_trigger_cycle", f"""WITH {WAVE}, h AS (SELECT signal, cycle, substring(value, 1, 1) = '1' AS holds FROM cv),
 g AS (SELECT *, sum(CASE WHEN holds THEN 0 ELSE 1 END) OVER (PARTITION BY signal ORDER BY cycle) AS run FROM h),
 s AS (SELECT signal, run, min(cycle) AS cycle FROM g WHERE holds GROUP BY signal, run)
 SELECT signal, max(cycle) AS trigger_cycle FROM s GROUP BY signal""")
 def v03(spark, sf_dir):
-    samples = trace.cycle_values(*_trace(spark, sf_dir)).where("cycle <= 200")
+    samples = trace.cycle_values(*_trace(spark, sf_dir))
     truth = samples.select(F.col("signal").alias("trace_id"), "cycle", (F.substring("value", 1, 1) == "1").alias("holds"))
     return sva.trigger_cycle(truth).withColumnRenamed("trace_id", "signal")
 
@@ -315,18 +334,90 @@ def v05(spark, sf_dir):
     return sva.interesting_cycles(changes, windows).select("signal", "cycle")
 
 
-@query("k05_node_csv", f"WITH RECURSIVE {DEPS}, {SLICE} SELECT concat_ws(',', concat('n', CAST(signal AS VARCHAR), '_', CAST(cycle AS VARCHAR)), CAST(signal AS VARCHAR), CAST(cycle AS VARCHAR), '0', CASE WHEN signal = 0 THEN '0' ELSE '1' END) AS line FROM r")
+def _graph(spark, sf_dir):
+    seeds = spark.range(1).select(F.lit("events").alias("trace_id"), F.lit("s0").alias("signal"), F.lit(5).alias("cycle"))
+    return build.causal_graph(adapters.design(spark, sf_dir), adapters.samples(spark, sf_dir), seeds, max_depth=100)
+
+
+@query("g11_causal_nodes", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT id, concat('s', signal) AS signal, cycle, value, suspect_score, is_root, is_endpoint, rtl_missing FROM gn""")
+def g11n(spark, sf_dir):
+    return _graph(spark, sf_dir)[0].drop("trace_id", "depth")
+
+
+@query("g11_causal_edges", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT concat('s', source) AS source, source_cycle, concat('s', target) AS target, target_cycle, dep_id, type, score FROM ge""")
+def g11e(spark, sf_dir):
+    return _graph(spark, sf_dir)[1].select("source", "source_cycle", "target", "target_cycle", "dep_id", "type", "score")
+
+
+@query("g10_statistics", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT 'events' AS trace_id, count(*) AS nodes, (SELECT count(*) FROM ge) AS edges, count(*) FILTER (is_root) AS roots, count(*) FILTER (rtl_missing) AS undetermined FROM gn""")
+def g10(spark, sf_dir):
+    return build.statistics(*_graph(spark, sf_dir)).drop("max_depth")
+
+
+@query("k01_json", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT source_cycle AS cycle, count(*) AS edges, sum(CAST(score * 100 AS BIGINT)) AS hundredths FROM ge GROUP BY source_cycle""")
+def k01(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    lines = report.json_lines(nodes, edges)
+    read = F.from_json("line", "src_node_id string, contribution_score double, id string, cycle int").alias("r")
+    told = lines.select("part", read).select("part", "r.*")
+    ends = told.where("part = 'edge'").select("src_node_id", "contribution_score")
+    met = ends.join(told.where("part = 'node'").select(F.col("id").alias("src_node_id"), "cycle"), "src_node_id")
+    return met.groupBy("cycle").agg(F.count("*").alias("edges"), F.sum(F.round(F.col("contribution_score") * 100).cast("bigint")).alias("hundredths"))
+
+
+@query("k02_dot")
+def k02(spark, sf_dir):
+    return report.graph_lines(*_graph(spark, sf_dir))
+
+
+@query("k08_summary")
+def k08(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return report.summary_lines(nodes, edges, build.statistics(nodes, edges))
+
+
+@query("k09_evidence", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT gn.id, is_root, is_endpoint, (SELECT count(*) FROM ge WHERE target = signal AND target_cycle = cycle) AS incoming, (SELECT count(*) FROM ge WHERE source = signal AND source_cycle = cycle) AS outgoing FROM gn""")
+def k09(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    told = report.evidence(nodes, edges, nodes)
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    return told.select("id", "is_root", "is_endpoint", F.greatest(n("incoming"), F.lit(0)).alias("incoming"), F.greatest(n("outgoing"), F.lit(0)).alias("outgoing"))
+
+
+@query("k10_top_roots", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT id, suspect_score FROM gn WHERE is_root ORDER BY suspect_score DESC, id LIMIT 5""")
+def k10(spark, sf_dir):
+    return report.top_roots(_graph(spark, sf_dir)[0], 5).select("id", "suspect_score")
+
+
+@query("k05_node_csv", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT concat_ws(',', id, concat('s', signal), cycle, value, CAST(is_root AS INTEGER), CAST(is_endpoint AS INTEGER), CAST(rtl_missing AS INTEGER)) AS line FROM gn""")
 def k05(spark, sf_dir):
-    nodes = _slice(spark, sf_dir)[0]
-    named = nodes.select(F.concat(F.lit("n"), F.col("signal").cast("string"), F.lit("_"), F.col("cycle").cast("string")).alias("id"), "signal", "cycle", F.lit(0).alias("depth"), (F.col("signal") != 0).alias("is_root"))
-    return report.node_lines(named)
+    lines = report.node_lines(_graph(spark, sf_dir)[0])
+    part = F.split("line", ",")  # all but score, whose digits engines print differently, and depth
+    return lines.select(F.concat_ws(",", *(part[i] for i in (0, 1, 2, 3, 5, 6, 8))).alias("line"))
 
 
-@query("k04_edge_csv", f"""WITH {DEPS} SELECT concat(concat_ws(',', CAST(source AS VARCHAR), CAST(target AS VARCHAR), '0.30', dep_type), ',"from; ', CAST(dep_id AS VARCHAR), '"') AS line FROM deps""")
+@query("k04_edge_csv", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT concat(a.id, ',', b.id, ',', score, ',', type, ',"s', ge.source, ' affects s', ge.target, ' via ', dep_type, '"') AS line
+FROM ge JOIN gn a ON a.signal = ge.source AND a.cycle = ge.source_cycle JOIN gn b ON b.signal = ge.target AND b.cycle = ge.target_cycle""")
 def k04(spark, sf_dir):
-    d = adapters.deps(spark, sf_dir)
-    edges = d.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.lit(0.3).alias("weight"), F.col("dep_type").alias("type"), F.concat(F.lit("from, "), F.col("dep_id").cast("string")).alias("reason"))
-    return report.edge_lines(edges)
+    return report.edge_lines(_graph(spark, sf_dir)[1]).select("line")
+
+
+@query("a06_endpoint_by_keyword", f"""WITH {WAVE} SELECT concat('t', split_part(signal, '.', 2)) AS trace_id, min(signal) AS signal FROM signals WHERE contains(signal, 'view') GROUP BY 1""")
+def a06(spark, sf_dir):
+    signals = adapters.wave(spark, sf_dir).select(F.concat(F.lit("t"), F.split("signal", r"\.")[1]).alias("trace_id"), "signal").distinct()
+    return build.endpoint_by_keyword(signals, ("none", "view", "click"))
+
+
+@query("a08_batch_endpoints", f"""WITH {WAVE}, b AS (SELECT split_part(signal, '.', 2) AS trace_id, signal, t, seq, substring(value, 4, 1) AS value FROM wave WHERE signal LIKE '%.view'),
+p AS (SELECT *, lag(value) OVER (PARTITION BY signal ORDER BY t, seq) AS prev FROM b), f AS (SELECT trace_id, signal, coalesce(min(t) FILTER (prev = '1' AND value = '0'), min(t) FILTER (value = '0'), 0) AS t FROM p GROUP BY ALL)
+SELECT f.trace_id, f.signal, coalesce(e.cycle, 0) AS cycle FROM f ASOF LEFT JOIN edges e ON f.t >= e.t_start""")
+def a08(spark, sf_dir):
+    wave, edges = _trace(spark, sf_dir)
+    many = wave.withColumn("trace_id", F.split("signal", r"\.")[1]).withColumn("value", F.substring("value", 4, 1))
+    labels = spark.range(1).select(F.lit("view").alias("label"))
+    clocks = many.select(F.lit("events").alias("trace_id"), F.col("trace_id").alias("part")).distinct()  # the parts of one trace share its clock
+    ticks = edges.join(clocks, "trace_id").select(F.col("part").alias("trace_id"), "cycle", "t_start")
+    return build.endpoints(many, ticks, labels)
 
 
 @query("k06_styles", f"""WITH {DEPS} SELECT dep_id, CASE WHEN dep_id % 11 = 0 THEN 'red' WHEN dep_id % 7 = 0 THEN 'green' WHEN dep_id % 5 = 0 THEN 'gray' WHEN dep_id / 100.0 > 0.7 THEN 'orange' WHEN dep_id / 100.0 > 0.4 THEN 'yellow' ELSE 'none' END AS style,

@@ -1,41 +1,137 @@
-"""Reports of a causal graph: styles, CSV lines, graph text and summary. Nodes and edges are DataFrames."""
+"""Reports of a causal graph as causal_graph() builds it: styles, CSV, graph text, JSON, summary and evidence.
+
+All are DataFrames of lines or rows, for many traces at once. Only json_documents() gathers a
+trace's graph in one row; its size is that of the slice's max_nodes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Colour of each kind of edge.
 EDGE_COLOURS = {"expr_eval": "blue", "toggle": "green", "state": "purple", "conditional": "orange", "direct": "darkgreen", "unknown": "black"}
+#: Attributes of each style of node.
+STYLE_ATTRIBUTES = {
+    "red": "style=filled, fillcolor=red, fontcolor=white",
+    "green": "style=filled, fillcolor=green",
+    "gray": "style=dashed, color=gray",
+    "orange": "style=filled, fillcolor=orange",
+    "yellow": "style=filled, fillcolor=yellow",
+}
+#: Legend entries, label and style.
+LEGEND = (
+    ("endpoint", r"Endpoint\n(assertion fail)", "red"),
+    ("root", r"Root Cause\nCandidate", "green"),
+    ("high_suspect", r"High Suspicion\n(score > 0.7)", "orange"),
+    ("medium_suspect", r"Medium Suspicion\n(score > 0.4)", "yellow"),
+    ("rtl_missing", r"RTL Context\nMissing", "gray"),
+    ("normal", "Normal Node", None),
+)
+#: First lines of the CSV files.
+NODE_HEADER = "id,signal,cycle,value,suspect_score,is_root,is_endpoint,depth,rtl_missing"
+EDGE_HEADER = "source,target,weight,type,reason"
 
 
 def node_style(endpoint: Column, root: Column, missing: Column, score: Column) -> Column:
     return F.when(endpoint, "red").when(root, "green").when(missing, "gray").when(score > 0.7, "orange").when(score > 0.4, "yellow").otherwise("none")
 
 
+def _lookup(table: dict[str, str], key: Column, default: str | None) -> Column:
+    found = F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
 def edge_colour(kind: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for pair in EDGE_COLOURS.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, kind), F.lit("black"))
+    return _lookup(EDGE_COLOURS, kind, "black")
+
+
+def _text(*cols: str) -> list[Column]:
+    return [F.col(c).cast("string") for c in cols]
+
+
+def _flag(name: str) -> Column:
+    return F.col(name).cast("int").cast("string")
 
 
 def node_lines(nodes: DataFrame) -> DataFrame:
-    """CSV lines: id, signal, cycle, depth, is_root as 0 or 1."""
-    return nodes.select(F.concat_ws(",", "id", F.col("signal").cast("string"), F.col("cycle").cast("string"), F.col("depth").cast("string"), F.col("is_root").cast("int").cast("string")).alias("line"))
+    """trace_id, line: CSV under NODE_HEADER; commas leave the signal."""
+    signal = F.translate(F.col("signal"), ",", ";")
+    return nodes.select("trace_id", F.concat_ws(",", "id", signal, *_text("cycle", "value", "suspect_score"), _flag("is_root"), _flag("is_endpoint"), *_text("depth"), _flag("rtl_missing")).alias("line"))
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:
-    """CSV lines: source, target, weight, type, "reason"; commas and line ends leave the reason."""
-    reason = F.translate(F.regexp_replace("reason", "\n", " "), ",", ";")
-    return edges.select(F.concat(F.concat_ws(",", "source", "target", F.format_string("%.2f", "weight"), "type"), F.lit(',"'), reason, F.lit('"')).alias("line"))
+    """trace_id, line: CSV under EDGE_HEADER; commas and line ends leave the reason."""
+    reason = F.translate("reason", ",\n", "; ")
+    return edges.select("trace_id", F.concat(F.concat_ws(",", "source_id", "target_id", *_text("score"), "type"), F.lit(',"'), reason, F.lit('"')).alias("line"))
 
 
 def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The graph as ordered lines of text: (part, line)."""
-    head = nodes.sparkSession.createDataFrame([(0, "digraph causes {"), (1, "  rankdir=TB;"), (9, "}")], "part int, line string")
-    n = nodes.select(F.lit(2).alias("part"), F.format_string('  "%s" [label="%s\\n@%s"];', F.col("id"), F.col("signal").cast("string"), F.col("cycle").cast("string")).alias("line"))
-    e = edges.select(F.lit(3).alias("part"), F.format_string('  "%s" -> "%s" [color=%s, penwidth=%.2f];', F.col("source"), F.col("target"), edge_colour(F.col("type")), 1 + 2 * F.col("weight")).alias("line"))
-    return head.union(n).union(e).orderBy("part", "line")
+    """trace_id, part, line: the graph as text. Order by part, then line, to write a file of one trace."""
+    legend = [f'        legend_{name} [label="{label}"{", " + STYLE_ATTRIBUTES[style] if style else ""}];' for name, label, style in LEGEND]
+    head = ["digraph CausalGraph {", "    rankdir=TB;", "    node [shape=box, fontsize=10];", "    edge [fontsize=8];", "    subgraph cluster_legend {", '        label="Legend";', "        fontsize=12;", "        style=dashed;", "        color=gray;", "        rank=same;", *legend, "    }"]
+    frame = [(i, line) for i, line in enumerate(head)] + [(1000, "}")]
+    fixed = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.lit(line).alias("line")) for i, line in frame))).alias("x")
+    text = nodes.select("trace_id").distinct().select("trace_id", fixed).select("trace_id", "x.part", "x.line")
+    style = _lookup(STYLE_ATTRIBUTES, node_style(F.col("is_endpoint"), F.col("is_root"), F.col("rtl_missing"), F.col("suspect_score")), None)
+    label = F.concat(F.lit('    "'), "id", F.lit('" [label="'), "signal", F.lit(r"\n@"), F.col("cycle").cast("string"), F.lit("="), "value", F.lit('"'))
+    n = nodes.select("trace_id", F.lit(100).alias("part"), F.concat(label, F.coalesce(F.concat(F.lit(", "), style), F.lit("")), F.lit("];")).alias("line"))
+    anchor = nodes.groupBy("trace_id").agg(F.min(F.struct(~F.col("is_endpoint"), "depth", "id")).alias("first"))
+    tie = anchor.select("trace_id", F.lit(101).alias("part"), F.concat(F.lit('    "'), "first.id", F.lit('" -> legend_endpoint [style=invis, constraint=false];')).alias("line"))
+    e = edges.select("trace_id", F.lit(102).alias("part"), F.format_string('    "%s" -> "%s" [label="%s\\n%.2f", color=%s, penwidth=%.2f];', "source_id", "target_id", "type", "score", edge_colour(F.col("type")), 1 + 2 * F.col("score")).alias("line"))
+    return text.unionByName(n).unionByName(tie).unionByName(e)
+
+
+def _node_record() -> Column:
+    return F.struct("id", "signal", "cycle", "value", "suspect_score", "is_root", "is_endpoint", "depth", F.col("rtl_missing").alias("rtl_context_missing"))
+
+
+def _edge_record() -> Column:
+    return F.struct(F.col("source_id").alias("src_node_id"), F.col("target_id").alias("dst_node_id"), "reason", F.col("type").alias("contribution_type"), F.col("score").alias("contribution_score"))
+
+
+def json_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """trace_id, part (node or edge), line: one JSON object for each node and edge, for graphs of any size."""
+    n = nodes.select("trace_id", F.lit("node").alias("part"), F.to_json(_node_record()).alias("line"))
+    return n.union(edges.select("trace_id", F.lit("edge").alias("part"), F.to_json(_edge_record()).alias("line")))
+
+
+def json_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """trace_id, document: {nodes, edges, meta} of each trace, nodes by depth, then falling cycle."""
+    order = F.struct("depth", -F.col("cycle"), "id")
+    n = nodes.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), _node_record().alias("r")))).alias("nodes"), F.sum(F.col("is_root").cast("long")).alias("roots"))
+    e = edges.groupBy("trace_id").agg(F.array_sort(F.collect_list(_edge_record())).alias("edges"))
+    both = n.join(e, "trace_id", "left").withColumn("nodes", F.col("nodes.r"))
+    none = F.array().cast(e.schema["edges"].dataType)
+    both = both.withColumn("edges", F.coalesce("edges", none))
+    meta = F.struct(F.size("nodes").alias("total_nodes"), F.size("edges").alias("total_edges"), F.col("roots").alias("root_nodes"))
+    return both.select("trace_id", F.to_json(F.struct("nodes", "edges", meta.alias("meta"))).alias("document"))
 
 
 def top_roots(nodes: DataFrame, most: int = 10) -> DataFrame:
-    return nodes.where("is_root").orderBy(F.col("suspect_score").desc(), "id").limit(most)
+    """Root candidates of each trace by falling score, at most so many, with their place from 1."""
+    w = Window.partitionBy("trace_id").orderBy(F.col("suspect_score").desc(), "id")
+    return nodes.where("is_root").withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def summary_lines(nodes: DataFrame, edges: DataFrame, stats: DataFrame) -> DataFrame:
+    """trace_id, part, place, line of a text summary: counts, ten roots, five of the strongest edges. stats: of build.statistics()."""
+    counts = F.array(*(F.concat(F.lit(f"- {label}: "), F.col(c).cast("string")) for label, c in (("Total nodes", "nodes"), ("Total edges", "edges"), ("Root cause candidates", "roots"), ("Depth reached", "max_depth"), ("Undetermined nodes (missing RTL)", "undetermined"))))
+    overview = stats.select("trace_id", F.lit(1).alias("part"), F.posexplode(counts).alias("place", "line"))
+    roots = top_roots(nodes).select("trace_id", F.lit(2).alias("part"), "place", F.format_string("%d. `%s` @ cycle %d = %s (score: %.2f)", "place", "signal", "cycle", "value", "suspect_score").alias("line"))
+    more = stats.where("roots > 10").select("trace_id", F.lit(2).alias("part"), F.lit(11).alias("place"), F.lit("   ... and more").alias("line"))
+    w = Window.partitionBy("trace_id").orderBy(F.col("score").desc(), "source_id", "target_id")
+    strong = edges.where("score > 0.7").withColumn("place", F.row_number().over(w)).where("place <= 5")
+    paths = strong.select("trace_id", F.lit(3).alias("part"), "place", F.format_string("- `%s@%d` -> `%s@%d` (score: %.2f, type: %s)", "source", "source_cycle", "target", "target_cycle", "score", "type").alias("line"))
+    return overview.union(roots).union(more).union(paths)
+
+
+def evidence(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each of wanted(trace_id, id): found, its node's flags, and its incoming and outgoing edges by dep_id."""
+    asked = wanted.select("trace_id", "id").distinct()
+    rows = asked.join(nodes.select("trace_id", "id", "signal", "cycle", "is_root", "is_endpoint", F.lit(True).alias("found")), ["trace_id", "id"], "left")
+    for end, other, name in (("target_id", "source_id", "incoming"), ("source_id", "target_id", "outgoing")):
+        few = edges.withColumnRenamed(end, "id").join(asked, ["trace_id", "id"], "left_semi")
+        told = few.groupBy("trace_id", "id").agg(F.array_sort(F.collect_list(F.struct("dep_id", other, "type", "score"))).alias(name))
+        rows = rows.join(told, ["trace_id", "id"], "left")
+    return rows.withColumn("found", F.coalesce("found", F.lit(False)))

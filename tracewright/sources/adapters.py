@@ -29,7 +29,24 @@ def clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dependencies(dep_id, target, source, dep_type) over 40 numbered signals."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 120")
+    """dependencies(dep_id, target, source, dep_type): three of each target, some of them feedback or on themselves."""
     kind = F.element_at(F.array(F.lit("combinational"), F.lit("sequential"), F.lit("assertion")), (F.col("p_size") % 3 + 1).cast("int"))
-    return p.select(F.col("p_partkey").alias("dep_id"), (F.col("p_partkey") % 40).cast("int").alias("target"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 40).cast("int").alias("source"), kind.alias("dep_type"))
+    target = F.floor(F.col("p_partkey") / 3)
+    source = F.when(F.col("p_size") % 11 == 0, F.floor(target / 2)).when(F.col("p_size") % 13 == 0, target).otherwise(target * 3 + 1 + F.col("p_size") % 7)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("dep_id"), target.cast("int").alias("target"), source.cast("int").alias("source"), kind.alias("dep_type"))
+
+
+def design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deps() with named signals, an expression over the source (empty for every fourth) and a condition."""
+    source = F.concat(F.lit("s"), F.col("source").cast("string"))
+    k = F.col("dep_id") % 4
+    expression = F.when(k == 0, F.concat(source, F.lit(" & 4'b0001"))).when(k == 1, F.concat(source, F.lit(" ? 4'b0101 : 4'b0011"))).when(k == 3, F.concat(source, F.lit(" == 4'd5"))).otherwise("")
+    condition = F.when(F.col("dep_type") == "assertion", "@(posedge clock)").otherwise("")
+    target = F.concat(F.lit("s"), F.col("target").cast("string"))
+    return deps(spark, sf_dir).select("dep_id", target.alias("target"), source.alias("source"), "dep_type", expression.alias("expression"), condition.alias("condition"))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cycle_values(trace_id, signal, cycle, value): quantities of line items, a signal for each part and a cycle for each line."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_linenumber").agg(F.max(F.col("l_quantity").cast("bigint")).alias("q"))
+    return lines.select(F.lit("events").alias("trace_id"), F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("signal"), (F.col("l_linenumber") - 1).cast("int").alias("cycle"), F.lpad(F.bin(F.col("q") % 16), 4, "0").alias("value"))
