@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 from tracewright.functions import bits
-from tracewright.functions.expr import evaluate
+from tracewright.functions.expr import compared_literal, evaluate
 from tracewright.operators import names, slicer, sva, trace
+from tracewright.plans import build, report
 from tracewright.sources import rtl, vcd
 
 ENV = {"a": "1010", "b": "0011", "sel": "1", "u": "1x0z"}
@@ -16,6 +17,56 @@ def test_expressions():
     assert {k: evaluate(k, ENV) for k in facts} == facts
 
 
+def test_selects():
+    assert evaluate("a[3] & a[1:0]", ENV) is None  # a name of its own by default
+    facts = {"a[3]": "1", "a[1:0]": "10", "a[9]": None, "a[0] |-> missing": "1", "{b[1], sel} == 2'b11": "1"}
+    assert {k: evaluate(k, ENV, selects=True) for k in facts} == facts
+    assert compared_literal("x && s == 4'd5", "s") == "0101" and compared_literal("3 == s", "s") == "11" and compared_literal("s == t", "s") is None
+
+
+def test_causal_graph(spark):
+    deps = spark.createDataFrame([(1, "fail", "state", "assertion", "state == 4'd5", "@(posedge clock)"), (2, "fail", "quiet", "combinational", "", ""), (3, "state", "next", "sequential", "next & 4'b0011", ""), (4, "next", "deep", "combinational", "deep ? 4'b1 : 4'b1", ""), (5, "fail", "gone", "combinational", "gone", "")],
+                                 "dep_id long, target string, source string, dep_type string, expression string, condition string")
+    values = {"fail": "01", "state": ("0101", "0111"), "quiet": "01", "next": ("0001", "0001"), "deep": "11"}
+    samples = spark.createDataFrame([("t", s, c, v) for s, many in values.items() for c, v in enumerate(many)], "trace_id string, signal string, cycle int, value string")
+    seeds = spark.createDataFrame([("t", "fail", 1)], "trace_id string, signal string, cycle int")
+    nodes, edges = build.causal_graph(deps, samples, seeds, max_depth=4)
+    got = {r.source: (r.source_cycle, r.type, r.score) for r in edges.collect()}
+    # the literal is tried for state; quiet toggles with fail; gone has no value; deep changes nothing and is too deep for structure alone
+    assert got == {"state": (1, "conditional", 1.0), "quiet": (1, "toggle", 0.7), "gone": (1, "expr_eval", 0.3), "next": (0, "state", 1.0)}
+    told = {r.signal: r for r in nodes.collect()}
+    assert {s for s, r in told.items() if r.is_root} == {"quiet", "gone", "next"} and told["fail"].is_endpoint and told["gone"].value == "x"
+    assert told["quiet"].suspect_score == 0.7 * 0.9 and told["fail"].suspect_score == 1.0 and told["gone"].rtl_missing
+    import json
+
+    document = json.loads(report.json_documents(nodes, edges).first().document)
+    assert document["meta"] == {"total_nodes": 5, "total_edges": 4, "root_nodes": 3} and document["nodes"][0]["signal"] == "fail"
+    lines = [r.line for r in report.graph_lines(nodes, edges).orderBy("part", "line").collect()]
+    assert lines[0].startswith("digraph") and lines[-1] == "}" and any(r"toggle\n0.70" in x and "color=green, penwidth=2.40" in x for x in lines)
+    wanted = spark.createDataFrame([("t", told["state"].id), ("t", "nothing")], "trace_id string, id string")
+    found = {r.id: r for r in report.evidence(nodes, edges, wanted).collect()}
+    assert len(found[told["state"].id].incoming) == 1 and len(found[told["state"].id].outgoing) == 1 and not found["nothing"].found
+    said = [r.line for r in report.summary_lines(nodes, edges, build.statistics(nodes, edges)).orderBy("part", "place").collect()]
+    assert said[0] == "- Total nodes: 5" and said[5].startswith("1. `next` @ cycle 0 = 0001 (score: 0.90)")
+    none_n, none_e = build.causal_graph(deps.limit(0), samples, seeds)
+    assert none_n.count() == 1 and none_e.count() == 0
+
+
+def test_antecedent_and_windows(spark):
+    deps = spark.createDataFrame([(1, "prop", "a", "assertion", "a |-> ##[1:9] b", "")], "dep_id long, target string, source string, dep_type string, expression string, condition string")
+    samples = spark.createDataFrame([("t", "prop", 3, "0"), ("t", "a", 3, "x"), ("t", "b", 3, "0")], "trace_id string, signal string, cycle int, value string")
+    seeds = spark.createDataFrame([("t", "prop", 3)], "trace_id string, signal string, cycle int")
+    triggers = spark.createDataFrame([("t", 3)], "trace_id string, trigger_cycle int")
+    assert build.causal_graph(deps, samples, seeds, triggers=triggers)[1].first().score == 0.85
+    windows = spark.createDataFrame([("t", "prop", 2, 1, 4, 9)], "trace_id string, endpoint string, trigger int, least int, most int, fail int")
+    consequents = spark.createDataFrame([("t", "still")], "trace_id string, signal string")
+    moved = spark.createDataFrame([("t", "other", 4)], "trace_id string, signal string, cycle int")
+    starts, edges = sva.window_graph(windows, consequents, moved)
+    assert {(r.source, r.source_cycle, r.target_cycle, r.score) for r in edges.collect()} == {("still", 3, 9, 0.8), ("still", 6, 9, 0.8), ("prop", 2, 9, 1.0)} and starts.count() == 3
+    names_ = spark.createDataFrame([("t", "top.fail_b"), ("t", "top.my_assert"), ("u", "top.error"), ("v", "top.q")], "trace_id string, signal string")
+    assert {tuple(r) for r in build.endpoint_by_keyword(names_).collect()} == {("t", "top.my_assert"), ("u", "top.error")}
+
+
 def test_bits(spark):
     df = spark.createDataFrame([("1010", "1011"), ("1010", "1010"), ("x1", "0"), ("", "1"), (None, "1"), ("11", "0011")], "a string, b string")
     got = df.select(bits.values_differ(F.col("a"), F.col("b")), bits.parse_binary(F.col("a")), bits.invert(F.col("a"))).collect()

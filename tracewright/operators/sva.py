@@ -38,11 +38,33 @@ def window_samples(windows: DataFrame) -> DataFrame:
     return windows.where("first <= last").select("trace_id", F.explode(cycles).alias("cycle"))
 
 
-def interesting_cycles(changes: DataFrame, windows: DataFrame, most_changes: int = 5, most: int = 8) -> DataFrame:
-    """Per signal the first changes inside the window and its samples, at most ``most`` in order."""
+def interesting_cycles(changes: DataFrame, windows: DataFrame, most_changes: int = 5, most: int = 8, signals: DataFrame | None = None) -> DataFrame:
+    """Per signal the first changes inside the window and its samples, at most ``most`` in order.
+
+    signals(trace_id, signal): those to look at, unchanging ones too; all that change where not given.
+    """
     w = Window.partitionBy("trace_id", "signal").orderBy("cycle")
+    known = (changes if signals is None else signals).select("trace_id", "signal").distinct()
+    changes = changes.join(known, ["trace_id", "signal"], "left_semi")
     inside = changes.join(windows, "trace_id").where(F.col("cycle").between(F.col("first"), F.col("last")))
     few = inside.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most_changes).select("trace_id", "signal", "cycle")
-    samples = changes.select("trace_id", "signal").distinct().join(window_samples(windows), "trace_id")
+    samples = known.join(window_samples(windows), "trace_id")
     both = few.union(samples.select("trace_id", "signal", "cycle")).distinct()
     return both.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+
+
+def window_graph(windows: DataFrame, consequents: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seeds, edges) of assertions that failed at the end of a time window.
+
+    windows: trace_id, endpoint, trigger, least, most, fail; consequents: trace_id, signal. Each consequent's cycles of interest between
+    trigger + least and the earlier of trigger + most and fail lead to the failure with 0.8, the trigger itself with 1.
+    Slicing goes on from the seeds, not from the failing endpoint. No trigger, no rows.
+    """
+    known = windows.where("trigger is not null")
+    bounds = known.select("trace_id", (F.col("trigger") + F.col("least")).cast("bigint").alias("first"), F.least(F.col("trigger") + F.col("most"), F.col("fail")).cast("bigint").alias("last"))
+    inside = interesting_cycles(changes, bounds, signals=consequents)
+    end = [F.col("endpoint").alias("target"), F.col("fail").cast("bigint").alias("target_cycle")]
+    late = inside.join(known.select("trace_id", *end), "trace_id").select("trace_id", F.col("signal").alias("source"), F.col("cycle").cast("bigint").alias("source_cycle"), "target", "target_cycle", F.lit("state").alias("type"), F.lit(0.8).alias("score"))
+    start = known.where("trigger < fail").select("trace_id", F.col("endpoint").alias("source"), F.col("trigger").cast("bigint").alias("source_cycle"), *end, F.lit("conditional").alias("type"), F.lit(1.0).alias("score"))
+    edges = late.union(start)
+    return edges.select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct(), edges

@@ -334,6 +334,18 @@ def v05(spark, sf_dir):
     return sva.interesting_cycles(changes, windows).select("signal", "cycle")
 
 
+@query("v07_window_edges", f"""WITH {WAVE}, c AS (SELECT DISTINCT signal FROM signals WHERE signal LIKE '%.click'),
+f AS (SELECT signal, cycle, row_number() OVER (PARTITION BY signal ORDER BY cycle) AS n FROM moved JOIN c USING (signal) WHERE cycle BETWEEN 20 AND 60),
+u AS (SELECT signal, cycle FROM f WHERE n <= 5 UNION SELECT signal, unnest([20, 60, 30, 40, 50]) FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY cycle) AS n FROM u)
+SELECT signal AS source, CAST(cycle AS BIGINT) AS source_cycle, CAST(60 AS BIGINT) AS target_cycle, 'state' AS type, 0.8::DOUBLE AS score FROM o WHERE n <= 8 UNION ALL SELECT 'top.fail', 15, 60, 'conditional', 1.0::DOUBLE""")
+def v07(spark, sf_dir):
+    wave, edges = _trace(spark, sf_dir)
+    changes = trace.value_changes(trace.cycle_values(wave, edges))
+    windows = spark.range(1).select(F.lit("events").alias("trace_id"), F.lit("top.fail").alias("endpoint"), F.lit(15).alias("trigger"), F.lit(5).alias("least"), F.lit(100).alias("most"), F.lit(60).alias("fail"))
+    clicks = wave.where("signal like '%.click'").select("trace_id", "signal").distinct()
+    return sva.window_graph(windows, clicks, changes)[1].select("source", "source_cycle", "target_cycle", "type", "score")
+
+
 def _graph(spark, sf_dir):
     seeds = spark.range(1).select(F.lit("events").alias("trace_id"), F.lit("s0").alias("signal"), F.lit(5).alias("cycle"))
     return build.causal_graph(adapters.design(spark, sf_dir), adapters.samples(spark, sf_dir), seeds, max_depth=100)
