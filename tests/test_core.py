@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import bits
 from tracewright.functions.expr import compared_literal, evaluate
 from tracewright.operators import names, slicer, sva, trace
-from tracewright.plans import build, report
+from tracewright.plans import analyse, build, report
 from tracewright.sources import rtl, vcd
 
 ENV = {"a": "1010", "b": "0011", "sel": "1", "u": "1x0z"}
@@ -144,3 +144,67 @@ def test_vcd(spark, tmp_path):
     got = vcd.read_vcd(spark, str(path)).orderBy("seq").collect()
     assert [(r.trace_id, r.signal, r.t, r.value) for r in got] == [("one", "top.clk", 0, "0"), ("one", "top.d [3:0]", 0, "1010"), ("one", "top.clk", 5, "1")]
     assert spark.createDataFrame([("top.d [3:0]",)], "s string").select(names.base(F.col("s"))).first()[0] == "d"
+
+
+CHECKED = """
+module Top(input clock, input req);
+  reg busy;
+  Unit unit (.clk(clock), .go(req), .done(busy));
+  my_assert: assert property (@(posedge clock) req |-> busy);
+endmodule
+module Unit(input clk, input go, output done);
+  assign done = go & ~go;
+endmodule
+"""
+TRACE = """$scope module Top $end
+$var wire 1 ! clock $end
+$var wire 1 a req $end
+$var wire 1 b busy $end
+$var wire 1 m my_assert $end
+$scope module unit $end
+$var wire 1 c clk $end
+$var wire 1 g go $end
+$var wire 1 d done $end
+$upscope $end
+$upscope $end
+$enddefinitions $end
+#0
+1!
+1c
+0a
+0g
+0b
+0d
+1m
+#5
+0!
+0c
+#10
+1!
+1c
+1a
+1g
+0m
+#15
+0!
+0c
+"""
+
+
+def test_whole_analysis(spark, tmp_path):
+    (tmp_path / "design.sv").write_text(CHECKED)
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.vcd").write_text(TRACE)
+    graph = analyse.analyse(spark, [str(tmp_path / "*.vcd")], [str(tmp_path / "design.sv")])
+    assert {tuple(r) for r in graph.endpoints.collect()} == {("one", "Top.my_assert", 1), ("two", "Top.my_assert", 1)}
+    got = {(r.source, r.target) for r in graph.edges.where("trace_id = 'one'").collect()}
+    assert {("Top.req", "Top.my_assert"), ("Top.busy", "Top.my_assert"), ("Top.unit.done", "Top.busy"), ("Top.unit.go", "Top.unit.done"), ("Top.req", "Top.unit.go")} == got
+    analyse.write(graph, str(tmp_path / "out"))
+    import glob
+    import json
+
+    text = lambda part: "".join(open(f).read() for f in sorted(glob.glob(str(tmp_path / "out" / part / "trace_id=one" / "*.txt"))))
+    assert len(json.loads(text("causal_graph_json"))["edges"]) == 5 and text("causal_graph_dot").startswith("digraph")
+    assert text("causal_nodes").split("\n")[0] == report.NODE_HEADER and text("causal_edges").startswith(report.EDGE_HEADER) and "my_assert" in text("summary")
+    asked = analyse.analyse(spark, [str(tmp_path / "one.vcd")], [str(tmp_path / "design.sv")], endpoint="Top.busy", cycle=0, clock="Top.clock", max_depth=1)
+    assert {(r.source, r.target) for r in asked.edges.collect()} <= {("Top.unit.done", "Top.busy")} and asked.endpoints.first().cycle == 0

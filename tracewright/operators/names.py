@@ -38,3 +38,41 @@ def resolve(samples: DataFrame, wanted: DataFrame) -> DataFrame:
     met = tries.join(keyed, (F.col("_try.name") == F.col("_name")) & (F.col("cycle") == F.col("_cycle")), "left")
     best = met.groupBy("signal", "cycle", "scope").agg(F.min_by(F.struct("_name", "value"), F.when(F.col("_name").isNotNull(), F.col("_try.n"))).alias("best"))
     return best.select("signal", "cycle", "scope", F.col("best._name").alias("resolved"), F.coalesce("best.value", F.lit("x")).alias("value"))
+
+
+def plain(name: Column) -> Column:
+    """Without a width suffix."""
+    return F.regexp_replace(name, r"\s*\[[^\]]*\]$", "")
+
+
+def owning_module(scopes: DataFrame, modules: DataFrame, instances: DataFrame) -> DataFrame:
+    """scopes(scope) with owner: the module that the rightmost part names, or whose only instance it is; else the first part.
+
+    modules: module; instances: instance, module. An instance name of several modules says nothing.
+    """
+    single = instances.groupBy(F.col("instance").alias("part")).agg(F.countDistinct("module").alias("n"), F.min("module").alias("module")).where("n = 1")
+    known = modules.select(F.col("module").alias("part"), "module", F.lit(1).alias("exact")).distinct().unionByName(single.select("part", "module", F.lit(0).alias("exact")))
+    parts = scopes.select("scope").distinct().select("scope", F.posexplode(F.split("scope", r"\.")).alias("place", "part")).join(known, "part")
+    best = parts.groupBy("scope").agg(F.max_by("module", F.struct("place", "exact")).alias("owner"))
+    return scopes.join(best, "scope", "left").withColumn("owner", F.coalesce("owner", F.element_at(F.split("scope", r"\."), 1)))
+
+
+def bind(deps: DataFrame, instances: DataFrame, signals: DataFrame) -> DataFrame:
+    """deps of a design for the signals of traces: target and source are full names of signals(signal).
+
+    A target is the last part or the last two parts (instance and port) of a name whose scope belongs to the row's module. The source lies in the same
+    scope; where the traces have none there, its plain name stands if they have that. Equi-joins only.
+    """
+    named = signals.select(plain(F.col("signal")).alias("signal")).distinct()
+    parts = F.split("signal", r"\.")
+    n = F.size(parts)
+    cuts = F.explode(F.array(*(F.struct(F.array_join(F.slice(parts, F.greatest(n - k + 1, F.lit(1)), F.lit(k)), ".").alias("key"), F.array_join(F.slice(parts, F.lit(1), F.greatest(n - k, F.lit(0))), ".").alias("scope"), (n > k).alias("fits")) for k in (1, 2))))
+    keyed = named.select("signal", cuts.alias("x")).select("signal", "x.*").where("fits")
+    owned = owning_module(keyed, deps.select("module"), instances)
+    met = deps.withColumnRenamed("target", "key").join(owned.withColumnRenamed("owner", "module"), ["module", "key"])
+    met = met.withColumn("_near", F.concat_ws(".", "scope", "source"))
+    for name, key in (("_near", "_a"), ("source", "_b")):
+        met = met.join(named.select(F.col("signal").alias(name), F.lit(True).alias(key)), name, "left")
+    source = F.when(F.col("_a").isNull() & F.col("_b").isNotNull(), F.col("source")).otherwise(F.col("_near"))
+    rest = [c for c in deps.columns if c not in ("source", "target")]
+    return met.select(*rest, F.col("signal").alias("target"), source.alias("source"))

@@ -55,7 +55,7 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
             found = table(step.groupBy(*pair).agg(F.min_by("dep_type", "dep_id").alias("dep_type")))
         else:
             told = ["dep_id", "dep_type", "score", "kind"]
-            found = judge(table(step), depth).groupBy(*pair).agg(F.min(F.struct(*told)).alias("first"))
+            found = judge(step, depth).groupBy(*pair).agg(F.min(F.struct(*told)).alias("first"))
             found = table(found.select(*pair, *(F.col(f"first.{c}").alias(c) for c in told)))
         edges = found if edges is None else edges.union(found)
         fresh = found.select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct()
@@ -96,25 +96,14 @@ def counterfactuals(cases: DataFrame) -> DataFrame:
     Cases without a value of the source aren't causal; original is null where the expression can't be told.
     """
     from ..functions import bits
-    from ..functions.expr import evaluate_udf, literal_udf
-
-    told, compared = evaluate_udf(), literal_udf()
-    now = F.try_element_at("env", F.col("source"))
-
-    def changed(value: Column) -> Column:
-        return told("expression", F.map_concat(F.map_filter("env", lambda k, _: k != F.col("source")), F.create_map("source", value)))
+    from ..functions.expr import outcomes_udf
 
     def score(perturbed: str) -> Column:
-        causal = F.coalesce(bits.values_differ(F.col("original"), F.col(perturbed)), F.lit(False)) & now.isNotNull()
-        return F.when(causal, bits.contribution(F.col("original"), F.col(perturbed)))
-
-    out = cases.withColumn("original", told("expression", "env")).withColumn("_flip", changed(bits.invert(now))).withColumn("_score", score("_flip"))
-    wanted = F.when(F.col("_score").isNull() & F.col("expression").contains("=="), compared("expression", "source"))
-    out = out.withColumn("_wanted", wanted)
-    width = F.greatest(F.length("_wanted"), F.length(now))
-    equal = F.lpad("_wanted", width, "0") == F.lpad(now, width, "0")
-    out = out.withColumn("_smart", F.when(F.col("_wanted").isNotNull(), changed(F.when(equal, bits.invert(F.col("_wanted"))).otherwise(F.col("_wanted")))))
-    out = out.withColumn("score", F.coalesce("_score", score("_smart")))
-    perturbed = F.when(F.col("_score").isNull() & F.col("score").isNotNull(), F.col("_smart")).otherwise(F.col("_flip"))
-    out = out.withColumn("perturbed", perturbed).withColumn("causal", F.col("score").isNotNull())
-    return out.withColumn("score", F.coalesce("score", F.lit(0.0))).drop("_flip", "_score", "_wanted", "_smart")
+        causal = F.coalesce(bits.values_differ(F.col("_o.original"), F.col(perturbed)), F.lit(False))
+        return F.when(causal, bits.contribution(F.col("_o.original"), F.col(perturbed)))
+
+    out = cases.withColumn("_o", outcomes_udf()("expression", "env", "source")).withColumn("_score", score("_o.flipped"))
+    out = out.withColumn("score", F.coalesce("_score", score("_o.tried"))).withColumn("causal", F.col("score").isNotNull())
+    perturbed = F.when(F.col("_score").isNull() & F.col("causal"), F.col("_o.tried")).otherwise(F.col("_o.flipped"))
+    told = {"original": F.col("_o.original"), "perturbed": perturbed, "score": F.coalesce("score", F.lit(0.0))}
+    return out.withColumns(told).drop("_o", "_score")

@@ -6,7 +6,7 @@ A level's candidate edges are judged together. Values come from equi-joins on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
@@ -21,8 +21,14 @@ def _valued(rows: DataFrame, samples: DataFrame, signal: str, cycle: Column, nam
     return rows.withColumn("_cycle", cycle).join(at, ["trace_id", signal, "_cycle"], "left").drop("_cycle")
 
 
+def with_before(samples: DataFrame) -> DataFrame:
+    """samples with before, the value of the cycle just before; null at cycle 0 and where that cycle has none."""
+    w = Window.partitionBy("trace_id", "signal").orderBy("cycle")
+    return samples.select("trace_id", "signal", "cycle", "value", F.when(F.lag("cycle").over(w) == F.col("cycle") - 1, F.lag("value").over(w)).alias("before"))
+
+
 def judge(deps: DataFrame, samples: DataFrame, max_depth: int, triggers: DataFrame | None = None):
-    """A judge for backward_slice().
+    """A judge for backward_slice(). samples: of with_before().
 
     Counterfactual score, or 0.7 where the expression says nothing and source and target both toggled; else 0.85 for the antecedent
     at a trigger cycle of triggers(trace_id, trigger_cycle), else 0.3 in the upper half of the depth; the rest is rejected.
@@ -35,8 +41,9 @@ def judge(deps: DataFrame, samples: DataFrame, max_depth: int, triggers: DataFra
         wanted = _valued(wanted, samples, "_of", F.col("source_cycle"), "_value").where("_value is not null")
         env = wanted.groupBy("trace_id", "target", "source_cycle").agg(F.map_from_entries(F.collect_list(F.struct("_of", "_value"))).alias("env"))
         rows = step.join(env, ["trace_id", "target", "source_cycle"], "left")
-        for signal, cycle, name in (("source", "source_cycle", "s"), ("target", "target_cycle", "t")):
-            rows = _valued(_valued(rows, samples, signal, F.col(cycle), f"_{name}1"), samples, signal, F.col(cycle) - 1, f"_{name}0")
+        for end, name in (("source", "s"), ("target", "t")):
+            here = samples.select("trace_id", F.col("signal").alias(end), F.col("cycle").alias(f"{end}_cycle"), F.col("before").alias(f"_{name}0"), F.col("value").alias(f"_{name}1"))
+            rows = rows.join(here, ["trace_id", end, f"{end}_cycle"], "left")
         rows = slicer.counterfactuals(rows.withColumn("env", F.coalesce("env", F.create_map().cast("map<string,string>"))))
         silent = F.col("original").isNull()
         known = F.col("_s1").isNotNull() & F.col("_t1").isNotNull()
@@ -61,6 +68,8 @@ def causal_graph(deps: DataFrame, samples: DataFrame, seeds: DataFrame, max_dept
     nodes: trace_id, id, signal, cycle, value (x where unknown), depth, suspect_score, is_root, is_endpoint, rtl_missing.
     edges: trace_id, source, source_cycle, source_id, target, target_cycle, target_id, dep_id, type, score, reason.
     """
+    # every level joins with both, so neither is worked out again
+    deps, samples = slicer.table(deps), slicer.table(with_before(samples))
     nodes, edges = slicer.backward_slice(deps, seeds, max_depth, max_nodes, judge(deps, samples, max_depth, triggers))
     defined = deps.select(F.col("target").alias("signal"), F.lit(True).alias("_defined")).distinct()
     scores = edges.groupBy("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).agg((F.max("score") * 0.9).alias("_suspect"))

@@ -182,6 +182,23 @@ def parse_design(text: str) -> list[dict]:
     return rows
 
 
+def instances_of(text: str) -> list[tuple[str, str]]:
+    """(instance, module) of every instantiation by named ports."""
+    found = re.findall(r"\b([A-Za-z_]\w*)\s+([A-Za-z_]\w*)\s*\(\s*(?=\.)", strip_comments(sanitize(text)))
+    return [(instance, module) for module, instance in found if module not in KEYWORDS]
+
+
+def read_instances(spark: SparkSession, *paths: str) -> DataFrame:
+    """instance, module of many source files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x for text in batch.column("value").to_pylist() for x in instances_of(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.string()) for i in (0, 1)], ["instance", "module"])
+
+    return spark.read.text(list(paths), wholetext=True).mapInArrow(run, "instance string, module string")
+
+
 def read_rtl(spark: SparkSession, *paths: str) -> DataFrame:
     """Dependency rows of many source files, with the file of each."""
     from pyspark.sql import functions as F
