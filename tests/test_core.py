@@ -208,3 +208,15 @@ def test_whole_analysis(spark, tmp_path):
     assert text("causal_nodes").split("\n")[0] == report.NODE_HEADER and text("causal_edges").startswith(report.EDGE_HEADER) and "my_assert" in text("summary")
     asked = analyse.analyse(spark, [str(tmp_path / "one.vcd")], [str(tmp_path / "design.sv")], endpoint="Top.busy", cycle=0, clock="Top.clock", max_depth=1)
     assert {(r.source, r.target) for r in asked.edges.collect()} <= {("Top.unit.done", "Top.busy")} and asked.endpoints.first().cycle == 0
+
+
+def test_failed_windows(spark):
+    deps = spark.createDataFrame([(1, "T.prop", "T.a", "assertion", "a |-> ##[1:2] ack", ""), (2, "T.prop", "T.ack", "assertion", "a |-> ##[1:2] ack", "")], "dep_id long, target string, source string, dep_type string, expression string, condition string")
+    values = {"T.a": "101100", "T.ack": "000000"}
+    samples = spark.createDataFrame([("t", s, c, v) for s, many in values.items() for c, v in enumerate(many)], "trace_id string, signal string, cycle int, value string")
+    ends = spark.createDataFrame([("t", "T.prop", 5), ("u", "T.prop", 1)], "trace_id string, signal string, cycle int")
+    windows, late = build.failed_windows(deps, samples, ends)
+    assert {tuple(r) for r in windows.collect()} == {("t", "T.prop", 2, 1, 2, 5), ("u", "T.prop", None, 1, 2, 1)}
+    assert {tuple(r) for r in late.collect()} == {("t", "T.ack"), ("u", "T.ack")}
+    edges = sva.window_graph(windows, late, samples.limit(0))[1]
+    assert {(r.source, r.source_cycle, r.score) for r in edges.collect()} == {("T.ack", 3, 0.8), ("T.ack", 4, 0.8), ("T.prop", 2, 1.0)}

@@ -100,6 +100,29 @@ def causal_graph(deps: DataFrame, samples: DataFrame, seeds: DataFrame, max_dept
     return rows, named.select("trace_id", "source", "source_cycle", "source_id", "target", "target_cycle", "target_id", "dep_id", F.col("kind").alias("type"), "score", reason.alias("reason"))
 
 
+def failed_windows(deps: DataFrame, samples: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(windows, consequents) for sva.window_graph(), of the implications that failed at ends(trace_id, signal, cycle).
+
+    windows: trace_id, endpoint, trigger, least, most, fail. The trigger starts the latest run of cycles, up to the failure less the greatest delay,
+    in which the antecedent holds; null where there is none. Delays are null where the property has no window.
+    """
+    from ..functions.expr import evaluate_udf
+    from ..operators import names, sva
+
+    props = deps.where(F.col("expression").contains("|->")).groupBy(F.col("target").alias("signal")).agg(F.min("expression").alias("expression"))
+    least, most = sva.time_window(F.col("expression"))
+    failed = ends.select("trace_id", "signal", F.col("cycle").alias("fail")).join(props, "signal").withColumns({"least": least, "most": most})
+    last = (F.col("fail") - F.coalesce("most", F.lit(0))).cast("bigint")
+    cycles = failed.where(last >= 0).select("trace_id", "signal", F.substring_index("expression", "|->", 1).alias("before"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("cycle"))
+    sources = deps.select(F.col("target").alias("signal"), F.col("source").alias("_of")).distinct()
+    env = _valued(cycles.join(sources, "signal"), samples, "_of", F.col("cycle"), "_value").where("_value is not null")
+    env = env.groupBy("trace_id", "before", "cycle").agg(F.map_from_entries(F.collect_set(F.struct("_of", "_value"))).alias("env"))
+    truth = env.select("trace_id", "cycle", bits.truthy(evaluate_udf()("before", "env")).alias("holds"))
+    windows = failed.join(sva.trigger_cycle(truth), "trace_id", "left").select("trace_id", F.col("signal").alias("endpoint"), F.col("trigger_cycle").alias("trigger"), "least", "most", "fail")
+    late = failed.select("trace_id", "signal", sva.consequent_signals(F.col("expression")).alias("_late")).join(sources, "signal")
+    return windows, late.where(F.array_contains("_late", names.base(F.col("_of")))).select("trace_id", F.col("_of").alias("signal")).distinct()
+
+
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """trace_id, nodes, edges, roots, undetermined, max_depth."""
     n = nodes.groupBy("trace_id").agg(F.count("*").alias("nodes"), F.sum(F.col("is_root").cast("long")).alias("roots"), F.sum(F.col("rtl_missing").cast("long")).alias("undetermined"), F.max("depth").alias("max_depth"))
