@@ -206,10 +206,44 @@ def test_whole_analysis(spark, tmp_path):
     text = lambda part: "".join(open(f).read() for f in sorted(glob.glob(str(tmp_path / "out" / part / "trace_id=one" / "*.txt"))))
     assert len(json.loads(text("causal_graph_json"))["edges"]) == 5 and text("causal_graph_dot").startswith("digraph")
     assert text("causal_nodes").split("\n")[0] == report.NODE_HEADER and text("causal_edges").startswith(report.EDGE_HEADER) and "my_assert" in text("summary")
-    asked = analyse.analyse(spark, [str(tmp_path / "one.vcd")], [str(tmp_path / "design.sv")], endpoint="Top.busy", cycle=0, clock="Top.clock", max_depth=1)
+    asked = analyse.analyse(spark, [str(tmp_path / "one.vcd")], [str(tmp_path / "design.sv")], endpoint="Top.busy", cycle=0, clock="Top.clock", max_depth=0)
     assert {(r.source, r.target) for r in asked.edges.collect()} <= {("Top.unit.done", "Top.busy")} and asked.endpoints.first().cycle == 0
 
 
+def test_slice_rules(spark):
+    rows = [(1, "T.u.go", "T.go", "port_input"), (2, "T.u.go", "T.hasBeenReset", "combinational"), (3, "T.u.go", "T.x", "combinational"), (4, "T.x", "T.y", "combinational"), (5, "T.y", "T.z", "combinational")]
+    deps = spark.createDataFrame(rows, "dep_id long, target string, source string, dep_type string")
+    seeds = spark.createDataFrame([("t", "T.u.go", 3)], "trace_id string, signal string, cycle int")
+    # equal base names and resets are skipped in any scope; a node at the greatest depth is still expanded
+    nodes, edges = slicer.backward_slice(deps, seeds, max_depth=1)
+    assert {(r.signal, r.depth) for r in nodes.collect()} == {("T.u.go", 0), ("T.x", 1), ("T.y", 2)} and edges.count() == 2
+    later = spark.createDataFrame([("t", "T.y", 2)], "trace_id string, signal string, cycle int")
+    nodes, edges = slicer.backward_slice(deps, seeds, later=later, closed=later)
+    assert {(r.signal, r.cycle, r.depth) for r in nodes.collect()} == {("T.u.go", 3, 0), ("T.y", 2, 1), ("T.z", 2, 2)} and edges.count() == 1
+
+
+def test_window_branch(spark):
+    said = "a |-> ##[1:2] ack"
+    deps = spark.createDataFrame([(1, "T.prop", "T.a", "assertion", said, "@(posedge clock)"), (2, "T.prop", "T.ack", "assertion", said, "@(posedge clock)"), (3, "T.ack", "T.gate", "sequential", "gate & 1'b1", "")],
+                                 "dep_id long, target string, source string, dep_type string, expression string, condition string")
+    values = {"T.a": "101100", "T.ack": "000000", "T.gate": "000000", "T.prop": "111110"}
+    samples = spark.createDataFrame([(t, s, c, v) for t in "tu" for s, many in values.items() for c, v in enumerate(many if t == "t" or s != "T.a" else "000000")], "trace_id string, signal string, cycle int, value string")
+    ends = spark.createDataFrame([("t", "T.prop", 5), ("u", "T.prop", 5)], "trace_id string, signal string, cycle int")
+    nodes, edges, windows = build.assertion_graph(deps, samples, ends)
+    got = {(r.source, r.source_cycle, r.target, r.target_cycle): (r.type, r.score) for r in edges.where("trace_id = 't'").collect()}
+    # window [3, 4] and the trigger at 2 lead to the failure; the trigger's causes have their own edges, the failing cycle itself isn't sliced
+    late = {("T.ack", 3, "T.prop", 5): ("state", 0.8), ("T.ack", 4, "T.prop", 5): ("state", 0.8), ("T.prop", 2, "T.prop", 5): ("conditional", 1.0)}
+    assert late.items() <= got.items() and not [k for k in got if k[2:] == ("T.prop", 5) and k not in late]
+    assert {("T.gate", 2, "T.ack", 3), ("T.gate", 3, "T.ack", 4), ("T.a", 2, "T.prop", 2)} <= got.keys()
+    told = {(r.signal, r.cycle): r for r in nodes.where("trace_id = 't'").collect()}
+    assert told["T.prop", 5].is_endpoint and told["T.ack", 3].suspect_score == 0.0 and told["T.ack", 3].depth == 1 and told["T.gate", 2].is_root and not told["T.prop", 2].is_root
+    # no trigger: from the endpoint as ever
+    assert {(r.source, r.source_cycle) for r in edges.where("trace_id = 'u' and target = 'T.prop'").collect()} == {("T.a", 5), ("T.ack", 5)}
+    assert {(r.trace_id, r.trigger) for r in windows.collect()} == {("t", 2), ("u", None)}
+    guess = spark.createDataFrame([("...", ["u_done", "clk"]), ("a |-> ##3 ...", ["STATE", "b"]), ("a |-> ack", ["done"])], "s string, n array<string>")
+    assert [r.c for r in guess.select(sva.consequent_signals(F.col("s"), F.col("n")).alias("c")).collect()] == [["u_done"], ["STATE"], ["ack"]]
+
+
 def test_failed_windows(spark):
     deps = spark.createDataFrame([(1, "T.prop", "T.a", "assertion", "a |-> ##[1:2] ack", ""), (2, "T.prop", "T.ack", "assertion", "a |-> ##[1:2] ack", "")], "dep_id long, target string, source string, dep_type string, expression string, condition string")
     values = {"T.a": "101100", "T.ack": "000000"}

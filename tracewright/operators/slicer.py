@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import names
+
 SAME_CYCLE = ("combinational", "assertion", "port_input", "port_output", "wire")
 IGNORED = ("hasBeenReset", "hasBeenResetReg", "reset")
 
@@ -36,18 +38,28 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, judge=None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) reachable backwards from seeds(trace_id, signal, cycle).
+def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, judge=None, later: DataFrame | None = None, closed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) reachable backwards from seeds(trace_id, signal, cycle) in up to max_depth + 1 steps.
 
     nodes: trace_id, signal, cycle, depth; edges: trace_id, source, source_cycle, target, target_cycle, dep_type,
     the lowest dep_id for each pair. max_nodes keeps the first of each trace by depth, cycle and signal.
     judge(step, depth) may add score and kind columns to a level's candidate edges and drop those it rejects; the lowest
     dep_id that it accepts then stands for a pair, and edges carry score, kind and dep_id too.
+    later(trace_id, signal, cycle): more seeds, at depth 1; closed(trace_id): traces whose seeds at depth 0 aren't sliced.
+    A dependency of a name on its own base name is none, whatever the scopes, nor is one on a reset.
     """
-    known = deps.where(F.col("source") != F.col("target")).where(~F.col("source").cast("string").isin(*IGNORED))
-    nodes = table(seeds.select("trace_id", "signal", "cycle").distinct().withColumn("depth", F.lit(0)))
-    frontier, edges = nodes, None
-    for depth in range(max_depth):
+    source, target = (names.base(F.col(c).cast("string")) for c in ("source", "target"))
+    known = deps.where((source != target) & ~source.isin(*IGNORED))
+    key = ["trace_id", "signal", "cycle"]
+    nodes = seeds.select(*key).distinct().withColumn("depth", F.lit(0))
+    if later is not None:
+        nodes = nodes.union(later.select(*key).distinct().join(seeds.select(*key), key, "left_anti").withColumn("depth", F.lit(1)))
+    nodes = table(nodes)
+    waiting = nodes.where("depth = 1")
+    frontier, edges = nodes.where("depth = 0"), None
+    if closed is not None:
+        frontier = frontier.join(closed.select("trace_id"), "trace_id", "left_anti")
+    for depth in range(max_depth + 1):
         step = frontier.select("trace_id", F.col("signal").alias("target"), F.col("cycle").alias("target_cycle")).join(known, "target")
         step = step.withColumn("source_cycle", parent_cycle(F.col("dep_type"), F.col("target_cycle")))
         pair = ["trace_id", "source", "source_cycle", "target", "target_cycle"]
@@ -59,10 +71,11 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
             found = table(found.select(*pair, *(F.col(f"first.{c}").alias(c) for c in told)))
         edges = found if edges is None else edges.union(found)
         fresh = found.select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct()
-        frontier = table(fresh.join(nodes, ["trace_id", "signal", "cycle"], "left_anti").withColumn("depth", F.lit(depth + 1)))
+        found_now = table(fresh.join(nodes, key, "left_anti").withColumn("depth", F.lit(depth + 1)))
+        nodes = nodes.unionByName(found_now)
+        frontier = found_now.unionByName(waiting) if depth == 0 and later is not None else found_now
         if frontier.isEmpty():
             break
-        nodes = nodes.unionByName(frontier)
     if max_nodes is not None:
         w = Window.partitionBy("trace_id").orderBy("depth", "cycle", "signal")
         nodes = nodes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_nodes).drop("_n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts of names that tell a consequent where the property's text has none.
+LATE_WORDS = ("eating", "done", "ready", "valid", "complete", "finish", "state")
 WORDS = ("if", "else", "and", "or", "not", "h", "b", "d", "o")
 
 
@@ -15,11 +17,19 @@ def time_window(text: Column) -> tuple[Column, Column]:
     return F.coalesce(pick(span, 1), pick(one, 1)), F.coalesce(pick(span, 2), pick(one, 1))
 
 
-def consequent_signals(text: Column) -> Column:
-    """Names after |->, without keywords and literals, in order."""
+def consequent_signals(text: Column, sources: Column | None = None) -> Column:
+    """Names after |->, without keywords and literals, in order.
+
+    sources: array of names the property depends on. Where there is no |-> or nothing (or ...) after it, those that hold one of LATE_WORDS.
+    """
     after = F.when(F.instr(text, "|->") > 0, F.substring_index(text, "|->", -1))
     plain = F.regexp_replace(after, r"\d*'[bhdo][0-9a-fA-F_xXzZ]+", " ")
-    return F.array_except(F.regexp_extract_all(plain, F.lit(r"[A-Za-z_]\w*"), F.lit(0)), F.array(*(F.lit(w) for w in WORDS)))
+    told = F.array_except(F.regexp_extract_all(plain, F.lit(r"[A-Za-z_]\w*"), F.lit(0)), F.array(*(F.lit(w) for w in WORDS)))
+    if sources is None:
+        return told
+    rest = F.trim(F.regexp_replace(after, r"##(\[\d+:\d+\]|\d+)\s*", ""))
+    guessed = F.filter(sources, lambda s: F.lower(s).rlike("|".join(LATE_WORDS)))
+    return F.when(rest.isNull() | rest.isin("", "..."), guessed).otherwise(told)
 
 
 def trigger_cycle(truth: DataFrame) -> DataFrame:
@@ -64,7 +74,9 @@ def window_graph(windows: DataFrame, consequents: DataFrame, changes: DataFrame)
     bounds = known.select("trace_id", (F.col("trigger") + F.col("least")).cast("bigint").alias("first"), F.least(F.col("trigger") + F.col("most"), F.col("fail")).cast("bigint").alias("last"))
     inside = interesting_cycles(changes, bounds, signals=consequents)
     end = [F.col("endpoint").alias("target"), F.col("fail").cast("bigint").alias("target_cycle")]
-    late = inside.join(known.select("trace_id", *end), "trace_id").select("trace_id", F.col("signal").alias("source"), F.col("cycle").cast("bigint").alias("source_cycle"), "target", "target_cycle", F.lit("state").alias("type"), F.lit(0.8).alias("score"))
-    start = known.where("trigger < fail").select("trace_id", F.col("endpoint").alias("source"), F.col("trigger").cast("bigint").alias("source_cycle"), *end, F.lit("conditional").alias("type"), F.lit(1.0).alias("score"))
+    stayed = F.format_string("%s@%d stayed false in window [%d:%d]", "signal", "cycle", "least", "most")
+    late = inside.join(known.select("trace_id", "least", "most", *end), "trace_id").select("trace_id", F.col("signal").alias("source"), F.col("cycle").cast("bigint").alias("source_cycle"), "target", "target_cycle", F.lit("state").alias("type"), F.lit(0.8).alias("score"), stayed.alias("reason"))
+    fired = F.format_string("triggered at cycle %d, failed at cycle %d", "trigger", "fail")
+    start = known.where("trigger < fail").select("trace_id", F.col("endpoint").alias("source"), F.col("trigger").cast("bigint").alias("source_cycle"), *end, F.lit("conditional").alias("type"), F.lit(1.0).alias("score"), fired.alias("reason"))
     edges = late.union(start)
     return edges.select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct(), edges

@@ -18,6 +18,7 @@ class Graph:
     edges: DataFrame
     stats: DataFrame
     endpoints: DataFrame
+    windows: DataFrame
 
 
 def analyse(
@@ -50,8 +51,8 @@ def analyse(
     deps = names.bind(known, rtl.read_instances(spark, *sources), signals.select("signal"))
     # an id that a rerun finds again: by place in the sources
     deps = deps.withColumn("dep_id", F.struct("file", "line", "target", "source", "expression"))
-    nodes, found = build.causal_graph(deps, trace.cycle_values(changes, edges), ends, max_depth, max_nodes)
-    return Graph(nodes, found, build.statistics(nodes, found), ends)
+    nodes, found, windows = build.assertion_graph(deps, trace.cycle_values(changes, edges), ends, max_depth, max_nodes)
+    return Graph(nodes, found, build.statistics(nodes, found), ends, windows)
 
 
 def _text(lines: DataFrame, path: str) -> None:
@@ -69,9 +70,11 @@ def write(graph: Graph, folder: str) -> None:
         return lines.select("trace_id", F.lit(1).alias("part"), "line").union(heads.select("trace_id", F.lit(0), F.lit(head)))
 
     about = graph.endpoints.select("trace_id", F.lit(0).alias("part"), F.format_string("# `%s` at cycle %d", "signal", "cycle").alias("line"))
+    window = F.when(F.col("least").isNotNull(), F.format_string(", window [%d:%d]", "least", "most")).otherwise("")
+    fired = graph.windows.where("trigger is not null").select("trace_id", F.lit(1).alias("part"), F.concat(F.format_string("Triggered at cycle %d", "trigger"), window).alias("line"))
     told = report.summary_lines(nodes, edges, graph.stats).select("trace_id", (F.col("part") * 100 + F.col("place")).alias("part"), "line")
     _text(report.json_documents(nodes, edges).select("trace_id", F.lit(0).alias("part"), F.col("document").alias("line")), f"{folder}/causal_graph_json")
     _text(report.graph_lines(nodes, edges), f"{folder}/causal_graph_dot")
     _text(headed(report.node_lines(nodes), report.NODE_HEADER), f"{folder}/causal_nodes")
     _text(headed(report.edge_lines(edges), report.EDGE_HEADER), f"{folder}/causal_edges")
-    _text(about.union(told), f"{folder}/summary")
+    _text(about.union(fired).union(told), f"{folder}/summary")

@@ -61,18 +61,27 @@ def judge(deps: DataFrame, samples: DataFrame, max_depth: int, triggers: DataFra
     return told
 
 
-def causal_graph(deps: DataFrame, samples: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, triggers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def causal_graph(deps: DataFrame, samples: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, triggers: DataFrame | None = None, late: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the causes of seeds(trace_id, signal, cycle).
 
     deps: dep_id, target, source, dep_type, expression, condition; samples: trace_id, signal, cycle, value.
     nodes: trace_id, id, signal, cycle, value (x where unknown), depth, suspect_score, is_root, is_endpoint, rtl_missing.
     edges: trace_id, source, source_cycle, source_id, target, target_cycle, target_id, dep_id, type, score, reason.
+    late: (seeds, edges) of sva.window_graph(). Its traces are sliced from those seeds, not from their endpoints; its edges have no dep_id
+    and don't count in suspect_score.
     """
     # every level joins with both, so neither is worked out again
     deps, samples = slicer.table(deps), slicer.table(with_before(samples))
-    nodes, edges = slicer.backward_slice(deps, seeds, max_depth, max_nodes, judge(deps, samples, max_depth, triggers))
+    more, said = late or (None, None)
+    closed = None if said is None else said.select("trace_id").distinct()
+    nodes, edges = slicer.backward_slice(deps, seeds, max_depth, max_nodes, judge(deps, samples, max_depth, triggers), more, closed)
     defined = deps.select(F.col("target").alias("signal"), F.lit(True).alias("_defined")).distinct()
     scores = edges.groupBy("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).agg((F.max("score") * 0.9).alias("_suspect"))
+    reason = F.concat_ws(" ", F.col("source"), F.lit("affects"), F.col("target"), F.lit("via"), F.col("dep_type"))
+    edges = edges.withColumn("reason", reason)
+    if said is not None:
+        none = F.lit(None).cast(edges.schema["dep_id"].dataType)
+        edges = edges.unionByName(said.select(*PAIR, none.alias("dep_id"), F.lit("assertion").alias("dep_type"), "score", F.col("type").alias("kind"), "reason"))
     led = edges.select("trace_id", F.col("target").alias("signal"), F.col("target_cycle").alias("cycle"), F.lit(True).alias("_led")).distinct()
     rows = _valued(nodes, samples, "signal", F.col("cycle"), "value").withColumn("value", F.coalesce("value", F.lit("x")))
     key = ["trace_id", "signal", "cycle"]
@@ -96,8 +105,25 @@ def causal_graph(deps: DataFrame, samples: DataFrame, seeds: DataFrame, max_dept
     named = edges
     for end in ("source", "target"):
         named = named.join(ids.select("trace_id", F.col("signal").alias(end), F.col("cycle").alias(f"{end}_cycle"), F.col("id").alias(f"{end}_id")), ["trace_id", end, f"{end}_cycle"])
-    reason = F.concat_ws(" ", F.col("source"), F.lit("affects"), F.col("target"), F.lit("via"), F.col("dep_type"))
-    return rows, named.select("trace_id", "source", "source_cycle", "source_id", "target", "target_cycle", "target_id", "dep_id", F.col("kind").alias("type"), "score", reason.alias("reason"))
+    return rows, named.select("trace_id", "source", "source_cycle", "source_id", "target", "target_cycle", "target_id", "dep_id", F.col("kind").alias("type"), "score", "reason")
+
+
+def assertion_graph(deps: DataFrame, samples: DataFrame, ends: DataFrame, max_depth: int = 20, max_nodes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, windows) of the failures ends(trace_id, signal, cycle), one in a trace.
+
+    Implications that have a delay, a trigger and consequents are sliced from their window and trigger, the rest from the endpoint.
+    windows: trace_id, endpoint, trigger, least, most, fail of every implication.
+    """
+    from ..operators import sva, trace
+
+    deps, samples = slicer.table(deps), slicer.table(samples)
+    windows, consequents = (slicer.table(x) for x in failed_windows(deps, samples, ends))
+    taken = windows.where("least is not null and trigger is not null").join(consequents, "trace_id", "left_semi")
+    moved = trace.value_changes(samples.join(consequents, ["trace_id", "signal"], "left_semi"))
+    late = tuple(slicer.table(x) for x in sva.window_graph(taken, consequents, moved))
+    triggers = windows.where("trigger is not null").select("trace_id", F.col("trigger").alias("trigger_cycle"))
+    nodes, edges = causal_graph(deps, samples, ends, max_depth, max_nodes, triggers, late)
+    return nodes, edges, windows
 
 
 def failed_windows(deps: DataFrame, samples: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,9 +143,11 @@ def failed_windows(deps: DataFrame, samples: DataFrame, ends: DataFrame) -> tupl
     sources = deps.select(F.col("target").alias("signal"), F.col("source").alias("_of")).distinct()
     env = _valued(cycles.join(sources, "signal"), samples, "_of", F.col("cycle"), "_value").where("_value is not null")
     env = env.groupBy("trace_id", "before", "cycle").agg(F.map_from_entries(F.collect_set(F.struct("_of", "_value"))).alias("env"))
+    env = cycles.join(env, ["trace_id", "before", "cycle"], "left")  # a cycle without values ends a run too
     truth = env.select("trace_id", "cycle", bits.truthy(evaluate_udf()("before", "env")).alias("holds"))
     windows = failed.join(sva.trigger_cycle(truth), "trace_id", "left").select("trace_id", F.col("signal").alias("endpoint"), F.col("trigger_cycle").alias("trigger"), "least", "most", "fail")
-    late = failed.select("trace_id", "signal", sva.consequent_signals(F.col("expression")).alias("_late")).join(sources, "signal")
+    near = sources.groupBy("signal").agg(F.collect_set(names.base(F.col("_of"))).alias("_near"))
+    late = failed.join(near, "signal").select("trace_id", "signal", sva.consequent_signals(F.col("expression"), F.col("_near")).alias("_late")).join(sources, "signal")
     return windows, late.where(F.array_contains("_late", names.base(F.col("_of")))).select("trace_id", F.col("_of").alias("signal")).distinct()
 
 
