@@ -138,6 +138,43 @@ def test_design():
     assert rtl.signals_of("~_controllerA_io_ack | _clientA_io_req") == ["_controllerA_io_ack", "_clientA_io_req"]
 
 
+ARMS = """module m(input clock, input [7:0] a, b, input en, output reg [3:0] y);
+  reg [7:0] q, r;
+
+  wire w = a
+    & b;
+  always @(posedge clock)
+    if (en) q <= a;
+    else if (w) q <= b;
+    else q <= 8'h0;
+  p1:
+    assert property (@(posedge clock) disable iff (~hasBeenReset) a |-> y);
+  assert property (en);
+endmodule
+"""
+
+
+def test_design_details(spark):
+    said = {(r["source"], r["target"], r["condition"], r["line"], r["line_end"]) for r in rtl.parse_design(ARMS)}
+    # a further arm doesn't carry the negation of the first; the last one negates the first
+    assert {("a", "q", "en", 7, 7), ("b", "q", "w", 8, 8), ("en", "q", "!(en)", 9, 9), ("a", "w", "", 4, 5)} <= said
+    assert next(r["snippet"] for r in rtl.parse_design(ARMS) if r["target"] == "w") == "  wire w = a\n    & b;"
+    assert {(r["name"], r["signal_type"], r["width"]) for r in rtl.signals_in(ARMS)} == {("clock", "in", 1), ("a", "in", 8), ("b", "in", 8), ("en", "in", 1), ("y", "out", 4), ("q", "reg", 8), ("r", "reg", 8), ("w", "reg", 1)}
+    assert [(r["label"], r["disable"], r["line"]) for r in rtl.assertions_in(ARMS)] == [("p1", "~hasBeenReset", 10), ("assert_1", "", 12)] and rtl.labels_of(ARMS) == ["p1"]
+    texts = spark.createDataFrame([("good.sv", ARMS), ("bad.sv", "module m(input a); p: assert property ((a; endmodule"), ("empty.sv", ""), ("none.sv", None)], "path string, value string")
+    assert {r.file for r in rtl.parse_dependencies(texts).select("file").distinct().collect()} == {"good.sv"}
+    wanted = spark.createDataFrame([("m", "q"), ("m", "gone")], "module string, signal string")
+    told = {r.signal: r for r in names.rtl_context(wanted, rtl.parse_signals(texts), rtl.parse_dependencies(texts)).collect()}
+    assert told["q"].found and told["q"].definition.width == 8 and [r.type for r in told["q"].rtl_refs][:2] == ["definition", "sequential"] and not told["gone"].found and told["gone"].rtl_refs == []
+
+
+def test_precedence():
+    env = {"a": "01", "b": "10", "z": "00"}
+    # the default table binds | looser than &&, the language standard the other way round
+    assert evaluate("a | a && z", env) == "01" and evaluate("a | a && z", env, precedence="ieee") == "0"
+    assert evaluate("a & b ^ b", env) == "00" and evaluate("a & b ^ b", env, precedence="ieee") == "10"
+
+
 def test_vcd(spark, tmp_path):
     path = tmp_path / "one.vcd"
     path.write_text("$scope module top $end\n$var wire 1 ! clk $end\n$var wire 4 # d [3:0] $end\n$upscope $end\n$enddefinitions $end\n#0\n0!\nb1010 #\n#5\n1!\n")

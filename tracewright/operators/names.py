@@ -57,6 +57,24 @@ def owning_module(scopes: DataFrame, modules: DataFrame, instances: DataFrame) -
     return scopes.join(best, "scope", "left").withColumn("owner", F.coalesce("owner", F.element_at(F.split("scope", r"\."), 1)))
 
 
+def rtl_context(wanted: DataFrame, signals: DataFrame, deps: DataFrame) -> DataFrame:
+    """For each of wanted(module, signal): found, definition, dependencies and rtl_refs (file, line, type), the definition's first.
+
+    signals: module, name, signal_type, width, file, line; deps: module, target, source, dep_type, file, line. Only what is asked is gathered.
+    """
+    asked = wanted.select("module", "signal").distinct()
+    key = ["module", "signal"]
+    place = F.struct("file", "line", F.lit("definition").alias("type"))
+    known = signals.withColumnRenamed("name", "signal").join(asked, key, "left_semi").groupBy(*key).agg(F.min(F.struct("signal_type", "width", "file", "line")).alias("definition"), F.min(place).alias("_first"))
+    few = deps.withColumnRenamed("target", "signal").join(asked, key, "left_semi")
+    told = few.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("line", "source", "dep_type", "file"))).alias("dependencies"))
+    rows = asked.join(known, key, "left").join(told, key, "left")
+    refs = F.transform("dependencies", lambda d: F.struct(d["file"].alias("file"), d["line"].alias("line"), d["dep_type"].alias("type")))
+    first = F.when(F.col("_first").isNotNull(), F.array("_first"))
+    both = F.concat(F.coalesce(first, F.array().cast("array<struct<file:string,line:int,type:string>>")), F.coalesce(refs, F.array().cast("array<struct<file:string,line:int,type:string>>")))
+    return rows.select(*key, F.col("definition").isNotNull().alias("found"), "definition", "dependencies", both.alias("rtl_refs"))
+
+
 def bind(deps: DataFrame, instances: DataFrame, signals: DataFrame) -> DataFrame:
     """deps of a design for the signals of traces: target and source are full names of signals(signal).
 

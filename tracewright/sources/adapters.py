@@ -50,3 +50,29 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cycle_values(trace_id, signal, cycle, value): quantities of line items, a signal for each part and a cycle for each line."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_linenumber").agg(F.max(F.col("l_quantity").cast("bigint")).alias("q"))
     return lines.select(F.lit("events").alias("trace_id"), F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("signal"), (F.col("l_linenumber") - 1).cast("int").alias("cycle"), F.lpad(F.bin(F.col("q") % 16), 4, "0").alias("value"))
+
+
+def design_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, value): a source text of two modules for each part, with its size as a width and a delay."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    lines = (
+        ("module c", k, "(input i, output o);"),
+        ("  assign o = ~i;",),
+        ("endmodule",),
+        ("module m", k, "(input clock, input [", n, ":0] a, b, input en, output reg [3:0] y);"),
+        ("  reg [7:0] q;",),
+        ("  wire z, w;",),
+        ("  wire v = a + ", n, "'h1;"),
+        ("  assign w = q ^ v;",),
+        ("  always @(posedge clock) begin",),
+        ("    if (en) q <= a;",),
+        ("    else if (w) q <= y;",),
+        ("    else q <= 8'h0;",),
+        ("  end",),
+        ("  c", k, " u (.i(b), .o(z));"),
+        ("  p", k, ":"),
+        ("    assert property (@(posedge clock) disable iff (~hasBeenReset) a |-> ##[1:", n, "] y);"),
+        ("endmodule",),
+    )
+    text = F.concat_ws("\n", *(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in line)) for line in lines))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("m"), k, F.lit(".sv")).alias("path"), text.alias("value"))

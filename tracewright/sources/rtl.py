@@ -7,6 +7,7 @@ declarations, assigns, always blocks with if and case, instances and assertions.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 NAME = re.compile(r"(?<![\w'$.])[A-Za-z_]\w*")
 KEYWORDS = frozenset("if else begin end case endcase default posedge negedge and or not assign always property assert disable iff signed unsigned logic wire reg input output inout module endmodule".split())
 IGNORED = ("hasBeenReset", "hasBeenResetReg", "reset")
-DEPENDENCY = pa.schema([(n, pa.string()) for n in ("module", "source", "target", "dep_type", "expression", "condition")] + [("line", pa.int32())])
+SNIPPET_LINES = 5
 
 
 def sanitize(text: str) -> str:
@@ -101,8 +102,12 @@ class Statements:
         elif self.word("if"):
             test = self.bracket()
             self.one(both(condition, test))
-            if self.word("else"):
-                self.one(both(condition, f"!({test})"))
+            while self.word("else"):
+                if self.word("if"):  # a further arm doesn't carry the negation of those before it
+                    self.one(both(condition, self.bracket()))
+                else:
+                    self.one(both(condition, f"!({test})"))
+                    break
         elif self.word("case[xz]?"):
             of = self.bracket()
             while not self.word("endcase"):
@@ -120,7 +125,7 @@ class Statements:
             self.at = end + 1
             m = re.match(r"\s*([A-Za-z_][\w.]*)\s*(?:\[[^=]*\])?\s*(?:<=|=)(?!=)(.*)", part, re.DOTALL)
             if m:
-                self.emit(m[1], m[2], self.kind, condition, self.base + start)
+                self.emit(m[1], m[2], self.kind, condition, self.base + start, self.base + end)
 
 
 def both(condition: str, test: str) -> str:
@@ -128,9 +133,16 @@ def both(condition: str, test: str) -> str:
 
 
 def parse_design(text: str) -> list[dict]:
-    """Dependency rows of all modules of one source."""
+    """Dependency rows of all modules of one source, each with up to SNIPPET_LINES lines of it."""
+    lines = sanitize(text).split("\n")
     text = strip_comments(sanitize(text))
     rows: list[dict] = []
+
+    def add(module, source, target, kind, expression, condition, start, end):
+        first, last = (text.count("\n", 0, at) + 1 for at in (start, end))
+        snippet = "\n".join(lines[first - 1 : min(last, first - 1 + SNIPPET_LINES)])
+        rows.append({"module": module, "source": source, "target": target, "dep_type": kind, "expression": expression, "condition": condition, "line": first, "line_end": last, "snippet": snippet})
+
     modules = list(re.finditer(r"\bmodule\s+(\w+)(.*?)\bendmodule\b", text, re.DOTALL))
     ports: dict[str, dict[str, str]] = {}
     for m in modules:
@@ -145,25 +157,26 @@ def parse_design(text: str) -> list[dict]:
     for m in modules:
         module, body, offset = m[1], m[2], m.start(2)
 
-        def emit(target, expression, kind, condition, at, module=module, offset=offset):
+        def emit(target, expression, kind, condition, at, end, module=module, offset=offset):
             expression = " ".join(expression.split())
-            line = text.count("\n", 0, offset + at) + 1
             direct = [s for s in signals_of(expression) if s != target]
             for s in direct:
-                rows.append({"module": module, "source": s, "target": target, "dep_type": kind, "expression": expression, "condition": condition, "line": line})
+                add(module, s, target, kind, expression, condition, offset + at, offset + end)
             for s in signals_of(condition):
                 if s != target and s not in direct and s != "default":
-                    rows.append({"module": module, "source": s, "target": target, "dep_type": kind, "expression": condition, "condition": condition, "line": line})
+                    add(module, s, target, kind, condition, condition, offset + at, offset + end)
 
         for label, inner, at in assertions(body):
             clock, _, said = assertion_parts(inner)
             said = " ".join(said.split())
-            line = text.count("\n", 0, offset + at) + 1
-            rows += [{"module": module, "source": s, "target": label, "dep_type": "assertion", "expression": said, "condition": clock, "line": line} for s in signals_of(said) if s not in IGNORED]
+            end = closing(body, body.index("(", body.index("property", at)))
+            for s in signals_of(said):
+                if s not in IGNORED:
+                    add(module, s, label, "assertion", said, clock, offset + at, offset + end)
         for a in re.finditer(r"\bassign\s+([\w.]+)\s*(?:\[[^=]*\])?\s*=(.*?);", body, re.DOTALL):
-            emit(a[1], a[2], "combinational", "", a.start())
+            emit(a[1], a[2], "combinational", "", a.start(), a.end())
         for a in re.finditer(r"^\s*(?:wire|logic|reg)\s+(?:signed\s+)?(?:\[[^\]]*\]\s*)*(\w+)\s*=(.*?);", body, re.DOTALL | re.MULTILINE):
-            emit(a[1], a[2], "combinational", "", a.start())
+            emit(a[1], a[2], "combinational", "", a.start(1), a.end())
         for a in re.finditer(r"\balways(?:_ff|_comb|_latch)?\b\s*(@\s*(?:\*|\([^)]*\)))?", body):
             kind = "sequential" if re.search(r"posedge|negedge", a[1] or "") else "combinational"
             Statements(body[a.end() :], a.end(), emit, kind).one("")
@@ -174,11 +187,10 @@ def parse_design(text: str) -> list[dict]:
                     said = inside[p.end() + 1 : closing(inside, p.end())]
                     way = ports[a[1]].get(p[1], "inout")
                     for s in signals_of(said):
-                        line = text.count("\n", 0, offset + a.start()) + 1
                         if way in ("input", "inout"):
-                            rows.append({"module": module, "source": s, "target": f"{a[2]}.{p[1]}", "dep_type": "port_input", "expression": said.strip(), "condition": "", "line": line})
+                            add(module, s, f"{a[2]}.{p[1]}", "port_input", said.strip(), "", offset + a.start(), offset + a.start())
                         if way in ("output", "inout"):
-                            rows.append({"module": module, "source": f"{a[2]}.{p[1]}", "target": s, "dep_type": "port_output", "expression": said.strip(), "condition": "", "line": line})
+                            add(module, f"{a[2]}.{p[1]}", s, "port_output", said.strip(), "", offset + a.start(), offset + a.start())
     return rows
 
 
@@ -188,27 +200,100 @@ def instances_of(text: str) -> list[tuple[str, str]]:
     return [(instance, module) for module, instance in found if module not in KEYWORDS]
 
 
-def read_instances(spark: SparkSession, *paths: str) -> DataFrame:
-    """instance, module of many source files."""
+LABEL = re.compile(r"^\s*([a-zA-Z_$][\w$]*)\s*:\s*assert\s+property\b", re.MULTILINE)
+RANGE = re.compile(r"\[\s*(\d+)\s*:\s*(\d+)\s*\]")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [x for text in batch.column("value").to_pylist() for x in instances_of(text)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.string()) for i in (0, 1)], ["instance", "module"])
 
-    return spark.read.text(list(paths), wholetext=True).mapInArrow(run, "instance string, module string")
+def labels_of(text: str) -> list[str]:
+    """Labels of assertions, on the same line or the line before; those without a label are left out."""
+    return LABEL.findall(text)
 
 
-def read_rtl(spark: SparkSession, *paths: str) -> DataFrame:
-    """Dependency rows of many source files, with the file of each."""
+def width(text: str) -> int:
+    """Bits of a numeric range; 1 without one."""
+    m = RANGE.search(text)
+    return abs(int(m[1]) - int(m[2])) + 1 if m else 1
+
+
+def signals_in(text: str) -> list[dict]:
+    """(module, name, signal_type, width, line) of ports and inner declarations; the latter are all reg."""
+    text = strip_comments(sanitize(text))
+    rows: list[dict] = []
+    for m in re.finditer(r"\bmodule\s+(\w+)(.*?)\bendmodule\b", text, re.DOTALL):
+        def add(name, kind, bits, at, module=m[1], offset=m.start(2)):
+            rows.append({"module": module, "name": name, "signal_type": kind, "width": bits, "line": text.count("\n", 0, offset + at) + 1})
+
+        head = m[2].find(";")
+        way, bits = "", 1
+        for item in re.finditer(r"[^,()]+", m[2][:head]):
+            if d := re.search(r"\b(input|output|inout)\b", item[0]):
+                way, bits = d[1], width(item[0])
+            if way and (n := list(re.finditer(r"[A-Za-z_]\w*", RANGE.sub(lambda r: " " * len(r[0]), item[0])))):
+                add(n[-1][0], {"input": "in", "output": "out"}.get(way, way), bits, item.start() + n[-1].start())
+        for d in re.finditer(r"\b(?:wire|logic|reg)\b\s*(?:signed\b)?\s*((?:\[[^\]]*\]\s*)*)(\w[^;]*);", m[2][head:]):
+            names = [d[2].split("=")[0]] if "=" in d[2] else d[2].split(",")
+            for n in names:
+                if found := re.match(r"\s*([A-Za-z_]\w*)", n):
+                    add(found[1], "reg", width(d[1]), head + d.start(2))
+    return rows
+
+
+def assertions_in(text: str) -> list[dict]:
+    """(label, clock, disable, body, line) of every assertion, with whitespace squeezed."""
+    text = strip_comments(sanitize(text))
+    return [dict(zip(("label", "clock", "disable", "body", "line"), (label, *(" ".join(x.split()) for x in assertion_parts(inner)), text.count("\n", 0, at) + 1), strict=True)) for label, inner, at in assertions(text)]
+
+
+def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, value (the whole text) of many source files."""
     from pyspark.sql import functions as F
 
+    return spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), "value")
+
+
+def _parsed(texts: DataFrame, parse, columns: str) -> DataFrame:
+    """The rows that parse(text) gives for texts(path, value), with file. A text that can't be parsed gives a warning and no rows."""
+    fields = [f.split() for f in columns.split(", ")]
+    made = pa.schema([(n, {"int": pa.int32(), "string": pa.string()}[t]) for n, t in fields] + [("file", pa.string())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                rows = parse_design(text)
-                made = pa.RecordBatch.from_pylist(rows, DEPENDENCY)
-                yield pa.RecordBatch.from_arrays([*made.columns, pa.array([path] * len(rows), pa.string())], [*DEPENDENCY.names, "file"])
+                try:
+                    rows = parse(text or "")
+                except (ValueError, IndexError, RecursionError) as wrong:
+                    warnings.warn(f"{path} can't be parsed: {wrong}", stacklevel=1)
+                    continue
+                yield pa.RecordBatch.from_pylist([{**r, "file": path} for r in rows], made)
+
+    return texts.select("path", "value").mapInArrow(run, f"{columns}, file string")
+
+
+def parse_signals(texts: DataFrame) -> DataFrame:
+    return _parsed(texts, signals_in, "module string, name string, signal_type string, width int, line int")
+
+
+def parse_assertions(texts: DataFrame) -> DataFrame:
+    return _parsed(texts, assertions_in, "label string, clock string, disable string, body string, line int")
+
+
+def parse_labels(texts: DataFrame) -> DataFrame:
+    return _parsed(texts, lambda text: [{"label": x} for x in labels_of(text)], "label string")
+
+
+def parse_instances(texts: DataFrame) -> DataFrame:
+    return _parsed(texts, lambda text: [{"instance": i, "module": m} for i, m in instances_of(text)], "instance string, module string")
 
-    files = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return files.mapInArrow(run, "module string, source string, target string, dep_type string, expression string, condition string, line int, file string")
+
+def parse_dependencies(texts: DataFrame) -> DataFrame:
+    return _parsed(texts, parse_design, "module string, source string, target string, dep_type string, expression string, condition string, line int, line_end int, snippet string")
+
+
+def read_instances(spark: SparkSession, *paths: str) -> DataFrame:
+    """instance, module of many source files."""
+    return parse_instances(read_texts(spark, *paths)).select("instance", "module")
+
+
+def read_rtl(spark: SparkSession, *paths: str) -> DataFrame:
+    """Dependency rows of many source files, with the file of each."""
+    return parse_dependencies(read_texts(spark, *paths))
