@@ -300,13 +300,6 @@ def c04(spark, sf_dir):
     return slicer.toggle_correlation(changes, pairs).select("source", "target", "cycle", "score")
 
 
-@query("c02_counterfactual")
-def c02(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    cases = p.select("seq", F.lit("a & b").alias("expression"), F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b")).alias("env"), F.lit("a").alias("source"))
-    return slicer.counterfactuals(cases).select("seq", "original", "perturbed", "causal", "score")
-
-
 @query("v01_time_window", f"""WITH {DEPS} SELECT dep_id, CASE WHEN dep_id % 3 = 2 THEN NULL ELSE CAST(dep_id % 7 AS INTEGER) END AS least, CASE dep_id % 3 WHEN 0 THEN CAST(dep_id % 7 + 9 AS INTEGER) WHEN 1 THEN CAST(dep_id % 7 AS INTEGER) END AS most FROM deps""")
 def v01(spark, sf_dir):
     k, n = F.col("dep_id") % 3, (F.col("dep_id") % 7).cast("string")
@@ -377,15 +370,31 @@ def k01(spark, sf_dir):
     return met.groupBy("cycle").agg(F.count("*").alias("edges"), F.sum(F.round(F.col("contribution_score") * 100).cast("bigint")).alias("hundredths"))
 
 
-@query("k02_dot")
+@query("k02_dot", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH},
+head AS (SELECT * FROM (VALUES (0, 'digraph CausalGraph {{'), (1, '    rankdir=TB;'), (2, '    node [shape=box, fontsize=10];'), (3, '    edge [fontsize=8];'), (4, '    subgraph cluster_legend {{'), (5, '        label="Legend";'), (6, '        fontsize=12;'), (7, '        style=dashed;'), (8, '        color=gray;'), (9, '        rank=same;'),
+  (10, '        legend_endpoint [label="Endpoint\\n(assertion fail)", style=filled, fillcolor=red, fontcolor=white];'), (11, '        legend_root [label="Root Cause\\nCandidate", style=filled, fillcolor=green];'), (12, '        legend_high_suspect [label="High Suspicion\\n(score > 0.7)", style=filled, fillcolor=orange];'),
+  (13, '        legend_medium_suspect [label="Medium Suspicion\\n(score > 0.4)", style=filled, fillcolor=yellow];'), (14, '        legend_rtl_missing [label="RTL Context\\nMissing", style=dashed, color=gray];'), (15, '        legend_normal [label="Normal Node"];'), (16, '    }}'), (1000, '}}')) t(part, line)),
+styled AS (SELECT *, CASE WHEN is_endpoint THEN ', style=filled, fillcolor=red, fontcolor=white' WHEN is_root THEN ', style=filled, fillcolor=green' WHEN rtl_missing THEN ', style=dashed, color=gray' WHEN suspect_score > 0.7 THEN ', style=filled, fillcolor=orange' WHEN suspect_score > 0.4 THEN ', style=filled, fillcolor=yellow' ELSE '' END AS style FROM gn)
+SELECT 'events' AS trace_id, part, line FROM head UNION ALL SELECT 'events', 100, concat('    "', id, '" [label="s', signal, '\\n@', cycle, '=', value, '"', style, '];') FROM styled
+UNION ALL SELECT 'events', 101, concat('    "', id, '" -> legend_endpoint [style=invis, constraint=false];') FROM gn WHERE is_endpoint
+UNION ALL SELECT 'events', 102, concat('    "', a.id, '" -> "', b.id, '" [label="', type, '\\n', printf('%.2f', score), '", color=', CASE type WHEN 'state' THEN 'purple' WHEN 'conditional' THEN 'orange' WHEN 'toggle' THEN 'green' ELSE 'blue' END, ', penwidth=', printf('%.2f', 1 + 2 * score), '];')
+FROM ge JOIN gn a ON a.signal = ge.source AND a.cycle = ge.source_cycle JOIN gn b ON b.signal = ge.target AND b.cycle = ge.target_cycle""")
 def k02(spark, sf_dir):
     return report.graph_lines(*_graph(spark, sf_dir))
 
 
-@query("k08_summary")
+@query("k08_summary", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH},
+top AS (SELECT *, row_number() OVER (ORDER BY suspect_score DESC, id) AS place FROM gn WHERE is_root),
+strong AS (SELECT ge.*, row_number() OVER (ORDER BY score DESC, a.id, b.id) AS place FROM ge JOIN gn a ON a.signal = ge.source AND a.cycle = ge.source_cycle JOIN gn b ON b.signal = ge.target AND b.cycle = ge.target_cycle WHERE score > 0.7)
+SELECT 'events' AS trace_id, 1 AS part, 0 AS place, concat('- Total nodes: ', (SELECT count(*) FROM gn)) AS line UNION ALL SELECT 'events', 1, 1, concat('- Total edges: ', (SELECT count(*) FROM ge))
+UNION ALL SELECT 'events', 1, 2, concat('- Root cause candidates: ', (SELECT count(*) FROM top)) UNION ALL SELECT 'events', 1, 4, concat('- Undetermined nodes (missing RTL): ', (SELECT count(*) FROM gn WHERE rtl_missing))
+UNION ALL SELECT 'events', 2, place, concat(place, '. `s', signal, '` @ cycle ', cycle, ' = ', value, ' (score: ', printf('%.2f', suspect_score), ')') FROM top WHERE place <= 10
+UNION ALL SELECT 'events', 2, 11, '   ... and more' WHERE (SELECT count(*) FROM top) > 10
+UNION ALL SELECT 'events', 3, place, concat('- `s', source, '@', source_cycle, '` -> `s', target, '@', target_cycle, '` (score: ', printf('%.2f', score), ', type: ', type, ')') FROM strong WHERE place <= 5""")
 def k08(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return report.summary_lines(nodes, edges, build.statistics(nodes, edges))
+    lines = report.summary_lines(nodes, edges, build.statistics(nodes, edges))
+    return lines.where("part > 1 or place <> 3")  # the SQL graph has no depth
 
 
 @query("k09_evidence", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT gn.id, is_root, is_endpoint, (SELECT count(*) FROM ge WHERE target = signal AND target_cycle = cycle) AS incoming, (SELECT count(*) FROM ge WHERE source = signal AND source_cycle = cycle) AS outgoing FROM gn""")

@@ -11,7 +11,7 @@ from ..functions import bits
 from ..functions.expr import evaluate_udf
 from ..operators import names, slicer, sva, trace
 from ..sources import adapters, rtl
-from . import catalog
+from . import build, catalog
 
 query = catalog.query
 
@@ -129,7 +129,7 @@ def v02(spark, sf_dir):
     return p.select("k", F.array_join(sva.consequent_signals(text, sources), ",").alias("names"))
 
 
-@query("c02_flip", f"""WITH {WAVE}, {VALUES}, {NUMBERS}, o AS (SELECT seq, x & y AS original, (15 - x) & y AS perturbed FROM n)
+@query("c02_counterfactual", f"""WITH {WAVE}, {VALUES}, {NUMBERS}, o AS (SELECT seq, x & y AS original, (15 - x) & y AS perturbed FROM n)
 SELECT seq, lpad(bin(original), 4, '0') AS original, lpad(bin(perturbed), 4, '0') AS perturbed, original <> perturbed AS causal,
 CASE WHEN original <> perturbed THEN least(1.0, bit_count(xor(original, perturbed)) / 4.0 + 0.5) ELSE 0.0 END::DOUBLE AS score FROM o""")
 def c02(spark, sf_dir):
@@ -145,6 +145,25 @@ def c03(spark, sf_dir):
     return slicer.counterfactuals(cases).select("seq", "original", "perturbed", "causal", "score")
 
 
+@query("g09_window_branch", f"""WITH {WAVE}, h AS (SELECT split_part(signal, '.', 2) AS trace_id, cycle, contains(value, '1') AND NOT contains(value, 'x') AS holds FROM cv WHERE signal LIKE '%.view' AND cycle <= 55),
+g AS (SELECT *, sum(CASE WHEN holds THEN 0 ELSE 1 END) OVER (PARTITION BY trace_id ORDER BY cycle) AS run FROM h),
+b AS (SELECT trace_id, max(cycle) AS trig FROM (SELECT trace_id, run, min(cycle) AS cycle FROM g WHERE holds GROUP BY trace_id, run) GROUP BY trace_id),
+m AS (SELECT split_part(signal, '.', 2) AS trace_id, cycle FROM moved WHERE signal LIKE '%.click'),
+f AS (SELECT trace_id, m.cycle, row_number() OVER (PARTITION BY trace_id ORDER BY m.cycle) AS n FROM m JOIN b USING (trace_id) WHERE m.cycle BETWEEN trig + 1 AND least(trig + 5, 60)),
+u AS (SELECT trace_id, cycle FROM f WHERE n <= 5 UNION SELECT trace_id, unnest([trig + 1, least(trig + 5, 60)]) FROM b)
+SELECT trace_id, concat('top.', trace_id, '.click') AS source, cycle AS source_cycle, 'state' AS type, 0.8::DOUBLE AS score, concat('top.', trace_id, '.click@', cycle, ' stayed false in window [1:5]') AS reason FROM u
+UNION ALL SELECT trace_id, concat('top.', trace_id, '.fail'), trig, 'conditional', 1.0::DOUBLE, concat('triggered at cycle ', trig, ', failed at cycle 60') FROM b WHERE trig < 60""")
+def g09(spark, sf_dir):
+    """What leads to the failure, at cycle 60 of each of eight traces, of a property with a window."""
+    samples = trace.cycle_values(*catalog._trace(spark, sf_dir)).withColumn("trace_id", F.split("signal", r"\.")[1])
+    ends = samples.select("trace_id").distinct().select("trace_id", F.concat(F.lit("top."), "trace_id", F.lit(".fail")).alias("signal"), F.lit(60).cast("bigint").alias("cycle"))
+    scope = F.concat(F.lit("top."), F.col("trace_id"), F.lit("."))
+    sides = ends.select(scope.alias("scope"), F.col("signal").alias("target"), F.explode(F.array(F.lit("view"), F.lit("click"))).alias("name"))
+    deps = sides.select(F.concat("target", F.lit("<"), "name").alias("dep_id"), "target", F.concat("scope", "name").alias("source"), F.lit("assertion").alias("dep_type"), F.lit("view |-> ##[1:5] click").alias("expression"), F.lit("@(posedge clock)").alias("condition"))
+    edges = build.assertion_graph(deps, samples, ends)[1]
+    return edges.where("target_cycle = 60").select("trace_id", "source", "source_cycle", "type", "score", "reason")
+
+
 @query("c07_suspect_scores", """WITH e AS (SELECT concat('p', l_partkey % 50) AS source, CAST(l_linenumber AS DOUBLE) / 10 AS score FROM lineitem) SELECT 'lines' AS trace_id, source, max(score) * 0.9::DOUBLE AS suspect_score FROM e GROUP BY source""")
 def c07(spark, sf_dir):
     lines = adapters.table(spark, sf_dir, "lineitem")
