@@ -138,3 +138,43 @@ def test_each_stage_returns_the_columns_of_documents(spark, tmp_path):
     docs = spark.createDataFrame(rows[:40] + rows[-8:], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_near_copies_at_a_similarity_of_eight_tenths_leave(spark):
+    r = random.Random(4)
+    vocabulary = ["w%d" % i for i in range(5000)]
+
+    def sets(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    rows, want = [], set()
+    for i in range(120):
+        words = r.choices(vocabulary, k=(100, 100, 400)[i % 3])
+        changed = list(words)
+        for at in r.sample(range(5, len(words) - 5), (1, 2, 8)[i % 3] + (i % 4 == 3) * len(words) // 30):
+            changed[at] = "new%d" % r.randint(0, 999)
+        a, b = " ".join(words), " ".join(changed)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        x, y = sets(a), sets(b)
+        want |= {2 * i} | ({2 * i + 1} if len(x & y) < 0.8 * len(x | y) else set())
+    assert 130 < len(want) < 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(d.doc_id for d in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()) == sorted(want)
+
+
+def test_near_copies_in_several_blocks(spark):
+    from tracewright.llm import common, neardup
+
+    words = ["w%d" % i for i in range(300)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 200, 5)] + [" ".join(["x%d" % i] + words[:40]) for i in range(30)]
+    sets = [neardup.shingles(t.encode(), 5).tolist() for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})]
+    want = brute.roots(len(texts), pairs)
+    assert neardup.links([np.array(s, np.uint64) for s in sets], 0.8).tolist() == list(want.values() if isinstance(want, dict) else want)
+    keyed = common.save(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_key long, doc_id long, text string"))[0]
+    for weight in (1 << 20, 700):
+        groups = {}
+        for x in neardup.components(keyed, 5, 0.8, weight).collect():
+            groups.setdefault(x.component, []).append(x._key)
+        assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i in range(len(texts)) if want[i] == root) for root in {want[i] for i in range(len(texts))})

@@ -49,6 +49,20 @@ def save(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs as a table in the shared folder, with a _key that tells rows apart and is written once."""
+    return save(docs.withColumn("_key", F.monotonically_increasing_id()))[0]
+
+
+def least_rows(keyed: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of each component of grouped(_key, component) the row of keyed(_key, doc_id, text, ...) with the
+    least doc_id, nulls last; then by content, so that the layout decides only between equal texts."""
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("text"), "_key")
+    told = keyed.select("_key", order.alias("row")).join(grouped, "_key")
+    chosen = told.groupBy("component").agg(F.min("row").alias("row")).select("row._key")
+    return keyed.join(chosen, "_key", "left_semi")
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table written by save() that nothing reads any more."""
     jvm = spark.sparkContext._jvm
