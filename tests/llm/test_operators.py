@@ -197,3 +197,18 @@ def test_quality(spark, empty):
     held = [(x._score >= 0.5) == (x.doc_id % 5 != 0) for x in scored if brute.held_out(x.doc_id, 3, 1)]
     assert sum(held) / len(held) > 0.95
     assert quality.score(empty, quality.train(empty, told.where("doc_id < 0"))).count() == 0
+
+
+def test_url_index_equals_all_rules(spark):
+    import re
+
+    hosts = [f"{a}-{w}{end}" for a in ("ad", "ads", "xads") for w in ("track", "tracker", "tracking", "trackers") for end in (".example.com", ".net", "x.org", "")]
+    urls = [f"https://{sub}{h}{path}" for h in hosts for sub in ("", "www.", "a-") for path in ("/", "/de/x", "/track/a", "")] + ["http://click-ad.example.com/", "http://click-ads.org/fr/x"]
+    rules = urlfilter.SITE_RULES + urlfilter.GENERAL_RULES
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    every = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), tuple(urlfilter.Rule(r.name, r.action, r.regex, (), r.site) for r in rules)).collect()}
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == every
+    for r in got:  # as in the SQL
+        if r.rule is None:
+            assert (r.verdict == "block") == bool(re.match(r"([^/]*\.)?(ads?-track(er|ing)?|click-ads?)\.", r.host + r.path))
+    assert {r.host: r.verdict for r in got}["ads-tracking.example.com"] == "block"

@@ -66,7 +66,8 @@ SITE_RULES = (
 )
 GENERAL_RULES = (
     *(word_rule("block", w) for w in ("casino", "bets", "poker", "porn", "xxx", "adult", "pills", "warez")),
-    pattern_rule("block", "ad servers", r"(?:[^/]*\.)?ads?-track(?:er|ing)?\.", ("track",)),
+    # one rule for each word: a rule's tokens must be in all it matches
+    *(pattern_rule("block", f"ad servers: {w}", rf"(?:[^/]*\.)?ads?-{w}\.", (w,)) for w in ("track", "tracker", "tracking")),
     pattern_rule("block", "click servers", r"(?:[^/]*\.)?click-ads?\.", ("click",)),
 )
 
