@@ -212,3 +212,16 @@ def test_url_index_equals_all_rules(spark):
         if r.rule is None:
             assert (r.verdict == "block") == bool(re.match(r"([^/]*\.)?(ads?-track(er|ing)?|click-ads?)\.", r.host + r.path))
     assert {r.host: r.verdict for r in got}["ads-tracking.example.com"] == "block"
+
+
+def test_repeated_and_null_ids_leave_one_row_of_each_group(spark):
+    from tracewright.llm import neardup
+
+    r = random.Random(6)
+    a, b, c, d = (" ".join("w%d" % r.randint(0, 9999) for _ in range(50)) for _ in range(4))
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (3, d), (3, d), (2, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {(1, a), (1, b), (None, c), (3, d)}
+    for keep in (simhash.keep_one, neardup.keep_one):
+        got = [(x.doc_id, x.text) for x in keep(df).collect()]
+        assert len(got) == 4 and set(got) == want

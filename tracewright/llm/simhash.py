@@ -56,15 +56,15 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, lower: bool = Tru
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (signed long) of docs(doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id") -> DataFrame:
+    """doc_id (or another key), fp (signed long) of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.int64())], [key, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes()).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long").alias(key), common.text_bytes()).mapInArrow(run, f"{key} long, fp long")
 
 
 class VantageTree:
@@ -270,8 +270,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """docs without near-duplicates: one row with each component's smallest id stays. Rows without
-    an id can't be told apart and all stay."""
-    chosen = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """docs without near-duplicates: the least row of each component stays, whatever ids repeat or are null."""
+    keyed = common.with_keys(docs)
+    rows = keyed.select("_key", "doc_id", "text")
+    prints, _ = common.save(fingerprints(rows, shingle, "_key"))
+    found = prints.join(components(prints.withColumnRenamed("_key", "doc_id"), radius), "fp")
+    return common.least_rows(keyed, found.select("_key", F.col("component_id").alias("component"))).select(*docs.columns)
