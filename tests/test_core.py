@@ -291,3 +291,19 @@ def test_failed_windows(spark):
     assert {tuple(r) for r in late.collect()} == {("t", "T.ack"), ("u", "T.ack")}
     edges = sva.window_graph(windows, late, samples.limit(0))[1]
     assert {(r.source, r.source_cycle, r.score) for r in edges.collect()} == {("T.ack", 3, 0.8), ("T.ack", 4, 0.8), ("T.prop", 2, 1.0)}
+
+
+def test_every_cycle_has_its_time(spark):
+    import duckdb
+    from tracewright.plans import catalog
+
+    for sf in ("sf0.001", "sf0.01"):
+        folder = f"/root/testdata/{sf}"
+        got = sorted(tuple(r) for r in catalog.QUERIES["w05_every_cycle_to_time"](spark, folder).collect())
+        base = duckdb.connect()
+        base.execute("SET TimeZone = 'UTC'")
+        base.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
+        assert got == sorted(base.execute(catalog.ORACLES["w05_every_cycle_to_time"]).fetchall())
+        n = catalog.QUERIES["w03_cycle_count"](spark, folder).first().cycles
+        assert [c for c, _ in got] == list(range(-1, n + 1))
+        print(sf, len(got))

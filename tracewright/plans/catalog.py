@@ -104,6 +104,18 @@ def w05(spark, sf_dir):
     return met.select("cycle", F.when(F.col("cycle") < 0, F.col("first")).otherwise(F.coalesce("t_start", "last")).alias("t"))
 
 
+# w05_cycle_to_time asks one cycle in seven below 2000; this asks every cycle of the trace, and one before and after
+@query("w05_every_cycle_to_time", f"""WITH {WAVE}, c AS (SELECT unnest(range(-1, n + 1)) AS cycle FROM (SELECT count(*) AS n FROM edges))
+SELECT c.cycle, CASE WHEN c.cycle < 0 THEN (SELECT min(t) FROM wave) ELSE coalesce(e.t_start, (SELECT max(t) FROM wave)) END AS t FROM c LEFT JOIN edges e ON e.cycle = c.cycle""")
+def w05_every(spark, sf_dir):
+    changes, edges = _trace(spark, sf_dir)
+    ends = changes.groupBy("trace_id").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    n = edges.groupBy("trace_id").agg(F.count("*").alias("n"))
+    asked = ends.join(n, "trace_id", "left").withColumn("cycle", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.coalesce("n", F.lit(0)).cast("bigint"))))
+    met = asked.join(edges, ["trace_id", "cycle"], "left")
+    return met.select("cycle", F.when(F.col("cycle") < 0, F.col("first")).otherwise(F.coalesce("t_start", "last")).alias("t"))
+
+
 @query("w06_cycle_range", f"""WITH {WAVE} SELECT trace_id, cycle, t_start, coalesce(lead(t_start) OVER (ORDER BY cycle) - 1, (SELECT max(t) FROM wave)) AS t_end FROM edges""")
 def w06(spark, sf_dir):
     changes, edges = _trace(spark, sf_dir)
