@@ -225,3 +225,22 @@ def test_repeated_and_null_ids_leave_one_row_of_each_group(spark):
     for keep in (simhash.keep_one, neardup.keep_one):
         got = [(x.doc_id, x.text) for x in keep(df).collect()]
         assert len(got) == 4 and set(got) == want
+
+
+def test_every_part_trains_the_network_and_every_text_the_classes(spark, docs):
+    import numpy as np
+
+    late = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(4)) >= 2)
+    model = lm.fit(late, lm.word_counts(late), head=200, hidden=8, fraction=4)
+    assert late.count() > 10 and np.abs(model.net.out).max() > 0
+    v = model.vocabulary
+    index = spark.sparkContext.broadcast({w: i for i, w in enumerate(v.words)})
+    got = {(r.word, r.near): r.c for r in lm.company(late, index, 5).collect()}
+    want = {}
+    for r in late.collect():
+        ids = [index.value.get(w, -1) for w in lm.tokens((r.text or "").encode())]
+        for i, a in enumerate(ids):
+            for j in range(max(0, i - 3), min(len(ids), i + 4)):
+                if i != j and a >= 0 and 0 <= ids[j] < 5:
+                    want[a, ids[j]] = want.get((a, ids[j]), 0) + 1
+    assert got == want

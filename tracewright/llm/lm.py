@@ -4,14 +4,15 @@ log P(text) = sum over tokens of log P(class | state) + log P(word | class). A g
 network reads the classes of a document's tokens; its softmax is over classes, and a word's
 share of its class comes from the counts of the whole training corpus. The most frequent words
 are classes of their own. Other frequent words (the head) are grouped by the company they keep
-in a bounded sample and by frequency. All rarer words and one unknown word form the tail class.
+in all training texts and by frequency. All rarer words and one unknown word form the tail class.
 
 1. Counts: each task counts the words it reads; the sums per word are shuffled and written.
    What is gathered so grows with the corpus's vocabulary.
 2. Head: the words above a count such that at most ``head`` of them are left; that bound makes
    it safe to broadcast. The rest stays a table.
-3. Training: truncated backpropagation through time in numpy. Every task trains on the documents that
-   it holds of a hash fraction, starting from common weights; their average starts the next round.
+3. Training: truncated backpropagation through time in numpy. Each round takes one hash part of the training
+   documents, and the rounds take all parts, once each. Every task trains on the documents that it holds of the part,
+   starting from common weights; their average starts the next round.
 4. Scoring: each task packs its documents into lanes and runs them through in windows, carrying the state
    from window to window, reset where a document begins. Texts count whole, whatever their length.
    Tail words leave as (doc_id, word) rows and meet their counts in a join.
@@ -88,23 +89,43 @@ class Vocabulary:
         return float(self.class_mass[self.tail])
 
 
-def group_words(words: list[bytes], counts: np.ndarray, sample: list[bytes], own: int = 64, contexts: int = 96, clusters: int = 8, bands: int = 4) -> tuple[np.ndarray, int]:
-    """A class for each head word; the number of these classes."""
-    n = len(words)
-    index = {w: i for i, w in enumerate(words)}
+def company(docs: DataFrame, index, contexts: int) -> DataFrame:
+    """word, near, c: how often a head word has one of the ``contexts`` most frequent within three words, over all
+    docs(text). index: broadcast, word -> its place by frequency."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                ids = []
+                for text in batch.column("text").slice(at, 1000).to_pylist():
+                    ids += [index.value.get(w, -1) for w in tokens(text)]
+                    ids += [-1, -1, -1]  # no pair spans two texts
+                x = np.array(ids, np.int64)
+                keys = []
+                for step in (1, 2, 3):
+                    for a, b in ((x[:-step], x[step:]), (x[step:], x[:-step])):
+                        ok = (a >= 0) & (b >= 0) & (b < contexts)
+                        keys.append(a[ok] * contexts + b[ok])
+                key, c = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c.astype(np.int64))], ["key", "c"])
+
+    cells = docs.select(common.text_bytes()).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return cells.select(F.floor(F.col("key") / contexts).cast("long").alias("word"), F.pmod("key", F.lit(contexts)).cast("int").alias("near"), "c")
+
+
+def group_words(n: int, counts: np.ndarray, rows, own: int = 64, contexts: int = 256, clusters: int = 8, bands: int = 4) -> tuple[np.ndarray, int]:
+    """A class for each of n head words; the number of these classes. rows: (word, [near], [c]) of company()."""
     own, contexts = min(own, n), min(contexts, n)
     near = np.zeros((n, contexts), np.float32)
-    for text in sample:
-        ids = np.array([index.get(w, -1) for w in tokens(text)])
-        for step in (1, 2, 3):
-            for a, b in ((ids[:-step], ids[step:]), (ids[step:], ids[:-step])):
-                ok = (a >= 0) & (b >= 0) & (b < contexts)
-                np.add.at(near, (a[ok], b[ok]), 1)
+    for word, at, c in rows:
+        near[word, at] = c
     met = np.flatnonzero(near.sum(1) > 0)
     group = np.full(n, clusters)
     if len(met) > clusters:
-        x = np.sqrt(near[met])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = near if len(met) == n else near[met]
+        del near
+        np.sqrt(x, out=x)  # in place: the table of a full head is 268 MB
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         x -= x[: min(len(x), 4096)].mean(0)
         centres = [x[0]]
         for _ in range(clusters - 1):  # farthest of the frequent ones first
@@ -289,7 +310,7 @@ class Model:
     net: Network
 
 
-def fit(docs: DataFrame, counts: DataFrame, head: int, hidden: int, rounds: int, fraction: int, sample: int, rate: float = 0.01, least_tokens: int = 60_000) -> Model:
+def fit(docs: DataFrame, counts: DataFrame, head: int, hidden: int, fraction: int, rate: float = 0.01, contexts: int = 256) -> Model:
     """The model of the training docs(doc_id, text); counts: their word_counts()."""
     spark = docs.sparkSession
     told = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -305,9 +326,14 @@ def fit(docs: DataFrame, counts: DataFrame, head: int, hidden: int, rounds: int,
     if least is not None:
         top = counts.where(F.col("c") >= least).select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
         words, known = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.float64)
-    some = docs.where("doc_id is not null").orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id").select("doc_id").limit(sample)
-    texts = [bytes(r.text) for r in docs.join(F.broadcast(some), "doc_id", "left_semi").select(common.text_bytes()).collect()]  # at most ``sample`` ids
-    class_of, k = group_words(words, known, texts)
+    index = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    rows = ()
+    if words:
+        cells = company(docs, index, min(contexts, len(words)))
+        lists, _ = common.save(cells.groupBy("word").agg(F.collect_list(F.struct("near", "c")).alias("x")).select("word", "x.near", "x.c"))
+        rows = lists.toLocalIterator()  # a row for each head word, ``contexts`` counts each
+    class_of, k = group_words(len(words), known, rows, contexts=contexts)
+    index.unpersist()
     mass = np.zeros(k + 1)
     np.add.at(mass, class_of, known + 0.1)
     mass[k] = (told.n or 0) - known.sum() + 0.1 * (told.v - len(words) + 1)
@@ -316,7 +342,7 @@ def fit(docs: DataFrame, counts: DataFrame, head: int, hidden: int, rounds: int,
     shared = spark.sparkContext.broadcast(({w: int(c) for w, c in zip(words, class_of, strict=True)}, vocabulary.tail))
     start = vocabulary.start
 
-    for turn in range(rounds):
+    for turn in range(fraction if told.n else 0):
         weights = net.get()
         prior = mass / mass.sum()
 
@@ -328,9 +354,8 @@ def fit(docs: DataFrame, counts: DataFrame, head: int, hidden: int, rounds: int,
             for batch in batches:
                 classes = [np.array([index.get(w, tail) for w in tokens(t)], np.int16) for t in batch.column("text").to_pylist()]
                 if classes:
-                    size = sum(map(len, classes))
-                    seen += size
-                    train_here(mine, classes, start, max(1, min(12, least_tokens // size)), rate / (turn + 1))
+                    seen += sum(map(len, classes))
+                    train_here(mine, classes, start, 1, rate / np.sqrt(turn + 1))
             if seen:
                 flat = mine.get().astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(0, len(flat), 4096) // 4096), pa.array([flat[i : i + 4096].tolist() for i in range(0, len(flat), 4096)], pa.list_(pa.float64())), pa.array([seen] * -(-len(flat) // 4096))], ["part", "values", "n"])
@@ -346,13 +371,13 @@ def fit(docs: DataFrame, counts: DataFrame, head: int, hidden: int, rounds: int,
     return Model(vocabulary, net)
 
 
-def score(docs: DataFrame, head: int = 1 << 17, hidden: int = 24, rounds: int = 2, fraction: int = 32, sample: int = 1500) -> DataFrame:
+def score(docs: DataFrame, head: int = 1 << 18, hidden: int = 24, fraction: int = 32) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     train = told.where(~held_out(F.col("doc_id")))
     counts, _ = common.save(word_counts(train))
-    model = fit(train, counts, head, hidden, rounds, fraction, sample)
+    model = fit(train, counts, head, hidden, fraction)
     v = model.vocabulary
     shared = spark.sparkContext.broadcast((dict(zip(v.words, range(len(v.words)), strict=True)), v, model.net))
 
