@@ -112,3 +112,32 @@ def substring(docs, window=20):
                 gone.update(range(i, i + window))
         out[d] = (len(ws), len(gone), hashlib.sha256(b" ".join(w for i, w in enumerate(ws) if i not in gone)).hexdigest())
     return out
+
+
+def language_model(model, counts, text):
+    """log10 probability of a text, one word after the other."""
+    import numpy as np
+
+    v, net = model.vocabulary, model.net
+    place = {w: i for i, w in enumerate(v.words)}
+    f = lambda x: 1 / (1 + np.exp(-x))
+    n, h, last, total = net.hidden, np.zeros(net.hidden), v.start, 0.0
+    for w in [w.lower() for w in words(text)] + [b"\n"]:
+        drive = net.emb[last].astype(float) + net.bias
+        gates = f(drive[: 2 * n] + h @ net.rec)
+        z, r = gates[:n], gates[n:]
+        c = np.tanh(drive[2 * n :] + (r * h) @ net.cand)
+        h = z * h + (1 - z) * c
+        i = place.get(w, -1)
+        k = v.tail if i < 0 else next(k for k in range(v.classes - 1) if v.first[k] <= i < v.ends[k])
+        share = np.exp(h @ net.out + net.out_bias)
+        total += math.log10(share[k] / share.sum())
+        if i < 0:
+            total += math.log10((counts.get(w, 0) + 0.1) / v.class_mass[k])
+        elif k < v.modelled:
+            inner = np.exp(net.words[v.first[k] : v.ends[k]].astype(float) @ h + net.words_bias[v.first[k] : v.ends[k]])
+            total += math.log10(inner[i - v.first[k]] / inner.sum())
+        else:
+            total += math.log10((counts[w] + 0.1) / sum(counts[x] + 0.1 for x in v.words[v.first[k] : v.ends[k]]))
+        last = i if 0 <= i < v.inputs else v.inputs + k
+    return total

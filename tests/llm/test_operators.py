@@ -141,32 +141,67 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_language_model(docs, empty):
-    got = {r.doc_id: r for r in lm.score(docs, head=200, fraction=2).collect()}
+def test_language_model(spark, docs, empty):
+    model, rows = lm.learn(docs, head=200, modelled=100, inputs=50)
+    got = {r.doc_id: r for r in lm.apply(model, rows).collect()}
+    counts = {r.word: r.c for r in model.counts.collect()}
     for d, want in brute.base_scores(plain(docs)).items():
         assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == want[:3] and got[d].base_score == pytest.approx(want[3])
-        assert got[d].score < 0
+    for d, t in plain(docs):  # the sum of log10 P over a plain pass, word by word
+        assert got[d].score == pytest.approx(brute.language_model(model, counts, t), rel=1e-4)
     assert lm.score(empty).count() == 0
+    odd = spark.createDataFrame([(1, " A a\n\tb ", "x", 1), (1, "\x0b", None, 2), (None, None, "y", 3), (7, "é " * 70000, "", 4)], "doc_id long, text string, ids string, train int")
+    rows = sorted(((r.n_tokens, r.held_out) for r in lm.score(odd, head=0).collect()), key=str)
+    assert rows == sorted([(4, brute.held_out(1, 10)), (1, brute.held_out(1, 10)), (1, False), (70001, brute.held_out(7, 10))], key=str)
 
 
-def test_class_probabilities_sum_to_one_and_gradients_hold():
+def _vocabulary(n=60, modelled=40):
+    import numpy as np
+
+    counts = np.arange(n, 0, -1.0) * 7
+    first, known = lm.cut_classes(counts, modelled, widest=4)
+    return lm.Vocabulary([b"w%d" % i for i in range(n)], counts, int(counts.sum()) + 30, n + 9, first, known, 10)
+
+
+def test_probabilities_sum_to_one_and_gradients_hold():
     import numpy as np
 
     r = np.random.default_rng(0)
-    net = lm.Network(6, 5, np.ones(6) / 6)
-    net.out = r.standard_normal(net.out.shape).astype(np.float32)
-    assert np.exp(net.log_classes(r.standard_normal((9, 5)).astype(np.float32))).sum(1) == pytest.approx(1, abs=1e-5)
-    inputs, wanted = r.integers(0, 6, (7, 3)), r.integers(0, 6, (7, 3))
-    fresh, weight, h = r.random((7, 3)) < 0.2, np.ones((7, 3), np.float32), np.zeros((3, 5), np.float32)
-    _, g, _ = net.gradient(inputs, fresh, wanted, weight, h)
-    for k in ("rec", "cand", "emb", "out"):
-        old = getattr(net, k)[1, 2]
-        losses = []
+    v = _vocabulary()
+    net = lm.Network(v, 5)
+    net.out, net.words = (r.standard_normal(x.shape).astype(np.float32) for x in (net.out, net.words))
+    for state in r.standard_normal((9, 5)).astype(np.float32):
+        every = np.arange(-1, len(v.words))
+        assert np.exp(net.log_probability(np.repeat(state[None], len(every), 0), every)).sum() == pytest.approx(1, abs=1e-5)
+    inputs, wanted = r.integers(0, v.start, (7, 3)), r.integers(-1, v.known, (7, 3))
+    keep, weight, h = (r.random((7, 3, 1)) > 0.2).astype(np.float32), np.ones((7, 3), np.float32), np.zeros((3, 5), np.float32)
+    _, g, _ = net.gradient(inputs, keep, wanted, weight, h)
+    for k in ("rec", "cand", "emb", "out", "words", "bias"):
+        row = int(inputs[2, 1]) if k == "emb" else int(g["words"][0][0]) if k == "words" else 1
+        at = (row, 2) if getattr(net, k).ndim == 2 else (row,)
+        old, losses = getattr(net, k)[at], []
         for step in (0.01, -0.01):
-            getattr(net, k)[1, 2] = old + step
-            losses.append(net.gradient(inputs, fresh, wanted, weight, h)[0])
-        getattr(net, k)[1, 2] = old
-        assert (losses[0] - losses[1]) / 0.02 == pytest.approx(g[k][1, 2], abs=2e-3)
+            getattr(net, k)[at] = old + step
+            losses.append(net.gradient(inputs, keep, wanted, weight, h)[0])
+        getattr(net, k)[at] = old
+        told = g[k][1][list(g[k][0]).index(row)][2] if k in net.SPARSE else g[k][at]
+        assert (losses[0] - losses[1]) / 0.02 == pytest.approx(told, abs=2e-3)
+
+
+def test_lanes_hold_every_token_once():
+    import numpy as np
+
+    v, r = _vocabulary(), np.random.default_rng(4)
+    lengths = r.integers(1, 900, 700)
+    ids = r.integers(-1, 60, lengths.sum())
+    for piece in (0, 64):
+        dealt = lm.lanes(ids, lengths, v, piece)
+        alive = dealt.document >= 0
+        assert alive.sum() == len(ids) and all((alive[t, :n]).all() and not alive[t, n:].any() for t, n in enumerate(dealt.alive))
+        order = np.argsort(dealt.document[alive], kind="stable")
+        assert (np.bincount(dealt.document[alive]) == lengths).all() and sorted(dealt.wanted[alive]) == sorted(ids)
+        assert (dealt.keep == 0).sum() == (-(-lengths // piece)).sum() if piece else len(lengths)
+        assert len(order) == len(ids)
 
 
 def test_pii(spark, empty):
@@ -227,20 +262,12 @@ def test_repeated_and_null_ids_leave_one_row_of_each_group(spark):
         assert len(got) == 4 and set(got) == want
 
 
-def test_every_part_trains_the_network_and_every_text_the_classes(spark, docs):
+def test_every_part_trains_the_network(spark, docs):
     import numpy as np
 
-    late = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(4)) >= 2)
-    model = lm.fit(late, lm.word_counts(late), head=200, hidden=8, fraction=4)
-    assert late.count() > 10 and np.abs(model.net.out).max() > 0
-    v = model.vocabulary
-    index = spark.sparkContext.broadcast({w: i for i, w in enumerate(v.words)})
-    got = {(r.word, r.near): r.c for r in lm.company(late, index, 5).collect()}
-    want = {}
-    for r in late.collect():
-        ids = [index.value.get(w, -1) for w in lm.tokens((r.text or "").encode())]
-        for i, a in enumerate(ids):
-            for j in range(max(0, i - 3), min(len(ids), i + 4)):
-                if i != j and a >= 0 and 0 <= ids[j] < 5:
-                    want[a, ids[j]] = want.get((a, ids[j]), 0) + 1
-    assert got == want
+    for a, b in lm.ROUNDS:  # documents of one round alone
+        part = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(16))
+        some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where((part >= a) & (part < b))
+        model, _ = lm.learn(some, head=200, hidden=8)
+        assert not some.where(~lm.held_out(F.col("doc_id"))).count() or np.abs(model.net.out).max() > 0
+    assert [x for r in lm.ROUNDS for x in range(*r)] == list(range(16))
