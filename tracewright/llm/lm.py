@@ -40,7 +40,7 @@ END = b"\n"  # no word holds it
 #: Steps and lanes of a window.
 STEPS, LANES = 32, 512
 #: Tokens that a task holds at once; one longer document is held whole.
-HELD = 4_000_000
+HELD = 6_000_000
 #: Hash parts that each training round takes, of 16.
 ROUNDS = ((0, 1), (1, 4), (4, 16))
 #: Tokens that training carries the state over.
@@ -102,7 +102,7 @@ class Vocabulary:
     distinct: int
     first: np.ndarray
     modelled: int  # classes whose words the network tells apart
-    inputs: int  # words that are inputs as themselves
+    inputs: int  # words that are inputs as themselves; with the classes fewer than 2^15
 
     def __post_init__(self):
         n = len(self.words)
@@ -193,7 +193,7 @@ class Network:
     def groups(self, wanted: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first word, end, positions) of the classes of several words that the network tells apart. wanted: word or -1."""
         v = self.vocabulary
-        of = v.class_of[wanted]
+        of = v.class_of[wanted].astype(np.int16)  # short numbers sort by radix
         order = np.argsort(of, kind="stable")
         edges = np.searchsorted(of[order], np.arange(v.modelled + 1))
         for k in range(v.modelled):
@@ -273,18 +273,21 @@ class Network:
         all_r *= all_before
         g["cand"] = all_r.T @ flat_drive[:, 2 * n :]
         g["bias"] = flat_drive.sum(0)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        which, begin = np.unique(inputs.ravel()[order], return_index=True)
-        g["emb"] = which, np.add.reduceat(flat_drive[order], begin)
+        read = inputs.ravel().astype(np.int16)
+        order = np.argsort(read, kind="stable")
+        read = read[order]
+        begin = np.flatnonzero(np.append(True, read[1:] != read[:-1]))
+        g["emb"] = read[begin].astype(np.int64), np.add.reduceat(flat_drive[order], begin)
         return loss * float(scale), g, last
 
 
 def _softmax(logits: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Turns logits, in place, into exponentials up to a factor a row. Their sums, and the log of the picked column's share."""
-    logits -= logits.max(1, keepdims=True)
+    if logits.max() > 60 or logits.min() < -60:  # else nothing overflows and no row vanishes
+        logits -= logits.max(1, keepdims=True)
     chosen = logits[np.arange(len(picked)), picked].astype(np.float64)
     np.exp(logits, out=logits)
-    total = logits.sum(1)
+    total = logits @ np.ones(logits.shape[1], np.float32)
     return total, chosen - np.log(total)
 
 
@@ -354,7 +357,7 @@ def lanes(ids: np.ndarray, lengths: np.ndarray, known: Vocabulary, piece: int =
     order = np.argsort(-whole, kind="stable")
     steps = int(whole.max(initial=0))
     shape = steps, len(dealt)
-    made = Lanes(np.full(shape, -1, np.int32), np.full(shape, known.start, np.int32), np.ones((*shape, 1), np.float32), np.full(shape, -1, np.int32), (whole[order][None, :] > np.arange(0, steps)[:, None]).sum(1))
+    made = Lanes(np.full(shape, -1, np.int32), np.full(shape, known.start, np.int16), np.ones((*shape, 1), bool), np.full(shape, -1, np.int32), (whole[order][None, :] > np.arange(0, steps)[:, None]).sum(1))
     for i, lane in enumerate(order.tolist()):
         at = 0
         for d in dealt[lane]:
@@ -389,12 +392,24 @@ def log_scores(net: Network, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray
         return total
     dealt = lanes(ids, lengths, net.vocabulary)
     h = np.zeros((dealt.wanted.shape[1], net.hidden), np.float32)
+    waiting, n = [], 0
+
+    def settle() -> None:
+        states, wanted, who = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        total[:] += np.bincount(who, weights=net.log_probability(states, wanted), minlength=len(lengths))
+        waiting.clear()
+
     for part, k in dealt.windows():
         states, h = net.run(dealt.inputs[part, :k], dealt.keep[part, :k], h[:k])
         who = dealt.document[part, :k].ravel()
         live = np.flatnonzero(who >= 0)
-        got = net.log_probability(states.reshape(-1, net.hidden)[live], dealt.wanted[part, :k].ravel()[live])
-        total += np.bincount(who[live], weights=got, minlength=len(lengths))
+        waiting.append((states.reshape(-1, net.hidden)[live], dealt.wanted[part, :k].ravel()[live], who[live]))
+        n += len(live)
+        if n >= STEPS * LANES:  # few lanes are left where a document is long
+            settle()
+            n = 0
+    if waiting:
+        settle()
     return total / np.log(10)
 
 
