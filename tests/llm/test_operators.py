@@ -219,6 +219,32 @@ def test_pii(spark, empty):
     assert clean[3] == "call <phone>!" and clean[4] is None and clean[6] == "é 💡 <email>" and pii.report(empty).count() == 0
 
 
+def test_contexts_find_what_no_base_pattern_does(spark):
+    texts = [f"my phone +49 30 777{i:02}33 here" for i in range(30)] + [f"write to ann{i}@b.org soon" for i in range(30)] + [f"from host 10.0.0.{i} came" for i in range(30)]
+    shared = [f"0171 55501{i:02}" for i in range(30)]
+    texts += [f"my phone {x} here" for x in shared] + [f"x{i} ring {x} y{i}" for i, x in enumerate(shared)]
+    new = {"z ring 3782-822463 q": "phone:7:18", "write to bob (at) c (dot) org soon": "email:9:29", "from host fe80::12:34 came": "ip:10:21", "my phone (030) 1234567 here": "phone:9:22"}
+    clean = ["score 555 123 9999 end", "year 2020 2021 2022 2023", "at 12:30:45 sharp", "write to 1234567 elsewhere 7654321"]
+    df = spark.createDataFrame(list(enumerate(texts + list(new) + clean)), "doc_id long, text string").repartition(3)
+    every = {r.doc_id: r for r in pii.report(df, least=0.5, rounds=4).collect()}
+    found = {t: every[len(texts) + i].spans for i, t in enumerate(list(new) + clean) if every[len(texts) + i].spans}
+    assert found == new
+    assert all(every[i].spans.startswith("phone:") for i in range(90, 150))
+    one = {r.doc_id: r.spans for r in pii.report(df, least=0.4, rounds=1).collect()}
+    assert one[len(texts)] == "" and one[len(texts) + 3] == new["my phone (030) 1234567 here"]  # ring is a cue only once its instances are accepted
+
+
+def test_redact_keeps_other_columns_and_long_texts(spark):
+    long = "".join(f"ab{i}@x.yz c " for i in range(20000)) + "é" * 5000 + " 1.2.3.4"
+    rows = [(1, long, 1, "a"), (1, long, 2, None), (2, None, 3, "b"), (None, "call +49 30 1234567", 4, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long, _row string").withColumnsRenamed({})
+    df = df.withColumns({c: F.col("row") for c in ("key", "_spans", "_same", "_id", "new", "base", "base_email")})
+    got = {r.row: r for r in pii.redact(df).select(df.columns).collect()}
+    want = "<email> c " * 20000 + "é" * 5000 + " <ip>"
+    assert [got[i].text for i in (1, 2, 3, 4)] == [want, want, None, "call <phone>"] and [got[i]._row for i in (1, 2, 3, 4)] == ["a", None, "b", "c"]
+    assert all(got[i][c] == i for i in got for c in ("key", "_spans", "_same", "_id", "new", "base", "base_email"))
+
+
 def test_quality(spark, empty):
     r = random.Random(5)
     rows, labels = [], []

@@ -56,7 +56,7 @@ class ChunkIds:
     behind it is its letters' ids and the stops' ids, for the pre-tokenizer parts them there.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 300_000):
+    def __init__(self, vocabulary: str, keep: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
