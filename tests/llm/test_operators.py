@@ -2,7 +2,9 @@
 
 import os
 import random
+import struct
 import sys
+import zlib
 
 import pytest
 
@@ -38,9 +40,19 @@ def plain(docs):
     return [(r.doc_id, r.text) for r in docs.collect()]
 
 
-def test_packing(docs, empty):
-    got = packing.pack(docs, size=64, open_bins=4).collect()
-    assert {r.doc_id for r in got} == set(range(66)) and packing.pack(empty).count() == 0
+def test_packing(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_vocabulary())
+    got = packing.pack(docs, size=64, open_bins=4, with_ids=True, share=8).collect()
+    assert packing.pack(empty).count() == 0
+    want = {}
+    for d, t in plain(docs):
+        ids = whole.encode(t or "", add_special_tokens=False).ids + [1]
+        for piece, at in enumerate(range(0, len(ids), 64)):
+            part = ids[at : at + 64]
+            want[d, piece] = (at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)), part)
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32, r.ids) for r in got} == want and len(got) == len(want)
     by = {}
     for r in got:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -50,8 +62,33 @@ def test_packing(docs, empty):
             assert offset == at
             at += length
         assert at <= 64
-    assert [(r.start, r.length) for r in got if r.doc_id == 60] == [(0, 1)]
-    assert all(r.start == 64 * r.piece for r in got)
+    # as few sequences however finely the input is cut
+    tokens = sum(r.length for r in got)
+    for parts in (1, 40):
+        n = packing.pack(docs.repartition(parts), size=64).select("sequence_id").distinct().count()
+        assert n <= 1.05 * tokens / 64 + 1
+    clash = spark.createDataFrame([(1, "a b", 5, True), (1, "a b", 6, None), (None, None, 7, False)], "doc_id long, text string, length int, open boolean")
+    assert sorted((r.doc_id or 0, r.length) for r in packing.pack(clash).collect()) == [(0, 1), (1, 3), (1, 3)]
+
+
+def test_open_bins_against_a_list():
+    """Best fit by looking at every open bin."""
+    r, bins, seen = random.Random(1), packing.OpenBins(100, 5), {}
+    for length in r.choices(range(1, 101), k=3000):
+        fits = [f for f in seen.values() if f >= length]
+        got, offset, closed = bins.place(length)
+        if fits:
+            assert seen[got] == min(fits) and offset == 100 - min(fits)
+        else:
+            assert got not in seen and offset == 0
+            if len(seen) == 5:
+                assert seen[closed[0]] == min(seen.values())
+                del seen[closed[0]]
+            seen[got] = 100
+        seen[got] -= length
+        if not seen[got]:
+            assert closed[-1] == got
+            del seen[got]
 
 
 def test_packing_ids_match_the_tokenizer():

@@ -1,11 +1,11 @@
 """Best-fit packing of token sequences with a bounded number of open bins.
 
-Each scan partition tokenizes and packs what it reads, in one narrow map: nothing is shuffled,
-and a lost task is simply run again. Pieces arrive online; each goes into the open bin
-with the least free space that still holds it. Open bins stand in a bitset keyed by free
-space, so that bin is the lowest set bit at or above the piece's length. Where no bin fits and
-all ``open_bins`` are in use, the fullest closes. At the end of a partition at most
-``open_bins`` bins are left unfilled.
+Each scan partition tokenizes and packs what it reads, in one narrow map, and writes it once. Pieces arrive
+online; each goes into the open bin with the least free space that still holds it. Open bins stand in a
+bitset keyed by free space, so that bin is the lowest set bit at or above the piece's length. Where no bin fits and
+all ``open_bins`` are in use, the fullest closes. At the end of a partition at most ``open_bins`` bins are open. The
+pieces in those are packed once more, by the same rule, in tasks that each get the pieces of many partitions: the
+number of sequences doesn't depend on how finely the input is cut.
 
 Tokenizing works on whitespace-separated chunks. The vocabulary's pre-tokenizer drops
 white space and never joins across it, so a text's ids are its chunks' ids in order; a
@@ -121,7 +121,7 @@ def encoder(vocabulary: str) -> ChunkIds:
 
 
 class OpenBins:
-    """The open bins of one partition: a bitset of their free spaces, and for each the bins that have it."""
+    """The open bins of one task: a bitset of their free spaces, and for each the bins that have it."""
 
     def __init__(self, size: int, limit: int, first: int = 0):
         self.size, self.limit, self.next = size, limit, first
@@ -136,15 +136,15 @@ class OpenBins:
             self.bits ^= 1 << free
         return got
 
-    def place(self, length: int) -> tuple[int, int]:
-        """The bin and the place in it for a piece of this length."""
-        fitting = self.bits >> length
+    def place(self, length: int) -> tuple[int, int, list[int]]:
+        """The bin and the place in it for a piece of this length; the bins that this closes."""
+        fitting, closed = self.bits >> length, []
         if fitting:
             free = length + (fitting & -fitting).bit_length() - 1
             got = self._take(free)
         else:
             if self.count >= self.limit:
-                self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
+                closed.append(self._take((self.bits & -self.bits).bit_length() - 1))  # the fullest
                 self.count -= 1
             got, free = self.next, self.size
             self.next += 1
@@ -154,11 +154,49 @@ class OpenBins:
             self.by_free.setdefault(left, []).append(got)
             self.bits |= 1 << left
         else:
+            closed.append(got)
             self.count -= 1
-        return got, self.size - free
+        return got, self.size - free, closed
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+FIELDS = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()))
+TOLD = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+AT = 5  # where a row's sequence_id and offset stand
+ROWS = 8192
+
+
+def placed(pieces: Iterator[tuple], bins: OpenBins) -> Iterator[tuple[tuple, bool]]:
+    """Rows (..., sequence_id, offset, ...) as their bins close; at the end those of the bins still open, with True.
+    pieces: rows without the two, the length at position 3."""
+    waiting: dict[int, list[tuple]] = {}
+    for row in pieces:
+        where, offset, closed = bins.place(row[3])
+        waiting.setdefault(where, []).append((*row[:AT], where, offset, *row[AT:]))
+        for got in closed:
+            for done in waiting.pop(got):
+                yield done, False
+    for rows in waiting.values():
+        for row in rows:
+            yield row, True
+
+
+def _batches(rows: Iterator[tuple[tuple, bool]], with_ids: bool, with_open: bool) -> Iterator[pa.RecordBatch]:
+    from itertools import batched
+
+    import numpy as np
+
+    for some in batched(rows, ROWS):
+        columns = list(zip(*(row for row, _ in some), strict=True))
+        made = [pa.array(c, t) for c, (_, t) in zip(columns, FIELDS, strict=False)]
+        names = [n for n, _ in FIELDS]
+        if with_ids:
+            ends = np.cumsum([0, *columns[3]])
+            made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(columns[-1]), "<u4").astype(np.int32))))
+            names.append("ids")
+        if with_open:
+            made.append(pa.array([left for _, left in some]))
+            names.append("open")
+        yield pa.RecordBatch.from_arrays(made, names)
 
 
 def pack(
@@ -168,31 +206,42 @@ def pack(
     end_id: int = 1,
     open_bins: int = 64,
     with_ids: bool = False,
+    share: int = 256,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of docs(doc_id, text).
 
     with_ids: also ids, the piece's tokens. ``vocabulary`` is a tokenizer file's path
-    on every executor.
+    on every executor. share: the sequences' worth of leftover pieces that a task of the second packing gets.
     """
     vocabulary = vocabulary or default_vocabulary()
-    schema = SCHEMA.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else SCHEMA
     end = end_id.to_bytes(4, "little")
+    told = TOLD + ", ids array<int>" * with_ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, bins = encoder(vocabulary).encode, OpenBins(size, open_bins, TaskContext.get().partitionId() << 33)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        ids_of = encoder(vocabulary).encode
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
             for doc_id, text in common.rows_of(batch, "doc_id", "text"):
                 ids = ids_of(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
-                    where, offset = bins.place(len(part) // 4)
-                    row = [doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), where, offset]
-                    if with_ids:
-                        row.append(memoryview(part).cast("I").tolist())
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-
-    told = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes()).mapInArrow(run, told)
+                    yield (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *(part,) * with_ids)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(placed(cut(batches), OpenBins(size, open_bins, TaskContext.get().partitionId() << 33)), with_ids, True)
+
+    def rows_again(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            ids = [x.values.to_numpy().astype("<u4").tobytes() for x in batch.column("ids")] if with_ids else None
+            for i, row in enumerate(common.rows_of(batch, *(n for n, _ in FIELDS[:AT]))):
+                yield (*row, *((ids[i],) if with_ids else ()))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(placed(rows_again(batches), OpenBins(size, open_bins, 1 << 62 | TaskContext.get().partitionId() << 33)), with_ids, False)
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes())
+    made, _ = common.save(docs.mapInArrow(first, told + ", open boolean"))
+    left = made.where("open")
+    tasks = max(1, (left.agg(F.sum("length")).first()[0] or 0) // (size * share))
+    # in an order that the layout of the input doesn't decide
+    dealt = left.withColumn("_by", F.xxhash64("doc_id", "piece", "ids_crc32")).repartition(tasks, "_by").sortWithinPartitions("_by", "doc_id", "piece").drop("_by", "open")
+    return made.where("not open").drop("open").unionByName(dealt.mapInArrow(again, told))
