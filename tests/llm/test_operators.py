@@ -111,6 +111,59 @@ def test_substring(spark, docs, empty):
     assert len(substring.strip(twice).collect()) == 4
 
 
+def test_repeats_of_every_kind(spark):
+    """Passages that share parts, few words in all, one hot passage, long words, repeats inside a text."""
+    import hashlib
+
+    r = random.Random(9)
+    few, many = ["a", "b"], ["v%d" % i for i in range(400)]
+    hot = r.choices(many, k=55)
+    texts = []
+    for i in range(150):
+        own = r.choices(many, k=r.randint(0, 50))
+        cut_ = r.randint(0, 30)
+        texts.append(own + (hot[cut_ : cut_ + r.randint(10, 55)] if i % 3 else hot) + r.choices(many, k=r.randint(0, 30)))
+    texts += [r.choices(few, k=r.randint(15, 60)) for _ in range(40)] + [["to"] * 70, ["x" * 3000] * 25 + ["y" * 1200], ["x" * 3000] * 30, texts[3] * 3]
+    texts += [t[: r.randint(0, len(t))] + [r.choice(many)] + t[r.randint(0, len(t)) :] for t in r.choices(texts, k=60)]
+    ids = r.sample(range(1000), len(texts))
+    df = spark.createDataFrame([(i, r.choice([" ", "\n", " \t"]).join(t), 1) for i, t in zip(ids, texts)], "doc_id long, text string, start int").repartition(5)
+    want = brute.substring([(x.doc_id, x.text) for x in df.collect()])
+    for crowd in (4096, 2):
+        got = {x.doc_id: (x.n_words, x.n_removed, hashlib.sha256(x.kept).hexdigest()) for x in substring.strip(df, crowd=crowd).collect()}
+        assert got == want
+    assert sum(n for _, n, _ in want.values()) > 3000
+
+
+def test_factors_are_the_longest_matches():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    size = r.integers(4, 12, 80)
+    words = r.integers(0, 3, size.sum()).astype(np.uint64)
+    first = np.cumsum(size) - size
+    count = size - 3
+    starts = np.concatenate([np.arange(f, f + c) for f, c in zip(first, count)])
+    row = np.repeat(np.arange(80), count)
+    room = size[row] - (starts - first[row])
+    place = starts.astype(np.int64)
+    text = [bytes(words[f : f + n].astype(np.uint8)) for f, n in zip(first, size)]
+    got = substring.longest_matches(words, room, starts, place, 4)
+    for k, (s, n) in enumerate(zip(starts, room)):
+        own = bytes(words[s : s + n].astype(np.uint8))
+        best = max((m for m in range(4, n + 1) for j in range(k) if room[j] >= m and bytes(words[starts[j] : starts[j] + m].astype(np.uint8)) == own[:m]), default=0)
+        assert got[k] == best
+    begin = np.cumsum(count) - count
+    at, length = substring.parse(got, begin, count, 4)
+    for i in range(80):
+        want, p = [], 0
+        while p < count[i]:
+            n = got[begin[i] + p]
+            if n:
+                want.append((begin[i] + p, n))
+            p += n - 3 if n else 1
+        assert sorted((a, n) for a, n in zip(at, length) if begin[i] <= a < begin[i] + count[i]) == want and text
+
+
 def test_simhash(spark, docs, empty):
     got = sorted((r.doc_id, f"{r.fp & (1 << 64) - 1:016x}", r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == brute.simhash(plain(docs)) and simhash.near_duplicates(empty).count() == 0

@@ -6,10 +6,10 @@ exactly what ``bytes.split()`` yields, so texts travel to Python as binary, unde
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +32,12 @@ def text_bytes(col: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. One on a single machine's disk will do only where that machine runs everything."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
     return folder
 
 
@@ -76,3 +77,38 @@ def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 def parallel(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows of addends(): a piece of an array and its weight.
+ADDENDS = "part int, n double, values binary"
+PIECE = 4096
+
+
+def addends(values: np.ndarray, weight: float) -> pa.RecordBatch:
+    """What a task adds to a sum of arrays over all tasks."""
+    pieces = [values[i : i + PIECE].astype(np.float64).tobytes() for i in range(0, len(values), PIECE)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([float(weight)] * len(pieces)), pa.array(pieces, pa.binary())], ["part", "n", "values"])
+
+
+def _added(rows: DataFrame, *keys: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for part, n, values in rows_of(batch, "part", "n", "values"):
+                x = np.frombuffer(values, np.float64)
+                if part in sums:
+                    sums[part][0] += n
+                    sums[part][1] += x
+                else:
+                    sums[part] = [n, x.copy()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.float64()), pa.array([x.tobytes() for _, x in sums.values()], pa.binary())], ["part", "n", "values"])
+
+    return rows.repartition(parallel(rows.sparkSession), *keys).select("part", "n", "values").mapInArrow(run, ADDENDS)
+
+
+def summed(rows: DataFrame) -> np.ndarray:
+    """The sum of all tasks' addends() over the sum of their weights; empty if there are none. Groups of 256 tasks are added first; a task
+    holds one array for each of its pieces, the driver the whole."""
+    near = _added(rows.withColumn("group", F.floor(F.spark_partition_id() / 256)), "part", "group")
+    found = _added(near, "part").orderBy("part").collect()
+    return np.concatenate([np.frombuffer(r["values"], np.float64) / r.n for r in found]) if found else np.zeros(0)

@@ -45,8 +45,6 @@ HELD = 6_000_000
 ROUNDS = ((0, 1), (1, 4), (4, 16))
 #: Tokens that training carries the state over.
 PIECE = 512
-#: Weights in a row of what tasks send.
-CHUNK = 4096
 
 
 def held_out(doc_id: Column) -> Column:
@@ -480,24 +478,6 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             a = b
 
 
-def _added(rows: DataFrame, *keys: str) -> DataFrame:
-    """part, n, values: sums of the values of rows(part, n, values binary) that share their keys; a task holds one sum for each of its parts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for part, n, values in common.rows_of(batch, "part", "n", "values"):
-                x = np.frombuffer(values, np.float64)
-                if part in sums:
-                    sums[part][0] += n
-                    sums[part][1] += x
-                else:
-                    sums[part] = [n, x.copy()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.float64()), pa.array([x.tobytes() for _, x in sums.values()], pa.binary())], ["part", "n", "values"])
-
-    return rows.repartition(common.parallel(rows.sparkSession), *keys).select("part", "n", "values").mapInArrow(run, "part int, n double, values binary")
-
-
 def train(net: Network, docs: DataFrame, rate: float = 0.03) -> None:
     """Rounds of training on docs(doc_id, train, ids) of encoded(), in place."""
     part = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(16))
@@ -511,15 +491,11 @@ def train(net: Network, docs: DataFrame, rate: float = 0.03) -> None:
                 train_here(descent, ids, lengths)
                 n += len(ids)
             if n:
-                flat = mine.get().astype(np.float64) * n
-                pieces = [flat[i : i + CHUNK].tobytes() for i in range(0, len(flat), CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([float(n)] * len(pieces)), pa.array(pieces, pa.binary())], ["part", "n", "values"])
+                yield common.addends(mine.get() * np.float64(n), n)
 
-        sums = docs.where(F.col("train") & (part >= a) & (part < b)).select("ids").mapInArrow(run, "part int, n double, values binary")
-        near = _added(sums.withColumn("group", F.floor(F.spark_partition_id() / 256)), "part", "group")
-        rows = _added(near, "part").orderBy("part").collect()  # one network
-        if rows:
-            net.set(np.concatenate([np.frombuffer(r.values, np.float64) / r.n for r in rows]))
+        weights = common.summed(docs.where(F.col("train") & (part >= a) & (part < b)).select("ids").mapInArrow(run, common.ADDENDS))
+        if len(weights):
+            net.set(weights)
 
 
 def learn(docs: DataFrame, head: int = 1 << 18, hidden: int = 24, modelled: int = 8192, inputs: int = 2048) -> tuple[Model, DataFrame]:
