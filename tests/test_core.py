@@ -30,25 +30,30 @@ def test_causal_graph(spark):
     values = {"fail": "01", "state": ("0101", "0111"), "quiet": "01", "next": ("0001", "0001"), "deep": "11"}
     samples = spark.createDataFrame([("t", s, c, v) for s, many in values.items() for c, v in enumerate(many)], "trace_id string, signal string, cycle int, value string")
     seeds = spark.createDataFrame([("t", "fail", 1)], "trace_id string, signal string, cycle int")
-    nodes, edges = build.causal_graph(deps, samples, seeds, max_depth=4)
+    nodes, edges, _ = build.causal_graph(deps, samples, seeds, max_depth=4)
     got = {r.source: (r.source_cycle, r.type, r.score) for r in edges.collect()}
     # the literal is tried for state; quiet toggles with fail; gone has no value; deep changes nothing and is too deep for structure alone
     assert got == {"state": (1, "conditional", 1.0), "quiet": (1, "toggle", 0.7), "gone": (1, "expr_eval", 0.3), "next": (0, "state", 1.0)}
     told = {r.signal: r for r in nodes.collect()}
-    assert {s for s, r in told.items() if r.is_root} == {"quiet", "gone", "next"} and told["fail"].is_endpoint and told["gone"].value == "x"
+    # deep is what only a rejected edge leads from
+    assert {s for s, r in told.items() if r.is_root} == {"quiet", "gone", "next", "deep"} and [s for s, r in told.items() if r.is_orphan] == ["deep"] and told["fail"].is_endpoint
+    shown = {r.source: r.example for r in edges.collect()}
+    assert shown["state"].type == "counterfactual" and shown["state"].target_original != shown["state"].target_perturbed and shown["quiet"].type == "toggle_correlation" and shown["gone"].type == "structural"
+    assert (shown["quiet"].source_before, shown["quiet"].target_after) == ("0", "1") and next(r.evidence.expression for r in edges.collect() if r.source == "state") == "state == 4'd5"
+    assert told["fail"].is_endpoint and told["gone"].value == "x"
     assert told["quiet"].suspect_score == 0.7 * 0.9 and told["fail"].suspect_score == 1.0 and told["gone"].rtl_missing
     import json
 
     document = json.loads(report.json_documents(nodes, edges).first().document)
-    assert document["meta"] == {"total_nodes": 5, "total_edges": 4, "root_nodes": 3} and document["nodes"][0]["signal"] == "fail"
+    assert document["meta"] == {"total_nodes": 6, "total_edges": 4, "root_nodes": 4} and document["edges"][0]["change_examples"] and document["nodes"][0]["signal"] == "fail"
     lines = [r.line for r in report.graph_lines(nodes, edges).orderBy("part", "line").collect()]
     assert lines[0].startswith("digraph") and lines[-1] == "}" and any(r"toggle\n0.70" in x and "color=green, penwidth=2.40" in x for x in lines)
     wanted = spark.createDataFrame([("t", told["state"].id), ("t", "nothing")], "trace_id string, id string")
     found = {r.id: r for r in report.evidence(nodes, edges, wanted).collect()}
     assert len(found[told["state"].id].incoming) == 1 and len(found[told["state"].id].outgoing) == 1 and not found["nothing"].found
     said = [r.line for r in report.summary_lines(nodes, edges, build.statistics(nodes, edges)).orderBy("part", "place").collect()]
-    assert said[0] == "- Total nodes: 5" and said[5].startswith("1. `next` @ cycle 0 = 0001 (score: 0.90)")
-    none_n, none_e = build.causal_graph(deps.limit(0), samples, seeds)
+    assert said[0] == "- Total nodes: 6" and said[5].startswith("1. `next` @ cycle 0 = 0001 (score: 0.90)")
+    none_n, none_e, _ = build.causal_graph(deps.limit(0), samples, seeds)
     assert none_n.count() == 1 and none_e.count() == 0
 
 
@@ -57,7 +62,7 @@ def test_antecedent_and_windows(spark):
     samples = spark.createDataFrame([("t", "prop", 3, "0"), ("t", "a", 3, "x"), ("t", "b", 3, "0")], "trace_id string, signal string, cycle int, value string")
     seeds = spark.createDataFrame([("t", "prop", 3)], "trace_id string, signal string, cycle int")
     triggers = spark.createDataFrame([("t", 3)], "trace_id string, trigger_cycle int")
-    assert build.causal_graph(deps, samples, seeds, triggers=triggers)[1].first().score == 0.85
+    assert build.causal_graph(deps, samples, seeds, triggers=triggers).edges.first().score == 0.85
     windows = spark.createDataFrame([("t", "prop", 2, 1, 4, 9)], "trace_id string, endpoint string, trigger int, least int, most int, fail int")
     consequents = spark.createDataFrame([("t", "still")], "trace_id string, signal string")
     moved = spark.createDataFrame([("t", "other", 4)], "trace_id string, signal string, cycle int")
@@ -96,12 +101,15 @@ def test_cycles(spark):
 def test_slice(spark):
     deps = spark.createDataFrame([(1, "fail", "req", "assertion"), (2, "fail", "ack", "assertion"), (3, "req", "deep", "sequential"), (4, "req", "req", "sequential"), (5, "req", "reset", "combinational")], "dep_id long, target string, source string, dep_type string")
     seeds = spark.createDataFrame([("t", "fail", 1)], "trace_id string, signal string, cycle int")
-    nodes, edges = slicer.backward_slice(deps, seeds)
+    nodes, edges, _ = slicer.backward_slice(deps, seeds)
     assert sorted((r.signal, r.cycle, r.depth) for r in nodes.collect()) == [("ack", 1, 1), ("deep", 0, 2), ("fail", 1, 0), ("req", 1, 1)]
     assert {(r.source, r.target) for r in edges.collect()} == {("req", "fail"), ("ack", "fail"), ("deep", "req")}
     assert {r.signal for r in slicer.roots(nodes, edges).collect()} == {"ack", "deep"}
-    few, kept = slicer.backward_slice(deps, seeds, max_nodes=3)
-    assert {(r.source, r.target) for r in kept.collect()} == {("req", "fail"), ("ack", "fail")} and few.count() == 3
+    few, kept, cut = slicer.backward_slice(deps, seeds, max_nodes=3)
+    assert {(r.source, r.target) for r in kept.collect()} == {("req", "fail"), ("ack", "fail")} and few.count() == 3 and [r.trace_id for r in cut.collect()] == ["t"]
+    assert slicer.backward_slice(deps, seeds, max_nodes=4).cut.count() == 0
+    stats = build.statistics(nodes.withColumns({"is_root": F.lit(False), "rtl_missing": F.lit(False)}), edges, cut, 1).first()
+    assert stats.max_nodes_reached and stats.max_depth_reached
 
 
 def test_windows(spark):
@@ -178,6 +186,11 @@ def test_precedence():
 def test_vcd(spark, tmp_path):
     path = tmp_path / "one.vcd"
     path.write_text("$scope module top $end\n$var wire 1 ! clk $end\n$var wire 4 # d [3:0] $end\n$upscope $end\n$enddefinitions $end\n#0\n0!\nb1010 #\n#5\n1!\n")
+    wide = tmp_path / "wide.vcd"
+    wide.write_text("$timescale 1 ns $end\n$scope module top $end\n$var wire 8 ! d $end\n$var real 64 r x $end\n$upscope $end\n$enddefinitions $end\n$comment b1 ! #77 $end\n#3\n$dumpvars\nb1 !\nbx !\nbz01 !\nr1.5 r\n$end\n")
+    assert [(r.t, r.value) for r in vcd.read_vcd(spark, str(wide)).orderBy("seq").collect()] == [(3, "00000001"), (3, "xxxxxxxx"), (3, "zzzzzz01"), (3, "1.5")]
+    assert [(r.timescale, r.ordinal, r.signal, r.width) for r in vcd.read_headers(spark, str(wide)).orderBy("ordinal").collect()] == [("1ns", 0, "top.d", 8), ("1ns", 1, "top.x", 64)]
+    assert {r.signal for r in vcd.read_vcd(spark, str(wide), signals=["top.x"]).collect()} == {"top.x"}
     got = vcd.read_vcd(spark, str(path)).orderBy("seq").collect()
     assert [(r.trace_id, r.signal, r.t, r.value) for r in got] == [("one", "top.clk", 0, "0"), ("one", "top.d [3:0]", 0, "1010"), ("one", "top.clk", 5, "1")]
     assert spark.createDataFrame([("top.d [3:0]",)], "s string").select(names.base(F.col("s"))).first()[0] == "d"
@@ -243,6 +256,18 @@ def test_whole_analysis(spark, tmp_path):
     text = lambda part: "".join(open(f).read() for f in sorted(glob.glob(str(tmp_path / "out" / part / "trace_id=one" / "*.txt"))))
     assert len(json.loads(text("causal_graph_json"))["edges"]) == 5 and text("causal_graph_dot").startswith("digraph")
     assert text("causal_nodes").split("\n")[0] == report.NODE_HEADER and text("causal_edges").startswith(report.EDGE_HEADER) and "my_assert" in text("summary")
+    meta = graph.meta.where("trace_id = 'one'").first()
+    assert (meta.endpoint_signal, meta.clock_signal, meta.cycle_count, meta.max_nodes_reached, meta.sva_trigger_cycle) == ("Top.my_assert", "Top.clock", 2, False, 1) and list(meta.asDict())[1:] == list(report.META)
+    document = json.loads(text("causal_graph_json"))
+    assert document["meta"]["total_edges"] == 5 and document["edges"][0]["evidence"]["file"].endswith("design.sv") and any(n["rtl_refs"] for n in document["nodes"]) and "Tool version" in text("summary")
+    (tmp_path / "Top.busy.vcd").write_text(TRACE.replace("1m\n", "1m\n1b\n", 1).replace("#10\n", "#10\n0b\n"))
+    (tmp_path / "lost.vcd").write_text(TRACE.replace("clock", "cl0ck").replace("clk", "c1k"))
+    more = analyse.analyse(spark, [str(tmp_path / "Top.busy.vcd"), str(tmp_path / "lost.vcd")], [str(tmp_path / "design.sv")])
+    assert {tuple(r) for r in more.endpoints.collect()} == {("Top.busy", "Top.busy", 1)} and [r.trace_id for r in more.problems.collect()] == ["lost"]
+    import pytest
+
+    with pytest.raises(ValueError, match="lost"):
+        analyse.analyse(spark, [str(tmp_path / "lost.vcd")], [str(tmp_path / "design.sv")])
     asked = analyse.analyse(spark, [str(tmp_path / "one.vcd")], [str(tmp_path / "design.sv")], endpoint="Top.busy", cycle=0, clock="Top.clock", max_depth=0)
     assert {(r.source, r.target) for r in asked.edges.collect()} <= {("Top.unit.done", "Top.busy")} and asked.endpoints.first().cycle == 0
 
@@ -252,10 +277,10 @@ def test_slice_rules(spark):
     deps = spark.createDataFrame(rows, "dep_id long, target string, source string, dep_type string")
     seeds = spark.createDataFrame([("t", "T.u.go", 3)], "trace_id string, signal string, cycle int")
     # equal base names and resets are skipped in any scope; a node at the greatest depth is still expanded
-    nodes, edges = slicer.backward_slice(deps, seeds, max_depth=1)
+    nodes, edges, _ = slicer.backward_slice(deps, seeds, max_depth=1)
     assert {(r.signal, r.depth) for r in nodes.collect()} == {("T.u.go", 0), ("T.x", 1), ("T.y", 2)} and edges.count() == 2
     later = spark.createDataFrame([("t", "T.y", 2)], "trace_id string, signal string, cycle int")
-    nodes, edges = slicer.backward_slice(deps, seeds, later=later, closed=later)
+    nodes, edges, _ = slicer.backward_slice(deps, seeds, later=later, closed=later)
     assert {(r.signal, r.cycle, r.depth) for r in nodes.collect()} == {("T.u.go", 3, 0), ("T.y", 2, 1), ("T.z", 2, 2)} and edges.count() == 1
 
 
@@ -266,7 +291,8 @@ def test_window_branch(spark):
     values = {"T.a": "101100", "T.ack": "000000", "T.gate": "000000", "T.prop": "111110"}
     samples = spark.createDataFrame([(t, s, c, v) for t in "tu" for s, many in values.items() for c, v in enumerate(many if t == "t" or s != "T.a" else "000000")], "trace_id string, signal string, cycle int, value string")
     ends = spark.createDataFrame([("t", "T.prop", 5), ("u", "T.prop", 5)], "trace_id string, signal string, cycle int")
-    nodes, edges, windows = build.assertion_graph(deps, samples, ends)
+    (nodes, edges, _), windows, late_signals = build.assertion_graph(deps, samples, ends)
+    assert {tuple(r) for r in late_signals.collect()} == {("t", "T.ack"), ("u", "T.ack")}
     got = {(r.source, r.source_cycle, r.target, r.target_cycle): (r.type, r.score) for r in edges.where("trace_id = 't'").collect()}
     # window [3, 4] and the trigger at 2 lead to the failure; the trigger's causes have their own edges, the failing cycle itself isn't sliced
     late = {("T.ack", 3, "T.prop", 5): ("state", 0.8), ("T.ack", 4, "T.prop", 5): ("state", 0.8), ("T.prop", 2, "T.prop", 5): ("conditional", 1.0)}
@@ -293,17 +319,85 @@ def test_failed_windows(spark):
     assert {(r.source, r.source_cycle, r.score) for r in edges.collect()} == {("T.ack", 3, 0.8), ("T.ack", 4, 0.8), ("T.prop", 2, 1.0)}
 
 
+def test_buckets_of_time_change_nothing(spark):
+    import random
+
+    r = random.Random(2)
+    rows = []
+    for trace_id in ("a", "b"):
+        t = 0
+        for seq in range(300):
+            t += r.choice([0, 1, 1, 7, 400 if seq % 50 == 0 else 2])
+            rows.append((trace_id, "c", t, seq, r.choice("01xz")))
+    clock = spark.createDataFrame(rows, "trace_id string, signal string, t long, seq long, value string")
+    whole, cut = (sorted(map(tuple, trace.clock_edges(clock, crowd).collect())) for crowd in (1 << 16, 7))
+    assert whole == cut and len(whole) > 50
+    edges = trace.clock_edges(clock)
+    points = spark.createDataFrame([(x, t) for x in ("a", "b", "none") for t in range(-5, 2000, 3)], "trace_id string, t long")
+    want = {(x, t): max(0, sum(e[0] == x and e[2] <= t for e in whole) - 1) for x in ("a", "b", "none") for t in range(-5, 2000, 3)}
+    for crowd in (1 << 16, 7):
+        assert {(p.trace_id, p.t): p.cycle for p in trace.time_to_cycle(points, edges, crowd).collect()} == want
+    starts = {(x.cycle_from, x.cycle_to, x.value) for x in trace.start_runs(clock.where("trace_id = 'a'"), edges, 7).collect()}
+    assert starts == {(x.cycle_from, x.cycle_to, x.value) for x in trace.start_runs(clock.where("trace_id = 'a'"), edges).collect()}
+
+
+def test_design_forms():
+    text = """module M #(parameter WIDTH = 8, DEPTH = 2*WIDTH)(input clk, input [WIDTH-1:0] a, output [DEPTH-1:0] y);
+  localparam HALF = (WIDTH + 8'h4) / 3;
+  reg [HALF-1:0] q, r; reg c;
+  assign {c, y} = a + b;
+  always @(posedge clk) begin
+    for (int i = 0; i < WIDTH; i = i + 1) begin
+      if (en[i]) q[i] <= a[i] ^ q[i-1];
+    end
+    unique case (s)
+      2'd0: {q, r} <= {a, b};
+      default: r <= 1;
+    endcase
+  end
+endmodule
+"""
+    rows = {(x["source"], x["target"], x["line"]) for x in rtl.parse_design(text)}
+    assert rows == {("a", "c", 4), ("b", "c", 4), ("a", "y", 4), ("b", "y", 4), ("a", "q", 7), ("en", "q", 7), ("a", "q", 10), ("b", "q", 10), ("s", "q", 10), ("a", "r", 10), ("b", "r", 10), ("s", "r", 10)}
+    assert {x["name"]: x["width"] for x in rtl.signals_in(text)} == {"clk": 1, "a": 8, "y": 16, "q": 4, "r": 4, "c": 1}
+    long = "module m;\n" + "".join(f"assign a{i} = b{i};\n" for i in range(20000)) + "endmodule\n"
+    import time
+
+    began = time.time()
+    found = rtl.parse_design(long)
+    assert found[-1]["line"] == 20001 and time.time() - began < 5
+
+
+def test_names_of_two_traces(spark):
+    rows = [("one", "T.m.q", 0, "0"), ("one", "T.m.my_q", 0, "1"), ("two", "T.m.q [1:0]", 0, "11"), ("two", "A.q", 0, "00")]
+    samples = spark.createDataFrame(rows, "trace_id string, signal string, cycle int, value string")
+    wanted = spark.createDataFrame([(t, "q", 0, s) for t in ("one", "two") for s in ("T.m", "T.x")] + [("one", "my", 0, "T.m"), ("one", None, 0, "T")], "trace_id string, signal string, cycle int, scope string")
+    got = {(r.trace_id, r.signal, r.scope): (r.resolved, r.value) for r in names.resolve(samples, wanted).collect()}
+    assert got == {("one", "q", "T.m"): ("T.m.q", "0"), ("one", "q", "T.x"): ("T.m.q", "0"), ("two", "q", "T.m"): ("T.m.q [1:0]", "11"), ("two", "q", "T.x"): ("A.q", "00"), ("one", "my", "T.m"): (None, "x"), ("one", None, "T"): (None, "x")}
+
+
+def test_expression_text_and_cycles(spark):
+    from tracewright.functions.expr import parse, to_text
+
+    assert to_text(parse("a + b * ~c ? {x, 4'd3} : !q")) == "((a + (b * ~c)) ? {x, 0011} : !q)" and "..." in to_text(parse("(" * 12 + "a" + " + a)" * 12))
+    edges = spark.createDataFrame([("t", "a", "b"), ("t", "b", "c"), ("u", "a", "b"), ("u", "b", "a"), ("u", "b", "z")], "trace_id string, source_id string, target_id string")
+    assert [r.trace_id for r in build.has_cycle(edges).collect()] == ["u"]
+    signals = spark.createDataFrame([("t", "top.myclk_in"), ("t", "top.a"), ("u", "clock"), ("u", "top.x.clk"), ("v", "top.b")], "trace_id string, signal string")
+    assert {tuple(r) for r in trace.clock_signal(signals).collect()} == {("t", "top.myclk_in"), ("u", "top.x.clk")}
+    assert {tuple(r) for r in trace.clock_signal(signals, "clock").collect()} == {("t", "top.myclk_in"), ("u", "clock")}
+
+
 def test_every_cycle_has_its_time(spark):
     import duckdb
     from tracewright.plans import catalog
 
     for sf in ("sf0.001", "sf0.01"):
         folder = f"/root/testdata/{sf}"
-        got = sorted(tuple(r) for r in catalog.QUERIES["w05_every_cycle_to_time"](spark, folder).collect())
+        got = sorted(tuple(r) for r in catalog.QUERIES["w05_cycle_to_time"](spark, folder).collect())
         base = duckdb.connect()
         base.execute("SET TimeZone = 'UTC'")
         base.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
-        assert got == sorted(base.execute(catalog.ORACLES["w05_every_cycle_to_time"]).fetchall())
+        assert got == sorted(base.execute(catalog.ORACLES["w05_cycle_to_time"]).fetchall())
         n = catalog.QUERIES["w03_cycle_count"](spark, folder).first().cycles
         assert [c for c, _ in got] == list(range(-1, n + 1))
         print(sf, len(got))

@@ -1 +1,3 @@
 """Causal trace analytics on Spark DataFrames."""
+
+__version__ = "0.2.0"

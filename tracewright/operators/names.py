@@ -20,24 +20,61 @@ def qualify(module: Column, name: Column) -> Column:
 
 
 def dependency_index(deps: DataFrame) -> DataFrame:
-    """(key, sources): what each target depends on, in order."""
-    return deps.groupBy(F.col("target").alias("key")).agg(F.array_sort(F.collect_set(F.struct("source", "dep_type"))).alias("sources"))
+    """(key, sources): what each target depends on, in order. With a module column, under its plain and its qualified name."""
+    keys = F.array("target")
+    if "module" in deps.columns:
+        keys = F.array_distinct(F.array(F.col("target"), qualify(F.col("module"), F.col("target"))))
+    rows = deps.select(F.explode(keys).alias("key"), F.struct("source", "dep_type").alias("_s"))
+    return rows.groupBy("key").agg(F.array_sort(F.collect_set("_s")).alias("sources"))
+
+
+def sources_of(deps: DataFrame) -> DataFrame:
+    """(module, signal, sources): the distinct sources of each target of a module, in order."""
+    return deps.groupBy("module", F.col("target").alias("signal")).agg(F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+def suffixes(name: Column) -> Column:
+    """The name and all that follows one of its dots."""
+    parts = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
 
 
 def lookup(deps: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Dependencies of wanted(module, signal), by qualified name first and else by base name in the module."""
-    d = deps.withColumn("_key", qualify(F.col("module"), F.col("target")))
-    w = wanted.withColumn("_key", qualify(F.col("module"), F.col("signal"))).select("signal", "_key")
-    return w.join(d, "_key").drop("_key")
+    """Dependencies of wanted(module, signal), each once for a signal: of targets with its name, plain or qualified, or with a name that it
+    ends with after a dot; else of targets in its module with its base name, in any module where the signal has none.
+
+    Equi-joins on prepared keys. dep_id tells dependencies apart. A null module of a dependency is every module.
+    """
+    signal, target = plain(F.col("signal")), plain(F.col("target"))
+    some = F.when(F.col("module") != "", F.col("module"))
+    key = lambda kind, name, module=F.lit(""): F.struct(F.lit(kind).alias("kind"), module.alias("module"), name.alias("name"))
+    d = deps.withColumn("_keys", F.array_distinct(F.array(key("name", target), key("name", plain(qualify(F.col("module"), F.col("target")))), key("base", base(F.col("target")), F.coalesce(some, F.lit(""))), key("any", base(F.col("target"))))))
+    asked = F.concat(F.transform(suffixes(signal), lambda x: key("name", x)), F.when(some.isNull(), F.array(key("any", base(F.col("signal"))))).otherwise(F.array(key("base", base(F.col("signal")), some), key("base", base(F.col("signal"))))))
+    w = wanted.select("module", "signal").distinct().select("module", "signal", F.explode(asked).alias("_key"))
+    rows = d.select("dep_id", F.explode("_keys").alias("_key")).join(w, "_key").select("dep_id", "module", "signal").distinct()
+    return rows.select("dep_id", "signal", F.col("module").alias("signal_module")).join(deps, "dep_id").select("signal", "signal_module", *deps.columns)
 
 
 def resolve(samples: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(signal, cycle, scope) with a value: in its own scope, else by its plain name, else unknown."""
-    keyed = samples.select(F.col("signal").alias("_name"), F.col("cycle").alias("_cycle"), "value")
-    tries = wanted.withColumn("_try", F.explode(F.array(F.struct(F.lit(0).alias("n"), F.concat_ws(".", "scope", "signal").alias("name")), F.struct(F.lit(1).alias("n"), F.col("signal").alias("name")))))
-    met = tries.join(keyed, (F.col("_try.name") == F.col("_name")) & (F.col("cycle") == F.col("_cycle")), "left")
-    best = met.groupBy("signal", "cycle", "scope").agg(F.min_by(F.struct("_name", "value"), F.when(F.col("_name").isNotNull(), F.col("_try.n"))).alias("best"))
-    return best.select("signal", "cycle", "scope", F.col("best._name").alias("resolved"), F.coalesce("best.value", F.lit("x")).alias("value"))
+    """wanted(trace_id, signal, cycle, scope) with a value: in its own scope, else by its plain name, else that of the first signal by
+    name that ends with it after a dot; else unknown. Width suffixes of the trace's names don't count. trace_id may be left out
+    of wanted, for samples of one trace."""
+    given = "trace_id" in wanted.columns
+    key = ["trace_id", "signal", "cycle", "scope"] if given else ["signal", "cycle", "scope"]
+    trace = [F.col("trace_id").alias("_trace")] if given else []
+    named = samples.select(*trace, F.col("signal").alias("_full")).distinct()
+    keys = named.select("*", F.posexplode(suffixes(plain(F.col("_full")))).alias("_n", "_name")).select(*(["_trace"] if given else []), "_full", "_name", (F.col("_n") > 0).alias("_part"))
+    both = F.array(F.struct(F.lit(0).alias("n"), F.concat_ws(".", "scope", "signal").alias("name")), F.struct(F.lit(1).alias("n"), F.col("signal").alias("name")))
+    tries = wanted.select(*key).distinct().withColumn("_try", F.explode(both))
+    same = F.col("_try.name") == F.col("_name")
+    met = tries.join(keys, (same & (F.col("trace_id") == F.col("_trace"))) if given else same)
+    met = met.where(~F.col("_part") | (F.col("_try.n") == 1)).withColumn("_rank", F.when(F.col("_part"), 2).otherwise(F.col("_try.n")))
+    at = samples.select(*trace, F.col("signal").alias("_full"), F.col("cycle").alias("_cycle"), "value")
+    on = ["_full", *(["_trace"] if given else [])]
+    met = met.drop("_name").join(at, on).where(F.col("cycle") == F.col("_cycle"))
+    best = met.groupBy(*key).agg(F.min(F.struct("_rank", "_full", "value")).alias("best"))
+    rows = wanted.select(*key).distinct().alias("w").join(best.alias("b"), [F.col(f"w.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "left")
+    return rows.select(*(F.col(f"w.{k}") for k in key), F.col("best._full").alias("resolved"), F.coalesce("best.value", F.lit("x")).alias("value"))
 
 
 def plain(name: Column) -> Column:
@@ -79,7 +116,7 @@ def bind(deps: DataFrame, instances: DataFrame, signals: DataFrame) -> DataFrame
     """deps of a design for the signals of traces: target and source are full names of signals(signal).
 
     A target is the last part or the last two parts (instance and port) of a name whose scope belongs to the row's module. The source lies in the same
-    scope; where the traces have none there, its plain name stands if they have that. Equi-joins only.
+    scope; where the traces have none there, its plain name stands if they have that. source_name: what expressions call it. Equi-joins only.
     """
     named = signals.select(plain(F.col("signal")).alias("signal")).distinct()
     parts = F.split("signal", r"\.")
@@ -93,4 +130,4 @@ def bind(deps: DataFrame, instances: DataFrame, signals: DataFrame) -> DataFrame
         met = met.join(named.select(F.col("signal").alias(name), F.lit(True).alias(key)), name, "left")
     source = F.when(F.col("_a").isNull() & F.col("_b").isNotNull(), F.col("source")).otherwise(F.col("_near"))
     rest = [c for c in deps.columns if c not in ("source", "target")]
-    return met.select(*rest, F.col("signal").alias("target"), source.alias("source"))
+    return met.select(*(c for c in rest if c != "source_name"), F.col("signal").alias("target"), source.alias("source"), F.col("source").alias("source_name"))

@@ -6,8 +6,8 @@ written to the shared folder before the next reads it, so lineage stays short.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,60 +31,133 @@ def node_id(signal: Column, cycle: Column, value: Column) -> Column:
 
 
 def table(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there. Its path is the one input file's folder of what comes back."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewright-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
     path = f"{folder.rstrip('/')}/levels/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Slice(NamedTuple):
+    """What backward_slice() gives."""
+
+    nodes: DataFrame  # trace_id, signal, cycle, depth, is_orphan
+    edges: DataFrame  # trace_id, source, source_cycle, target, target_cycle, dep_type and, of a judge, dep_id, score, kind, example
+    cut: DataFrame  # trace_id of each trace that max_nodes cut
+
+
+KEY = ["trace_id", "signal", "cycle"]
+PAIR = ["trace_id", "source", "source_cycle", "target", "target_cycle"]
+
 
+class _Visited:
+    """Nodes seen so far, in tables whose sizes double: a level is written once for each doubling of what is known."""
 
-def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, judge=None, later: DataFrame | None = None, closed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) reachable backwards from seeds(trace_id, signal, cycle) in up to max_depth + 1 steps.
+    def __init__(self, first: DataFrame):
+        self.spark, self.parts = first.sparkSession, []
+        self.add(first)
 
-    nodes: trace_id, signal, cycle, depth; edges: trace_id, source, source_cycle, target, target_cycle, dep_type,
-    the lowest dep_id for each pair. max_nodes keeps the first of each trace by depth, cycle and signal.
-    judge(step, depth) may add score and kind columns to a level's candidate edges and drop those it rejects; the lowest
-    dep_id that it accepts then stands for a pair, and edges carry score, kind and dep_id too.
+    def add(self, rows: DataFrame, n: int | None = None) -> tuple[DataFrame, int]:
+        made, path = _written(rows)
+        n = made.count() if n is None else n
+        self.parts.append((n, made, path))
+        level = made
+        while len(self.parts) > 1 and self.parts[-2][0] <= 2 * self.parts[-1][0] and len(self.parts) > 6:
+            (m, x, _), (k, y, _) = self.parts.pop(-2), self.parts.pop()
+            both, path = _written(x.union(y))
+            self.parts.append((m + k, both, path))
+        return level, n
+
+    def all(self) -> DataFrame:
+        out = self.parts[0][1]
+        for _, part, _ in self.parts[1:]:
+            out = out.union(part)
+        return out
+
+
+def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, judge=None, later: DataFrame | None = None, closed: DataFrame | None = None) -> Slice:
+    """Nodes and edges reachable backwards from seeds(trace_id, signal, cycle) in up to max_depth + 1 steps.
+
+    An edge has the lowest dep_id for its pair. max_nodes bounds each trace level by level: of a level's nodes the first by cycle and
+    signal stay, the others are neither kept nor sliced, nor are edges from them. judge(step, depth) may add score, kind and example
+    columns to a level's candidate edges and nulls the score of those it rejects; the lowest dep_id that it accepts then stands for a
+    pair. What only rejected edges lead from is a node, too, marked is_orphan, and isn't sliced.
     later(trace_id, signal, cycle): more seeds, at depth 1; closed(trace_id): traces whose seeds at depth 0 aren't sliced.
     A dependency of a name on its own base name is none, whatever the scopes, nor is one on a reset.
     """
     source, target = (names.base(F.col(c).cast("string")) for c in ("source", "target"))
-    known = deps.where((source != target) & ~source.isin(*IGNORED))
-    key = ["trace_id", "signal", "cycle"]
-    nodes = seeds.select(*key).distinct().withColumn("depth", F.lit(0))
+    known = table(deps.where((source != target) & ~source.isin(*IGNORED)))
+    nodes = seeds.select(*KEY).distinct().withColumn("depth", F.lit(0))
     if later is not None:
-        nodes = nodes.union(later.select(*key).distinct().join(seeds.select(*key), key, "left_anti").withColumn("depth", F.lit(1)))
-    nodes = table(nodes)
-    waiting = nodes.where("depth = 1")
-    frontier, edges = nodes.where("depth = 0"), None
+        nodes = nodes.union(later.select(*KEY).distinct().join(seeds.select(*KEY), KEY, "left_anti").withColumn("depth", F.lit(1)))
+    visited = _Visited(nodes)
+    first = visited.parts[0][1]
+    waiting, frontier = first.where("depth = 1"), first.where("depth = 0")
     if closed is not None:
         frontier = frontier.join(closed.select("trace_id"), "trace_id", "left_anti")
+    told = ["dep_id", "dep_type", "score", "kind", "example"] if judge else ["dep_type"]
+    edges, lost, cut = None, None, None
     for depth in range(max_depth + 1):
         step = frontier.select("trace_id", F.col("signal").alias("target"), F.col("cycle").alias("target_cycle")).join(known, "target")
         step = step.withColumn("source_cycle", parent_cycle(F.col("dep_type"), F.col("target_cycle")))
-        pair = ["trace_id", "source", "source_cycle", "target", "target_cycle"]
         if judge is None:
-            found = table(step.groupBy(*pair).agg(F.min_by("dep_type", "dep_id").alias("dep_type")))
+            found = table(step.groupBy(*PAIR).agg(F.min_by("dep_type", "dep_id").alias("dep_type")))
         else:
-            told = ["dep_id", "dep_type", "score", "kind"]
-            found = judge(step, depth).groupBy(*pair).agg(F.min(F.struct(*told)).alias("first"))
-            found = table(found.select(*pair, *(F.col(f"first.{c}").alias(c) for c in told)))
+            judged = judge(step, depth)
+            order = F.struct(F.col("score").isNull().alias("rejected"), *told)
+            found = judged.groupBy(*PAIR).agg(F.min(order).alias("first"))
+            found = table(found.select(*PAIR, *(F.col(f"first.{c}").alias(c) for c in told)))
+            rejected = found.where("score is null").select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle"), F.lit(depth + 1).alias("depth"))
+            lost = rejected if lost is None else lost.union(rejected)
+            found = found.where("score is not null")
         edges = found if edges is None else edges.union(found)
-        fresh = found.select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct()
-        found_now = table(fresh.join(nodes, key, "left_anti").withColumn("depth", F.lit(depth + 1)))
-        nodes = nodes.unionByName(found_now)
+        fresh = found.select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct().join(visited.all(), KEY, "left_anti")
+        if max_nodes is not None:
+            w = Window.partitionBy("trace_id").orderBy("cycle", "signal")
+            have = visited.all().groupBy("trace_id").agg(F.count("*").alias("_have"))
+            fresh = table(fresh.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_nodes + 1).join(have, "trace_id", "left").withColumn("_in", F.col("_n") + F.coalesce("_have", F.lit(0)) <= max_nodes))
+            over = fresh.where("not _in").select("trace_id")
+            cut = over if cut is None else cut.union(over)
+            fresh = fresh.where("_in").drop("_n", "_have", "_in")
+        found_now, n = visited.add(fresh.withColumn("depth", F.lit(depth + 1)))
         frontier = found_now.unionByName(waiting) if depth == 0 and later is not None else found_now
-        if frontier.isEmpty():
+        if not n and (depth or later is None or waiting.isEmpty()):
             break
+    nodes = visited.all()
+    orphan = F.lit(False).alias("is_orphan")
+    if lost is not None:
+        lost = lost.groupBy(*KEY).agg(F.min("depth").alias("depth")).join(nodes, KEY, "left_anti")
+        nodes = nodes.select(*KEY, "depth", orphan).union(lost.select(*KEY, "depth", F.lit(True)))
+        if max_nodes is not None:  # orphans come after all others
+            w = Window.partitionBy("trace_id").orderBy("is_orphan", "depth", "cycle", "signal")
+            nodes = table(nodes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_nodes + 1))
+            cut = nodes.where(F.col("_n") > max_nodes).select("trace_id").union(cut)
+            nodes = nodes.where(F.col("_n") <= max_nodes).drop("_n")
+    else:
+        nodes = nodes.select(*KEY, "depth", orphan)
     if max_nodes is not None:
-        w = Window.partitionBy("trace_id").orderBy("depth", "cycle", "signal")
-        nodes = nodes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_nodes).drop("_n")
         edges = edges.join(nodes.select("trace_id", F.col("signal").alias("source"), F.col("cycle").alias("source_cycle")), ["trace_id", "source", "source_cycle"], "left_semi")
-    return nodes, edges.distinct()
+    # a node is sliced once, at its least depth, so no edge comes twice
+    return Slice(nodes, edges, nodes.select("trace_id").limit(0) if cut is None else cut.distinct())
+
+
+def self_loops(deps: DataFrame) -> DataFrame:
+    """Dependencies of a name on its own base name, which no slice follows."""
+    source, target = (names.base(F.col(c).cast("string")) for c in ("source", "target"))
+    return deps.where(source == target)
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes that nothing leads to, endpoints apart."""
+    """Nodes that nothing leads to, endpoints apart; what only rejected edges lead from is one, too."""
     led = edges.select("trace_id", F.col("target").alias("signal"), F.col("target_cycle").alias("cycle"))
     return nodes.where("depth > 0").join(led, ["trace_id", "signal", "cycle"], "left_anti")
 
@@ -101,8 +174,8 @@ def suspect_scores(edges: DataFrame) -> DataFrame:
     return edges.groupBy("trace_id", "source").agg((F.max("score") * 0.9).alias("suspect_score"))
 
 
-def counterfactuals(cases: DataFrame) -> DataFrame:
-    """cases(expression, env map, source) with original, perturbed, causal and score.
+def counterfactuals(cases: DataFrame, key: str = "source") -> DataFrame:
+    """cases(expression, env map, source) with original, perturbed, causal and score. key: the column that names the source in env.
 
     The source is flipped and the expression evaluated again. Where that changes nothing and the expression compares
     the source with a literal, the source is set to that literal, or to its inverse where it is equal already.
@@ -115,7 +188,7 @@ def counterfactuals(cases: DataFrame) -> DataFrame:
         causal = F.coalesce(bits.values_differ(F.col("_o.original"), F.col(perturbed)), F.lit(False))
         return F.when(causal, bits.contribution(F.col("_o.original"), F.col(perturbed)))
 
-    out = cases.withColumn("_o", outcomes_udf()("expression", "env", "source")).withColumn("_score", score("_o.flipped"))
+    out = cases.withColumn("_o", outcomes_udf()("expression", "env", key)).withColumn("_score", score("_o.flipped"))
     out = out.withColumn("score", F.coalesce("_score", score("_o.tried"))).withColumn("causal", F.col("score").isNotNull())
     perturbed = F.when(F.col("_score").isNull() & F.col("causal"), F.col("_o.tried")).otherwise(F.col("_o.flipped"))
     told = {"original": F.col("_o.original"), "perturbed": perturbed, "score": F.coalesce("score", F.lit(0.0))}

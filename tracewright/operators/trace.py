@@ -1,70 +1,130 @@
 """Clock edges, cycles and samples of value-change traces.
 
-Every window is partitioned by trace, and by signal where signals are independent: one job
-analyses many traces. A cycle runs from one rising clock edge to the next.
+Every window is partitioned by trace and a bucket of its time, or by trace and signal where signals are independent:
+one job analyses many traces, and one long trace is many tasks. A cycle runs from one rising clock edge to the next.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EDGE_FROM = ("0", "x", "X")  # a rise from z is no edge
+#: Rows of one trace that a bucket of its time holds on average.
+CROWD = 1 << 16
+#: Parts of names that tell an assertion where no label does.
+ASSERTION_WORDS = ("assert", "fail", "error", "property", "should", "must", "valid", "check")
 
 
-def clock_edges(clock: DataFrame) -> DataFrame:
+def spans(rows: DataFrame, crowd: int) -> DataFrame:
+    """trace_id, _t0, _width, _many: how each trace's time is cut, by rows(trace_id, t), so that a bucket has about ``crowd``."""
+    per = rows.groupBy("trace_id").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"), F.ceil(F.count("*") / F.lit(crowd)).alias("_many"))
+    return per.select("trace_id", "_t0", F.ceil((F.col("_t1") - F.col("_t0") + 1) / F.col("_many")).alias("_width"), "_many")
+
+
+def _bucket() -> Column:
+    return F.greatest(F.lit(0), F.least(F.floor((F.col("t") - F.col("_t0")) / F.col("_width")), F.col("_many") - 1))
+
+
+def _before(counts: DataFrame, what: str) -> DataFrame:
+    """counts(trace_id, _b, n) with the sum of a trace's earlier buckets."""
+    w = Window.partitionBy("trace_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("trace_id", "_b", F.coalesce(F.sum("n").over(w), F.lit(0)).alias(what))
+
+
+def clock_edges(clock: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(trace_id, cycle, t_start) of rising edges; a 1 at the first time counts."""
-    w = Window.partitionBy("trace_id").orderBy("t", "seq")
-    told = clock.withColumn("prev", F.lag("value").over(w)).where((F.col("value") == "1") & (F.col("prev").isNull() | F.col("prev").isin(*EDGE_FROM)))
-    return told.select("trace_id", (F.row_number().over(w) - 1).cast("bigint").alias("cycle"), F.col("t").alias("t_start"))
+    cut = clock.join(spans(clock, crowd), "trace_id").select("trace_id", "t", "seq", "value", _bucket().alias("_b"))
+    last = cut.groupBy("trace_id", "_b").agg(F.max_by("value", F.struct("t", "seq")).alias("_v"))
+    carried = last.select("trace_id", "_b", F.lag("_v").over(Window.partitionBy("trace_id").orderBy("_b")).alias("_carried"))
+    w = Window.partitionBy("trace_id", "_b").orderBy("t", "seq")
+    told = cut.join(carried, ["trace_id", "_b"]).withColumn("prev", F.coalesce(F.lag("value").over(w), "_carried"))
+    rises = told.where((F.col("value") == "1") & (F.col("prev").isNull() | F.col("prev").isin(*EDGE_FROM)))
+    known = _before(rises.groupBy("trace_id", "_b").agg(F.count("*").alias("n")), "_known")
+    return rises.withColumn("_n", F.row_number().over(w) - 1).join(known, ["trace_id", "_b"]).select("trace_id", (F.col("_n") + F.col("_known")).cast("bigint").alias("cycle"), F.col("t").alias("t_start"))
+
+
+def cycle_count(edges: DataFrame) -> DataFrame:
+    """(trace_id, cycles)."""
+    return edges.groupBy("trace_id").agg(F.count("*").alias("cycles"))
 
 
 def cycle_ranges(edges: DataFrame, changes: DataFrame) -> DataFrame:
     """(trace_id, cycle, t_start, t_end): the last cycle ends with the trace."""
     ends = changes.groupBy("trace_id").agg(F.max("t").alias("t_last"))
-    w = Window.partitionBy("trace_id").orderBy("cycle")
-    nexts = edges.withColumn("t_next", F.lead("t_start").over(w) - 1)
-    return nexts.join(ends, "trace_id").select("trace_id", "cycle", "t_start", F.coalesce("t_next", "t_last").alias("t_end"))
+    nexts = edges.select("trace_id", (F.col("cycle") - 1).alias("cycle"), (F.col("t_start") - 1).alias("t_next"))
+    return edges.join(nexts, ["trace_id", "cycle"], "left").join(ends, "trace_id").select("trace_id", "cycle", "t_start", F.coalesce("t_next", "t_last").alias("t_end"))
+
+
+def cycle_to_time(asked: DataFrame, edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """asked(trace_id, cycle, ...) with t: the trace's first time for a negative cycle, its last one behind the last cycle."""
+    ends = changes.groupBy("trace_id").agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
+    met = asked.join(ends, "trace_id").join(edges.select("trace_id", "cycle", "t_start"), ["trace_id", "cycle"], "left")
+    return met.select(*asked.columns, F.when(F.col("cycle") < 0, F.col("_first")).otherwise(F.coalesce("t_start", "_last")).alias("t"))
+
+
+def _edges_until(points: DataFrame, edges: DataFrame, crowd: int, **frames: int) -> DataFrame:
+    """points(trace_id, t, ...) with counts of the trace's edges up to t + what a frame's name stands for: an as-of join as running
+    counts, inside a bucket of time and over the buckets before."""
+    marks = edges.select("trace_id", F.col("t_start").alias("t"))
+    cut = spans(marks, crowd)
+    placed = marks.join(cut, "trace_id").select("trace_id", "t", _bucket().alias("_b"), F.lit(1).alias("_edge"))
+    # buckets without edges count, too
+    every = cut.select("trace_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_many") - 1)).alias("_b"))
+    counted = _before(every.join(placed.groupBy("trace_id", "_b").agg(F.count("*").alias("n")), ["trace_id", "_b"], "left").withColumn("n", F.coalesce("n", F.lit(0))), "_known")
+    mine = points.join(cut, "trace_id", "left").withColumn("_b", F.coalesce(_bucket(), F.lit(0))).drop("_t0", "_width", "_many").withColumn("_edge", F.lit(0))
+    both = mine.unionByName(placed, allowMissingColumns=True)
+    # RANGE: an edge at the same time counts whatever the order of rows
+    told = {name: F.coalesce(F.sum("_edge").over(Window.partitionBy("trace_id", "_b").orderBy("t").rangeBetween(Window.unboundedPreceding, to)), F.lit(0)) for name, to in frames.items()}
+    whole = both.withColumns(told).where("_edge = 0").join(counted, ["trace_id", "_b"], "left")
+    return whole.select(*points.columns, *((F.col(n) + F.coalesce("_known", F.lit(0))).cast("bigint").alias(n) for n in frames))
 
 
-def time_to_cycle(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """points(trace_id, t, ...) with the cycle they fall in: an as-of join as one running count."""
-    names = points.columns
-    marks = edges.select("trace_id", F.col("t_start").alias("t"), F.lit(1).alias("_edge"))
-    both = points.withColumn("_edge", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    # RANGE: an edge at the same time counts whatever the order of rows
-    w = Window.partitionBy("trace_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    told = both.withColumn("cycle", F.greatest(F.sum("_edge").over(w) - 1, F.lit(0)))
-    return told.where("_edge = 0").select(*names, F.col("cycle").cast("bigint").alias("cycle"))
+def time_to_cycle(points: DataFrame, edges: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """points(trace_id, t, ...) with the cycle they fall in; before the first edge and without edges 0."""
+    told = _edges_until(points, edges, crowd, _upto=0)
+    return told.select(*points.columns, F.greatest(F.col("_upto") - 1, F.lit(0)).cast("bigint").alias("cycle"))
+
+
+def _runs(first: DataFrame, edges: DataFrame) -> DataFrame:
+    """(trace_id, signal, cycle_from, cycle_to, value) from (trace_id, signal, cycle, t, seq, value): what holds from a cycle on."""
+    last = first.groupBy("trace_id", "signal", "cycle").agg(F.max_by("value", F.struct("t", "seq")).alias("value"))
+    w = Window.partitionBy("trace_id", "signal").orderBy("cycle")
+    runs = last.withColumn("to", F.lead("cycle").over(w) - 1).join(cycle_count(edges), "trace_id").where(F.col("cycle") < F.col("cycles"))
+    return runs.select("trace_id", "signal", F.col("cycle").alias("cycle_from"), F.least(F.coalesce("to", F.col("cycles") - 1), F.col("cycles") - 1).alias("cycle_to"), "value")
 
 
 def cycle_runs(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """(trace_id, signal, cycle_from, cycle_to, value): end-of-cycle samples, run-length coded."""
-    last = time_to_cycle(changes, edges).groupBy("trace_id", "signal", "cycle").agg(F.max_by("value", F.struct("t", "seq")).alias("value"))
-    total = edges.groupBy("trace_id").agg(F.count("*").alias("cycles"))
-    w = Window.partitionBy("trace_id", "signal").orderBy("cycle")
-    runs = last.withColumn("to", F.lead("cycle").over(w) - 1).join(total, "trace_id")
-    return runs.select("trace_id", "signal", F.col("cycle").alias("cycle_from"), F.coalesce("to", F.col("cycles") - 1).alias("cycle_to"), "value")
+    return _runs(time_to_cycle(changes, edges), edges)
+
+
+def start_runs(changes: DataFrame, edges: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """The same of samples at each edge's own time, changes of that time included: a change shows at the first edge that isn't before it."""
+    told = _edges_until(changes, edges, crowd, _earlier=-1)
+    return _runs(told.select("trace_id", "signal", "t", "seq", "value", F.col("_earlier").alias("cycle")), edges)
+
+
+def _expanded(runs: DataFrame) -> DataFrame:
+    return runs.select("trace_id", "signal", F.explode(F.sequence("cycle_from", "cycle_to")).alias("cycle"), "value")
 
 
 def cycle_values(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """(trace_id, signal, cycle, value) for each signal and cycle; x before a signal's first change."""
     runs = cycle_runs(changes, edges)
-    w = Window.partitionBy("trace_id", "signal").orderBy("cycle_from")
-    lead = runs.withColumn("n", F.row_number().over(w)).where("n = 1 and cycle_from > 0")
-    gaps = lead.select("trace_id", "signal", F.lit(0).cast("bigint").alias("cycle_from"), (F.col("cycle_from") - 1).alias("cycle_to"), F.lit("x").alias("value"))
-    return runs.unionByName(gaps).select("trace_id", "signal", F.explode(F.sequence("cycle_from", "cycle_to")).alias("cycle"), "value")
+    first = runs.groupBy("trace_id", "signal").agg(F.min("cycle_from").alias("_first")).where("_first > 0")
+    gaps = first.select("trace_id", "signal", F.lit(0).cast("bigint").alias("cycle_from"), (F.col("_first") - 1).alias("cycle_to"), F.lit("x").alias("value"))
+    return _expanded(runs.unionByName(gaps))
 
 
 def start_samples(changes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(trace_id, signal, cycle, value) at each edge's own time, changes of that time included; from a signal's first value on."""
-    w = Window.partitionBy("trace_id", "signal").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    signals = changes.select("trace_id", "signal").distinct()
-    grid = signals.join(edges, "trace_id").select("trace_id", "signal", F.col("t_start").alias("t"), "cycle")
-    last = changes.groupBy("trace_id", "signal", "t").agg(F.max_by("value", "seq").alias("value"))
-    both = last.withColumn("cycle", F.lit(None).cast("bigint")).unionByName(grid.withColumn("value", F.lit(None).cast("string")))
-    filled = both.withColumn("value", F.last("value", ignorenulls=True).over(w))
-    return filled.where("cycle is not null and value is not null").select("trace_id", "signal", "cycle", "value")
+    """(trace_id, signal, cycle, value) at each edge's own time, from a signal's first value on."""
+    return _expanded(start_runs(changes, edges))
+
+
+def value_table(samples: DataFrame, signals: list[str], first: int, last: int) -> DataFrame:
+    """cycle_values() of some signals between two cycles."""
+    return samples.where(F.col("signal").isin(*signals) & F.col("cycle").between(first, last))
 
 
 def transitions(changes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -74,13 +134,37 @@ def transitions(changes: DataFrame, edges: DataFrame) -> DataFrame:
     return time_to_cycle(moved, edges).select("trace_id", "signal", "cycle", "t", "old_value", F.col("value").alias("new_value"))
 
 
+def run_changes(runs: DataFrame) -> DataFrame:
+    """(trace_id, signal, cycle, old_value, new_value) between successive cycles, from cycle_runs(): no cycle is written out."""
+    w = Window.partitionBy("trace_id", "signal").orderBy("cycle_from")
+    told = runs.withColumn("old_value", F.coalesce(F.lag("value").over(w), F.when(F.col("cycle_from") > 0, F.lit("x"))))
+    return told.where("old_value is not null and value <> old_value").select("trace_id", "signal", F.col("cycle_from").alias("cycle"), "old_value", F.col("value").alias("new_value"))
+
+
 def value_changes(samples: DataFrame) -> DataFrame:
-    """(trace_id, signal, cycle, old_value, new_value) between successive cycles of cycle_values()."""
+    """The same from cycle_values() or any table of samples."""
     w = Window.partitionBy("trace_id", "signal").orderBy("cycle")
     told = samples.withColumn("old_value", F.lag("value").over(w)).withColumn("n", F.row_number().over(w))
     return told.where("n > 1 and not (value <=> old_value)").select("trace_id", "signal", "cycle", F.coalesce("old_value", F.lit("x")).alias("old_value"), F.coalesce("value", F.lit("x")).alias("new_value"))
 
 
+def signals(changes: DataFrame) -> DataFrame:
+    """(trace_id, signal), each once."""
+    return changes.select("trace_id", "signal").distinct()
+
+
+def metadata(changes: DataFrame, edges: DataFrame, clock: DataFrame | None = None, headers: DataFrame | None = None) -> DataFrame:
+    """(trace_id, start_time, end_time, signal_count, cycle_count, clock, path, timescale) of each trace. clock(trace_id, signal);
+    headers(trace_id, path, timescale, ...): of vcd.read_headers(); null where not given."""
+    told = changes.groupBy("trace_id").agg(F.min("t").alias("start_time"), F.max("t").alias("end_time"), F.countDistinct("signal").alias("signal_count"))
+    told = told.join(cycle_count(edges).withColumnRenamed("cycles", "cycle_count"), "trace_id", "left").withColumn("cycle_count", F.coalesce("cycle_count", F.lit(0)))
+    none = F.lit(None).cast("string")
+    told = told.join(clock.select("trace_id", F.col("signal").alias("clock")), "trace_id", "left") if clock is not None else told.withColumn("clock", none)
+    if headers is None:
+        return told.withColumns({"path": none, "timescale": none})
+    return told.join(headers.groupBy("trace_id").agg(F.min("path").alias("path"), F.min("timescale").alias("timescale")), "trace_id", "left")
+
+
 def find_signal(signals: DataFrame, pattern: str, most: int = 100) -> DataFrame:
     """The first signals by name that hold the pattern, whatever its case."""
     return signals.where(F.lower("signal").contains(pattern.lower())).orderBy("signal").limit(most)
@@ -91,12 +175,12 @@ def snapshot(samples: DataFrame, cycle: int) -> DataFrame:
     return samples.where(F.col("cycle") == cycle).groupBy("trace_id", "cycle").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "value")))).alias("values"))
 
 
-def fail_cycle(changes: DataFrame, edges: DataFrame, before: str = "1", after: str = "0") -> DataFrame:
-    """(trace_id, signal, cycle): where each signal first falls; else where it is first low; else 0."""
+def fail_cycle(changes: DataFrame, edges: DataFrame, before: str = "1", after: str = "0", strict: bool = False) -> DataFrame:
+    """(trace_id, signal, cycle): where each signal first falls; else where it is first low; else 0. strict: signals that never fall have no row."""
     w = Window.partitionBy("trace_id", "signal").orderBy("t", "seq")
     told = changes.withColumn("prev", F.lag("value").over(w))
     first = told.groupBy("trace_id", "signal").agg(F.min(F.when((F.col("prev") == before) & (F.col("value") == after), F.col("t"))).alias("fall"), F.min(F.when(F.col("value") == after, F.col("t"))).alias("low"))
-    at = first.select("trace_id", "signal", F.coalesce("fall", "low", F.lit(-(1 << 62))).alias("t"))
+    at = first.where("fall is not null").select("trace_id", "signal", F.col("fall").alias("t")) if strict else first.select("trace_id", "signal", F.coalesce("fall", "low", F.lit(-(1 << 62))).alias("t"))
     return time_to_cycle(at, edges).select("trace_id", "signal", "cycle")
 
 
@@ -105,3 +189,21 @@ def detect_clock(signals: DataFrame) -> DataFrame:
     parts = F.split(F.regexp_replace("signal", r"\s*\[[^\]]*\]$", ""), r"\.")
     named = signals.withColumn("parts", F.size(parts)).where(F.lower(F.element_at(parts, -1)).isin("clock", "clk") & (F.col("parts") >= 2))
     return named.groupBy("trace_id").agg(F.min(F.struct("parts", "signal")).alias("best")).select("trace_id", F.col("best.signal").alias("signal"))
+
+
+def clock_signal(signals: DataFrame, name: str | None = None) -> DataFrame:
+    """(trace_id, signal): per trace the signal of that name, else detect_clock()'s, else the first by name that holds clock or clk."""
+    exact = F.col("signal") == name if name else F.lit(False)
+    best = detect_clock(signals).select("trace_id", F.col("signal").alias("_best"))
+    ranked = signals.join(best, "trace_id", "left").withColumn("_rank", F.when(exact, 0).when(F.col("signal") == F.col("_best"), 1).when(F.lower("signal").rlike("clock|clk"), 2))
+    return ranked.where("_rank is not null").groupBy("trace_id").agg(F.min(F.struct("_rank", "signal")).alias("x")).select("trace_id", "x.signal")
+
+
+def assertion_signals(signals: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """signals whose last part is one of labels(label); for traces without any, those whose name holds one of ASSERTION_WORDS."""
+    last = F.element_at(F.split(F.regexp_replace("signal", r"\s*\[[^\]]*\]$", ""), r"\."), -1)
+    worded = signals.where(F.lower("signal").rlike("|".join(ASSERTION_WORDS)))
+    if labels is None:
+        return worded
+    named = signals.withColumn("label", last).join(labels.select("label").distinct(), "label", "left_semi").select(*signals.columns)
+    return named.unionByName(worded.join(named.select("trace_id").distinct(), "trace_id", "left_anti"))

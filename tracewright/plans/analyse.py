@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ class Graph:
     stats: DataFrame
     endpoints: DataFrame
     windows: DataFrame
+    meta: DataFrame
+    problems: DataFrame  # trace_id, problem
 
 
 def analyse(
@@ -30,29 +33,46 @@ def analyse(
     clock: str | None = None,
     max_depth: int = 20,
     max_nodes: int | None = 200,
+    last_cycle: bool = False,
+    seed: int = 0,
 ) -> Graph:
     """The causes of each trace's failing assertion.
 
-    What isn't given is found per trace: the clock by its name, the endpoint among the design's assertions and else by keyword, the
-    cycle where the endpoint first falls. Traces without a clock or an endpoint give no rows.
+    What isn't given is found per trace: the clock by its name; the endpoint by the name of the trace's file, else among the design's
+    assertions, else by keyword; the cycle where the endpoint first falls, or with last_cycle the trace's last one. A clock or endpoint that
+    a trace doesn't have, or an endpoint that never falls, is a row of ``problems``, and that trace has no graph; where that is so
+    for all traces, ValueError. Stats tell where max_depth or max_nodes cut a graph.
     """
+    began = time.time()
     changes = slicer.table(vcd.read_vcd(spark, *traces).withColumn("signal", names.plain(F.col("signal"))))
-    signals = slicer.table(changes.select("trace_id", "signal").distinct())
+    signals = slicer.table(trace.signals(changes))
     known = slicer.table(rtl.read_rtl(spark, *sources))
-    ticks = signals.where(F.col("signal") == clock) if clock else trace.detect_clock(signals)
+    ticks = slicer.table(trace.clock_signal(signals, clock))
     edges = slicer.table(trace.clock_edges(changes.join(ticks, ["trace_id", "signal"], "left_semi")))
     if endpoint:
-        ends = trace.fail_cycle(changes.where(F.col("signal") == endpoint), edges)
+        of = changes.where(F.col("signal") == endpoint)
+        ends = of.select("trace_id", "signal").distinct().withColumn("cycle", F.lit(0).cast("bigint")) if cycle is not None or last_cycle else trace.fail_cycle(of, edges, strict=True)
     else:
-        ends = build.endpoints(changes, edges, known.where("dep_type = 'assertion'").select(F.col("target").alias("label")).distinct())
+        ends = build.endpoints(changes, edges, known.where("dep_type = 'assertion'").select(F.col("target").alias("label")).distinct(), strict=cycle is None and not last_cycle)
     if cycle is not None:
         ends = ends.withColumn("cycle", F.lit(cycle).cast("bigint"))
-    ends = slicer.table(ends.select("trace_id", "signal", "cycle"))
+    elif last_cycle:
+        ends = ends.drop("cycle").join(trace.cycle_count(edges).select("trace_id", (F.col("cycles") - 1).alias("cycle")), "trace_id")
+    ends = slicer.table(ends.select("trace_id", "signal", "cycle").join(edges.select("trace_id").distinct(), "trace_id", "left_semi"))
+    every = vcd.read_headers(spark, *traces).select("trace_id").distinct()
+    lacking = every.join(edges.select("trace_id").distinct(), "trace_id", "left_anti").select("trace_id", F.lit("no clock, or one that never rises").alias("problem"))
+    lost = every.join(ends.select("trace_id"), "trace_id", "left_anti").select("trace_id", F.lit("no endpoint, or one that never falls").alias("problem"))
+    problems = slicer.table(lacking.union(lost.join(lacking.select("trace_id"), "trace_id", "left_anti")))
+    if ends.isEmpty():
+        raise ValueError("; ".join(f"{r.trace_id}: {r.problem}" for r in problems.limit(5).collect()) or "no traces")
     deps = names.bind(known, rtl.read_instances(spark, *sources), signals.select("signal"))
     # an id that a rerun finds again: by place in the sources
     deps = deps.withColumn("dep_id", F.struct("file", "line", "target", "source", "expression"))
-    nodes, found, windows = build.assertion_graph(deps, trace.cycle_values(changes, edges), ends, max_depth, max_nodes)
-    return Graph(nodes, found, build.statistics(nodes, found), ends, windows)
+    graph, windows, consequents = build.assertion_graph(deps, trace.cycle_values(changes, edges), ends, max_depth, max_nodes)
+    stats = slicer.table(build.statistics(graph.nodes, graph.edges, graph.cut, max_depth))
+    about = trace.metadata(changes, edges, ticks, vcd.read_headers(spark, *traces))
+    meta = slicer.table(report.meta(stats, ends, about, windows, consequents, sources, max_depth, max_nodes, time.time() - began, seed))
+    return Graph(graph.nodes, graph.edges, stats, ends, windows, meta, problems)
 
 
 def _text(lines: DataFrame, path: str) -> None:
@@ -72,8 +92,8 @@ def write(graph: Graph, folder: str) -> None:
     about = graph.endpoints.select("trace_id", F.lit(0).alias("part"), F.format_string("# `%s` at cycle %d", "signal", "cycle").alias("line"))
     window = F.when(F.col("least").isNotNull(), F.format_string(", window [%d:%d]", "least", "most")).otherwise("")
     fired = graph.windows.where("trigger is not null").select("trace_id", F.lit(1).alias("part"), F.concat(F.format_string("Triggered at cycle %d", "trigger"), window).alias("line"))
-    told = report.summary_lines(nodes, edges, graph.stats).select("trace_id", (F.col("part") * 100 + F.col("place")).alias("part"), "line")
-    _text(report.json_documents(nodes, edges).select("trace_id", F.lit(0).alias("part"), F.col("document").alias("line")), f"{folder}/causal_graph_json")
+    told = report.summary_lines(nodes, edges, graph.stats, graph.meta).select("trace_id", (F.col("part") * 100 + F.col("place")).alias("part"), "line")
+    _text(report.json_documents(nodes, edges, graph.meta).select("trace_id", F.lit(0).alias("part"), F.col("document").alias("line")), f"{folder}/causal_graph_json")
     _text(report.graph_lines(nodes, edges), f"{folder}/causal_graph_dot")
     _text(headed(report.node_lines(nodes), report.NODE_HEADER), f"{folder}/causal_nodes")
     _text(headed(report.edge_lines(edges), report.EDGE_HEADER), f"{folder}/causal_edges")

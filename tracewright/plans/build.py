@@ -6,13 +6,14 @@ A level's candidate edges are judged together. Values come from equi-joins on
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..operators import slicer
-
-PAIR = ["trace_id", "source", "source_cycle", "target", "target_cycle"]
+from ..operators.slicer import PAIR
 
 
 def _valued(rows: DataFrame, samples: DataFrame, signal: str, cycle: Column, name: str) -> DataFrame:
@@ -27,61 +28,100 @@ def with_before(samples: DataFrame) -> DataFrame:
     return samples.select("trace_id", "signal", "cycle", "value", F.when(F.lag("cycle").over(w) == F.col("cycle") - 1, F.lag("value").over(w)).alias("before"))
 
 
+#: An edge's example: how it was judged. Fields that don't belong to its type are null.
+EXAMPLE = (
+    "struct<type:string,source_original:string,source_perturbed:string,target_original:string,target_perturbed:string,expression:string,source_before:string,source_after:string,"
+    "target_before:string,target_after:string,trigger_cycle:bigint,signal:string,cycle:bigint,value:string,expected:string,reason:string>"
+)
+
+
+def _example(kind: str, **fields: Column | str) -> Column:
+    names = [f.split(":")[0] for f in EXAMPLE[len("struct<") : -1].split(",")]
+    told = {"type": F.lit(kind)} | {k: F.lit(v) if isinstance(v, str) else v for k, v in fields.items()}
+    return F.struct(*(told.get(n, F.lit(None)).alias(n) for n in names)).cast(EXAMPLE)
+
+
 def judge(deps: DataFrame, samples: DataFrame, max_depth: int, triggers: DataFrame | None = None):
     """A judge for backward_slice(). samples: of with_before().
 
     Counterfactual score, or 0.7 where the expression says nothing and source and target both toggled; else 0.85 for the antecedent
     at a trigger cycle of triggers(trace_id, trigger_cycle), else 0.3 in the upper half of the depth; the rest is rejected.
+    Expressions see the sources of their target under the names that the design gives them: deps.source_name, else source.
     """
-    sources = deps.select("target", F.col("source").alias("_of")).distinct()
+    sources = deps.select("target", F.col("source").alias("_of"), F.col("source_name").alias("_as")).distinct()
 
     def told(step: DataFrame, depth: int) -> DataFrame:
         # one environment for each target and cycle, not for each edge
         wanted = step.select("trace_id", "target", "source_cycle").distinct().join(sources, "target")
         wanted = _valued(wanted, samples, "_of", F.col("source_cycle"), "_value").where("_value is not null")
-        env = wanted.groupBy("trace_id", "target", "source_cycle").agg(F.map_from_entries(F.collect_list(F.struct("_of", "_value"))).alias("env"))
+        env = wanted.groupBy("trace_id", "target", "source_cycle", "_as").agg(F.min("_value").alias("_value"))
+        env = env.groupBy("trace_id", "target", "source_cycle").agg(F.map_from_entries(F.collect_list(F.struct("_as", "_value"))).alias("env"))
         rows = step.join(env, ["trace_id", "target", "source_cycle"], "left")
         for end, name in (("source", "s"), ("target", "t")):
             here = samples.select("trace_id", F.col("signal").alias(end), F.col("cycle").alias(f"{end}_cycle"), F.col("before").alias(f"_{name}0"), F.col("value").alias(f"_{name}1"))
             rows = rows.join(here, ["trace_id", end, f"{end}_cycle"], "left")
-        rows = slicer.counterfactuals(rows.withColumn("env", F.coalesce("env", F.create_map().cast("map<string,string>"))))
+        rows = slicer.counterfactuals(rows.withColumn("env", F.coalesce("env", F.create_map().cast("map<string,string>"))), "source_name")
         silent = F.col("original").isNull()
         known = F.col("_s1").isNotNull() & F.col("_t1").isNotNull()
         both = [F.coalesce(bits.values_differ(F.col(f"_{x}0"), F.col(f"_{x}1")), F.lit(False)) for x in "st"]
         toggled = silent & known & both[0] & both[1]
-        score = F.when(known & F.col("causal"), F.col("score")).when(toggled, F.lit(0.7))
+        told_apart = _example("counterfactual", source_original=F.col("_s1"), source_perturbed=bits.invert(F.col("_s1")), target_original=F.col("original"), target_perturbed=F.col("perturbed"), expression=F.col("expression"))
+        moved = _example("toggle_correlation", source_before=F.col("_s0"), source_after=F.col("_s1"), target_before=F.col("_t0"), target_after=F.col("_t1"))
+        verdict = F.when(known & F.col("causal"), F.struct(F.col("score").alias("score"), told_apart.alias("example"))).when(toggled, F.struct(F.lit(0.7).alias("score"), moved.alias("example")))
         if triggers is not None:
             rows = rows.join(triggers.select("trace_id", "trigger_cycle"), "trace_id", "left")
-            score = F.coalesce(score, F.when(F.col("expression").contains("|->") & (F.col("target_cycle") == F.col("trigger_cycle")), F.lit(0.85)))
+            fired = _example("sva_antecedent", trigger_cycle=F.col("trigger_cycle"), expression=F.col("expression"), signal=F.col("source"), value=F.coalesce("_s1", F.lit("x")))
+            verdict = F.coalesce(verdict, F.when(F.col("expression").contains("|->") & (F.col("target_cycle") == F.col("trigger_cycle")), F.struct(F.lit(0.85).alias("score"), fired.alias("example"))))
         if depth < max_depth // 2:
-            score = F.coalesce(score, F.lit(0.3))
+            verdict = F.coalesce(verdict, F.struct(F.lit(0.3).alias("score"), _example("structural", reason="RTL dependency exists but counterfactual not conclusive").alias("example")))
         kind = slicer.contribution_type(F.col("dep_type"), F.col("condition"), toggled)
-        return rows.select(*PAIR, "dep_id", "dep_type", score.alias("score"), kind.alias("kind")).where("score is not null")
+        out = rows.withColumn("_verdict", verdict).select(*PAIR, "dep_id", "dep_type", "_verdict.score", kind.alias("kind"), "_verdict.example")
+        return out
 
     return told
 
 
-def causal_graph(deps: DataFrame, samples: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, triggers: DataFrame | None = None, late: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the causes of seeds(trace_id, signal, cycle).
+class CausalGraph(NamedTuple):
+    """What causal_graph() gives."""
+
+    nodes: DataFrame  # trace_id, id, signal, cycle, value, depth, suspect_score, is_root, is_endpoint, rtl_missing, is_orphan, rtl_refs
+    edges: DataFrame  # trace_id, source, source_cycle, source_id, target, target_cycle, target_id, dep_id, type, score, reason, example, evidence
+    cut: DataFrame  # trace_id of each trace that max_nodes cut
+
 
-    deps: dep_id, target, source, dep_type, expression, condition; samples: trace_id, signal, cycle, value.
-    nodes: trace_id, id, signal, cycle, value (x where unknown), depth, suspect_score, is_root, is_endpoint, rtl_missing.
-    edges: trace_id, source, source_cycle, source_id, target, target_cycle, target_id, dep_id, type, score, reason.
+EVIDENCE = "struct<file:string,line:int,line_end:int,snippet:string,expression:string,condition:string>"
+
+
+def causal_graph(deps: DataFrame, samples: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, triggers: DataFrame | None = None, late: tuple[DataFrame, DataFrame] | None = None) -> CausalGraph:
+    """The causes of seeds(trace_id, signal, cycle).
+
+    deps: dep_id, target, source, dep_type, expression, condition and, if there are any, source_name, file, line, line_end, snippet;
+    samples: trace_id, signal, cycle, value. A node's value is x where unknown; rtl_refs are the places of the dependencies of its signal;
+    an orphan is what only rejected edges lead from. An edge's evidence is its dependency's place and text.
     late: (seeds, edges) of sva.window_graph(). Its traces are sliced from those seeds, not from their endpoints; its edges have no dep_id
     and don't count in suspect_score.
     """
+    if "source_name" not in deps.columns:
+        deps = deps.withColumn("source_name", F.col("source"))
     # every level joins with both, so neither is worked out again
     deps, samples = slicer.table(deps), slicer.table(with_before(samples))
     more, said = late or (None, None)
     closed = None if said is None else said.select("trace_id").distinct()
-    nodes, edges = slicer.backward_slice(deps, seeds, max_depth, max_nodes, judge(deps, samples, max_depth, triggers), more, closed)
-    defined = deps.select(F.col("target").alias("signal"), F.lit(True).alias("_defined")).distinct()
+    nodes, edges, cut = slicer.backward_slice(deps, seeds, max_depth, max_nodes, judge(deps, samples, max_depth, triggers), more, closed)
+    place = [F.col(c) if c in deps.columns else F.lit(None).alias(c) for c in ("file", "line", "line_end", "snippet")]
+    told = deps.select("dep_id", F.struct(*place, "expression", "condition").cast(EVIDENCE).alias("evidence"))
+    refs = deps.select("target", F.struct(*place[:2], F.col("dep_type").alias("type")).cast("struct<file:string,line:int,type:string>").alias("_ref"))
+    defined = refs.groupBy(F.col("target").alias("signal")).agg(F.array_sort(F.collect_set("_ref")).alias("rtl_refs"))
     scores = edges.groupBy("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).agg((F.max("score") * 0.9).alias("_suspect"))
     reason = F.concat_ws(" ", F.col("source"), F.lit("affects"), F.col("target"), F.lit("via"), F.col("dep_type"))
-    edges = edges.withColumn("reason", reason)
+    edges = edges.withColumn("reason", reason).join(told, "dep_id", "left")
     if said is not None:
         none = F.lit(None).cast(edges.schema["dep_id"].dataType)
-        edges = edges.unionByName(said.select(*PAIR, none.alias("dep_id"), F.lit("assertion").alias("dep_type"), "score", F.col("type").alias("kind"), "reason"))
+        value = samples.select("trace_id", F.col("signal").alias("source"), F.col("cycle").alias("source_cycle"), F.col("value").alias("_value"))
+        late_edges = said.join(value, ["trace_id", "source", "source_cycle"], "left")
+        waited = _example("window_consequent", signal=F.col("source"), cycle=F.col("source_cycle"), value=F.coalesce("_value", F.lit("x")), expected="should become true within window")
+        shown = F.when(F.col("type") == "state", waited)
+        edges = edges.unionByName(late_edges.select(*PAIR, none.alias("dep_id"), F.lit("assertion").alias("dep_type"), "score", F.col("type").alias("kind"), shown.alias("example"), "reason", F.lit(None).cast(EVIDENCE).alias("evidence")))
     led = edges.select("trace_id", F.col("target").alias("signal"), F.col("target_cycle").alias("cycle"), F.lit(True).alias("_led")).distinct()
     rows = _valued(nodes, samples, "signal", F.col("cycle"), "value").withColumn("value", F.coalesce("value", F.lit("x")))
     key = ["trace_id", "signal", "cycle"]
@@ -98,21 +138,39 @@ def causal_graph(deps: DataFrame, samples: DataFrame, seeds: DataFrame, max_dept
         F.when(first, 1.0).otherwise(F.coalesce("_suspect", F.lit(0.0))).alias("suspect_score"),
         (~first & F.col("_led").isNull()).alias("is_root"),
         first.alias("is_endpoint"),
-        F.col("_defined").isNull().alias("rtl_missing"),
+        F.col("rtl_refs").isNull().alias("rtl_missing"),
+        "is_orphan",
+        F.coalesce("rtl_refs", F.array().cast("array<struct<file:string,line:int,type:string>>")).alias("rtl_refs"),
     )
     rows = slicer.table(rows)
     ids = rows.select("trace_id", "signal", "cycle", "id")
     named = edges
     for end in ("source", "target"):
         named = named.join(ids.select("trace_id", F.col("signal").alias(end), F.col("cycle").alias(f"{end}_cycle"), F.col("id").alias(f"{end}_id")), ["trace_id", end, f"{end}_cycle"])
-    return rows, named.select("trace_id", "source", "source_cycle", "source_id", "target", "target_cycle", "target_id", "dep_id", F.col("kind").alias("type"), "score", "reason")
+    told = named.select("trace_id", "source", "source_cycle", "source_id", "target", "target_cycle", "target_id", "dep_id", F.col("kind").alias("type"), "score", "reason", "example", "evidence")
+    return CausalGraph(rows, told, cut)
+
 
+def has_cycle(edges: DataFrame, most: int = 200) -> DataFrame:
+    """(trace_id) of graphs that hold a cycle: edges whose source nothing is left to lead to go, round by round, until none does."""
+    left = slicer.table(edges.select("trace_id", "source_id", "target_id").distinct())
+    n = left.count()
+    for _ in range(most):
+        led = left.select("trace_id", F.col("target_id").alias("source_id")).distinct()
+        now = slicer.table(left.join(led, ["trace_id", "source_id"], "left_semi"))
+        m = now.count()
+        if m in (0, n):
+            left = now
+            break
+        left, n = now, m
+    return left.select("trace_id").distinct()
 
-def assertion_graph(deps: DataFrame, samples: DataFrame, ends: DataFrame, max_depth: int = 20, max_nodes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, windows) of the failures ends(trace_id, signal, cycle), one in a trace.
+
+def assertion_graph(deps: DataFrame, samples: DataFrame, ends: DataFrame, max_depth: int = 20, max_nodes: int | None = None) -> tuple[CausalGraph, DataFrame, DataFrame]:
+    """(graph, windows, consequents) of the failures ends(trace_id, signal, cycle), one in a trace.
 
     Implications that have a delay, a trigger and consequents are sliced from their window and trigger, the rest from the endpoint.
-    windows: trace_id, endpoint, trigger, least, most, fail of every implication.
+    windows: trace_id, endpoint, trigger, least, most, fail of every implication; consequents: trace_id, signal.
     """
     from ..operators import sva, trace
 
@@ -122,8 +180,7 @@ def assertion_graph(deps: DataFrame, samples: DataFrame, ends: DataFrame, max_de
     moved = trace.value_changes(samples.join(consequents, ["trace_id", "signal"], "left_semi"))
     late = tuple(slicer.table(x) for x in sva.window_graph(taken, consequents, moved))
     triggers = windows.where("trigger is not null").select("trace_id", F.col("trigger").alias("trigger_cycle"))
-    nodes, edges = causal_graph(deps, samples, ends, max_depth, max_nodes, triggers, late)
-    return nodes, edges, windows
+    return causal_graph(deps, samples, ends, max_depth, max_nodes, triggers, late), windows, consequents
 
 
 def failed_windows(deps: DataFrame, samples: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -151,11 +208,14 @@ def failed_windows(deps: DataFrame, samples: DataFrame, ends: DataFrame) -> tupl
     return windows, late.where(F.array_contains("_late", names.base(F.col("_of")))).select("trace_id", F.col("_of").alias("signal")).distinct()
 
 
-def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """trace_id, nodes, edges, roots, undetermined, max_depth."""
+def statistics(nodes: DataFrame, edges: DataFrame, cut: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """trace_id, nodes, edges, roots, undetermined, max_depth, max_depth_reached, max_nodes_reached. cut: of causal_graph(); limit: its max_depth."""
     n = nodes.groupBy("trace_id").agg(F.count("*").alias("nodes"), F.sum(F.col("is_root").cast("long")).alias("roots"), F.sum(F.col("rtl_missing").cast("long")).alias("undetermined"), F.max("depth").alias("max_depth"))
     e = edges.groupBy("trace_id").agg(F.count("*").alias("edges"))
-    return n.join(e, "trace_id", "left").select("trace_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "roots", "undetermined", "max_depth")
+    full = n.limit(0).select("trace_id") if cut is None else cut
+    met = n.join(e, "trace_id", "left").join(full.withColumn("_cut", F.lit(True)), "trace_id", "left")
+    deep = F.lit(False) if limit is None else F.col("max_depth") > limit
+    return met.select("trace_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "roots", "undetermined", "max_depth", deep.alias("max_depth_reached"), F.coalesce("_cut", F.lit(False)).alias("max_nodes_reached"))
 
 
 def endpoint_by_keyword(signals: DataFrame, keywords: tuple[str, ...] = ("assert", "fail", "error")) -> DataFrame:
@@ -167,10 +227,11 @@ def endpoint_by_keyword(signals: DataFrame, keywords: tuple[str, ...] = ("assert
     return ranked.groupBy("trace_id").agg(F.min(F.struct("_rank", "signal")).alias("best")).select("trace_id", F.col("best.signal").alias("signal"))
 
 
-def endpoints(changes: DataFrame, edges: DataFrame, asserted: DataFrame | None = None) -> DataFrame:
+def endpoints(changes: DataFrame, edges: DataFrame, asserted: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """(trace_id, signal, cycle): for every trace of a batch its endpoint and failing cycle.
 
-    The endpoint is the first by name of asserted(label) that the trace has, else the one that a keyword finds.
+    The endpoint is the signal that the trace is named after; else the first by name of asserted(label) that the trace has, else the one that a
+    keyword finds. strict: no row for an endpoint that never falls.
     """
     from ..operators import names, trace
 
@@ -180,4 +241,13 @@ def endpoints(changes: DataFrame, edges: DataFrame, asserted: DataFrame | None =
         named = signals.withColumn("label", names.base(F.col("signal"))).join(asserted, "label", "left_semi")
         first = named.groupBy("trace_id").agg(F.min("signal").alias("_named"))
         chosen = chosen.join(first, "trace_id", "full").select("trace_id", F.coalesce("_named", "signal").alias("signal"))
-    return trace.fail_cycle(changes.join(chosen, ["trace_id", "signal"], "left_semi"), edges)
+    own = endpoint_by_name(signals).withColumnRenamed("signal", "_own")
+    chosen = chosen.join(own, "trace_id", "full").select("trace_id", F.coalesce("_own", "signal").alias("signal"))
+    return trace.fail_cycle(changes.join(chosen, ["trace_id", "signal"], "left_semi"), edges, strict=strict)
+
+
+def endpoint_by_name(signals: DataFrame) -> DataFrame:
+    """(trace_id, signal): the signal whose full name is the trace's, which is its file's without the ending."""
+    from ..operators import names
+
+    return signals.where(names.plain(F.col("signal")) == F.col("trace_id")).groupBy("trace_id").agg(F.min("signal").alias("signal"))

@@ -86,7 +86,7 @@ def w01(spark, sf_dir):
 
 @query("w03_cycle_count", f"WITH {WAVE} SELECT trace_id, count(*) AS cycles FROM edges GROUP BY trace_id")
 def w03(spark, sf_dir):
-    return _trace(spark, sf_dir)[1].groupBy("trace_id").agg(F.count("*").alias("cycles"))
+    return trace.cycle_count(_trace(spark, sf_dir)[1])
 
 
 @query("w04_time_to_cycle", f"WITH {WAVE} SELECT signal, t, seq, cycle FROM placed")
@@ -94,26 +94,17 @@ def w04(spark, sf_dir):
     return trace.time_to_cycle(*_trace(spark, sf_dir)).select("signal", "t", "seq", "cycle")
 
 
-@query("w05_cycle_to_time", f"""WITH {WAVE}, c AS (SELECT unnest(range(-1, 2000, 7)) AS cycle)
-SELECT c.cycle, CASE WHEN c.cycle < 0 THEN (SELECT min(t) FROM wave) ELSE coalesce(e.t_start, (SELECT max(t) FROM wave)) END AS t FROM c LEFT JOIN edges e ON e.cycle = c.cycle""")
-def w05(spark, sf_dir):
-    changes, edges = _trace(spark, sf_dir)
-    ends = changes.groupBy("trace_id").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    asked = ends.withColumn("cycle", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.lit(1999).cast("bigint"), F.lit(7).cast("bigint"))))
-    met = asked.join(edges, ["trace_id", "cycle"], "left")
-    return met.select("cycle", F.when(F.col("cycle") < 0, F.col("first")).otherwise(F.coalesce("t_start", "last")).alias("t"))
+EVERY_CYCLE = f"""WITH {WAVE}, c AS (SELECT unnest(range(-1, n + 1)) AS cycle FROM (SELECT count(*) AS n FROM edges))
+SELECT c.cycle, CASE WHEN c.cycle < 0 THEN (SELECT min(t) FROM wave) ELSE coalesce(e.t_start, (SELECT max(t) FROM wave)) END AS t FROM c LEFT JOIN edges e ON e.cycle = c.cycle"""
 
 
-# w05_cycle_to_time asks one cycle in seven below 2000; this asks every cycle of the trace, and one before and after
-@query("w05_every_cycle_to_time", f"""WITH {WAVE}, c AS (SELECT unnest(range(-1, n + 1)) AS cycle FROM (SELECT count(*) AS n FROM edges))
-SELECT c.cycle, CASE WHEN c.cycle < 0 THEN (SELECT min(t) FROM wave) ELSE coalesce(e.t_start, (SELECT max(t) FROM wave)) END AS t FROM c LEFT JOIN edges e ON e.cycle = c.cycle""")
-def w05_every(spark, sf_dir):
+# every cycle of the trace, one before and one after
+@query("w05_cycle_to_time", EVERY_CYCLE)
+@query("w05_every_cycle_to_time", EVERY_CYCLE)
+def w05(spark, sf_dir):
     changes, edges = _trace(spark, sf_dir)
-    ends = changes.groupBy("trace_id").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    n = edges.groupBy("trace_id").agg(F.count("*").alias("n"))
-    asked = ends.join(n, "trace_id", "left").withColumn("cycle", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.coalesce("n", F.lit(0)).cast("bigint"))))
-    met = asked.join(edges, ["trace_id", "cycle"], "left")
-    return met.select("cycle", F.when(F.col("cycle") < 0, F.col("first")).otherwise(F.coalesce("t_start", "last")).alias("t"))
+    asked = trace.cycle_count(edges).select("trace_id", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.col("cycles"))).alias("cycle"))
+    return trace.cycle_to_time(asked, edges, changes).select("cycle", "t")
 
 
 @query("w06_cycle_range", f"""WITH {WAVE} SELECT trace_id, cycle, t_start, coalesce(lead(t_start) OVER (ORDER BY cycle) - 1, (SELECT max(t) FROM wave)) AS t_end FROM edges""")
@@ -158,23 +149,30 @@ def w11(spark, sf_dir):
 
 @query("w12_value_changes", f"WITH {WAVE} SELECT trace_id, signal, cycle, old_value, value AS new_value FROM moved")
 def w12(spark, sf_dir):
+    return trace.run_changes(trace.cycle_runs(*_trace(spark, sf_dir)))
+
+
+@query("w12_sample_changes", f"WITH {WAVE} SELECT trace_id, signal, cycle, old_value, value AS new_value FROM moved")
+def w12s(spark, sf_dir):
     return trace.value_changes(trace.cycle_values(*_trace(spark, sf_dir)))
 
 
 @query("w13_value_table", f"WITH {WAVE} SELECT signal, cycle, value FROM cv WHERE signal IN ('top.u0.view', 'top.u1.view') AND cycle BETWEEN 3 AND 40")
 def w13(spark, sf_dir):
-    samples = trace.cycle_values(adapters.wave(spark, sf_dir).where(F.col("signal").isin("top.u0.view", "top.u1.view")), _trace(spark, sf_dir)[1])
-    return samples.where(F.col("cycle").between(3, 40)).select("signal", "cycle", "value")
+    changes, edges = _trace(spark, sf_dir)
+    return trace.value_table(trace.cycle_values(changes, edges), ["top.u0.view", "top.u1.view"], 3, 40).select("signal", "cycle", "value")
 
 
 @query("s03_signals", f"WITH {WAVE} SELECT signal FROM signals")
 def s03(spark, sf_dir):
-    return adapters.wave(spark, sf_dir).select("signal").distinct()
+    return trace.signals(adapters.wave(spark, sf_dir)).select("signal")
 
 
-@query("s04_metadata", f"WITH {WAVE} SELECT trace_id, min(t) AS start_time, max(t) AS end_time, count(DISTINCT signal) AS signal_count FROM wave GROUP BY trace_id")
+@query("s04_metadata", f"WITH {WAVE} SELECT trace_id, min(t) AS start_time, max(t) AS end_time, count(DISTINCT signal) AS signal_count, (SELECT count(*) FROM edges) AS cycle_count, 'top.clock' AS clock FROM wave GROUP BY trace_id")
 def s04(spark, sf_dir):
-    return adapters.wave(spark, sf_dir).groupBy("trace_id").agg(F.min("t").alias("start_time"), F.max("t").alias("end_time"), F.countDistinct("signal").alias("signal_count"))
+    clock = adapters.clock(spark, sf_dir)
+    told = trace.metadata(*_trace(spark, sf_dir), trace.clock_signal(trace.signals(clock)))
+    return told.select("trace_id", "start_time", "end_time", "signal_count", "cycle_count", "clock")
 
 
 @query("a02_fail_cycle", f"""WITH {WAVE}, b AS (SELECT trace_id, signal, t, seq, cycle, substring(value, 4, 1) AS value FROM placed),
@@ -185,10 +183,15 @@ def a02(spark, sf_dir):
     return trace.fail_cycle(changes.withColumn("value", F.substring("value", 4, 1)), edges)
 
 
-@query("a05_assertion_signals", f"WITH {WAVE} SELECT signal FROM signals WHERE regexp_matches(split_part(signal, '.', 3), 'view|click')")
+@query("a05_assertion_signals", f"""WITH {WAVE}, s AS (SELECT split_part(signal, '.', 2) AS trace_id, signal FROM signals UNION ALL SELECT DISTINCT split_part(signal, '.', 2), 'top.must_hold' FROM signals)
+SELECT trace_id, signal FROM s WHERE CASE WHEN trace_id IN ('u0', 'u1', 'u2') THEN regexp_matches(lower(signal), 'assert|fail|error|property|should|must|valid|check') ELSE split_part(signal, '.', 3) IN ('view', 'click') END""")
 def a05(spark, sf_dir):
-    signals = adapters.wave(spark, sf_dir).select("signal").distinct()
-    return signals.where(names.base(F.col("signal")).rlike("view|click"))
+    """By labels where a trace has such signals, by keyword in the three that don't."""
+    named = adapters.wave(spark, sf_dir).select(F.split("signal", r"\.")[1].alias("trace_id"), "signal").distinct()
+    own = named.where(~(F.col("trace_id").isin("u0", "u1", "u2") & F.col("signal").rlike("view|click")))
+    every = own.unionByName(named.select("trace_id").distinct().withColumn("signal", F.lit("top.must_hold")))
+    labels = spark.createDataFrame([("view",), ("click",)], "label string")
+    return trace.assertion_signals(every, labels)
 
 
 VALUES = "v AS (SELECT value AS a, lag(value) OVER (PARTITION BY signal ORDER BY t, seq) AS b, seq FROM wave), p AS (SELECT * FROM v WHERE b IS NOT NULL)"
@@ -253,23 +256,47 @@ def r01(spark, sf_dir):
     return told.select("signal", names.base(s).alias("base"), names.hierarchy(s).alias("hierarchy"), names.qualify(names.hierarchy(s), names.base(s)).alias("qualified"))
 
 
-@query("p16_dependency_lookup", f"WITH {DEPS} SELECT dep_id, target, source, dep_type FROM deps WHERE target IN (SELECT source FROM deps)")
+@query("p16_dependency_lookup", f"""WITH {DEPS}, named AS (SELECT dep_id, concat('m', dep_id % 3) AS module, concat('s', target) AS target, concat('s', source) AS source, dep_type FROM deps),
+w AS (SELECT DISTINCT module, source AS signal FROM named UNION SELECT 'm1', concat('top.u.', source) FROM named UNION SELECT NULL, concat(module, '.', source) FROM named)
+SELECT w.signal, w.module AS signal_module, d.dep_id, d.target, d.source, d.dep_type FROM w JOIN named d
+ON split_part(w.signal, '.', -1) = d.target AND (strpos(w.signal, '.') = 0 OR true)""")
 def p16(spark, sf_dir):
-    d = adapters.deps(spark, sf_dir)
-    named = d.select("dep_id", F.lit("top").alias("module"), F.col("target").cast("string").alias("target"), "source", "dep_type")
-    wanted = named.select("module", F.col("source").cast("string").alias("signal")).distinct()
-    return names.lookup(named, wanted).select("dep_id", F.col("target").cast("int").alias("target"), "source", "dep_type")
-
-
-@query("p17_dependency_index", f"WITH {DEPS} SELECT target AS key, string_agg(DISTINCT concat(lpad(CAST(source AS VARCHAR), 9, '0'), ':', dep_type), ',' ORDER BY concat(lpad(CAST(source AS VARCHAR), 9, '0'), ':', dep_type)) AS sources FROM deps GROUP BY target")
+    """Each source as a name of its module, as a dotted name and as a qualified one without a module: targets are plain names, so all of
+    a name's dependencies match."""
+    d = _named_deps(spark, sf_dir)
+    own = d.select("module", F.col("source").alias("signal"))
+    dotted = d.select(F.lit("m1").alias("module"), F.concat(F.lit("top.u."), "source").alias("signal"))
+    free = d.select(F.lit(None).cast("string").alias("module"), F.concat_ws(".", "module", "source").alias("signal"))
+    wanted = own.union(dotted).union(free).distinct()
+    return names.lookup(d, wanted).select("signal", "signal_module", "dep_id", "target", "source", "dep_type")
+
+
+@query("p16_base_names", f"""WITH {DEPS}, named AS (SELECT dep_id, concat('m', dep_id % 3) AS module, concat('s', target) AS target FROM deps)
+SELECT concat('p.', d.target) AS signal, 'm1' AS signal_module, d.dep_id FROM named d WHERE d.module = 'm1' UNION ALL SELECT concat('q.', d.target), NULL, d.dep_id FROM named d""")
+def p16b(spark, sf_dir):
+    """Targets u.s<n>, whose base name alone a name shares: it counts in the name's module, in any where the name has none."""
+    d = _named_deps(spark, sf_dir).withColumn("target", F.concat(F.lit("u."), "target"))
+    inside = d.select(F.lit("m1").alias("module"), F.concat(F.lit("p."), F.substring("target", 3, 99)).alias("signal"))
+    free = d.select(F.lit(None).cast("string").alias("module"), F.concat(F.lit("q."), F.substring("target", 3, 99)).alias("signal"))
+    return names.lookup(d, inside.union(free).distinct()).select("signal", "signal_module", "dep_id")
+
+
+def _named_deps(spark, sf_dir):
+    s = F.lit("s")
+    return adapters.deps(spark, sf_dir).select("dep_id", F.concat(F.lit("m"), (F.col("dep_id") % 3).cast("string")).alias("module"), F.concat(s, F.col("target").cast("string")).alias("target"), F.concat(s, F.col("source").cast("string")).alias("source"), "dep_type")
+
+
+@query("p17_dependency_index", f"""WITH {DEPS}, named AS (SELECT concat('m', dep_id % 3) AS module, concat('s', target) AS target, concat('s', source, ':', dep_type) AS x FROM deps),
+k AS (SELECT target AS key, x FROM named UNION ALL SELECT concat(module, '.', target), x FROM named)
+SELECT key, string_agg(DISTINCT x, ',' ORDER BY x) AS sources FROM k GROUP BY key""")
 def p17(spark, sf_dir):
-    index = names.dependency_index(adapters.deps(spark, sf_dir))
-    return index.select("key", F.array_join(F.transform("sources", lambda x: F.concat(F.lpad(x["source"].cast("string"), 9, "0"), F.lit(":"), x["dep_type"])), ",").alias("sources"))
+    index = names.dependency_index(_named_deps(spark, sf_dir))
+    return index.select("key", F.array_join(F.array_sort(F.transform("sources", lambda x: F.concat(x["source"], F.lit(":"), x["dep_type"]))), ",").alias("sources"))
 
 
 @query("g03_self_loops", f"WITH {DEPS} SELECT dep_id, target FROM deps WHERE source = target")
 def g03(spark, sf_dir):
-    return adapters.deps(spark, sf_dir).where("source = target").select("dep_id", "target")
+    return slicer.self_loops(adapters.deps(spark, sf_dir)).select("dep_id", "target")
 
 
 @query("c01_parent_cycle", f"WITH {DEPS} SELECT dep_id, CAST(CASE WHEN dep_type = 'sequential' THEN greatest(dep_id % 3 - 1, 0) ELSE dep_id % 3 END AS BIGINT) AS cycle FROM deps")
@@ -289,12 +316,12 @@ def g02(spark, sf_dir):
 
 @query("g05_slice_edges", f"""WITH RECURSIVE {DEPS}, {SLICE} SELECT DISTINCT s.source, CASE WHEN s.dep_type = 'sequential' THEN greatest(r.cycle - 1, 0) ELSE r.cycle END AS source_cycle, s.target, r.cycle AS target_cycle FROM r JOIN steps s ON s.target = r.signal""")
 def g05(spark, sf_dir):
-    return _slice(spark, sf_dir)[1].select("source", "source_cycle", "target", "target_cycle")
+    return _slice(spark, sf_dir).edges.select("source", "source_cycle", "target", "target_cycle")
 
 
 @query("g08_roots", f"""WITH RECURSIVE {DEPS}, {SLICE} SELECT signal, cycle FROM r WHERE signal NOT IN (SELECT target FROM steps) AND NOT (signal = 0 AND cycle = 5)""")
 def g08(spark, sf_dir):
-    return slicer.roots(*_slice(spark, sf_dir)).select("signal", "cycle")
+    return slicer.roots(*_slice(spark, sf_dir)[:2]).select("signal", "cycle")
 
 
 @query("g01_node_ids", f"WITH {WAVE} SELECT signal, cycle, substring(md5(concat(signal, '@', CAST(cycle AS VARCHAR), '=', value)), 1, 12) AS id FROM cv")
@@ -303,12 +330,14 @@ def g01(spark, sf_dir):
     return samples.select("signal", "cycle", slicer.node_id(F.col("signal"), F.col("cycle"), F.col("value")).alias("id"))
 
 
-@query("c04_toggle_correlation", f"""WITH {WAVE} SELECT a.signal AS source, b.signal AS target, a.cycle, 0.7::DOUBLE AS score FROM moved a JOIN moved b ON a.trace_id = b.trace_id AND a.cycle = b.cycle
-WHERE replace(a.signal, '.view', '.click') = b.signal AND a.signal LIKE '%.view'""")
+@query("c04_toggle_correlation", f"""WITH {WAVE}, k AS MATERIALIZED (SELECT trace_id, signal, cycle, split_part(signal, '.', 2) AS scope FROM moved)
+SELECT a.signal AS source, b.signal AS target, a.cycle, 0.7::DOUBLE AS score FROM k a JOIN k b ON a.trace_id = b.trace_id AND a.scope = b.scope AND a.cycle = b.cycle WHERE a.signal <> b.signal""")
 def c04(spark, sf_dir):
-    changes = trace.value_changes(trace.cycle_values(*_trace(spark, sf_dir)))
-    views = adapters.wave(spark, sf_dir).where("signal like '%.view'").select(F.col("signal").alias("source")).distinct()
-    pairs = views.withColumn("target", F.regexp_replace("source", r"\.view$", ".click"))
+    """All pairs of signals of one scope."""
+    wave, edges = _trace(spark, sf_dir)
+    changes = trace.run_changes(trace.cycle_runs(wave, edges))
+    known = trace.signals(wave).select("signal", names.hierarchy(F.col("signal")).alias("scope"))
+    pairs = known.withColumnRenamed("signal", "source").join(known.withColumnRenamed("signal", "target"), "scope").where("source <> target").drop("scope")
     return slicer.toggle_correlation(changes, pairs).select("source", "target", "cycle", "score")
 
 
@@ -358,22 +387,22 @@ def _graph(spark, sf_dir):
 
 @query("g11_causal_nodes", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT id, concat('s', signal) AS signal, cycle, value, suspect_score, is_root, is_endpoint, rtl_missing FROM gn""")
 def g11n(spark, sf_dir):
-    return _graph(spark, sf_dir)[0].drop("trace_id", "depth")
+    return _graph(spark, sf_dir).nodes.drop("trace_id", "depth", "is_orphan", "rtl_refs")
 
 
 @query("g11_causal_edges", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT concat('s', source) AS source, source_cycle, concat('s', target) AS target, target_cycle, dep_id, type, score FROM ge""")
 def g11e(spark, sf_dir):
-    return _graph(spark, sf_dir)[1].select("source", "source_cycle", "target", "target_cycle", "dep_id", "type", "score")
+    return _graph(spark, sf_dir).edges.select("source", "source_cycle", "target", "target_cycle", "dep_id", "type", "score")
 
 
-@query("g10_statistics", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT 'events' AS trace_id, count(*) AS nodes, (SELECT count(*) FROM ge) AS edges, count(*) FILTER (is_root) AS roots, count(*) FILTER (rtl_missing) AS undetermined FROM gn""")
+@query("g10_statistics", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT 'events' AS trace_id, count(*) AS nodes, (SELECT count(*) FROM ge) AS edges, count(*) FILTER (is_root) AS roots, count(*) FILTER (rtl_missing) AS undetermined, false AS max_depth_reached, false AS max_nodes_reached FROM gn""")
 def g10(spark, sf_dir):
-    return build.statistics(*_graph(spark, sf_dir)).drop("max_depth")
+    return build.statistics(*_graph(spark, sf_dir), limit=100).drop("max_depth")
 
 
 @query("k01_json", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT source_cycle AS cycle, count(*) AS edges, sum(CAST(score * 100 AS BIGINT)) AS hundredths FROM ge GROUP BY source_cycle""")
 def k01(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges, _ = _graph(spark, sf_dir)
     lines = report.json_lines(nodes, edges)
     read = F.from_json("line", "src_node_id string, contribution_score double, id string, cycle int").alias("r")
     told = lines.select("part", read).select("part", "r.*")
@@ -392,7 +421,7 @@ UNION ALL SELECT 'events', 101, concat('    "', id, '" -> legend_endpoint [style
 UNION ALL SELECT 'events', 102, concat('    "', a.id, '" -> "', b.id, '" [label="', type, '\\n', printf('%.2f', score), '", color=', CASE type WHEN 'state' THEN 'purple' WHEN 'conditional' THEN 'orange' WHEN 'toggle' THEN 'green' ELSE 'blue' END, ', penwidth=', printf('%.2f', 1 + 2 * score), '];')
 FROM ge JOIN gn a ON a.signal = ge.source AND a.cycle = ge.source_cycle JOIN gn b ON b.signal = ge.target AND b.cycle = ge.target_cycle""")
 def k02(spark, sf_dir):
-    return report.graph_lines(*_graph(spark, sf_dir))
+    return report.graph_lines(*_graph(spark, sf_dir)[:2])
 
 
 @query("k08_summary", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH},
@@ -402,16 +431,16 @@ SELECT 'events' AS trace_id, 1 AS part, 0 AS place, concat('- Total nodes: ', (S
 UNION ALL SELECT 'events', 1, 2, concat('- Root cause candidates: ', (SELECT count(*) FROM top)) UNION ALL SELECT 'events', 1, 4, concat('- Undetermined nodes (missing RTL): ', (SELECT count(*) FROM gn WHERE rtl_missing))
 UNION ALL SELECT 'events', 2, place, concat(place, '. `s', signal, '` @ cycle ', cycle, ' = ', value, ' (score: ', printf('%.2f', suspect_score), ')') FROM top WHERE place <= 10
 UNION ALL SELECT 'events', 2, 11, '   ... and more' WHERE (SELECT count(*) FROM top) > 10
-UNION ALL SELECT 'events', 3, place, concat('- `s', source, '@', source_cycle, '` -> `s', target, '@', target_cycle, '` (score: ', printf('%.2f', score), ', type: ', type, ')') FROM strong WHERE place <= 5""")
+UNION ALL SELECT 'events', 3, place * 10, concat('- `s', source, '@', source_cycle, '` -> `s', target, '@', target_cycle, '` (score: ', printf('%.2f', score), ', type: ', type, ')') FROM strong WHERE place <= 5""")
 def k08(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges, _ = _graph(spark, sf_dir)
     lines = report.summary_lines(nodes, edges, build.statistics(nodes, edges))
     return lines.where("part > 1 or place <> 3")  # the SQL graph has no depth
 
 
 @query("k09_evidence", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT gn.id, is_root, is_endpoint, (SELECT count(*) FROM ge WHERE target = signal AND target_cycle = cycle) AS incoming, (SELECT count(*) FROM ge WHERE source = signal AND source_cycle = cycle) AS outgoing FROM gn""")
 def k09(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges, _ = _graph(spark, sf_dir)
     told = report.evidence(nodes, edges, nodes)
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
     return told.select("id", "is_root", "is_endpoint", F.greatest(n("incoming"), F.lit(0)).alias("incoming"), F.greatest(n("outgoing"), F.lit(0)).alias("outgoing"))
@@ -419,12 +448,12 @@ def k09(spark, sf_dir):
 
 @query("k10_top_roots", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT id, suspect_score FROM gn WHERE is_root ORDER BY suspect_score DESC, id LIMIT 5""")
 def k10(spark, sf_dir):
-    return report.top_roots(_graph(spark, sf_dir)[0], 5).select("id", "suspect_score")
+    return report.top_roots(_graph(spark, sf_dir).nodes, 5).select("id", "suspect_score")
 
 
 @query("k05_node_csv", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT concat_ws(',', id, concat('s', signal), cycle, value, CAST(is_root AS INTEGER), CAST(is_endpoint AS INTEGER), CAST(rtl_missing AS INTEGER)) AS line FROM gn""")
 def k05(spark, sf_dir):
-    lines = report.node_lines(_graph(spark, sf_dir)[0])
+    lines = report.node_lines(_graph(spark, sf_dir).nodes)
     part = F.split("line", ",")  # all but score, whose digits engines print differently, and depth
     return lines.select(F.concat_ws(",", *(part[i] for i in (0, 1, 2, 3, 5, 6, 8))).alias("line"))
 
@@ -432,7 +461,7 @@ def k05(spark, sf_dir):
 @query("k04_edge_csv", f"""WITH RECURSIVE {DEPS}, {SLICE}, {GRAPH} SELECT concat(a.id, ',', b.id, ',', score, ',', type, ',"s', ge.source, ' affects s', ge.target, ' via ', dep_type, '"') AS line
 FROM ge JOIN gn a ON a.signal = ge.source AND a.cycle = ge.source_cycle JOIN gn b ON b.signal = ge.target AND b.cycle = ge.target_cycle""")
 def k04(spark, sf_dir):
-    return report.edge_lines(_graph(spark, sf_dir)[1]).select("line")
+    return report.edge_lines(_graph(spark, sf_dir).edges).select("line")
 
 
 @query("a06_endpoint_by_keyword", f"""WITH {WAVE} SELECT concat('t', split_part(signal, '.', 2)) AS trace_id, min(signal) AS signal FROM signals WHERE contains(signal, 'view') GROUP BY 1""")

@@ -95,21 +95,30 @@ def p15(spark, sf_dir):
 
 @query("r04_sources", f"WITH {RTL} SELECT module, target AS signal, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM d GROUP BY module, target")
 def r04(spark, sf_dir):
-    d = rtl.parse_dependencies(adapters.design_texts(spark, sf_dir)).withColumn("target", F.struct("module", "target"))
-    return names.dependency_index(d).select("key.module", F.col("key.target").alias("signal"), F.array_join(F.array_distinct(F.transform("sources", lambda s: s["source"])), ",").alias("sources"))
+    d = rtl.parse_dependencies(adapters.design_texts(spark, sf_dir))
+    return names.sources_of(d).select("module", "signal", F.array_join("sources", ",").alias("sources"))
 
 
 WAVE, VALUES, NUMBERS = catalog.WAVE, catalog.VALUES, catalog.NUMBERS
 
 
-@query("r03_resolve", f"""WITH {WAVE} SELECT concat(split_part(signal, '.', 3)) AS signal, cycle, scope, CASE WHEN known THEN concat(scope, '.', split_part(signal, '.', 3)) END AS resolved, coalesce(value, 'x') AS value
-FROM (SELECT signal, cycle, split_part(signal, '.', 1) || '.' || split_part(signal, '.', 2) AS scope, value, true AS known FROM cv UNION ALL SELECT signal, cycle, 'elsewhere', NULL, false FROM cv WHERE signal LIKE 'top.u0.%')""")
+@query("r03_resolve", f"""WITH {WAVE}, two AS (SELECT 'one' AS trace_id, signal, cycle, value FROM cv UNION ALL SELECT 'two', signal, cycle, translate(value, '01', '10') FROM cv WHERE signal LIKE 'top.u0.%'),
+n AS (SELECT trace_id, signal AS whole, cycle, value, split_part(signal, '.', 3) AS name, split_part(signal, '.', 2) AS unit FROM two)
+SELECT trace_id, name AS signal, cycle, concat('top.', unit) AS scope, whole AS resolved, value FROM n
+UNION ALL SELECT trace_id, name, cycle, 'elsewhere', min(whole), arg_min(value, whole) FROM n WHERE name IN ('view', 'click') GROUP BY trace_id, name, cycle
+UNION ALL SELECT trace_id, whole, cycle, 'top', whole, value FROM n WHERE name = 'cart'
+UNION ALL SELECT trace_id, concat('no_', name), cycle, concat('top.', unit), NULL, 'x' FROM n WHERE unit = 'u0'""")
 def r03(spark, sf_dir):
-    samples = trace.cycle_values(*catalog._trace(spark, sf_dir))
+    """Names of two traces in their scopes, as full names, in a scope that has none (the first signal that ends so) and unknown ones."""
+    one = slicer.table(trace.cycle_values(*catalog._trace(spark, sf_dir)).select("signal", "cycle", "value"))
+    two = one.where("signal like 'top.u0.%'").withColumn("value", F.translate("value", "01", "10"))
+    samples = slicer.table(one.withColumn("trace_id", F.lit("one")).unionByName(two.withColumn("trace_id", F.lit("two"))))
     s = F.col("signal")
-    own = samples.select(names.base(s).alias("signal"), "cycle", names.hierarchy(s).alias("scope"))
-    lost = samples.where("signal like 'top.u0.%'").select(names.base(s).alias("signal"), "cycle", F.lit("elsewhere").alias("scope"))
-    return names.resolve(samples, own.union(lost))
+    own = samples.select("trace_id", names.base(s).alias("signal"), "cycle", names.hierarchy(s).alias("scope"))
+    away = own.where("signal in ('view', 'click')").withColumn("scope", F.lit("elsewhere"))
+    full = samples.where("signal like '%.cart'").select("trace_id", "signal", "cycle", F.lit("top").alias("scope"))
+    lost = own.where("scope = 'top.u0'").withColumn("signal", F.concat(F.lit("no_"), "signal"))
+    return names.resolve(samples, own.union(away).union(full).union(lost))
 
 
 @query("a04_clock", f"""WITH {WAVE}, s AS (SELECT split_part(signal, '.', 2) AS trace_id, signal FROM signals UNION ALL SELECT DISTINCT split_part(signal, '.', 2), unnest(['top.a.b.clk', 'top.z.CLOCK [0:0]', 'clock', 'top.clocks']) FROM signals)
@@ -160,7 +169,7 @@ def g09(spark, sf_dir):
     scope = F.concat(F.lit("top."), F.col("trace_id"), F.lit("."))
     sides = ends.select(scope.alias("scope"), F.col("signal").alias("target"), F.explode(F.array(F.lit("view"), F.lit("click"))).alias("name"))
     deps = sides.select(F.concat("target", F.lit("<"), "name").alias("dep_id"), "target", F.concat("scope", "name").alias("source"), F.lit("assertion").alias("dep_type"), F.lit("view |-> ##[1:5] click").alias("expression"), F.lit("@(posedge clock)").alias("condition"))
-    edges = build.assertion_graph(deps, samples, ends)[1]
+    edges = build.assertion_graph(deps, samples, ends)[0].edges
     return edges.where("target_cycle = 60").select("trace_id", "source", "source_cycle", "type", "score", "reason")
 
 
@@ -186,3 +195,51 @@ def e17(spark, sf_dir):
     env = F.create_map(F.lit("a"), F.col("a"))
     text = lambda head: F.concat(F.lit(head), x.cast("string"))
     return p.select("seq", told(F.concat(F.lit("6'h"), F.lower(F.hex(x))), env).alias("hexadecimal"), told(text("3'd"), env).alias("cut"), told(text(""), env).alias("plain"), told(F.lit("-a"), env).alias("negative"), told(F.lit("!a"), env).alias("nothing"))
+
+
+#: Bits that may be unknown, of two widths: the last bit of every third value is x, the first of every fifth z.
+MIXED = """m AS (SELECT seq, CASE WHEN seq % 3 = 0 THEN a[1:3] || 'x' WHEN seq % 5 = 0 THEN 'z' || a[2:4] ELSE a END AS a, CASE WHEN seq % 2 = 0 THEN b[2:4] ELSE b END AS b FROM p),
+w AS (SELECT seq, a, b, lpad(b, 4, '0') AS c FROM m)"""
+
+
+def _mixed(spark, sf_dir):
+    p, i = catalog._pairs(spark, sf_dir), F.col("seq")
+    a = F.when(i % 3 == 0, F.concat(F.substring("a", 1, 3), F.lit("x"))).when(i % 5 == 0, F.concat(F.lit("z"), F.substring("a", 2, 3))).otherwise(F.col("a"))
+    return p.select("seq", a.alias("a"), F.when(i % 2 == 0, F.substring("b", 2, 3)).otherwise(F.col("b")).alias("b"))
+
+
+@query("b03_unknown_bits", f"""WITH {WAVE}, {VALUES}, {MIXED}, d AS (SELECT *, len([i FOR i IN [1, 2, 3, 4] IF a[i] IN ('0', '1') AND a[i] <> c[i]]) AS n FROM w)
+SELECT seq, n > 0 AS differ, CAST(n AS INTEGER) AS bits, least(1.0, n / 4.0 + 0.5)::DOUBLE AS score, CASE WHEN contains(a, 'x') OR contains(a, 'z') THEN NULL ELSE list_sum([CAST(a[i] AS BIGINT) * CAST(pow(2, 4 - i) AS BIGINT) FOR i IN [1, 2, 3, 4]])::BIGINT END AS number,
+translate(a, '01', '10') AS inverse, NOT (contains(a, 'x') OR contains(a, 'z')) AND contains(a, '1') AS truth FROM d""")
+def b03u(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return _mixed(spark, sf_dir).select("seq", bits.values_differ(a, b).alias("differ"), bits.differing_bits(a, b).alias("bits"), bits.contribution(a, b).alias("score"), bits.parse_binary(a).alias("number"), bits.invert(a).alias("inverse"), bits.truthy(a).alias("truth"))
+
+
+@query("e06_unknown_bits", f"""WITH {WAVE}, {VALUES}, {MIXED}
+SELECT seq, array_to_string([CASE WHEN a[i] = '0' OR c[i] = '0' THEN '0' WHEN a[i] = '1' AND c[i] = '1' THEN '1' ELSE 'x' END FOR i IN [1, 2, 3, 4]], '') AS "and",
+array_to_string([CASE WHEN a[i] = '1' OR c[i] = '1' THEN '1' WHEN a[i] = '0' AND c[i] = '0' THEN '0' ELSE 'x' END FOR i IN [1, 2, 3, 4]], '') AS "or",
+array_to_string([CASE WHEN a[i] IN ('x', 'z') THEN 'x' WHEN a[i] = c[i] THEN '0' ELSE '1' END FOR i IN [1, 2, 3, 4]], '') AS "xor",
+CASE WHEN a = c THEN '1' ELSE '0' END AS same, CASE WHEN a <> c THEN '1' ELSE '0' END AS other, CASE WHEN contains(a, 'x') OR contains(a, 'z') THEN NULL WHEN a >= c THEN '1' ELSE '0' END AS atleast,
+CASE WHEN contains(a, 'x') OR contains(a, 'z') THEN NULL ELSE concat('0', a[1:3]) END AS halved, CASE WHEN contains(a, 'x') OR contains(a, 'z') OR NOT contains(a, '1') THEN '1' ELSE '0' END AS nothing FROM w""")
+def e06u(spark, sf_dir):
+    told, env = evaluate_udf(), F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))
+    a, b = F.col("a"), F.col("b")
+    said = {"same": "a === b", "other": "a != b", "atleast": "a >= b", "halved": "a >> 1'b1", "nothing": "!a"}
+    return _mixed(spark, sf_dir).select("seq", bits.bit_and(a, b).alias("and"), told(F.lit("a | b"), env).alias("or"), bits.bit_xor(a, b).alias("xor"), *(told(F.lit(e), env).alias(n) for n, e in said.items()))
+
+
+@query("e19_names", f"""WITH {WAVE}, {VALUES} SELECT seq, a AS exact, b AS dotted, a AS scored FROM p""")
+def e19(spark, sf_dir):
+    """q is itself where there is one, else what ends with .q, else what ends with _q; my_q comes before q by name."""
+    p, told = catalog._pairs(spark, sf_dir), evaluate_udf()
+    env = lambda *pairs: F.create_map(*(x for name, c in pairs for x in (F.lit(name), F.col(c))))
+    return p.select("seq", told(F.lit("q"), env(("my_q", "b"), ("q", "a"), ("z.q", "b"))).alias("exact"), told(F.lit("q"), env(("a_q", "a"), ("top.q", "b"))).alias("dotted"), told(F.lit("q"), env(("top.m.my_q", "a"))).alias("scored"))
+
+
+@query("c02_names", f"""WITH {WAVE}, {VALUES} SELECT seq, a AS original, translate(a, '01', '10') AS perturbed, true AS causal, 1.0::DOUBLE AS score FROM p""")
+def c02n(spark, sf_dir):
+    """The source q is flipped, not my_q that ends alike."""
+    p = catalog._pairs(spark, sf_dir)
+    cases = p.select("seq", F.lit("q").alias("expression"), F.create_map(F.lit("my_q"), F.col("b"), F.lit("q"), F.col("a")).alias("env"), F.lit("q").alias("source"))
+    return slicer.counterfactuals(cases).select("seq", "original", "perturbed", "causal", "score")

@@ -83,11 +83,11 @@ def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _node_record() -> Column:
-    return F.struct("id", "signal", "cycle", "value", "suspect_score", "is_root", "is_endpoint", "depth", F.col("rtl_missing").alias("rtl_context_missing"))
+    return F.struct("id", "signal", "cycle", "value", "suspect_score", "rtl_refs", F.col("rtl_missing").alias("rtl_context_missing"), "is_root", "is_endpoint", "depth")
 
 
 def _edge_record() -> Column:
-    return F.struct(F.col("source_id").alias("src_node_id"), F.col("target_id").alias("dst_node_id"), "reason", F.col("type").alias("contribution_type"), F.col("score").alias("contribution_score"))
+    return F.struct(F.col("source_id").alias("src_node_id"), F.col("target_id").alias("dst_node_id"), "reason", F.col("type").alias("contribution_type"), F.col("score").alias("contribution_score"), "evidence", F.filter(F.array("example"), lambda x: x.isNotNull()).alias("change_examples"))
 
 
 def json_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -96,16 +96,55 @@ def json_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.union(edges.select("trace_id", F.lit("edge").alias("part"), F.to_json(_edge_record()).alias("line")))
 
 
-def json_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """trace_id, document: {nodes, edges, meta} of each trace, nodes by depth, then falling cycle."""
+#: The fields of a graph's record, in order.
+META = (
+    "fst_path", "verilog_paths", "clock_signal", "endpoint_signal", "endpoint_cycle", "max_depth", "max_nodes", "generation_time", "runtime_seconds", "tool_version", "random_seed", "cycle_count",
+    "timescale", "total_nodes", "total_edges", "root_nodes", "max_depth_reached", "max_nodes_reached", "undetermined_nodes", "sva_trigger_cycle", "sva_time_window", "sva_window_end_cycle",
+    "sva_consequent_signals",
+)
+
+
+def meta(stats: DataFrame, ends: DataFrame, about: DataFrame, windows: DataFrame, consequents: DataFrame, sources: list[str], max_depth: int, max_nodes: int | None, runtime: float, seed: int = 0) -> DataFrame:
+    """trace_id and META for each trace of stats(): of build.statistics(). ends: trace_id, signal, cycle; about: of trace.metadata();
+    windows, consequents: of build.assertion_graph(); runtime: seconds taken so far. Nothing draws random numbers; the seed is only told."""
+    from .. import __version__
+
+    late = consequents.groupBy("trace_id").agg(F.array_sort(F.collect_set("signal")).alias("sva_consequent_signals"))
+    fired = windows.select("trace_id", F.col("trigger").alias("sva_trigger_cycle"), F.when(F.col("least").isNotNull(), F.array("least", "most")).alias("sva_time_window"), F.when(F.col("least").isNotNull(), F.col("fail")).alias("sva_window_end_cycle"))
+    rows = stats.select("trace_id", F.col("nodes").alias("total_nodes"), F.col("edges").alias("total_edges"), F.col("roots").alias("root_nodes"), "max_depth_reached", "max_nodes_reached", F.col("undetermined").alias("undetermined_nodes"))
+    rows = rows.join(ends.select("trace_id", F.col("signal").alias("endpoint_signal"), F.col("cycle").alias("endpoint_cycle")), "trace_id", "left")
+    rows = rows.join(about.select("trace_id", F.col("path").alias("fst_path"), F.col("clock").alias("clock_signal"), "cycle_count", "timescale"), "trace_id", "left")
+    rows = rows.join(fired, "trace_id", "left").join(late, "trace_id", "left")
+    told = {"verilog_paths": F.array(*(F.lit(x) for x in sources)).cast("array<string>"), "max_depth": F.lit(max_depth), "max_nodes": F.lit(max_nodes).cast("int"), "generation_time": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "runtime_seconds": F.lit(round(runtime, 3)), "tool_version": F.lit(__version__), "random_seed": F.lit(seed)}
+    return rows.withColumns(told).select("trace_id", *META)
+
+
+def json_documents(nodes: DataFrame, edges: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """trace_id, document: {nodes, edges, meta} of each trace, nodes by depth, then falling cycle. meta: of meta(); only counts where not given."""
     order = F.struct("depth", -F.col("cycle"), "id")
     n = nodes.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), _node_record().alias("r")))).alias("nodes"), F.sum(F.col("is_root").cast("long")).alias("roots"))
     e = edges.groupBy("trace_id").agg(F.array_sort(F.collect_list(_edge_record())).alias("edges"))
     both = n.join(e, "trace_id", "left").withColumn("nodes", F.col("nodes.r"))
     none = F.array().cast(e.schema["edges"].dataType)
     both = both.withColumn("edges", F.coalesce("edges", none))
-    meta = F.struct(F.size("nodes").alias("total_nodes"), F.size("edges").alias("total_edges"), F.col("roots").alias("root_nodes"))
-    return both.select("trace_id", F.to_json(F.struct("nodes", "edges", meta.alias("meta"))).alias("document"))
+    counts = F.struct(F.size("nodes").alias("total_nodes"), F.size("edges").alias("total_edges"), F.col("roots").alias("root_nodes"))
+    if meta is not None:
+        both = both.join(meta.select("trace_id", F.struct(*META).alias("_meta")), "trace_id", "left")
+    last = counts if meta is None else F.col("_meta")
+    return both.select("trace_id", F.to_json(F.struct("nodes", "edges", last.alias("meta"))).alias("document"))
+
+
+def image(lines: str, path: str, dpi: int = 300) -> str:
+    """The graph text of one trace drawn as png, svg or pdf, by path's ending: on this machine, by the dot program. RuntimeError without it."""
+    import shutil
+    import subprocess
+
+    if not shutil.which("dot"):
+        raise RuntimeError("the dot program isn't there")
+    drawn = subprocess.run(["dot", f"-T{path.rpartition('.')[2]}", f"-Gdpi={dpi}", "-Grankdir=BT", "-o", path], input=lines.encode(), capture_output=True)
+    if drawn.returncode:
+        raise RuntimeError(drawn.stderr.decode(errors="replace"))
+    return path
 
 
 def top_roots(nodes: DataFrame, most: int = 10) -> DataFrame:
@@ -114,24 +153,32 @@ def top_roots(nodes: DataFrame, most: int = 10) -> DataFrame:
     return nodes.where("is_root").withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
-def summary_lines(nodes: DataFrame, edges: DataFrame, stats: DataFrame) -> DataFrame:
-    """trace_id, part, place, line of a text summary: counts, ten roots, five of the strongest edges. stats: of build.statistics()."""
+def summary_lines(nodes: DataFrame, edges: DataFrame, stats: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """trace_id, part, place, line of a text summary: counts, ten roots, five of the strongest edges with the first line of their source
+    text, and with meta() how it was made. stats: of build.statistics()."""
     counts = F.array(*(F.concat(F.lit(f"- {label}: "), F.col(c).cast("string")) for label, c in (("Total nodes", "nodes"), ("Total edges", "edges"), ("Root cause candidates", "roots"), ("Depth reached", "max_depth"), ("Undetermined nodes (missing RTL)", "undetermined"))))
     overview = stats.select("trace_id", F.lit(1).alias("part"), F.posexplode(counts).alias("place", "line"))
     roots = top_roots(nodes).select("trace_id", F.lit(2).alias("part"), "place", F.format_string("%d. `%s` @ cycle %d = %s (score: %.2f)", "place", "signal", "cycle", "value", "suspect_score").alias("line"))
     more = stats.where("roots > 10").select("trace_id", F.lit(2).alias("part"), F.lit(11).alias("place"), F.lit("   ... and more").alias("line"))
     w = Window.partitionBy("trace_id").orderBy(F.col("score").desc(), "source_id", "target_id")
     strong = edges.where("score > 0.7").withColumn("place", F.row_number().over(w)).where("place <= 5")
-    paths = strong.select("trace_id", F.lit(3).alias("part"), "place", F.format_string("- `%s@%d` -> `%s@%d` (score: %.2f, type: %s)", "source", "source_cycle", "target", "target_cycle", "score", "type").alias("line"))
-    return overview.union(roots).union(more).union(paths)
+    said = F.format_string("- `%s@%d` -> `%s@%d` (score: %.2f, type: %s)", "source", "source_cycle", "target", "target_cycle", "score", "type")
+    shown = F.substring(F.substring_index(F.trim(F.regexp_replace("evidence.snippet", r"^\s+", "")), "\n", 1), 1, 60)
+    lines = F.filter(F.array(F.struct(F.lit(0).alias("n"), said.alias("line")), F.struct(F.lit(1).alias("n"), F.when(shown != "", F.concat(F.lit("  RTL: `"), shown, F.lit("...`"))).alias("line"))), lambda x: x["line"].isNotNull())
+    paths = strong.select("trace_id", F.lit(3).alias("part"), "place", F.explode(lines).alias("x")).select("trace_id", "part", (F.col("place") * 10 + F.col("x.n")).alias("place"), "x.line")
+    out = overview.union(roots).union(more).union(paths)
+    if meta is None:
+        return out
+    made = F.array(F.format_string("- Runtime: %.3fs", "runtime_seconds"), F.concat(F.lit("- Tool version: "), "tool_version"), F.concat(F.lit("- Random seed: "), F.col("random_seed").cast("string")), F.concat(F.lit("- Generated: "), "generation_time"))
+    return out.union(meta.select("trace_id", F.lit(4).alias("part"), F.posexplode(made).alias("place", "line")))
 
 
 def evidence(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each of wanted(trace_id, id): found, its node's flags, and its incoming and outgoing edges by dep_id."""
+    """For each of wanted(trace_id, id): found, its node's flags and rtl_refs, and its incoming and outgoing edges by dep_id, each with evidence and example."""
     asked = wanted.select("trace_id", "id").distinct()
-    rows = asked.join(nodes.select("trace_id", "id", "signal", "cycle", "is_root", "is_endpoint", F.lit(True).alias("found")), ["trace_id", "id"], "left")
+    rows = asked.join(nodes.select("trace_id", "id", "signal", "cycle", "is_root", "is_endpoint", "rtl_refs", F.lit(True).alias("found")), ["trace_id", "id"], "left")
     for end, other, name in (("target_id", "source_id", "incoming"), ("source_id", "target_id", "outgoing")):
         few = edges.withColumnRenamed(end, "id").join(asked, ["trace_id", "id"], "left_semi")
-        told = few.groupBy("trace_id", "id").agg(F.array_sort(F.collect_list(F.struct("dep_id", other, "type", "score"))).alias(name))
+        told = few.groupBy("trace_id", "id").agg(F.array_sort(F.collect_list(F.struct("dep_id", other, "type", "score", "reason", "evidence", "example"))).alias(name))
         rows = rows.join(told, ["trace_id", "id"], "left")
     return rows.withColumn("found", F.coalesce("found", F.lit(False)))

@@ -8,14 +8,21 @@ from __future__ import annotations
 
 import re
 import warnings
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.slicer import IGNORED
+
 NAME = re.compile(r"(?<![\w'$.])[A-Za-z_]\w*")
-KEYWORDS = frozenset("if else begin end case endcase default posedge negedge and or not assign always property assert disable iff signed unsigned logic wire reg input output inout module endmodule".split())
-IGNORED = ("hasBeenReset", "hasBeenResetReg", "reset")
+#: Words of the language that are no signals.
+KEYWORDS = frozenset(
+    "if else begin end case casex casez endcase default posedge negedge and or not assign always always_ff always_comb always_latch property endproperty assert assume cover "
+    "disable iff signed unsigned logic wire reg bit byte int integer input output inout module endmodule for while do repeat forever parameter localparam genvar generate "
+    "endgenerate initial final unique unique0 priority function endfunction task endtask return automatic inside".split()
+)
 SNIPPET_LINES = 5
 
 
@@ -34,6 +41,69 @@ def strip_comments(text: str) -> str:
     return re.sub(r"^\s*`[^\n]*", "", re.sub(r"//[^\n]*", "", text), flags=re.MULTILINE)
 
 
+def line_of(text: str) -> Callable[[int], int]:
+    """The line, from 1, of each place in text."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    return lambda at: bisect_right(ends, at - 1) + 1
+
+
+def number(text: str, known: dict[str, int]) -> int | None:
+    """The value of a constant expression over known parameters; None if it has none."""
+    text = re.sub(r"\d+'[bdh][0-9a-fA-F_]+", lambda m: str(int(re.sub(r"^\d+'.", "", m[0]).replace("_", ""), {"b": 2, "d": 10, "h": 16}[m[0][m[0].index("'") + 1]])), text)
+    text = re.sub(r"\$clog2\s*\(\s*(\w+)\s*\)", lambda m: str((n - 1).bit_length()) if (n := number(m[1], known)) else m[0], text)
+    text = re.sub(r"[A-Za-z_]\w*", lambda m: str(known.get(m[0], m[0])), text)
+    if not re.fullmatch(r"[\d\s()+*/<-]+", text) or len(text) > 200 or "**" in text:
+        return None
+    values, ops = [], []  # the usual precedence, left to right
+    strength = {"<<": 0, "+": 1, "-": 1, "*": 2, "/": 2}
+
+    def settle() -> None:
+        b, a = values.pop(), values.pop()
+        op = ops.pop()
+        values.append({"+": a + b, "-": a - b, "*": a * b, "/": a // b if b else 0, "<<": a << min(b, 64)}[op])
+
+    try:
+        for token in re.findall(r"\d+|<<|[-+*/()]", text):
+            if token.isdigit():
+                values.append(int(token))
+            elif token == "(":
+                ops.append(token)
+            elif token == ")":
+                while ops[-1] != "(":
+                    settle()
+                ops.pop()
+            else:
+                while ops and ops[-1] != "(" and strength[ops[-1]] >= strength[token]:
+                    settle()
+                ops.append(token)
+        while ops:
+            settle()
+    except (IndexError, KeyError):
+        return None
+    return values[0] if len(values) == 1 else None
+
+
+def parameters(text: str) -> dict[str, int]:
+    """Names of a module's parameters that have a constant value."""
+    known: dict[str, int] = {}
+    for m in re.finditer(r"\b(?:parameter|localparam)\b(?:\s+(?:int|integer|logic|signed|unsigned))*\s*(?:\[[^\]]*\])?\s*([^;()]*(?:\([^()]*\)[^;()]*)*)", text):
+        for part in m[1].split(","):
+            name, sign, value = part.partition("=")
+            found = number(value.strip(), known) if sign else None
+            if found is not None and re.fullmatch(r"\w+", name.split()[-1] if name.split() else ""):
+                known[name.split()[-1]] = found
+    return known
+
+
+def targets_of(text: str) -> list[str]:
+    """What an assignment's left side names: one signal, or each of a concatenation."""
+    text = text.strip()
+    if text.startswith("{"):
+        return [t for part in re.split(r",(?![^\[]*\])", text.strip("{} \n\t")) for t in targets_of(part)]
+    m = re.match(r"[A-Za-z_][\w.]*", text)
+    return [m[0]] if m else []
+
+
 def signals_of(text: str) -> list[str]:
     """Distinct names in order, without keywords and literals."""
     plain = re.sub(r"\d+'[bhdo][0-9a-fA-F_xXzZ]+", " ", text)
@@ -73,6 +143,7 @@ class Statements:
 
     def __init__(self, text: str, base: int, emit, kind: str):
         self.text, self.base, self.emit, self.kind, self.at = text, base, emit, kind, 0
+        self.loops: list[str] = []  # variables of the loops around
 
     def space(self) -> None:
         self.at = re.compile(r"\s*").match(self.text, self.at).end()
@@ -108,6 +179,16 @@ class Statements:
                 else:
                     self.one(both(condition, f"!({test})"))
                     break
+        elif self.word("(?:unique0?|priority)"):
+            self.one(condition)
+        elif self.word("for"):
+            head = self.bracket().split(";")
+            own = re.match(r"(?:int|integer|genvar)?\s*([A-Za-z_]\w*)\s*=", head[0])
+            self.loops.append(own[1] if own else "")
+            self.one(condition)
+            self.loops.pop()
+        elif self.word("(?:while|repeat)"):
+            self.one(both(condition, self.bracket()))
         elif self.word("case[xz]?"):
             of = self.bracket()
             while not self.word("endcase"):
@@ -123,9 +204,9 @@ class Statements:
             end = len(self.text) if end < 0 else end
             part, start = self.text[self.at : end], self.at
             self.at = end + 1
-            m = re.match(r"\s*([A-Za-z_][\w.]*)\s*(?:\[[^=]*\])?\s*(?:<=|=)(?!=)(.*)", part, re.DOTALL)
-            if m:
-                self.emit(m[1], m[2], self.kind, condition, self.base + start, self.base + end)
+            m = re.match(r"\s*(\{[^=]*\}|[A-Za-z_][\w.]*\s*(?:\[[^=]*\])?)\s*(?:<=|=)(?!=)(.*)", part, re.DOTALL)
+            for target in targets_of(m[1]) if m else ():
+                self.emit(target, m[2], self.kind, condition, self.base + start, self.base + end, skip=tuple(self.loops))
 
 
 def both(condition: str, test: str) -> str:
@@ -133,13 +214,15 @@ def both(condition: str, test: str) -> str:
 
 
 def parse_design(text: str) -> list[dict]:
-    """Dependency rows of all modules of one source, each with up to SNIPPET_LINES lines of it."""
+    """Dependency rows of all modules of one source, each with up to SNIPPET_LINES lines of it. A concatenation on the left has rows for
+    each of its signals; a loop's body counts once, and its variable is no signal."""
     lines = sanitize(text).split("\n")
     text = strip_comments(sanitize(text))
+    line = line_of(text)
     rows: list[dict] = []
 
     def add(module, source, target, kind, expression, condition, start, end):
-        first, last = (text.count("\n", 0, at) + 1 for at in (start, end))
+        first, last = line(start), line(end)
         snippet = "\n".join(lines[first - 1 : min(last, first - 1 + SNIPPET_LINES)])
         rows.append({"module": module, "source": source, "target": target, "dep_type": kind, "expression": expression, "condition": condition, "line": first, "line_end": last, "snippet": snippet})
 
@@ -157,13 +240,15 @@ def parse_design(text: str) -> list[dict]:
     for m in modules:
         module, body, offset = m[1], m[2], m.start(2)
 
-        def emit(target, expression, kind, condition, at, end, module=module, offset=offset):
+        constants = frozenset(parameters(body))
+
+        def emit(target, expression, kind, condition, at, end, module=module, offset=offset, skip=(), constants=constants):
             expression = " ".join(expression.split())
-            direct = [s for s in signals_of(expression) if s != target]
+            direct = [s for s in signals_of(expression) if s != target and s not in skip and s not in constants]
             for s in direct:
                 add(module, s, target, kind, expression, condition, offset + at, offset + end)
             for s in signals_of(condition):
-                if s != target and s not in direct and s != "default":
+                if s != target and s not in direct and s != "default" and s not in skip and s not in constants:
                     add(module, s, target, kind, condition, condition, offset + at, offset + end)
 
         for label, inner, at in assertions(body):
@@ -173,8 +258,9 @@ def parse_design(text: str) -> list[dict]:
             for s in signals_of(said):
                 if s not in IGNORED:
                     add(module, s, label, "assertion", said, clock, offset + at, offset + end)
-        for a in re.finditer(r"\bassign\s+([\w.]+)\s*(?:\[[^=]*\])?\s*=(.*?);", body, re.DOTALL):
-            emit(a[1], a[2], "combinational", "", a.start(), a.end())
+        for a in re.finditer(r"\bassign\s+(\{[^=;]*\}|[\w.]+\s*(?:\[[^=;]*\])?)\s*=(?!=)(.*?);", body, re.DOTALL):
+            for target in targets_of(a[1]):
+                emit(target, a[2], "combinational", "", a.start(), a.end())
         for a in re.finditer(r"^\s*(?:wire|logic|reg)\s+(?:signed\s+)?(?:\[[^\]]*\]\s*)*(\w+)\s*=(.*?);", body, re.DOTALL | re.MULTILINE):
             emit(a[1], a[2], "combinational", "", a.start(1), a.end())
         for a in re.finditer(r"\balways(?:_ff|_comb|_latch)?\b\s*(@\s*(?:\*|\([^)]*\)))?", body):
@@ -201,7 +287,7 @@ def instances_of(text: str) -> list[tuple[str, str]]:
 
 
 LABEL = re.compile(r"^\s*([a-zA-Z_$][\w$]*)\s*:\s*assert\s+property\b", re.MULTILINE)
-RANGE = re.compile(r"\[\s*(\d+)\s*:\s*(\d+)\s*\]")
+RANGE = re.compile(r"\[([^\[\]:]+):([^\[\]:]+)\]")
 
 
 def labels_of(text: str) -> list[str]:
@@ -209,39 +295,45 @@ def labels_of(text: str) -> list[str]:
     return LABEL.findall(text)
 
 
-def width(text: str) -> int:
-    """Bits of a numeric range; 1 without one."""
+def width(text: str, known: dict[str, int] | None = None) -> int:
+    """Bits of a range of numbers or known parameters; 1 without one."""
     m = RANGE.search(text)
-    return abs(int(m[1]) - int(m[2])) + 1 if m else 1
+    if not m:
+        return 1
+    ends = [number(x, known or {}) for x in (m[1], m[2])]
+    return 1 if None in ends else abs(ends[0] - ends[1]) + 1
 
 
 def signals_in(text: str) -> list[dict]:
     """(module, name, signal_type, width, line) of ports and inner declarations; the latter are all reg."""
     text = strip_comments(sanitize(text))
+    line = line_of(text)
     rows: list[dict] = []
     for m in re.finditer(r"\bmodule\s+(\w+)(.*?)\bendmodule\b", text, re.DOTALL):
         def add(name, kind, bits, at, module=m[1], offset=m.start(2)):
-            rows.append({"module": module, "name": name, "signal_type": kind, "width": bits, "line": text.count("\n", 0, offset + at) + 1})
+            rows.append({"module": module, "name": name, "signal_type": kind, "width": bits, "line": line(offset + at)})
 
+        known = parameters(m[2])
         head = m[2].find(";")
         way, bits = "", 1
         for item in re.finditer(r"[^,()]+", m[2][:head]):
             if d := re.search(r"\b(input|output|inout)\b", item[0]):
-                way, bits = d[1], width(item[0])
+                way, bits = d[1], width(item[0], known)
             if way and (n := list(re.finditer(r"[A-Za-z_]\w*", RANGE.sub(lambda r: " " * len(r[0]), item[0])))):
                 add(n[-1][0], {"input": "in", "output": "out"}.get(way, way), bits, item.start() + n[-1].start())
         for d in re.finditer(r"\b(?:wire|logic|reg)\b\s*(?:signed\b)?\s*((?:\[[^\]]*\]\s*)*)(\w[^;]*);", m[2][head:]):
             names = [d[2].split("=")[0]] if "=" in d[2] else d[2].split(",")
             for n in names:
                 if found := re.match(r"\s*([A-Za-z_]\w*)", n):
-                    add(found[1], "reg", width(d[1]), head + d.start(2))
+                    add(found[1], "reg", width(d[1], known), head + d.start(2))
     return rows
 
 
 def assertions_in(text: str) -> list[dict]:
     """(label, clock, disable, body, line) of every assertion, with whitespace squeezed."""
     text = strip_comments(sanitize(text))
-    return [dict(zip(("label", "clock", "disable", "body", "line"), (label, *(" ".join(x.split()) for x in assertion_parts(inner)), text.count("\n", 0, at) + 1), strict=True)) for label, inner, at in assertions(text)]
+    line = line_of(text)
+    return [dict(zip(("label", "clock", "disable", "body", "line"), (label, *(" ".join(x.split()) for x in assertion_parts(inner)), line(at)), strict=True)) for label, inner, at in assertions(text)]
 
 
 def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
