@@ -47,7 +47,18 @@ def offset_of(spark, source):
     return row.x
 
 
-def plain(rows, labels, offset):
+def salts_of(spark, pairs):
+    """(id, size) -> hash part."""
+    told = spark.createDataFrame(sorted(pairs), "i long, n long").selectExpr("i", "n", "pmod(xxhash64(42, i, n), 64) as x")
+    return {(r.i, r.n): r.x for r in told.collect()}
+
+
+def shingles(text):
+    words = [w.lower() for w in brute.words(text)]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain(spark, rows, labels, offset):
     crc = lambda d: zlib.crc32(str(d).encode()) % 3
     look = lambda t: quality.features((t or "").encode())
     trusted = {d for d, q, _ in labels if q == 1 and crc(d) != 1}
@@ -55,8 +66,8 @@ def plain(rows, labels, offset):
     scores = model.score(np.array([look(t) for _, t, *_ in rows]))
     rows = [x for x, s in zip(rows, scores) if s >= 0.5]
 
-    prints = [brute.fingerprint(t, 5) for _, t, *_ in rows]
-    root = brute.roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    sets = [shingles(t) for _, t, *_ in rows]
+    root = brute.roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
     rows = [x for i, x in enumerate(rows) if x[0] == min(rows[j][0] for j in range(len(rows)) if root[j] == root[i])]
 
     masked = []
@@ -85,9 +96,10 @@ def plain(rows, labels, offset):
             left -= target[s]
         free -= full
     taken = Counter()
+    salt = salts_of(spark, {(d, len(brute.words(t))) for d, t, _ in masked})
     for s in order:
         size = {d: len(brute.words(t)) for d, t, x in masked if x == s}
-        line = sorted(size, key=lambda d: (math.floor(math.log2(size[d] + 1) * 4), size[d], d))
+        line = sorted(size, key=lambda d: (math.floor(math.log2(size[d] + 1) * 4), salt[d, size[d]], size[d], d))
         rate = target[s] / sizes[s] if sizes[s] else 0
         for k, d in enumerate(line):
             taken[d] = math.floor((k + 1) * rate + offset[s]) - math.floor(k * rate + offset[s])
@@ -111,9 +123,10 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    want = plain(rows, labels, {s: offset_of(spark, s) for s in SOURCES})
+    want = plain(spark, rows, labels, {s: offset_of(spark, s) for s in SOURCES})
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     ids = {r.doc_id for r in got}
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got)
     assert 206 in ids and not ids & {200, 201, 205} and len(ids) > 60 and any(r.piece > 0 for r in got)
     by = {}
     for r in got:

@@ -71,8 +71,22 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+def rows_of(batch: pa.RecordBatch, *names: str, at_once: int = 512) -> Iterator[tuple]:
+    """The rows as tuples; few texts are Python objects at a time."""
+    for at in range(0, len(batch), at_once):
+        part = batch.slice(at, at_once)
+        yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
+
+
+def tidy() -> None:
+    """Give a Python worker's free memory back: workers stay for later stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def parallel(spark: SparkSession) -> int:

@@ -27,7 +27,8 @@ def roots_of(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """id, component: for each end of edges(a, b), the smallest id reachable.
+    """id, component: for each end of edges(a, b), the smallest id reachable. Edges with a null end, and without another end, count for
+    nothing; repeated ones once. No edges, no rows.
 
     Alternating large-star and small-star steps. Both take one minimum per node, combined
     before the shuffle, and one equi-join, whose crowded keys adaptive execution can split; each round's
@@ -39,13 +40,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     told = None
     for _ in range(most):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # a table of its own, so that a crowded key's rows can be split in the join, or not moved at all where the table is small
+        least, least_path = common.save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-        own = large.groupBy("a").agg(F.min("b").alias("m"))
+        large, large_path = common.save(large)
+        own, own_path = common.save(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(own, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after, new_path = common.save(small.union(own.select("a", F.col("m").alias("b"))).distinct())
         n = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        common.discard(spark, path)
+        for old in (path, least_path, large_path, own_path):
+            common.discard(spark, old)
         now, path = after, new_path
         if tuple(n) == told:
             break

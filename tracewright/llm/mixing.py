@@ -4,51 +4,63 @@ Each source gets a target in words. A document's expected copies are target / so
 same for all documents of a source, so their prefix sum at the k-th document is k times that.
 One offset per source is added, and a document is taken once for each integer boundary that
 its own step crosses. Ranks come in two levels: a row number inside a chunk (source, size
-class, salt) plus the number of rows in the source's earlier chunks. A source that holds a
+class, one of ``SALTS`` hash parts) plus the number of rows in the source's earlier chunks. A source that holds a
 third of all rows is thus many window partitions, and only one row per chunk meets
 in the second level. Size classes come in order, so each stretch of sizes is sampled at the
 same rate and the words taken stay near the target.
 
 Defined results: null text has size 0, null is a source of its own (last in order), a source
 without words has target 0 and nothing of it is taken. Repeated rows count as rows. Offsets and
-salts are hashes, so reruns agree. An empty table gives an empty result.
+hash parts depend on nothing but ids and sources, so reruns agree. An empty table gives an empty result. Other columns
+stay, whatever their names; those called like a column that is added give way to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows that one window partition holds on average where a size class is crowded.
-CHUNK_ROWS = 250_000
+#: Hash parts of a size class of a source, at every size of input.
+SALTS = 64
+
+
+def size_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long"))
+    """docs with size, the number of words."""
+    return docs.withColumn("size", size_of(F.col("text")))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
-    """source, source_size, target for (source, source_size): one row per source.
+    """source, source_size, target for (source, source_size): one row per source, written once.
 
     ``weights`` repeat over the sources by code point, null last. A source stops at cap times
-    its size and the excess goes to the others by weight. That ends at min(cap * size,
-    level * weight) with one common level, found by taking sources in order of the level at
-    which they are full.
+    its size and the excess goes to the others by weight: each gets min(cap * size, level * weight), and the
+    common level rises round by round until no more sources are full. An empty table gives an empty result; a source of null is
+    a source; sources are taken to be distinct. The driver holds three numbers a round.
     """
-    # the number of sources is that of a catalogue, not of the documents
-    by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    known = sizes.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    every = Window.partitionBy(F.lit(0))
-    full = every.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = full.rowsBetween(Window.unboundedPreceding, -1)
-    after = full.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    known = known.withColumn("level", level)
-    level = F.min(F.when(F.col("most") >= F.col("level") * F.col("weight"), F.struct(F.col("most") / F.col("weight"), F.col("level")))).over(every)["level"]
-    return known.select("source", "source_size", F.least("most", F.coalesce(level * F.col("weight"), F.col("most"))).alias("target"))
+    spark = sizes.sparkSession
+    cut, path = common.save(sizes.repartitionByRange(common.parallel(spark), F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()))
+    # places by code point in two levels: inside a range of names, and over the ranges, as many as there are partitions
+    counts = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("_before")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    known, _ = common.save(cut.join(F.broadcast(before), "_part").select("source", "source_size", weight.alias("_weight"), (F.col("source_size") * F.lit(float(cap))).alias("_most")))
+    common.discard(spark, path)
+    total = known.agg(F.sum("source_size").alias("n"), F.sum("_weight").alias("w")).first()
+    level, full = (share * (total.n or 0) / total.w if total.w else 0.0), -1
+    while True:
+        above = F.col("_most") <= F.lit(level) * F.col("_weight")
+        now = known.agg(F.count(F.when(above, 1)).alias("full"), F.sum(F.when(above, F.col("_most"))).alias("held"), F.sum(F.when(~above, F.col("_weight"))).alias("free")).first()
+        if now.full == full or not now.free:
+            break
+        full, level = now.full, (share * total.n - (now.held or 0.0)) / now.free
+    return known.select("source", "source_size", F.least("_most", F.lit(level) * F.col("_weight")).alias("target"))
 
 
 def copies(
@@ -57,32 +69,32 @@ def copies(
     share: float = 1.5,
     cap: float = 2.0,
     seed: int = 42,
-    rows: int | None = None,
+    size: Column | None = None,
 ) -> DataFrame:
-    """docs(source, size, doc_id, ...) with source_size, target and copies; rows: their number, if known."""
-    rows = docs.count() if rows is None else rows
-    salts = max(1, rows // CHUNK_ROWS)
-    key = F.coalesce(F.col("source"), F.lit(""))
-    keyed = docs.withColumn("_null", F.col("source").isNull()).withColumn("_source", key)
-    keyed = keyed.withColumn("_class", F.floor(F.log2(F.col("size") + 1) * 4).cast("int")).withColumn("_salt", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(salts)))
+    """docs(source, doc_id, size, ...) with size, source_size, target and copies. size: an expression over docs where it has no such column."""
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    size = F.col("size") if size is None else size
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), size.cast("long").alias("_size"), F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source"), F.col("doc_id").alias("_id"))
+    keyed = keyed.withColumn("_class", F.floor(F.log2(F.col("_size") + 1) * 4).cast("int")).withColumn("_salt", F.pmod(F.xxhash64(F.lit(seed), "_id", "_size"), F.lit(SALTS)))
     parts = ["_null", "_source", "_class", "_salt"]
-    chunks = keyed.groupBy(*parts).agg(F.count("*").alias("_rows"), F.sum("size").alias("_words"))
-    sizes = chunks.groupBy("_null", "_source").agg(F.sum("_words").alias("source_size")).withColumn("source", F.when(~F.col("_null"), F.col("_source")))
-    told = targets(sizes.select("source", "source_size"), weights, share, cap)
-    told = told.withColumn("_null", F.col("source").isNull()).withColumn("_source", key)
+    chunks, _ = common.save(keyed.groupBy(*parts).agg(F.count("*").alias("_rows"), F.sum("_size").alias("_words")))
+    sizes = chunks.groupBy("_null", "_source").agg(F.sum("_words").alias("source_size")).select(F.when(~F.col("_null"), F.col("_source")).alias("source"), "source_size")
+    told = targets(sizes, weights, share, cap)
+    told = told.select(F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source"), "source_size", "target")
     told = told.withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     told = told.withColumn("_offset", F.pmod(F.xxhash64(F.lit(seed), "_null", "_source"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
     earlier = Window.partitionBy("_null", "_source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    chunks = chunks.join(told.drop("source"), ["_null", "_source"]).drop("_rows", "_words")
-    inside = Window.partitionBy(*parts).orderBy("size", "doc_id")
+    chunks = chunks.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).join(told, ["_null", "_source"]).drop("_rows", "_words")
+    chunks, _ = common.save(chunks)
+    inside = Window.partitionBy(*parts).orderBy("_size", "_id")
     ranked = keyed.withColumn("_rank", F.row_number().over(inside)).join(chunks, parts)
-    at = (F.col("_before") + F.col("_rank")) * F.col("_rate") + F.col("_offset")
-    ranked = ranked.withColumn("copies", (F.floor(at) - F.floor((F.col("_before") + F.col("_rank") - 1) * F.col("_rate") + F.col("_offset"))).cast("long"))
-    return ranked.select(*docs.columns, "source_size", "target", "copies")
+    last, first = ((F.col("_before") + F.col("_rank") - k) * F.col("_rate") + F.col("_offset") for k in (0, 1))
+    taken = (F.floor(last) - F.floor(first)).cast("long")
+    return ranked.select(*(F.col(f"_row.`{c}`") for c in own), F.col("_size").alias("size"), "source_size", "target", taken.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs in their mixed proportions: each row as often as it is taken."""
-    taken = copies(with_sizes(docs), **options).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """docs in their mixed proportions: each row as often as it is taken. All columns stay as they are."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole"), "source", "doc_id", size_of(F.col("text")).alias("size"))
+    taken = copies(whole, **options).where("copies > 0")
+    return taken.select("_whole", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*(F.col(f"_whole.`{c}`") for c in docs.columns))

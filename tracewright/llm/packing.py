@@ -56,7 +56,7 @@ class ChunkIds:
     behind it is its letters' ids and the stops' ids, for the pre-tokenizer parts them there.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 100_000):
+    def __init__(self, vocabulary: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -65,6 +65,7 @@ class ChunkIds:
         self.keep = keep
         self.seen: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.stops: dict[str, bytes] = {}
 
     def _put(self, key: bytes, ids: bytes) -> bytes:
         if len(self.seen) >= self.keep:
@@ -72,51 +73,59 @@ class ChunkIds:
         self.seen[key] = ids
         return ids
 
-    def _find(self, key: bytes) -> bytes | None:
-        found = self.seen.get(key)
-        if found is None:
-            found = self.older.get(key)
-            if found is not None:
-                self._put(key, found)
-        return found
-
-    def _word(self, word: str) -> bytes:
+    def _letters(self, word: str) -> bytes:
         raw = word.encode()
-        found = self._find(raw)
-        if found is None:
-            spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, raw))
-            found = self._put(raw, array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes())
-        return found
+        spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, raw))
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def chunk(self, chunk: bytes) -> bytes:
-        found = self._find(chunk)
-        if found is not None:
-            return found
-        text = chunk.decode("utf-8", "replace")
-        core = text.rstrip(STOPS)
-        if LETTERS.fullmatch(core):
-            low = core.lower()
-            if len(core) == len(text):
-                found = self._word(low)
-                return found if low == text else self._put(chunk, found)
-            return self._put(chunk, self._word(low) + self.chunk(text[len(core) :].encode()))
-        return self._put(chunk, array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+        """Ids of a chunk that isn't in ``seen``."""
+        found = self.older.get(chunk)
+        if found is None:
+            text = chunk.decode("utf-8", "replace")
+            core = text.rstrip(STOPS)
+            if LETTERS.fullmatch(core):
+                low = core.lower()
+                key = low.encode()
+                found = self.seen.get(key) or self.older.get(key)
+                if found is None:
+                    found = self._letters(low)
+                    if key != chunk:
+                        self._put(key, found)
+                if len(core) < len(text):
+                    stops = text[len(core) :]
+                    if stops not in self.stops:
+                        if len(self.stops) > 10_000:
+                            self.stops.clear()
+                        self.stops[stops] = self._plain(stops)
+                    found += self.stops[stops]
+            else:
+                found = self._plain(text)
+        return self._put(chunk, found)
 
     def encode(self, text: bytes) -> bytes:
         chunks = text.split()
+        found = list(map(self.seen.get, chunks))
+        at = -1
         try:
-            return b"".join(map(self.seen.__getitem__, chunks))
-        except KeyError:
-            return b"".join(map(self.chunk, chunks))
+            while True:  # only what isn't known
+                at = found.index(None, at + 1)
+                found[at] = self.chunk(chunks[at])
+        except ValueError:
+            return b"".join(found)
 
 
 _ENCODERS: dict[str, ChunkIds] = {}
 
 
-def encoder(vocabulary: str) -> ChunkIds:
+def encoder(vocabulary: str, keep: int) -> ChunkIds:
     """One per Python worker: a reused worker remembers what its earlier tasks met."""
     if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = ChunkIds(vocabulary)
+        _ENCODERS[vocabulary] = ChunkIds(vocabulary, keep)
+    _ENCODERS[vocabulary].keep = keep
     return _ENCODERS[vocabulary]
 
 
@@ -162,7 +171,7 @@ class OpenBins:
 FIELDS = (("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()))
 TOLD = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 AT = 5  # where a row's sequence_id and offset stand
-ROWS = 8192
+ROWS = 2048
 
 
 def placed(pieces: Iterator[tuple], bins: OpenBins) -> Iterator[tuple[tuple, bool]]:
@@ -183,15 +192,12 @@ def placed(pieces: Iterator[tuple], bins: OpenBins) -> Iterator[tuple[tuple, boo
 def _batches(rows: Iterator[tuple[tuple, bool]], with_ids: bool, with_open: bool) -> Iterator[pa.RecordBatch]:
     from itertools import batched
 
-    import numpy as np
-
     for some in batched(rows, ROWS):
         columns = list(zip(*(row for row, _ in some), strict=True))
         made = [pa.array(c, t) for c, (_, t) in zip(columns, FIELDS, strict=False)]
         names = [n for n, _ in FIELDS]
         if with_ids:
-            ends = np.cumsum([0, *columns[3]])
-            made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(columns[-1]), "<u4").astype(np.int32))))
+            made.append(pa.array(columns[-1], pa.binary()))
             names.append("ids")
         if with_open:
             made.append(pa.array([left for _, left in some]))
@@ -207,18 +213,19 @@ def pack(
     open_bins: int = 64,
     with_ids: bool = False,
     share: int = 256,
+    keep: int = 300_000,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of docs(doc_id, text).
 
-    with_ids: also ids, the piece's tokens. ``vocabulary`` is a tokenizer file's path
-    on every executor. share: the sequences' worth of leftover pieces that a task of the second packing gets.
+    with_ids: also ids, the piece's tokens as little-endian unsigned 32-bit numbers, of which ids_crc32 is the sum. ``vocabulary`` is a tokenizer file's path
+    on every executor. keep: how many chunks' ids a worker remembers. share: the sequences' worth of leftover pieces that a task of the second packing gets.
     """
     vocabulary = vocabulary or default_vocabulary()
     end = end_id.to_bytes(4, "little")
-    told = TOLD + ", ids array<int>" * with_ids
+    told = TOLD + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        ids_of = encoder(vocabulary).encode
+        ids_of = encoder(vocabulary, keep).encode
         for batch in batches:
             for doc_id, text in common.rows_of(batch, "doc_id", "text"):
                 ids = ids_of(text) + end
@@ -228,12 +235,11 @@ def pack(
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches(placed(cut(batches), OpenBins(size, open_bins, TaskContext.get().partitionId() << 33)), with_ids, True)
+        common.tidy()
 
     def rows_again(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            ids = [x.values.to_numpy().astype("<u4").tobytes() for x in batch.column("ids")] if with_ids else None
-            for i, row in enumerate(common.rows_of(batch, *(n for n, _ in FIELDS[:AT]))):
-                yield (*row, *((ids[i],) if with_ids else ()))
+            yield from common.rows_of(batch, *(n for n, _ in FIELDS[:AT]), *("ids",) * with_ids)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches(placed(rows_again(batches), OpenBins(size, open_bins, 1 << 62 | TaskContext.get().partitionId() << 33)), with_ids, False)

@@ -131,15 +131,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features_of(docs: DataFrame) -> np.ndarray:
+    """One row of features() for each doc_id: of its rows the least."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))], ["x"])
+            found = [features(t) for (t,) in common.rows_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return np.array([r.x for r in docs.select(common.text_bytes()).mapInArrow(run, "x array<double>").collect()]).reshape(-1, len(NAMES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes()).mapInArrow(run, "doc_id long, x array<double>")
+    return np.array([r.x for r in rows.groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").collect()]).reshape(-1, len(NAMES))
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000) -> Model | None:
-    """A model from rows that are not held out; at most so many of either kind."""
+    """A model from rows that are not held out; of at most so many ids of either kind, one row each."""
     mixed = F.xxhash64(F.lit(11), "doc_id")
     free = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     good = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
@@ -150,16 +154,18 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     return fit(p, u) if len(p) and len(u) else None
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with score: 0 to 1, higher where quality 1 is likelier."""
-    names = docs.columns
-    one = "_text_bytes"
+def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """docs with a column of this name, 0 to 1, higher where quality 1 is likelier; it takes the place of one that docs has."""
+    own = [c for c in docs.columns if c != name]
+    row, text = "_row", "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch.column(one).to_pylist()]).reshape(-1, len(NAMES))
+            x = np.array([features(t) for (t,) in common.rows_of(batch, text)]).reshape(-1, len(NAMES))
             found = model.score(x) if model else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found)], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(row), pa.array(found)], [row, "_found"])
+        common.tidy()
 
-    told = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
-    return docs.withColumn(one, common.text_bytes()).mapInArrow(run, told)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias(row), common.text_bytes().alias(text))
+    scored = packed.mapInArrow(run, f"{row} {packed.schema[row].dataType.simpleString()}, _found double")
+    return scored.select(*(F.col(f"{row}.`{c}`") for c in own), F.col("_found").alias(name))

@@ -10,7 +10,8 @@ from . import common, embdedup, lm, mixing, packing, pii, quality, simhash, subs
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.valid(common.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "embedding")
-    rows = rows.select("id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("values"))
+    # whole numbers as doubles: exact at any magnitude
+    rows = rows.select("id", F.transform("embedding", lambda x: topk.whole(x.cast("double") * 256)).alias("values"))
     return topk.top_k(rows.where("id % 50 = 0"), rows.where("id is not null"), k=5)
 
 
@@ -48,7 +49,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

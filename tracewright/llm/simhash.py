@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
+            found = [fingerprint(t, shingle) for (t,) in common.rows_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.int64())], [key, "fp"])
 
     return docs.select(F.col(key).cast("long").alias(key), common.text_bytes()).mapInArrow(run, f"{key} long, fp long")

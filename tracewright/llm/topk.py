@@ -8,13 +8,14 @@ largest possible rest (product of the remaining norms, by Cauchy and Schwarz) is
 k-th best score known is dropped and the survivors are compacted. Each pair of tiles gives
 k rows per query; a last ranking merges those.
 
-All scores are integers. They are summed in double precision while every partial sum is below
-2^53, which is exact, and else in 64-bit integers.
+Components are whole numbers, held as doubles. Scores are summed in double precision while every partial sum is below
+2^53, which is exact, else in 64-bit integers while those hold them, else in Python's integers. A score among a query's best that
+doesn't fit a long stops the job with an OverflowError.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part,
 nor do vectors of another length than the query's meet it. Ties go to the smaller id. Repeated ids
-are different rows: a query never meets rows of its own id, and repeated query rows are
-one query each per row of that id, ranked once (the first by value). An empty table gives an empty result.
+are different rows: a query never meets rows of its own id, and each query row is a query of its own, so an id that
+two query rows share has two lists. An empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -39,8 +40,13 @@ def valid(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull() & (F.size(column) > 0) & ~bad)
 
 
+def whole(x):
+    """The greatest whole number not above x, as a double: floor() gives longs, which end at 2^63."""
+    return F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)  # larger doubles are whole
+
+
 def tiles(df: DataFrame, rows: int) -> DataFrame:
-    """(id, values array<long>) packed into tiles of at most ``rows`` vectors of one length; a
+    """(id, values array<double>) packed into tiles of at most ``rows`` vectors of one length; a
     tile's number, shifted by 33 bits, is its partition's."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +58,7 @@ def tiles(df: DataFrame, rows: int) -> DataFrame:
             nonlocal made
             ids, vectors = zip(*waiting.pop(dim), strict=True)
             made += 1
-            columns = [[dim], [base + made], [np.array(ids, "<i8").tobytes()], [np.concatenate(vectors).astype("<i8").tobytes()]]
+            columns = [[dim], [base + made], [np.array(ids, "<i8").tobytes()], [np.concatenate(vectors).astype("<f8").tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, TILE_SCHEMA, strict=True)], schema=TILE_SCHEMA)
 
         for batch in batches:
@@ -74,6 +80,9 @@ def search_tile(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarr
     """(query position, ids, scores) of the k best candidates of each query; rows are vectors."""
     dims = queries.shape[1]
     largest = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * dims
+    if largest >= 2.0**62:
+        yield from search_large(queries, query_ids, candidates, ids, k)
+        return
     kind = np.float64 if largest < 2.0**53 else np.int64
     # dimensions with the most mass first: bounds tighten soonest
     order = np.argsort(-(candidates.astype(np.float64) ** 2).sum(0), kind="stable")
@@ -113,16 +122,31 @@ def search_tile(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarr
         yield q, ids[alive[best]], partial[best].astype(np.int64)
 
 
+def search_large(queries: np.ndarray, query_ids: np.ndarray, candidates: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The same by all sums in Python's integers."""
+    import heapq
+
+    whole_ = [list(map(int, c)) for c in candidates.tolist()]
+    for q, vector in enumerate(queries.tolist()):
+        asked = list(map(int, vector))
+        scores = ((-sum(a * b for a, b in zip(asked, c, strict=True)), i) for c, i in zip(whole_, ids.tolist(), strict=True) if i != query_ids[q])
+        best = heapq.nsmallest(k, scores)
+        if any(not -(1 << 63) < s < 1 << 63 for s, _ in best):
+            raise OverflowError(f"a score of query {query_ids[q]} doesn't fit a long")
+        if best:
+            yield q, np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = 8, query_rows: int = 2048, rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query.
 
-    Both sides are (id long, values array<long>).
+    Both sides are (id long, values array<double>), of whole numbers.
     """
     spark = queries.sparkSession
     asked = max(1, -(-queries.count() // query_rows))
     packed = tiles(queries.repartition(asked, F.xxhash64("id")), query_rows)
     groups = common.parallel(spark)
-    left = packed.select("dim", F.shiftright("tile", 33).cast("int").alias("part"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
+    left = packed.select("dim", F.shiftright("tile", 33).cast("int").alias("part"), F.col("tile").alias("query_tile"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
     left = left.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = tiles(candidates, rows).withColumn("group", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int"))
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
@@ -130,12 +154,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = 8,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim, query_ids, query_matrix, ids, matrix in common.rows_of(batch, "dim", "query_ids", "query_matrix", "ids", "matrix"):
+            for dim, query_tile, query_ids, query_matrix, ids, matrix in common.rows_of(batch, "dim", "query_tile", "query_ids", "query_matrix", "ids", "matrix", at_once=1):
                 own = np.frombuffer(query_ids, "<i8")
-                found = list(search_tile(np.frombuffer(query_matrix, "<i8").reshape(-1, dim), own, np.frombuffer(matrix, "<i8").reshape(-1, dim), np.frombuffer(ids, "<i8"), k, block))
+                found = list(search_tile(np.frombuffer(query_matrix, "<f8").reshape(-1, dim), own, np.frombuffer(matrix, "<f8").reshape(-1, dim), np.frombuffer(ids, "<i8"), k, block))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(x), own[q]) for q, x, _ in found])), pa.array(np.concatenate([x for _, x, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(sum(len(x) for _, x, _ in found), query_tile)), pa.array(np.concatenate([np.full(len(x), q) for q, x, _ in found])), pa.array(np.concatenate([np.full(len(x), own[q]) for q, x, _ in found])), pa.array(np.concatenate([x for _, x, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], ["tile", "place", "query_id", "vec_id", "score"])
 
-    near = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    near = pairs.mapInArrow(run, "tile long, place long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("tile", "place").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
