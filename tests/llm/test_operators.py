@@ -456,6 +456,21 @@ def test_url_index_equals_all_rules(spark):
     assert {r.host: r.verdict for r in got}["ads-tracking.example.com"] == "block"
 
 
+def test_filter_lists(spark):
+    lines = ["! comment", "", "example.com##.ad", "||ads.example^", "||track.net/pixel", "@@||good.ads.example^", "/banner[0-9]+\\.gif/", "|https://start.org/a", "/popup/*/x^", "exit.html|", "||Wild*.io^$third-party", "*"]
+    rules = urlfilter.list_rules(lines)
+    assert [r.action for r in rules].count("allow") == 1 and len(rules) == 8
+    urls = ["http://ads.example/x", "http://www.ads.example", "http://badads.example/", "http://track.net/pixel.gif", "http://track.net/pix", "http://good.ads.example/", "http://a.b/banner12.gif", "https://start.org/abc", "https://x.org/start.org/a", "http://a.b/POPUP/1/x", "http://a.b/popup/1/xy", "http://a.b/exit.html", "http://a.b/exit.html2", "http://q.wild7.io/", None, ""]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(df, rules).collect()}
+    assert [u for i, u in enumerate(urls) if got[i] == "block"] == [urls[i] for i in (0, 1, 3, 6, 7, 9, 11, 13)]
+    every = tuple(urlfilter.Rule(r.name, r.action, r.regex, (), r.site) for r in rules)
+    assert {r.page_id: r.verdict for r in urlfilter.judge(df, every).collect()} == got
+    big = urlfilter.list_rules(f"||host{i}.example^" for i in range(3000))
+    index, always = urlfilter.build_index(big, {"example": 9})
+    assert not always and max(map(len, index.values())) == 1
+
+
 def test_repeated_and_null_ids_leave_one_row_of_each_group(spark):
     from tracewright.llm import neardup
 

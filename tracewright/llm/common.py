@@ -78,6 +78,14 @@ def rows_of(batch: pa.RecordBatch, *names: str, at_once: int = 512) -> Iterator[
         yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Where the session leaves it open, rows with whole texts go to Python a thousand at a time: executors and workers keep what the
+    largest batch took."""
+    key, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, "1000")
+
+
 def tidy() -> None:
     """Give a Python worker's free memory back: workers stay for later stages."""
     import ctypes

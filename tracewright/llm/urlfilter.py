@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -58,6 +58,40 @@ def pattern_rule(action: str, name: str, regex: str, tokens: tuple[str, ...] = (
     return Rule(name, action, regex, tokens, False)
 
 
+def list_rule(line: str) -> Rule | None:
+    """A rule in the syntax that public filter lists share; None for comments, blanks and rules on page elements.
+
+    ``||name^`` fits a host and its subdomains, ``|`` an end, ``*`` anything, ``^`` a separator or the end, ``/.../`` is a regular
+    expression, a leading ``@@`` allows. What follows ``$`` are conditions of browsers; they don't count here. Lists are written against whole
+    URLs; here they fit host and path.
+    """
+    text = line.strip()
+    if not text or text[0] in "!#[" or "##" in text or "#@#" in text:
+        return None
+    action = "allow" if text.startswith("@@") else "block"
+    body = text.removeprefix("@@")
+    if len(body) > 1 and body[0] == body[-1] == "/":
+        return pattern_rule(action, text, f".*?(?:{body[1:-1]})")
+    body = re.sub(r"\$[\w~,=|.-]+$", "", body)
+    body = re.sub(r"^\|(?:https?:|\*:)?//", "|", body)
+    host, begin, end = body.startswith("||"), body.startswith("|"), body.endswith("|")
+    core = body.strip("|")
+    if not core.strip("*^"):
+        return None
+    regex = "".join({"*": ".*?", "^": r"(?:[^A-Za-z0-9_.%-]|$)"}.get(c) or re.escape(c.lower()) for c in core)
+    regex = (r"(?:[^/]*\.)?" if host else "" if begin else ".*?") + f"(?i:{regex})" + ("$" if end else "")
+    # a token that the rule's own text holds whole: nothing may go on at its ends
+    whole = [m[0].lower() for m in re.finditer(r"(?<![A-Za-z0-9*])[A-Za-z0-9]+(?![A-Za-z0-9*])", core) if (m.start() > 0 or host or begin) and (m.end() < len(core) or end)]
+    # upper case in a path may fit in lower case, so only the host's tokens are sure
+    hosted = core.split("/")[0].split("^")[0]
+    return Rule(text, action, regex, tuple(t for t in whole if host and re.search(rf"(?<![A-Za-z0-9]){t}(?![A-Za-z0-9])", hosted.lower())), False)
+
+
+def list_rules(lines: Iterable[str]) -> tuple[Rule, ...]:
+    """The rules of a filter list. A list is what one machine holds; each executor gets it whole."""
+    return tuple(r for r in map(list_rule, lines) if r)
+
+
 SITE_RULES = (
     site_rule("block", "net/"),
     site_rule("allow", "example.net/en/"),
