@@ -6,12 +6,12 @@ written to the shared folder before the next reads it, so lineage stays short.
 
 from __future__ import annotations
 
-import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import tables
 from . import names
 
 SAME_CYCLE = ("combinational", "assertion", "port_input", "port_output", "wire")
@@ -31,20 +31,8 @@ def node_id(signal: Column, cycle: Column, value: Column) -> Column:
 
 
 def table(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there. Its path is the one input file's folder of what comes back."""
-    return _written(df)[0]
-
-
-def _written(df: DataFrame) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
-    path = f"{folder.rstrip('/')}/levels/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    """df as a table in the shared folder: lineage ends there."""
+    return tables.save(df)[0]
 
 
 class Slice(NamedTuple):
@@ -67,13 +55,13 @@ class _Visited:
         self.add(first)
 
     def add(self, rows: DataFrame, n: int | None = None) -> tuple[DataFrame, int]:
-        made, path = _written(rows)
+        made, path = tables.save(rows)
         n = made.count() if n is None else n
         self.parts.append((n, made, path))
         level = made
         while len(self.parts) > 1 and self.parts[-2][0] <= 2 * self.parts[-1][0] and len(self.parts) > 6:
             (m, x, _), (k, y, _) = self.parts.pop(-2), self.parts.pop()
-            both, path = _written(x.union(y))
+            both, path = tables.save(x.union(y))
             self.parts.append((m + k, both, path))
         return level, n
 
