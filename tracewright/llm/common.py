@@ -6,7 +6,6 @@ exactly what ``bytes.split()`` yields, so texts travel to Python as binary, unde
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import discard, save  # noqa: F401  (for the operators)
+
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,25 +32,6 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"")).alias("text")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One on a single machine's disk will do only where that machine runs everything."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
-    return folder
-
-
-def save(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a
-    lost executor costs nothing that was written."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tracewright/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def with_keys(docs: DataFrame) -> DataFrame:
     """docs as a table in the shared folder, with a _key that tells rows apart and is written once."""
     return save(docs.withColumn("_key", F.monotonically_increasing_id()))[0]
@@ -64,13 +46,6 @@ def least_rows(keyed: DataFrame, grouped: DataFrame) -> DataFrame:
     return keyed.join(chosen, "_key", "left_semi")
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table written by save() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def rows_of(batch: pa.RecordBatch, *names: str, at_once: int = 512) -> Iterator[tuple]:
     """The rows as tuples; few texts are Python objects at a time."""
     for at in range(0, len(batch), at_once):
