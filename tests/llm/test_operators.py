@@ -493,3 +493,45 @@ def test_every_part_trains_the_network(spark, docs):
         model, _ = lm.learn(some, head=200, hidden=8)
         assert not some.where(~lm.held_out(F.col("doc_id"))).count() or np.abs(model.net.out).max() > 0
     assert [x for r in lm.ROUNDS for x in range(*r)] == list(range(16))
+
+
+NASTY = [(1, None), (1, None), (2, ""), (3, " \n\t "), (None, "one word"), (4, "w " * 90000), (4, "w " * 90000), (5, "x" * 200000), (6, "a@b.cc " * 3000), (7, "Same text here, twice."), (7, "Same text here, twice."), (8, "Same text here, twice."), (9, "\U0001f600 é\x85ß"), (-3, "0 " * 300)]
+CLASHES = ("row", "key", "size", "score", "rank", "fp", "hash", "part", "start", "windows", "offset", "component", "component_id", "sequence_id", "length", "piece", "train", "ids", "tails", "n", "x", "_row", "_key", "_text", "class", "id", "a", "b")
+
+
+@pytest.mark.parametrize("name", ["packing", "lm", "pii", "redact", "substring", "simhash", "quality", "mixing", "near", "copies"])
+def test_awkward_tables(spark, name):
+    """Nulls, empty and very long texts, repeated rows, columns with the names that operators use themselves; and the same without rows."""
+    from tracewright.llm import neardup
+
+    df = spark.createDataFrame([(*r, "s%d" % (i % 2) if i else None) for i, r in enumerate(NASTY)], "doc_id long, text string, source string").withColumns({c: F.lit("own " + c) for c in CLASHES}).repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int")
+    runs = {
+        "packing": packing.pack, "lm": lm.score, "pii": pii.report, "redact": pii.redact, "substring": substring.strip, "simhash": simhash.near_duplicates, "quality": lambda d: quality.score(d, quality.train(d, labels)),
+        "mixing": mixing.mix, "near": neardup.keep_one, "copies": lambda d: mixing.copies(d.drop("size"), size=mixing.size_of(F.col("text"))),
+    }
+    got = runs[name](df).collect()
+    assert runs[name](df.limit(0)).count() == 0
+    if name == "packing":
+        assert sum(r.piece == 0 for r in got) == len(NASTY) and max(r.piece for r in got) > 10
+    elif name == "mixing":
+        assert {r["size"] for r in got} == {"own size"}
+    elif name == "near":
+        assert len(got) == 9 - 1 and {r["fp"] for r in got} == {"own fp"}
+    else:
+        assert len(got) == len(NASTY)
+    if name in ("redact", "quality", "near"):
+        assert all(r[c] == "own " + c for r in got for c in CLASHES if not (name == "quality" and c == "score"))
+
+
+def test_awkward_vectors_and_pages(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [2.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (50, [1.0, 0.1]), (100, [1.0, 0.1])], "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "cell", "copies", "n_links", "kept")})
+    got = embdedup.near_duplicates(vectors).collect()
+    assert len(got) == 10 and sorted((r.vec_id or 0, r.n_links) for r in got) == sorted([(1, 4), (1, 4), (0, 4), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (50, 4), (100, 4)])
+    rows = topk.valid(vectors.drop("id").withColumnRenamed("vec_id", "id").select("id", "embedding"), "embedding").select("id", F.transform("embedding", lambda v: topk.whole(v * 256)).alias("values"))
+    found = topk.top_k(rows.where("id % 50 = 0"), rows.where("id is not null"), k=2).collect()
+    # equal scores go to the smaller id, here to both rows of 1
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == sorted([(50, 1, 100, 256 * 256 + 25 * 25), (50, 2, 1, 256 * 256), (100, 1, 50, 256 * 256 + 25 * 25), (100, 2, 1, 256 * 256)])
+    pages = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "http://a.NET/", "y"), (2, "http://" + "a." * 50000 + "org/fr/" + "b" * 100000, "z")], "page_id long, url string, host string").withColumns({c: F.lit(1) for c in ("path", "rule", "verdict")})
+    told = urlfilter.judge(pages).collect()
+    assert len(told) == 4 and sorted(str(r.rule) for r in told) == ["None", "None", "net/", "org/fr/"]

@@ -32,18 +32,19 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"")).alias("text")
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """docs as a table in the shared folder, with a _key that tells rows apart and is written once."""
-    return save(docs.withColumn("_key", F.monotonically_increasing_id()))[0]
+def with_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, told): docs as a table in the shared folder, _row and a _key that tells rows apart and is written once; and of each row
+    _key, doc_id and text."""
+    rows = save(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.monotonically_increasing_id().alias("_key")))[0]
+    return rows, rows.select("_key", F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"))
 
 
-def least_rows(keyed: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Of each component of grouped(_key, component) the row of keyed(_key, doc_id, text, ...) with the
+def least_rows(rows: DataFrame, told: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of each component of grouped(_key, component) the row of with_keys() with the
     least doc_id, nulls last; then by content, so that the layout decides only between equal texts."""
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("text"), "_key")
-    told = keyed.select("_key", order.alias("row")).join(grouped, "_key")
-    chosen = told.groupBy("component").agg(F.min("row").alias("row")).select("row._key")
-    return keyed.join(chosen, "_key", "left_semi")
+    chosen = told.select("_key", order.alias("row")).join(grouped, "_key").groupBy("component").agg(F.min("row").alias("row")).select("row._key")
+    return rows.join(chosen, "_key", "left_semi").select("_row.*")
 
 
 def rows_of(batch: pa.RecordBatch, *names: str, at_once: int = 512) -> Iterator[tuple]:

@@ -271,8 +271,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
 def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """docs without near-duplicates: the least row of each component stays, whatever ids repeat or are null."""
-    keyed = common.with_keys(docs)
-    rows = keyed.select("_key", "doc_id", "text")
-    prints, _ = common.save(fingerprints(rows, shingle, "_key"))
+    rows, told = common.with_keys(docs)
+    prints, _ = common.save(fingerprints(told, shingle, "_key"))
     found = prints.join(components(prints.withColumnRenamed("_key", "doc_id"), radius), "fp")
-    return common.least_rows(keyed, found.select("_key", F.col("component_id").alias("component"))).select(*docs.columns)
+    return common.least_rows(rows, told, found.select("_key", F.col("component_id").alias("component")))
