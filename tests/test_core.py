@@ -272,6 +272,33 @@ def test_whole_analysis(spark, tmp_path):
     assert {(r.source, r.target) for r in asked.edges.collect()} <= {("Top.unit.done", "Top.busy")} and asked.endpoints.first().cycle == 0
 
 
+def test_depths_are_least_distances(spark):
+    import random
+
+    r = random.Random(7)
+    rows = [(i, f"s{r.randint(0, 40)}", f"s{r.randint(0, 40)}", r.choice(["sequential", "combinational"])) for i in range(90)]
+    deps = spark.createDataFrame(rows, "dep_id long, target string, source string, dep_type string")
+    seeds = spark.createDataFrame([("t", "s1", 4), ("u", "s2", 2)], "trace_id string, signal string, cycle int")
+    for most in (0, 1, 4, 20):
+        want, links = {("t", "s1", 4): 0, ("u", "s2", 2): 0}, {}
+        front = list(want)
+        for depth in range(most + 1):
+            fresh = []
+            for t, s, c in front:
+                for _, target, source, kind in rows:
+                    if target == s and source != s:
+                        node = (t, source, max(0, c - 1) if kind == "sequential" else c)
+                        links.setdefault((node, (t, s, c)), kind)
+                        if node not in want:
+                            want[node] = depth + 1
+                            fresh.append(node)
+            front = fresh
+        got = slicer.backward_slice(deps, seeds, max_depth=most)
+        assert {(x.trace_id, x.signal, x.cycle): x.depth for x in got.nodes.collect()} == want
+        found = [((x.trace_id, x.source, x.source_cycle), (x.trace_id, x.target, x.target_cycle)) for x in got.edges.collect()]
+        assert len(found) == len(set(found)) and set(found) == set(links)
+
+
 def test_slice_rules(spark):
     rows = [(1, "T.u.go", "T.go", "port_input"), (2, "T.u.go", "T.hasBeenReset", "combinational"), (3, "T.u.go", "T.x", "combinational"), (4, "T.x", "T.y", "combinational"), (5, "T.y", "T.z", "combinational")]
     deps = spark.createDataFrame(rows, "dep_id long, target string, source string, dep_type string")

@@ -6,9 +6,10 @@ written to the shared folder before the next reads it, so lineage stays short.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import tables
@@ -43,6 +44,8 @@ class Slice(NamedTuple):
     cut: DataFrame  # trace_id of each trace that max_nodes cut
 
 
+#: Levels of a plain slice that one job takes.
+LEVELS = 3
 KEY = ["trace_id", "signal", "cycle"]
 PAIR = ["trace_id", "source", "source_cycle", "target", "target_cycle"]
 
@@ -54,9 +57,10 @@ class _Visited:
         self.spark, self.parts = first.sparkSession, []
         self.add(first)
 
-    def add(self, rows: DataFrame, n: int | None = None) -> tuple[DataFrame, int]:
-        made, path = tables.save(rows)
-        n = made.count() if n is None else n
+    def add(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        counted = Observation()  # by the write itself
+        made, path = tables.save(rows.observe(counted, F.count(F.lit(1)).alias("n")))
+        n = counted.get["n"]
         self.parts.append((n, made, path))
         level = made
         while len(self.parts) > 1 and self.parts[-2][0] <= 2 * self.parts[-1][0] and len(self.parts) > 6:
@@ -92,23 +96,32 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
     waiting, frontier = first.where("depth = 1"), first.where("depth = 0")
     if closed is not None:
         frontier = frontier.join(closed.select("trace_id"), "trace_id", "left_anti")
-    told = ["dep_id", "dep_type", "score", "kind", "example"] if judge else ["dep_type"]
-    edges, lost, cut = None, None, None
-    for depth in range(max_depth + 1):
-        step = frontier.select("trace_id", F.col("signal").alias("target"), F.col("cycle").alias("target_cycle")).join(known, "target")
-        step = step.withColumn("source_cycle", parent_cycle(F.col("dep_type"), F.col("target_cycle")))
+    told = ["dep_id", "dep_type", "score", "kind", "example"]
+    edges, lost, cut, depth = None, None, None, 0
+    # levels that nothing is decided on between go in one job: their nodes are told apart from those seen before it, and by their least depth
+    stride = LEVELS if judge is None and max_nodes is None and later is None else 1
+    while depth <= max_depth:
+        levels, now = [], frontier
+        for i in range(min(stride, max_depth + 1 - depth)):
+            step = now.select("trace_id", F.col("signal").alias("target"), F.col("cycle").alias("target_cycle")).join(known, "target")
+            step = step.withColumn("source_cycle", parent_cycle(F.col("dep_type"), F.col("target_cycle")))
+            if judge is None:
+                levels.append(step.groupBy(*PAIR).agg(F.min_by("dep_type", "dep_id").alias("dep_type")).withColumn("_depth", F.lit(depth + i)))
+                now = levels[-1].select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct().join(visited.all(), KEY, "left_anti")
         if judge is None:
-            found = table(step.groupBy(*PAIR).agg(F.min_by("dep_type", "dep_id").alias("dep_type")))
+            found = reduce(DataFrame.union, levels)
+            if len(levels) > 1:  # a node met at several of these depths was sliced at each
+                found = found.groupBy(*PAIR).agg(F.min_by("dep_type", "_depth").alias("dep_type"), F.min("_depth").alias("_depth"))
+            found = table(found)
         else:
-            judged = judge(step, depth)
             order = F.struct(F.col("score").isNull().alias("rejected"), *told)
-            found = judged.groupBy(*PAIR).agg(F.min(order).alias("first"))
-            found = table(found.select(*PAIR, *(F.col(f"first.{c}").alias(c) for c in told)))
+            found = judge(step, depth).groupBy(*PAIR).agg(F.min(order).alias("first"))
+            found = table(found.select(*PAIR, *(F.col(f"first.{c}").alias(c) for c in told), F.lit(depth).alias("_depth")))
             rejected = found.where("score is null").select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle"), F.lit(depth + 1).alias("depth"))
             lost = rejected if lost is None else lost.union(rejected)
             found = found.where("score is not null")
-        edges = found if edges is None else edges.union(found)
-        fresh = found.select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct().join(visited.all(), KEY, "left_anti")
+        edges = found.drop("_depth") if edges is None else edges.union(found.drop("_depth"))
+        fresh = found.groupBy("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).agg((F.min("_depth") + 1).alias("depth")).join(visited.all(), KEY, "left_anti")
         if max_nodes is not None:
             w = Window.partitionBy("trace_id").orderBy("cycle", "signal")
             have = visited.all().groupBy("trace_id").agg(F.count("*").alias("_have"))
@@ -116,10 +129,14 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
             over = fresh.where("not _in").select("trace_id")
             cut = over if cut is None else cut.union(over)
             fresh = fresh.where("_in").drop("_n", "_have", "_in")
-        found_now, n = visited.add(fresh.withColumn("depth", F.lit(depth + 1)))
-        frontier = found_now.unionByName(waiting) if depth == 0 and later is not None else found_now
+        found_now, n = visited.add(fresh)
+        last = depth + (len(levels) or 1)
+        frontier = found_now.where(F.col("depth") == last) if len(levels) > 1 else found_now
+        if depth == 0 and later is not None:
+            frontier = frontier.unionByName(waiting)
         if not n and (depth or later is None or waiting.isEmpty()):
             break
+        depth = last
     nodes = visited.all()
     orphan = F.lit(False).alias("is_orphan")
     if lost is not None:
