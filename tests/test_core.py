@@ -385,7 +385,8 @@ def test_design_forms():
 endmodule
 """
     rows = {(x["source"], x["target"], x["line"]) for x in rtl.parse_design(text)}
-    assert rows == {("a", "c", 4), ("b", "c", 4), ("a", "y", 4), ("b", "y", 4), ("a", "q", 7), ("en", "q", 7), ("a", "q", 10), ("b", "q", 10), ("s", "q", 10), ("a", "r", 10), ("b", "r", 10), ("s", "r", 10)}
+    assert rows == {("a", "c", 4), ("b", "c", 4), ("a", "y", 4), ("b", "y", 4), ("a", "q", 7), ("en", "q", 7), ("a", "q", 10), ("b", "q", 10), ("s", "q", 10), ("a", "r", 10), ("b", "r", 10), ("s", "r", 10), ("s", "r", 11)}
+    assert next(x["condition"] for x in rtl.parse_design(text) if x["line"] == 11) == "default"
     assert {x["name"]: x["width"] for x in rtl.signals_in(text)} == {"clk": 1, "a": 8, "y": 16, "q": 4, "r": 4, "c": 1}
     long = "module m;\n" + "".join(f"assign a{i} = b{i};\n" for i in range(20000)) + "endmodule\n"
     import time

@@ -144,6 +144,7 @@ class Statements:
     def __init__(self, text: str, base: int, emit, kind: str):
         self.text, self.base, self.emit, self.kind, self.at = text, base, emit, kind, 0
         self.loops: list[str] = []  # variables of the loops around
+        self.of: list[str] = []  # what default arms are arms of: their conditions don't name it
 
     def space(self) -> None:
         self.at = re.compile(r"\s*").match(self.text, self.at).end()
@@ -197,7 +198,12 @@ class Statements:
                 if not m:
                     return
                 self.at = m.end()
-                self.one(both(condition, m[1] if m[1] == "default" else f"{of}=={m[1]}"))
+                if m[1] == "default":
+                    self.of.append(of)
+                    self.one(both(condition, "default"))
+                    self.of.pop()
+                else:
+                    self.one(both(condition, f"{of}=={m[1]}"))
         else:
             self.space()
             end = self.text.find(";", self.at)
@@ -206,7 +212,7 @@ class Statements:
             self.at = end + 1
             m = re.match(r"\s*(\{[^=]*\}|[A-Za-z_][\w.]*\s*(?:\[[^=]*\])?)\s*(?:<=|=)(?!=)(.*)", part, re.DOTALL)
             for target in targets_of(m[1]) if m else ():
-                self.emit(target, m[2], self.kind, condition, self.base + start, self.base + end, skip=tuple(self.loops))
+                self.emit(target, m[2], self.kind, condition, self.base + start, self.base + end, skip=tuple(self.loops), also=" ".join(self.of))
 
 
 def both(condition: str, test: str) -> str:
@@ -242,12 +248,12 @@ def parse_design(text: str) -> list[dict]:
 
         constants = frozenset(parameters(body))
 
-        def emit(target, expression, kind, condition, at, end, module=module, offset=offset, skip=(), constants=constants):
+        def emit(target, expression, kind, condition, at, end, module=module, offset=offset, skip=(), also="", constants=constants):
             expression = " ".join(expression.split())
             direct = [s for s in signals_of(expression) if s != target and s not in skip and s not in constants]
             for s in direct:
                 add(module, s, target, kind, expression, condition, offset + at, offset + end)
-            for s in signals_of(condition):
+            for s in signals_of(f"{condition} {also}"):
                 if s != target and s not in direct and s != "default" and s not in skip and s not in constants:
                     add(module, s, target, kind, condition, condition, offset + at, offset + end)
 
