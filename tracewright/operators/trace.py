@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import tables
+
 EDGE_FROM = ("0", "x", "X")  # a rise from z is no edge
 #: Rows of one trace that a bucket of its time holds on average.
 CROWD = 1 << 16
@@ -17,9 +19,10 @@ ASSERTION_WORDS = ("assert", "fail", "error", "property", "should", "must", "val
 
 
 def spans(rows: DataFrame, crowd: int) -> DataFrame:
-    """trace_id, _t0, _width, _many: how each trace's time is cut, by rows(trace_id, t), so that a bucket has about ``crowd``."""
+    """trace_id, _t0, _width, _many: how each trace's time is cut, by rows(trace_id, t), so that a bucket has about ``crowd``. A row for each
+    trace, written once: its size is known before what joins with it is moved."""
     per = rows.groupBy("trace_id").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"), F.ceil(F.count("*") / F.lit(crowd)).alias("_many"))
-    return per.select("trace_id", "_t0", F.ceil((F.col("_t1") - F.col("_t0") + 1) / F.col("_many")).alias("_width"), "_many")
+    return tables.save(per.select("trace_id", "_t0", F.ceil((F.col("_t1") - F.col("_t0") + 1) / F.col("_many")).alias("_width"), "_many"))[0]
 
 
 def _bucket() -> Column:
@@ -33,15 +36,16 @@ def _before(counts: DataFrame, what: str) -> DataFrame:
 
 
 def clock_edges(clock: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(trace_id, cycle, t_start) of rising edges; a 1 at the first time counts."""
+    """(trace_id, cycle, t_start) of rising edges; a 1 at the first time counts. The rises are written once, before they are numbered."""
     cut = clock.join(spans(clock, crowd), "trace_id").select("trace_id", "t", "seq", "value", _bucket().alias("_b"))
     last = cut.groupBy("trace_id", "_b").agg(F.max_by("value", F.struct("t", "seq")).alias("_v"))
     carried = last.select("trace_id", "_b", F.lag("_v").over(Window.partitionBy("trace_id").orderBy("_b")).alias("_carried"))
     w = Window.partitionBy("trace_id", "_b").orderBy("t", "seq")
     told = cut.join(carried, ["trace_id", "_b"]).withColumn("prev", F.coalesce(F.lag("value").over(w), "_carried"))
     rises = told.where((F.col("value") == "1") & (F.col("prev").isNull() | F.col("prev").isin(*EDGE_FROM)))
+    rises, _ = tables.save(rises.select("trace_id", "_b", "t", (F.row_number().over(w) - 1).alias("_n")))
     known = _before(rises.groupBy("trace_id", "_b").agg(F.count("*").alias("n")), "_known")
-    return rises.withColumn("_n", F.row_number().over(w) - 1).join(known, ["trace_id", "_b"]).select("trace_id", (F.col("_n") + F.col("_known")).cast("bigint").alias("cycle"), F.col("t").alias("t_start"))
+    return rises.join(known, ["trace_id", "_b"]).select("trace_id", (F.col("_n") + F.col("_known")).cast("bigint").alias("cycle"), F.col("t").alias("t_start"))
 
 
 def cycle_count(edges: DataFrame) -> DataFrame:

@@ -76,12 +76,13 @@ def query(name: str, sql: str | None = None):
 
 
 def _trace(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return adapters.wave(spark, sf_dir), trace.clock_edges(adapters.clock(spark, sf_dir))
+    """The trace and its clock edges; those as a table, for operators read them several times."""
+    return adapters.wave(spark, sf_dir), slicer.table(trace.clock_edges(adapters.clock(spark, sf_dir)))
 
 
 @query("w01_clock_edges", f"WITH {WAVE} SELECT trace_id, cycle, t_start FROM edges")
 def w01(spark, sf_dir):
-    return _trace(spark, sf_dir)[1]
+    return trace.clock_edges(adapters.clock(spark, sf_dir))
 
 
 @query("w03_cycle_count", f"WITH {WAVE} SELECT trace_id, count(*) AS cycles FROM edges GROUP BY trace_id")
