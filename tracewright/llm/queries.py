@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embdedup, lm, mixing, packing, pii, quality, simhash, substring, topk, urlfilter
+from . import common, embdedup, lm, manifest, mixing, packing, pii, quality, simhash, substring, topk, urlfilter
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest.audit(common.table(spark, sf_dir, "documents"), tampered)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +76,7 @@ QUERIES = {
         op8_simhash_near_dedup,
         op9_quality_classifier,
         op10_source_mixing,
+        op13_merkle_manifest,
     )
 }
 
@@ -146,7 +152,61 @@ SELECT page_id, host, path, rule, coalesce(action, CASE
 FROM m WHERE n = 1
 """
 
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text in SQL: each byte is mixed in, then eight shifts."""
+    steps = f"flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split({text}, '')])"
+    return f"""xor(4294967295, list_reduce([4294967295] || CAST({steps} AS BIGINT[]), lambda r, s:
+      CASE WHEN s >= 0 THEN xor(r, s) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END))"""
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """Levels above {name}0(tree, idx, d): {name}K are nodes with their tree's number of nodes, {name}rK the runs of level K."""
+    out = ""
+    for k in range(levels):
+        out += f""", {name}c{k} AS (SELECT tree, idx, d, count(*) OVER (PARTITION BY tree) AS n FROM {name}{k})
+, {name}r{k} AS (SELECT tree, idx // 16 AS idx, array_agg(d ORDER BY idx) AS ds, any_value(n) AS n FROM {name}c{k} GROUP BY tree, idx // 16)
+, {name}{k + 1} AS (SELECT tree, idx, CASE WHEN n > 1 THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS d FROM {name}r{k})
+"""
+    return out
+
+
+def _path_sql(name: str, levels: int) -> tuple[str, str]:
+    """(joins, runs): the runs of x.tree and x.idx as structs of digests and place; those of levels of one node are left out."""
+    joins = "".join(f" JOIN {name}r{k} p{k} ON p{k}.tree = x.tree AND p{k}.idx = x.idx // {16 ** (k + 1)}" for k in range(levels))
+    runs = ", ".join(f"CASE WHEN p{k}.n > 1 THEN {{'ds': p{k}.ds, 'i': x.idx // {16**k} % 16}} END" for k in range(levels))
+    return joins, f"[r FOR r IN [{runs}] IF r IS NOT NULL]"
+
+
+LEVELS, SOURCE_LEVELS = 7, 4
+_joins, _runs = _path_sql("t", LEVELS)
+_over, _up = _path_sql("s", SOURCE_LEVELS)
+_said = ", ".join(f"coalesce(strlen(CAST({{{c}}} AS VARCHAR)) || ':' || {{{c}}}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text"))
+MERKLE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(':' || source, '-') AS tree, sha256(concat({_said.format(doc_id="doc_id", source="source", lang="lang", n_chars="n_chars", text="text")})) AS leaf,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0
+      THEN sha256(concat({_said.format(doc_id="doc_id", source="source", lang="lang", n_chars="n_chars", text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")})) END AS after
+  FROM documents
+), x AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d)
+, t0 AS (SELECT tree, idx, leaf AS d FROM x)
+{_tree_sql("t", LEVELS)}, top AS (SELECT tree AS source, row_number() OVER (ORDER BY tree) - 1 AS idx, d FROM t{LEVELS})
+, s0 AS (SELECT '' AS tree, idx, d FROM top)
+{_tree_sql("s", SOURCE_LEVELS)}, up AS (SELECT x.source, x.d AS subroot, {_up} AS above FROM (SELECT '' AS tree, * FROM top) x {_over})
+, p AS (SELECT x.doc_id, x.leaf, x.after, up.subroot, {_runs} || up.above AS path FROM x {_joins} JOIN up ON up.source = x.tree)
+, f AS (
+  SELECT doc_id, leaf, subroot, (SELECT d FROM s{SOURCE_LEVELS}) AS root,
+    sha256(array_to_string(flatten([[z[1] FOR z IN list_zip(r.ds, range(len(r.ds))) IF z[2] <> r.i] FOR r IN path]), '')) AS proof_sha256,
+    list_reduce([{{'ds': [coalesce(after, leaf)], 'i': CAST(0 AS BIGINT)}}] || path, lambda a, r:
+      {{'ds': [sha256(array_to_string(r.ds[1:r.i] || a.ds || r.ds[r.i + 2:], ''))], 'i': CAST(0 AS BIGINT)}}).ds[1] AS folded_root
+  FROM p
+)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
 ORACLES = {
+    "op13_merkle_manifest": MERKLE_SQL,
     "op1_topk_search": TOPK_SQL,
     "op5_substring_dedup": SUBSTRING_SQL,
     "op6_embedding_near_dedup": EMBEDDING_SQL,
