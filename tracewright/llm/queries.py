@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, embdedup, lm, manifest, mixing, packing, pii, quality, simhash, substring, topk, urlfilter
+from . import common, embdedup, lm, manifest, mixing, packing, pii, quality, simhash, substring, topk, toxicity, trie, urlfilter
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,17 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.turns_of(common.table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(*trie.rebuilt(turns))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return manifest.audit(common.table(spark, sf_dir, "documents"), tampered)
@@ -76,6 +87,8 @@ QUERIES = {
         op8_simhash_near_dedup,
         op9_quality_classifier,
         op10_source_mixing,
+        op11_prefix_trie,
+        op12_toxicity,
         op13_merkle_manifest,
     )
 }
@@ -205,7 +218,27 @@ WITH d AS (
 SELECT *, folded_root = root AS verified FROM f
 """
 
+TRIE_SQL = f"""
+WITH k AS (SELECT conv_id AS c, turn, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), ':', coalesce(text, ''))) AS token, length(coalesce(text, '')) AS weight
+  FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, token) AS o FROM k),
+n AS (SELECT c, count(*) AS size, c - c % 100 AS b FROM t GROUP BY c),
+g AS (SELECT n.c, n.b, n.size, {_crc32("CAST(n.c AS VARCHAR)")} % 6 AS h, coalesce(m.size, 0) AS there FROM n LEFT JOIN n m ON m.c = n.b),
+r AS (SELECT g.c, t.o AS depth, t.token, t.weight FROM g JOIN t ON t.c = g.b AND t.o <= g.h
+  UNION ALL SELECT g.c, t.o - g.h + least(g.h, g.there), t.token, t.weight FROM g JOIN t ON t.c = g.c AND t.o > g.h),
+p AS (SELECT c, depth, weight, array_to_string(list(token) OVER (PARTITION BY c ORDER BY depth), ',') AS key FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM n),
+l AS (SELECT c, max(depth) AS length FROM p GROUP BY c),
+v AS (SELECT key, min(p.c) AS conv_id, max(depth) AS depth, count(*) AS n_convs, max(weight) AS weight,
+  sha256(coalesce(string_agg(CASE WHEN depth = length THEN CAST(p.c AS VARCHAR) END, ',' ORDER BY p.c), '')) AS ends_sha256 FROM p JOIN l ON l.c = p.c GROUP BY key),
+e AS (SELECT v.*, u.key AS above, u.conv_id AS parent_conv_id FROM v LEFT JOIN p x ON x.c = v.conv_id AND x.depth = v.depth - 1 LEFT JOIN v u ON u.key = x.key),
+w AS (SELECT e.*, coalesce(k.n, 0) AS n_children FROM e LEFT JOIN (SELECT above, count(*) AS n FROM e GROUP BY above) k ON k.above = e.key),
+a AS (SELECT p.key, sum((w.n_convs - 1) * w.weight) AS saved, count(*) FILTER (w.n_children = 0) AS leaves FROM w JOIN p ON p.c = w.conv_id AND p.depth <= w.depth GROUP BY p.key)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256 FROM w JOIN a ON a.key = w.key
+"""
+
 ORACLES = {
+    "op11_prefix_trie": TRIE_SQL,
     "op13_merkle_manifest": MERKLE_SQL,
     "op1_topk_search": TOPK_SQL,
     "op5_substring_dedup": SUBSTRING_SQL,
