@@ -68,23 +68,109 @@ def equal(a: Column, b: Column) -> Column:
     return F.when(wide(a, n) == wide(b, n), "1").otherwise("0")
 
 
+#: Bits of a limb: a product of two limbs, and sums of many, fit a long.
+LIMB = 24
+MASK = (1 << LIMB) - 1
+
+
+def known(v: Column) -> Column:
+    return v.rlike("^[01]+$")
+
+
+def let(f, *values: Column) -> Column:
+    """f of the values, each computed once however often f names it."""
+    bound = F.array(F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values))))
+    return F.get(F.transform(bound, lambda s: f(*(s[f"v{i}"] for i in range(len(values))))), F.lit(0))
+
+
+def _limbs(v: Column, many: Column) -> Column:
+    """The low ``many`` limbs of known bits as longs, the lowest first."""
+    padded = F.lpad(v, F.greatest(F.length(v), many * LIMB), F.lit("0"))
+    return let(lambda p, m: F.transform(F.sequence(F.lit(1), m), lambda i: F.conv(F.substring(p, F.length(p) - i * LIMB + 1, F.lit(LIMB)), 2, 10).cast("bigint")), padded, many)
+
+
+def _carried(sums: Column, first: int = 0) -> Column:
+    """Bits of limbs that may hold more than LIMB bits each, a carry added to the lowest."""
+    empty = F.array().cast("array<string>")
+    start = F.struct(F.lit(first).cast("bigint").alias("carry"), empty.alias("out"))
+    bits = lambda x: F.lpad(F.bin(x.bitwiseAND(MASK)), LIMB, "0")
+    step = lambda acc, x: F.struct(F.shiftright(x + acc["carry"], LIMB).alias("carry"), F.concat(F.array(bits(x + acc["carry"])), acc["out"]).alias("out"))
+    return F.aggregate(sums, start, step, lambda acc: F.array_join(acc["out"], ""))
+
+
+def _many(n: Column) -> Column:
+    return F.ceil(n / F.lit(LIMB)).cast("int")
+
+
+def _plus(a: Column, b: Column, n: Column, carry: int = 0) -> Column:
+    sums = F.zip_with(_limbs(a, _many(n)), _limbs(b, _many(n)), lambda x, y: x + y)
+    return F.right(_carried(sums, carry), n)
+
+
+def _minus(a: Column, b: Column, n: Column) -> Column:
+    """a - b modulo 2 ** n: a, the inverse of b and one."""
+    whole = _many(n) * LIMB
+    return _plus(a, invert(F.lpad(b, whole, F.lit("0"))), n, 1)
+
+
+def _times(a: Column, b: Column, n: Column) -> Column:
+    def product(x: Column, y: Column) -> Column:
+        column = lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0).cast("bigint"), lambda acc, i: acc + F.get(x, i) * F.get(y, k - i))
+        return F.transform(F.sequence(F.lit(0), F.size(x) - 1), column)
+
+    return F.right(_carried(let(product, _limbs(a, _many(n)), _limbs(b, _many(n)))), n)
+
+
+def _divided(a: Column, b: Column, n: Column, op: str) -> Column:
+    """Long division, a bit at a time; bits of equal length compare as text."""
+    by = F.lpad(b, n + 1, F.lit("0"))
+
+    def step(acc: Column, bit: Column) -> Column:
+        def taken(rest: Column, quotient: Column) -> Column:
+            fits = rest >= by
+            return F.struct(F.when(fits, _minus(rest, by, n + 1)).otherwise(rest).alias("rest"), F.concat(quotient, F.when(fits, "1").otherwise("0")).alias("quotient"))
+
+        return let(taken, F.concat(F.right(acc["rest"], n), bit), acc["quotient"])
+
+    start = F.struct(F.repeat(F.lit("0"), n + 1).alias("rest"), F.lit("").alias("quotient"))
+    return F.aggregate(F.split(a, ""), start, step, lambda acc: F.right(acc["quotient"] if op == "/" else acc["rest"], n))
+
+
+def _shifted(a: Column, op: str, b: Column, n: Column) -> Column:
+    """By the value of b, up to all of a's bits."""
+    far = (F.length(b) > 31) & (F.instr(F.left(b, F.length(b) - 31), "1") > 0)
+    by = F.when(far, n).otherwise(F.least(n, F.conv(F.right(b, F.lit(31)), 2, 10).cast("int")))
+    zeros = F.repeat(F.lit("0"), by)
+    return F.right(F.concat(a, zeros), n) if op[0] == "<" else F.left(F.concat(zeros, a), n)
+
+
 def arithmetic(a: Column, op: str, b: Column) -> Column:
-    """+ - * / % << >> on unsigned values, cut to the wider operand (up to 31 bits for *)."""
-    x, y, n = parse_binary(a), parse_binary(b), F.greatest(F.length(a), F.length(b))
-    if op in "/%":
-        value = F.when(y != 0, F.floor(x / y) if op == "/" else x % y)
-    elif op in ("<<", ">>"):
-        near = F.when(y < 63, y.cast("int")).otherwise(F.lit(63))
-        value = F.call_function("shiftleft" if op == "<<" else "shiftrightunsigned", x, near)
-    else:
-        value = {"+": x + y, "-": x - y, "*": x * y}[op]
-    return F.right(F.lpad(F.bin(value), F.greatest(n, F.length(F.bin(value))), F.lit("0")), n)
+    """+ - * / % << >> (also <<< >>>) on unsigned values of any width, cut to the wider operand; null where a bit is unknown and for a division by zero. Up to 31 bits
+    they are longs, above that limbs."""
+
+    def told(x: Column, y: Column) -> Column:
+        n = F.greatest(F.length(x), F.length(y))
+        if op[0] in "<>":
+            return let(lambda v, w, m: _shifted(v, op, w, m), wide(x, n), y, n)
+        p, q = F.conv(x, 2, 10).cast("bigint"), F.conv(y, 2, 10).cast("bigint")
+        near = {"+": lambda: p + q, "-": lambda: p - q + F.call_function("shiftleft", F.lit(1).cast("bigint"), n), "*": lambda: p * q, "/": lambda: F.call_function("div", p, q), "%": lambda: p % q}[op]()
+        far = {"+": _plus, "-": _minus, "*": _times, "/": lambda v, w, m: _divided(v, w, m, "/"), "%": lambda v, w, m: _divided(v, w, m, "%")}[op]
+        value = F.when(n <= 31, F.right(F.lpad(F.bin(near), 62, "0"), n)).otherwise(let(far, wide(x, n), wide(y, n), n))
+        return F.when(F.instr(y, "1") > 0, value) if op in "/%" else value
+
+    return let(lambda x, y: F.when(known(x) & known(y), told(x, y)), a, b)
 
 
 def compare(a: Column, op: str, b: Column) -> Column:
-    x, y = parse_binary(a), parse_binary(b)
-    told = {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
-    return F.when(told, "1").when(~told, "0")
+    """< > <= >= on unsigned values of any width; null where a bit is unknown."""
+
+    def told(x: Column, y: Column) -> Column:
+        n = F.greatest(F.length(x), F.length(y))
+        v, w = wide(x, n), wide(y, n)  # bits of equal length compare as text
+        holds = {"<": v < w, ">": v > w, "<=": v <= w, ">=": v >= w}[op]
+        return F.when(known(x) & known(y), F.when(holds, "1").otherwise("0"))
+
+    return let(told, a, b)
 
 
 def reduce_and(v: Column) -> Column:
@@ -105,5 +191,5 @@ def logical_not(v: Column) -> Column:
 
 
 def negate(v: Column) -> Column:
-    x = parse_binary(v)
-    return F.right(F.bin(F.lit(1 << 62) - x), F.length(v))  # two's complement, up to 61 bits
+    """Two's complement at any width; null where a bit is unknown."""
+    return let(lambda x: F.when(known(x), _minus(F.lit("0"), x, F.length(x))), v)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Parts of names that tell a consequent where the property's text has none.
 LATE_WORDS = ("eating", "done", "ready", "valid", "complete", "finish", "state")
+#: Words of properties that are no signals.
 WORDS = ("if", "else", "and", "or", "not", "h", "b", "d", "o")
 
 

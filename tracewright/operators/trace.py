@@ -1,51 +1,26 @@
 """Clock edges, cycles and samples of value-change traces.
 
-Every window is partitioned by trace and a bucket of its time, or by trace and signal where signals are independent:
-one job analyses many traces, and one long trace is many tasks. A cycle runs from one rising clock edge to the next.
+One job analyses many traces, and one long trace or one busy signal is many tasks: windows are over buckets of time of about equal numbers of rows
+(``ordered.py``). A cycle runs from one rising clock edge to the next.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import tables
+from . import ordered
 
 EDGE_FROM = ("0", "x", "X")  # a rise from z is no edge
-#: Rows of one trace that a bucket of its time holds on average.
-CROWD = 1 << 16
 #: Parts of names that tell an assertion where no label does.
 ASSERTION_WORDS = ("assert", "fail", "error", "property", "should", "must", "valid", "check")
 
 
-def spans(rows: DataFrame, crowd: int) -> DataFrame:
-    """trace_id, _t0, _width, _many: how each trace's time is cut, by rows(trace_id, t), so that a bucket has about ``crowd``. A row for each
-    trace, written once: its size is known before what joins with it is moved."""
-    per = rows.groupBy("trace_id").agg(F.min("t").alias("_t0"), F.max("t").alias("_t1"), F.ceil(F.count("*") / F.lit(crowd)).alias("_many"))
-    return tables.save(per.select("trace_id", "_t0", F.ceil((F.col("_t1") - F.col("_t0") + 1) / F.col("_many")).alias("_width"), "_many"))[0]
-
-
-def _bucket() -> Column:
-    return F.greatest(F.lit(0), F.least(F.floor((F.col("t") - F.col("_t0")) / F.col("_width")), F.col("_many") - 1))
-
-
-def _before(counts: DataFrame, what: str) -> DataFrame:
-    """counts(trace_id, _b, n) with the sum of a trace's earlier buckets."""
-    w = Window.partitionBy("trace_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("trace_id", "_b", F.coalesce(F.sum("n").over(w), F.lit(0)).alias(what))
-
-
-def clock_edges(clock: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(trace_id, cycle, t_start) of rising edges; a 1 at the first time counts. The rises are written once, before they are numbered."""
-    cut = clock.join(spans(clock, crowd), "trace_id").select("trace_id", "t", "seq", "value", _bucket().alias("_b"))
-    last = cut.groupBy("trace_id", "_b").agg(F.max_by("value", F.struct("t", "seq")).alias("_v"))
-    carried = last.select("trace_id", "_b", F.lag("_v").over(Window.partitionBy("trace_id").orderBy("_b")).alias("_carried"))
-    w = Window.partitionBy("trace_id", "_b").orderBy("t", "seq")
-    told = cut.join(carried, ["trace_id", "_b"]).withColumn("prev", F.coalesce(F.lag("value").over(w), "_carried"))
-    rises = told.where((F.col("value") == "1") & (F.col("prev").isNull() | F.col("prev").isin(*EDGE_FROM)))
-    rises, _ = tables.save(rises.select("trace_id", "_b", "t", (F.row_number().over(w) - 1).alias("_n")))
-    known = _before(rises.groupBy("trace_id", "_b").agg(F.count("*").alias("n")), "_known")
-    return rises.join(known, ["trace_id", "_b"]).select("trace_id", (F.col("_n") + F.col("_known")).cast("bigint").alias("cycle"), F.col("t").alias("t_start"))
+def clock_edges(clock: DataFrame, crowd: int = ordered.CROWD) -> DataFrame:
+    """(trace_id, cycle, t_start) of rising edges; a 1 at the first time counts."""
+    rises = (F.col("value") == "1") & (F.col("_beside").isNull() | F.col("_beside.value").isin(*EDGE_FROM))
+    told = ordered.numbered(clock, ["trace_id"], ["t", "seq"], rises, ["value"], "cycle", crowd)
+    return told.select("trace_id", "cycle", F.col("t").alias("t_start"))
 
 
 def cycle_count(edges: DataFrame) -> DataFrame:
@@ -67,34 +42,18 @@ def cycle_to_time(asked: DataFrame, edges: DataFrame, changes: DataFrame) -> Dat
     return met.select(*asked.columns, F.when(F.col("cycle") < 0, F.col("_first")).otherwise(F.coalesce("t_start", "_last")).alias("t"))
 
 
-def _edges_until(points: DataFrame, edges: DataFrame, crowd: int, **frames: int) -> DataFrame:
-    """points(trace_id, t, ...) with counts of the trace's edges up to t + what a frame's name stands for: an as-of join as running
-    counts, inside a bucket of time and over the buckets before."""
-    marks = edges.select("trace_id", F.col("t_start").alias("t"))
-    cut = spans(marks, crowd)
-    placed = marks.join(cut, "trace_id").select("trace_id", "t", _bucket().alias("_b"), F.lit(1).alias("_edge"))
-    # buckets without edges count, too
-    every = cut.select("trace_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_many") - 1)).alias("_b"))
-    counted = _before(every.join(placed.groupBy("trace_id", "_b").agg(F.count("*").alias("n")), ["trace_id", "_b"], "left").withColumn("n", F.coalesce("n", F.lit(0))), "_known")
-    mine = points.join(cut, "trace_id", "left").withColumn("_b", F.coalesce(_bucket(), F.lit(0))).drop("_t0", "_width", "_many").withColumn("_edge", F.lit(0))
-    both = mine.unionByName(placed, allowMissingColumns=True)
-    # RANGE: an edge at the same time counts whatever the order of rows
-    told = {name: F.coalesce(F.sum("_edge").over(Window.partitionBy("trace_id", "_b").orderBy("t").rangeBetween(Window.unboundedPreceding, to)), F.lit(0)) for name, to in frames.items()}
-    whole = both.withColumns(told).where("_edge = 0").join(counted, ["trace_id", "_b"], "left")
-    return whole.select(*points.columns, *((F.col(n) + F.coalesce("_known", F.lit(0))).cast("bigint").alias(n) for n in frames))
-
-
-def time_to_cycle(points: DataFrame, edges: DataFrame, crowd: int = CROWD) -> DataFrame:
+def time_to_cycle(points: DataFrame, edges: DataFrame, crowd: int = ordered.CROWD) -> DataFrame:
     """points(trace_id, t, ...) with the cycle they fall in; before the first edge and without edges 0."""
-    told = _edges_until(points, edges, crowd, _upto=0)
-    return told.select(*points.columns, F.greatest(F.col("_upto") - 1, F.lit(0)).cast("bigint").alias("cycle"))
+    marks = edges.select("trace_id", F.col("t_start").alias("t"), F.col("cycle").cast("bigint").alias("_cycle"))
+    told = ordered.as_of(points, marks, ["trace_id"], "t", "_cycle", crowd=crowd)
+    return told.select(*points.columns, F.coalesce("_cycle", F.lit(0)).cast("bigint").alias("cycle"))
 
 
 def _runs(first: DataFrame, edges: DataFrame) -> DataFrame:
     """(trace_id, signal, cycle_from, cycle_to, value) from (trace_id, signal, cycle, t, seq, value): what holds from a cycle on."""
     last = first.groupBy("trace_id", "signal", "cycle").agg(F.max_by("value", F.struct("t", "seq")).alias("value"))
-    w = Window.partitionBy("trace_id", "signal").orderBy("cycle")
-    runs = last.withColumn("to", F.lead("cycle").over(w) - 1).join(cycle_count(edges), "trace_id").where(F.col("cycle") < F.col("cycles"))
+    told = ordered.beside(last, ["trace_id", "signal"], ["cycle"], ["cycle"], after=True)
+    runs = told.withColumn("to", F.col("_beside.cycle") - 1).join(cycle_count(edges), "trace_id").where(F.col("cycle") < F.col("cycles"))
     return runs.select("trace_id", "signal", F.col("cycle").alias("cycle_from"), F.least(F.coalesce("to", F.col("cycles") - 1), F.col("cycles") - 1).alias("cycle_to"), "value")
 
 
@@ -103,10 +62,11 @@ def cycle_runs(changes: DataFrame, edges: DataFrame) -> DataFrame:
     return _runs(time_to_cycle(changes, edges), edges)
 
 
-def start_runs(changes: DataFrame, edges: DataFrame, crowd: int = CROWD) -> DataFrame:
+def start_runs(changes: DataFrame, edges: DataFrame, crowd: int = ordered.CROWD) -> DataFrame:
     """The same of samples at each edge's own time, changes of that time included: a change shows at the first edge that isn't before it."""
-    told = _edges_until(changes, edges, crowd, _earlier=-1)
-    return _runs(told.select("trace_id", "signal", "t", "seq", "value", F.col("_earlier").alias("cycle")), edges)
+    marks = edges.select("trace_id", F.col("t_start").alias("t"), F.col("cycle").cast("bigint").alias("_cycle"))
+    told = ordered.as_of(changes, marks, ["trace_id"], "t", "_cycle", before=True, crowd=crowd)
+    return _runs(told.select("trace_id", "signal", "t", "seq", "value", F.coalesce(F.col("_cycle") + 1, F.lit(0)).cast("bigint").alias("cycle")), edges)
 
 
 def _expanded(runs: DataFrame) -> DataFrame:
@@ -133,23 +93,22 @@ def value_table(samples: DataFrame, signals: list[str], first: int, last: int) -
 
 def transitions(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """(trace_id, signal, cycle, t, old_value, new_value) of every change from a known earlier value."""
-    w = Window.partitionBy("trace_id", "signal").orderBy("t", "seq")
-    moved = changes.withColumn("old_value", F.lag("value").over(w)).where("old_value is not null and old_value <> value")
+    told = ordered.beside(changes, ["trace_id", "signal"], ["t", "seq"], ["value"])
+    moved = told.withColumn("old_value", F.col("_beside.value")).drop("_beside").where("old_value is not null and old_value <> value")
     return time_to_cycle(moved, edges).select("trace_id", "signal", "cycle", "t", "old_value", F.col("value").alias("new_value"))
 
 
 def run_changes(runs: DataFrame) -> DataFrame:
     """(trace_id, signal, cycle, old_value, new_value) between successive cycles, from cycle_runs(): no cycle is written out."""
-    w = Window.partitionBy("trace_id", "signal").orderBy("cycle_from")
-    told = runs.withColumn("old_value", F.coalesce(F.lag("value").over(w), F.when(F.col("cycle_from") > 0, F.lit("x"))))
+    told = ordered.beside(runs, ["trace_id", "signal"], ["cycle_from"], ["value"])
+    told = told.withColumn("old_value", F.coalesce("_beside.value", F.when(F.col("cycle_from") > 0, F.lit("x"))))
     return told.where("old_value is not null and value <> old_value").select("trace_id", "signal", F.col("cycle_from").alias("cycle"), "old_value", F.col("value").alias("new_value"))
 
 
 def value_changes(samples: DataFrame) -> DataFrame:
     """The same from cycle_values() or any table of samples."""
-    w = Window.partitionBy("trace_id", "signal").orderBy("cycle")
-    told = samples.withColumn("old_value", F.lag("value").over(w)).withColumn("n", F.row_number().over(w))
-    return told.where("n > 1 and not (value <=> old_value)").select("trace_id", "signal", "cycle", F.coalesce("old_value", F.lit("x")).alias("old_value"), F.coalesce("value", F.lit("x")).alias("new_value"))
+    told = ordered.beside(samples, ["trace_id", "signal"], ["cycle"], ["value"]).where("_beside is not null and not (value <=> _beside.value)")
+    return told.select("trace_id", "signal", "cycle", F.coalesce("_beside.value", F.lit("x")).alias("old_value"), F.coalesce("value", F.lit("x")).alias("new_value"))
 
 
 def signals(changes: DataFrame) -> DataFrame:
@@ -181,8 +140,7 @@ def snapshot(samples: DataFrame, cycle: int) -> DataFrame:
 
 def fail_cycle(changes: DataFrame, edges: DataFrame, before: str = "1", after: str = "0", strict: bool = False) -> DataFrame:
     """(trace_id, signal, cycle): where each signal first falls; else where it is first low; else 0. strict: signals that never fall have no row."""
-    w = Window.partitionBy("trace_id", "signal").orderBy("t", "seq")
-    told = changes.withColumn("prev", F.lag("value").over(w))
+    told = ordered.beside(changes, ["trace_id", "signal"], ["t", "seq"], ["value"]).withColumn("prev", F.col("_beside.value"))
     first = told.groupBy("trace_id", "signal").agg(F.min(F.when((F.col("prev") == before) & (F.col("value") == after), F.col("t"))).alias("fall"), F.min(F.when(F.col("value") == after, F.col("t"))).alias("low"))
     at = first.where("fall is not null").select("trace_id", "signal", F.col("fall").alias("t")) if strict else first.select("trace_id", "signal", F.coalesce("fall", "low", F.lit(-(1 << 62))).alias("t"))
     return time_to_cycle(at, edges).select("trace_id", "signal", "cycle")

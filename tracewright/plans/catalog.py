@@ -101,7 +101,6 @@ SELECT c.cycle, CASE WHEN c.cycle < 0 THEN (SELECT min(t) FROM wave) ELSE coales
 
 # every cycle of the trace, one before and one after
 @query("w05_cycle_to_time", EVERY_CYCLE)
-@query("w05_every_cycle_to_time", EVERY_CYCLE)
 def w05(spark, sf_dir):
     changes, edges = _trace(spark, sf_dir)
     asked = trace.cycle_count(edges).select("trace_id", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.col("cycles"))).alias("cycle"))
@@ -236,6 +235,63 @@ def e09(spark, sf_dir):
     return _pairs(spark, sf_dir).select("seq", *(bits.arithmetic(a, op, b).alias(n) for n, op in named.items()), bits.arithmetic(a, "<<", F.lit("1")).alias("shifted"), bits.compare(a, "<", b).alias("less"), bits.equal(a, b).alias("same"), bits.negate(a).alias("negative"))
 
 
+ARITHMETIC = {"plus": "+", "minus": "-", "times": "*", "over": "/", "rest": "%"}
+COMPARED = {"less": "<", "more": ">", "upto": "<=", "least": ">="}
+
+
+def _all_operators(operands: DataFrame) -> DataFrame:
+    """Every arithmetic operator and comparison on operands(seq, bits, a, b)."""
+    a, b = F.col("a"), F.col("b")
+    told = [bits.arithmetic(a, op, b).alias(n) for n, op in ARITHMETIC.items()] + [bits.compare(a, op, b).alias(n) for n, op in COMPARED.items()]
+    moved = [bits.arithmetic(a, "<<", F.lit("101")).alias("shifted"), bits.arithmetic(a, ">>>", F.lit("111")).alias("back")]
+    return operands.select("seq", "bits", *told, *moved, bits.equal(a, b).alias("same"), bits.negate(a).alias("negative"))
+
+
+def _all_operators_sql(n: int, a: str, b: str) -> str:
+    """The same on n-bit numbers, n up to 64, in arithmetic of 127 bits."""
+    top = f"{1 << n}::HUGEINT"
+    told = {"plus": f"({a} + {b}) % {top}", "minus": f"({a} + {top} - {b}) % {top}", "times": f"({a} * ({b} % 4294967296) + {a} * ({b} // 4294967296) % 4294967296 * 4294967296) % {top}", "shifted": f"({a} * 32) % {top}", "back": f"{a} // 128", "negative": f"({top} - {a}) % {top}"}
+    divided = {"over": f"{a} // {b}", "rest": f"{a} % {b}"}
+    parts = [f"lpad(bin({v}), {n}, '0') AS {k}" for k, v in told.items()] + [f"CASE WHEN {b} > 0 THEN lpad(bin({v}), {n}, '0') END AS {k}" for k, v in divided.items()]
+    parts += [f"CASE WHEN {a} {op} {b} THEN '1' ELSE '0' END AS {k}" for k, op in (COMPARED | {"same": "="}).items()]
+    return f"SELECT seq, {n} AS bits, {', '.join(parts)} FROM (SELECT seq, {{a}}::HUGEINT AS a, {{b}}::HUGEINT AS b FROM n)"
+
+
+@query("e09_wide_arithmetic", f"""WITH {WAVE}, {VALUES}, {NUMBERS}
+{_all_operators_sql(60, "a", "b").format(a=f"x * {((1 << 60) - 1) // 15}", b=f"y * {((1 << 60) - 1) // 4095}")}
+UNION ALL {_all_operators_sql(64, "a", "b").format(a=f"(x * 16 + y)::HUGEINT * {((1 << 64) - 1) // 255}", b=f"(y * 256 + x)::HUGEINT * {((1 << 64) - 1) // 65535}")}""")
+def e09w(spark, sf_dir):
+    """Operands of 60 and 64 bits: patterns of the trace's values."""
+    p, zeros = _pairs(spark, sf_dir), F.lit("0000")
+    sixty = p.select("seq", F.lit(60).alias("bits"), F.repeat("a", F.lit(15)).alias("a"), F.repeat(F.concat(zeros, zeros, "b"), F.lit(5)).alias("b"))
+    more = p.select("seq", F.lit(64).alias("bits"), F.repeat(F.concat("a", "b"), F.lit(8)).alias("a"), F.repeat(F.concat(zeros, "b", zeros, "a"), F.lit(4)).alias("b"))
+    return _all_operators(sixty.unionByName(more))
+
+
+# with a = x * K and b = y * K, K = 1 + 16 + ... + 16 ** 49, and 15 * K = 2 ** 200 - 1: results are patterns but for their last digits
+DIGITS = "n4 AS (SELECT seq, x, y, x * y // 15 AS q, x * y % 15 AS s FROM n)"
+
+
+def _pattern(digit: str, last: str, many: int = 49) -> str:
+    return f"repeat(lpad(bin({digit}), 4, '0'), {many}) || lpad(bin({last}), {4 * (50 - many)}, '0')"
+
+
+@query("e09_vectors_of_200_bits", f"""WITH {WAVE}, {VALUES}, {NUMBERS}, {DIGITS}
+SELECT seq, CASE WHEN x + y <= 15 THEN {_pattern("x + y", "x + y")} ELSE {_pattern("x + y - 15", "x + y - 16")} END AS plus,
+CASE WHEN x >= y THEN {_pattern("x - y", "x - y")} ELSE {_pattern("15 + x - y", "16 + x - y")} END AS minus,
+CASE WHEN s * 17 >= q THEN {_pattern("s", "s * 17 - q", 48)} ELSE {_pattern("15", "256 + s * 17 - q", 48)} END AS times,
+CASE WHEN y > 0 THEN lpad(bin(x // y), 200, '0') END AS over, CASE WHEN y > 0 THEN {_pattern("x % y", "x % y")} END AS rest,
+CASE WHEN x = 0 THEN repeat('0', 200) ELSE {_pattern("15 - x", "16 - x")} END AS negative,
+CASE WHEN x < y THEN '1' ELSE '0' END AS less, CASE WHEN x >= y THEN '1' ELSE '0' END AS least,
+repeat(lpad(bin(x), 4, '0'), 50 - y) || repeat('0000', y) AS shifted, repeat('0', 4 * x + 3) || substring(repeat(lpad(bin(y), 4, '0'), 50), 1, 197 - 4 * x) AS back FROM n4""")
+def e09v(spark, sf_dir):
+    p = _pairs(spark, sf_dir).select("seq", F.repeat("a", F.lit(50)).alias("a"), F.repeat("b", F.lit(50)).alias("b"), F.col("a").alias("x"), F.col("b").alias("y"))
+    a, b = F.col("a"), F.col("b")
+    told = [bits.arithmetic(a, op, b).alias(n) for n, op in ARITHMETIC.items() if n != "times"] + [bits.arithmetic(a, "*", F.col("y")).alias("times"), bits.negate(a).alias("negative")]
+    moved = [bits.arithmetic(a, "<<", F.concat("y", F.lit("00"))).alias("shifted"), bits.arithmetic(b, ">>", F.concat("x", F.lit("11"))).alias("back")]
+    return p.select("seq", *told, bits.compare(a, "<", b).alias("less"), bits.compare(a, ">=", b).alias("least"), *moved)
+
+
 @query("e16_reductions", f"WITH {WAVE}, {VALUES} SELECT seq, CASE WHEN a = '1111' THEN '1' ELSE '0' END AS every, CASE WHEN a <> '0000' THEN '1' ELSE '0' END AS some, CAST(length(replace(a, '0', '')) % 2 AS VARCHAR) AS parity, CASE WHEN a = '0000' THEN '1' ELSE '0' END AS nothing FROM p")
 def e16(spark, sf_dir):
     a = F.col("a")
@@ -331,15 +387,22 @@ def g01(spark, sf_dir):
     return samples.select("signal", "cycle", slicer.node_id(F.col("signal"), F.col("cycle"), F.col("value")).alias("id"))
 
 
-@query("c04_toggle_correlation", f"""WITH {WAVE}, k AS MATERIALIZED (SELECT trace_id, signal, cycle, split_part(signal, '.', 2) AS scope FROM moved)
-SELECT a.signal AS source, b.signal AS target, a.cycle, 0.7::DOUBLE AS score FROM k a JOIN k b ON a.trace_id = b.trace_id AND a.scope = b.scope AND a.cycle = b.cycle WHERE a.signal <> b.signal""")
+@query("c04_toggle_correlation", f"""WITH {WAVE}, {DEPS}, g AS (SELECT signal, row_number() OVER (ORDER BY signal) - 1 AS n, count(*) OVER () AS m FROM signals),
+p AS (SELECT DISTINCT s.signal AS source, t.signal AS target FROM deps d JOIN g s ON s.n = d.source % s.m JOIN g t ON t.n = d.target % t.m WHERE d.dep_type = 'sequential' AND s.signal <> t.signal),
+m AS (SELECT trace_id, signal, cycle, value, lag(value) OVER (PARTITION BY trace_id, signal ORDER BY cycle) AS old_value FROM sampled),
+k AS (SELECT trace_id, signal, cycle FROM m WHERE CASE WHEN old_value IS NULL THEN cycle > 0 ELSE old_value <> value END)
+SELECT p.source, p.target, a.cycle, 0.7::DOUBLE AS score FROM p JOIN k a ON a.signal = p.source JOIN k b ON b.signal = p.target AND b.trace_id = a.trace_id AND b.cycle = a.cycle""")
 def c04(spark, sf_dir):
-    """All pairs of signals of one scope."""
+    """The pairs that sequential dependencies name; signals stand for the design's by number."""
+    from pyspark.sql import Window
+
     wave, edges = _trace(spark, sf_dir)
     changes = trace.run_changes(trace.cycle_runs(wave, edges))
-    known = trace.signals(wave).select("signal", names.hierarchy(F.col("signal")).alias("scope"))
-    pairs = known.withColumnRenamed("signal", "source").join(known.withColumnRenamed("signal", "target"), "scope").where("source <> target").drop("scope")
-    return slicer.toggle_correlation(changes, pairs).select("source", "target", "cycle", "score")
+    known = trace.signals(wave).select("signal", (F.row_number().over(Window.orderBy("signal")) - 1).alias("n"))  # a row a signal
+    many = known.count()
+    asked = adapters.deps(spark, sf_dir).where("dep_type = 'sequential'").select((F.col("source") % many).alias("s"), (F.col("target") % many).alias("t")).distinct()
+    pairs = asked.join(known.select(F.col("n").alias("s"), F.col("signal").alias("source")), "s").join(known.select(F.col("n").alias("t"), F.col("signal").alias("target")), "t")
+    return slicer.toggle_correlation(changes, pairs.where("source <> target").select("source", "target")).select("source", "target", "cycle", "score")
 
 
 @query("v01_time_window", f"""WITH {DEPS} SELECT dep_id, CASE WHEN dep_id % 3 = 2 THEN NULL ELSE CAST(dep_id % 7 AS INTEGER) END AS least, CASE dep_id % 3 WHEN 0 THEN CAST(dep_id % 7 + 9 AS INTEGER) WHEN 1 THEN CAST(dep_id % 7 AS INTEGER) END AS most FROM deps""")

@@ -51,6 +51,6 @@ def passing(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield made
     finally:
-        _open.remove(made)
+        _open.pop()  # contexts end in the reverse order; lists may be equal
         for path in made:
             discard(spark, path)
