@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bits
 from ..functions.expr import evaluate_udf
 from ..operators import names, slicer, sva, trace
-from ..sources import adapters
+from ..sources import adapters, dump
 from . import build, report
 
 QUERIES: dict = {}
@@ -124,6 +124,29 @@ def w07r(spark, sf_dir):
     return trace.cycle_runs(*_trace(spark, sf_dir))
 
 
+def _dumped(spark: SparkSession, sf_dir: str) -> str:
+    """The trace as dumps, one for each scope."""
+    wave = adapters.wave(spark, sf_dir)
+    return dump.saved_dumps(wave.withColumn("trace_id", names.hierarchy(F.col("signal"))))
+
+
+@query("s01_dump_scan", f"WITH {WAVE} SELECT trace_id, signal, cycle, value FROM cv")
+def s01(spark, sf_dir):
+    """The samples of w07 from written dumps, read back in splits of 256 KB."""
+    changes = dump.read_dumps(spark, _dumped(spark, sf_dir), split_bytes=1 << 18).withColumn("trace_id", F.lit("events"))
+    return trace.cycle_values(changes, slicer.table(trace.clock_edges(adapters.clock(spark, sf_dir))))
+
+
+@query("s02_dump_filters", f"""WITH {WAVE}, h AS (SELECT (min(t) + max(t)) // 2 AS half FROM wave)
+SELECT split_part(signal, '.', 1) || '.' || split_part(signal, '.', 2) AS trace_id, signal, t, value FROM wave, h WHERE signal IN ('top.u1.view', 'top.u2.click', 'top.u2.view') AND t > half""")
+def s02(spark, sf_dir):
+    """Signals as an option of the reader, times as a filter, which the session may push down."""
+    wave = adapters.wave(spark, sf_dir)
+    half = wave.agg(F.floor((F.min("t") + F.max("t")) / 2).cast("long")).first()[0]
+    found = dump.read_dumps(spark, _dumped(spark, sf_dir), signals=["top.u1.view", "top.u2.click", "top.u2.view"], split_bytes=1 << 18)
+    return found.where(F.col("t") > half).select("trace_id", "signal", "t", "value")
+
+
 @query("w08_cycle_start_sample", f"""WITH {WAVE}, l AS (SELECT trace_id, signal, t, max_by(value, seq) AS value FROM wave GROUP BY ALL)
 SELECT g.trace_id, g.signal, g.cycle, l.value FROM (SELECT s.trace_id, s.signal, e.cycle, e.t_start FROM signals s JOIN edges e USING (trace_id)) g
 ASOF JOIN l ON g.trace_id = l.trace_id AND g.signal = l.signal AND g.t_start >= l.t""")

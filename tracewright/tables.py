@@ -29,11 +29,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def save(df: DataFrame) -> tuple[DataFrame, str]:
-    """df as written, and where."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tracewright/{uuid.uuid4().hex}"
+def new_path(spark: SparkSession) -> str:
+    """Where to write something that goes with the tables of save()."""
+    path = f"{shared_folder(spark).rstrip('/')}/tracewright/{uuid.uuid4().hex}"
     if _open:
         _open[-1].append(path)
+    return path
+
+
+def save(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as written, and where."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
