@@ -76,13 +76,14 @@ class _Visited:
         return out
 
 
-def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, judge=None, later: DataFrame | None = None, closed: DataFrame | None = None) -> Slice:
+def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, judge=None, later: DataFrame | None = None, closed: DataFrame | None = None, free: int = 0) -> Slice:
     """Nodes and edges reachable backwards from seeds(trace_id, signal, cycle) in up to max_depth + 1 steps.
 
     An edge has the lowest dep_id for its pair. max_nodes bounds each trace level by level: of a level's nodes the first by cycle and
     signal stay, the others are neither kept nor sliced, nor are edges from them. judge(step, depth) may add score, kind and example
     columns to a level's candidate edges and nulls the score of those it rejects; the lowest dep_id that it accepts then stands for a
     pair. What only rejected edges lead from is a node, too, marked is_orphan, and isn't sliced.
+    free: the judge rejects nothing at depths below this; those levels are sliced first and all their edges judged together (dep_id tells dependencies apart).
     later(trace_id, signal, cycle): more seeds, at depth 1; closed(trace_id): traces whose seeds at depth 0 aren't sliced.
     A dependency of a name on its own base name is none, whatever the scopes, nor is one on a reset.
     """
@@ -97,22 +98,24 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
     if closed is not None:
         frontier = frontier.join(closed.select("trace_id"), "trace_id", "left_anti")
     told = ["dep_id", "dep_type", "score", "kind", "example"]
-    edges, lost, cut, depth = None, None, None, 0
-    # levels that nothing is decided on between go in one job: their nodes are told apart from those seen before it, and by their least depth
-    stride = LEVELS if judge is None and max_nodes is None and later is None else 1
+    edges, unjudged, lost, cut, depth = None, None, None, None, 0
     while depth <= max_depth:
+        plain = judge is None or depth < free
+        # levels that nothing is decided on between go in one job: their nodes are told apart from those seen before it, and by their least depth
+        stride = LEVELS if plain and max_nodes is None and later is None else 1
         levels, now = [], frontier
-        for i in range(min(stride, max_depth + 1 - depth)):
+        for i in range(min(stride, (max_depth + 1 if judge is None else max(free, depth + 1)) - depth)):
             step = now.select("trace_id", F.col("signal").alias("target"), F.col("cycle").alias("target_cycle")).join(known, "target")
             step = step.withColumn("source_cycle", parent_cycle(F.col("dep_type"), F.col("target_cycle")))
-            if judge is None:
-                levels.append(step.groupBy(*PAIR).agg(F.min_by("dep_type", "dep_id").alias("dep_type")).withColumn("_depth", F.lit(depth + i)))
+            if plain:
+                levels.append(step.groupBy(*PAIR).agg(F.min(F.struct("dep_id", "dep_type")).alias("dep")).withColumn("_depth", F.lit(depth + i)))
                 now = levels[-1].select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct().join(visited.all(), KEY, "left_anti")
-        if judge is None:
+        if plain:
             found = reduce(DataFrame.union, levels)
             if len(levels) > 1:  # a node met at several of these depths was sliced at each
-                found = found.groupBy(*PAIR).agg(F.min_by("dep_type", "_depth").alias("dep_type"), F.min("_depth").alias("_depth"))
-            found = table(found)
+                found = found.groupBy(*PAIR).agg(F.min("dep").alias("dep"), F.min("_depth").alias("_depth"))
+            found = table(found.select(*PAIR, "dep.*", "_depth"))
+            unjudged = found if unjudged is None else unjudged.union(found)
         else:
             order = F.struct(F.col("score").isNull().alias("rejected"), *told)
             found = judge(step, depth).groupBy(*PAIR).agg(F.min(order).alias("first"))
@@ -120,7 +123,7 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
             rejected = found.where("score is null").select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle"), F.lit(depth + 1).alias("depth"))
             lost = rejected if lost is None else lost.union(rejected)
             found = found.where("score is not null")
-        edges = found.drop("_depth") if edges is None else edges.union(found.drop("_depth"))
+            edges = found.drop("_depth") if edges is None else edges.union(found.drop("_depth"))
         fresh = found.groupBy("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).agg((F.min("_depth") + 1).alias("depth")).join(visited.all(), KEY, "left_anti")
         if max_nodes is not None:
             w = Window.partitionBy("trace_id").orderBy("cycle", "signal")
@@ -137,6 +140,12 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
         if not n and (depth or later is None or waiting.isEmpty()):
             break
         depth = last
+    if judge is None:
+        edges = unjudged.select(*PAIR, "dep_type")
+    elif unjudged is not None:
+        judged = judge(unjudged.select("trace_id", "source_cycle", "target_cycle", "dep_id").join(known, "dep_id"), 0)
+        judged = table(judged.select(*PAIR, *told))
+        edges = judged if edges is None else judged.unionByName(edges)
     nodes = visited.all()
     orphan = F.lit(False).alias("is_orphan")
     if lost is not None:

@@ -107,7 +107,7 @@ def causal_graph(deps: DataFrame, samples: DataFrame, seeds: DataFrame, max_dept
     deps, samples = slicer.table(deps), slicer.table(with_before(samples))
     more, said = late or (None, None)
     closed = None if said is None else said.select("trace_id").distinct()
-    nodes, edges, cut = slicer.backward_slice(deps, seeds, max_depth, max_nodes, judge(deps, samples, max_depth, triggers), more, closed)
+    nodes, edges, cut = slicer.backward_slice(deps, seeds, max_depth, max_nodes, judge(deps, samples, max_depth, triggers), more, closed, free=max_depth // 2)
     place = [F.col(c) if c in deps.columns else F.lit(None).alias(c) for c in ("file", "line", "line_end", "snippet")]
     told = deps.select("dep_id", F.struct(*place, "expression", "condition").cast(EVIDENCE).alias("evidence"))
     refs = deps.select("target", F.struct(*place[:2], F.col("dep_type").alias("type")).cast("struct<file:string,line:int,type:string>").alias("_ref"))
