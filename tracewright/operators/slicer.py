@@ -188,21 +188,21 @@ def suspect_scores(edges: DataFrame) -> DataFrame:
     return edges.groupBy("trace_id", "source").agg((F.max("score") * 0.9).alias("suspect_score"))
 
 
-def counterfactuals(cases: DataFrame, key: str = "source") -> DataFrame:
-    """cases(expression, env map, source) with original, perturbed, causal and score. key: the column that names the source in env.
+def counterfactuals(cases: DataFrame, key: str = "source", shapes: list[str] | None = None) -> DataFrame:
+    """cases(expression, env map, source) with original, perturbed, causal and score. key: the column that names the source in env; shapes: of
+    compiled.shapes_in(), if they are known.
 
     The source is flipped and the expression evaluated again. Where that changes nothing and the expression compares
     the source with a literal, the source is set to that literal, or to its inverse where it is equal already.
     Cases without a value of the source aren't causal; original is null where the expression can't be told.
     """
-    from ..functions import bits
-    from ..functions.expr import outcomes_udf
+    from ..functions import bits, compiled
 
     def score(perturbed: str) -> Column:
         causal = F.coalesce(bits.values_differ(F.col("_o.original"), F.col(perturbed)), F.lit(False))
         return F.when(causal, bits.contribution(F.col("_o.original"), F.col(perturbed)))
 
-    out = cases.withColumn("_o", outcomes_udf()("expression", "env", key)).withColumn("_score", score("_o.flipped"))
+    out = compiled.outcomes(cases, "_o", key, shapes=shapes).withColumn("_score", score("_o.flipped"))
     out = out.withColumn("score", F.coalesce("_score", score("_o.tried"))).withColumn("causal", F.col("score").isNotNull())
     perturbed = F.when(F.col("_score").isNull() & F.col("causal"), F.col("_o.tried")).otherwise(F.col("_o.flipped"))
     told = {"original": F.col("_o.original"), "perturbed": perturbed, "score": F.coalesce("score", F.lit(0.0))}

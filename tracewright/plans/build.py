@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bits
+from ..functions import bits, compiled
 from ..operators import slicer
 from ..operators.slicer import PAIR
 
@@ -49,6 +49,7 @@ def judge(deps: DataFrame, samples: DataFrame, max_depth: int, triggers: DataFra
     Expressions see the sources of their target under the names that the design gives them: deps.source_name, else source.
     """
     sources = deps.select("target", F.col("source").alias("_of"), F.col("source_name").alias("_as")).distinct()
+    shapes = compiled.shapes_in(deps)
 
     def told(step: DataFrame, depth: int) -> DataFrame:
         # one environment for each target and cycle, not for each edge
@@ -60,7 +61,7 @@ def judge(deps: DataFrame, samples: DataFrame, max_depth: int, triggers: DataFra
         for end, name in (("source", "s"), ("target", "t")):
             here = samples.select("trace_id", F.col("signal").alias(end), F.col("cycle").alias(f"{end}_cycle"), F.col("before").alias(f"_{name}0"), F.col("value").alias(f"_{name}1"))
             rows = rows.join(here, ["trace_id", end, f"{end}_cycle"], "left")
-        rows = slicer.counterfactuals(rows.withColumn("env", F.coalesce("env", F.create_map().cast("map<string,string>"))), "source_name")
+        rows = slicer.counterfactuals(rows.withColumn("env", F.coalesce("env", F.create_map().cast("map<string,string>"))), "source_name", shapes)
         silent = F.col("original").isNull()
         known = F.col("_s1").isNotNull() & F.col("_t1").isNotNull()
         both = [F.coalesce(bits.values_differ(F.col(f"_{x}0"), F.col(f"_{x}1")), F.lit(False)) for x in "st"]
@@ -189,7 +190,6 @@ def failed_windows(deps: DataFrame, samples: DataFrame, ends: DataFrame) -> tupl
     windows: trace_id, endpoint, trigger, least, most, fail. The trigger starts the latest run of cycles, up to the failure less the greatest delay,
     in which the antecedent holds; null where there is none. Delays are null where the property has no window.
     """
-    from ..functions.expr import evaluate_udf
     from ..operators import names, sva
 
     props = deps.where(F.col("expression").contains("|->")).groupBy(F.col("target").alias("signal")).agg(F.min("expression").alias("expression"))
@@ -201,7 +201,8 @@ def failed_windows(deps: DataFrame, samples: DataFrame, ends: DataFrame) -> tupl
     env = _valued(cycles.join(sources, "signal"), samples, "_of", F.col("cycle"), "_value").where("_value is not null")
     env = env.groupBy("trace_id", "before", "cycle").agg(F.map_from_entries(F.collect_set(F.struct("_of", "_value"))).alias("env"))
     env = cycles.join(env, ["trace_id", "before", "cycle"], "left")  # a cycle without values ends a run too
-    truth = env.select("trace_id", "cycle", bits.truthy(evaluate_udf()("before", "env")).alias("holds"))
+    shapes = compiled.shapes_in(props.select(F.substring_index("expression", "|->", 1).alias("before")), "before")
+    truth = compiled.evaluated(env, "_held", "before", "env", shapes=shapes).select("trace_id", "cycle", bits.truthy(F.col("_held")).alias("holds"))
     windows = failed.join(sva.trigger_cycle(truth), "trace_id", "left").select("trace_id", F.col("signal").alias("endpoint"), F.col("trigger_cycle").alias("trigger"), "least", "most", "fail")
     near = sources.groupBy("signal").agg(F.collect_set(names.base(F.col("_of"))).alias("_near"))
     late = failed.join(near, "signal").select("trace_id", "signal", sva.consequent_signals(F.col("expression"), F.col("_near")).alias("_late")).join(sources, "signal")

@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bits
-from ..functions.expr import evaluate_udf
+from ..functions import bits, compiled
 from ..operators import names, slicer, sva, trace
 from ..sources import adapters, dump
 from . import build, report
@@ -324,9 +323,10 @@ def e16(spark, sf_dir):
 @query("e20_expressions", f"""WITH {WAVE}, {VALUES}, {NUMBERS} SELECT seq, CASE WHEN a <> '0000' THEN lpad(bin(x & y), 4, '0') ELSE translate(b, '01', '10') END AS chosen,
 CASE WHEN x > y THEN CASE WHEN a <> '0000' AND b <> '0000' THEN '1' ELSE '0' END ELSE '1' END AS implied, a || b AS joined FROM n""")
 def e20(spark, sf_dir):
-    told = evaluate_udf()
-    env = F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))
-    return _pairs(spark, sf_dir).select("seq", told(F.lit("a ? a & b : ~b"), env).alias("chosen"), told(F.lit("a > b |-> ##[1:4] a && b"), env).alias("implied"), told(F.lit("{a, b}"), env).alias("joined"))
+    rows = _pairs(spark, sf_dir).withColumn("env", F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b")))
+    for name, text in {"chosen": "a ? a & b : ~b", "implied": "a > b |-> ##[1:4] a && b", "joined": "{a, b}"}.items():
+        rows = compiled.evaluated_text(rows, name, text)
+    return rows.select("seq", "chosen", "implied", "joined")
 
 
 @query("r01_names", f"WITH {WAVE} SELECT signal, split_part(signal, '.', 3) AS base, concat(split_part(signal, '.', 1), '.', split_part(signal, '.', 2)) AS hierarchy, signal AS qualified FROM signals")

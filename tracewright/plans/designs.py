@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import bits
-from ..functions.expr import evaluate_udf
+from ..functions import bits, compiled
 from ..operators import names, slicer, sva, trace
 from ..sources import adapters, rtl
 from . import build, catalog
@@ -183,18 +182,21 @@ def c07(spark, sf_dir):
 @query("e04_precedence", f"""WITH {WAVE}, {VALUES}, {NUMBERS} SELECT seq, lpad(bin((x | y) & xor(x, 3)), 4, '0') AS grouped, lpad(bin(x | (y & xor(x, 3))), 4, '0') AS tight,
 CASE WHEN (x | y) <> 0 AND y <> 0 THEN '1' ELSE '0' END AS loose, lpad(bin(CASE WHEN x <> 0 AND y <> 0 THEN x | 1 ELSE x END), 4, '0') AS parity FROM n""")
 def e04(spark, sf_dir):
-    p, env = catalog._pairs(spark, sf_dir), F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))
-    told, standard = evaluate_udf(), evaluate_udf(precedence="ieee")
-    return p.select("seq", told(F.lit("(a | b) & a ^ 4'd3"), env).alias("grouped"), told(F.lit("a | b & a ^ 4'd3"), env).alias("tight"), standard(F.lit("a | b && b"), env).alias("loose"), told(F.lit("a | a && b"), env).alias("parity"))
+    rows = catalog._pairs(spark, sf_dir).withColumn("env", F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b")))
+    for name, text, order in (("grouped", "(a | b) & a ^ 4'd3", "table"), ("tight", "a | b & a ^ 4'd3", "table"), ("loose", "a | b && b", "ieee"), ("parity", "a | a && b", "table")):
+        rows = compiled.evaluated_text(rows, name, text, precedence=order)
+    return rows.select("seq", "grouped", "tight", "loose", "parity")
 
 
 @query("e17_literals", f"""WITH {WAVE}, {VALUES}, {NUMBERS} SELECT seq, lpad(bin(x), 6, '0') AS hexadecimal, lpad(bin(x % 8), 3, '0') AS cut, bin(x) AS plain, lpad(bin((16 - x) % 16), 4, '0') AS negative, CASE WHEN x = 0 THEN '1' ELSE '0' END AS nothing FROM n""")
 def e17(spark, sf_dir):
-    p, told = catalog._pairs(spark, sf_dir), evaluate_udf()
     x = bits.parse_binary(F.col("a"))
-    env = F.create_map(F.lit("a"), F.col("a"))
     text = lambda head: F.concat(F.lit(head), x.cast("string"))
-    return p.select("seq", told(F.concat(F.lit("6'h"), F.lower(F.hex(x))), env).alias("hexadecimal"), told(text("3'd"), env).alias("cut"), told(text(""), env).alias("plain"), told(F.lit("-a"), env).alias("negative"), told(F.lit("!a"), env).alias("nothing"))
+    said = {"hexadecimal": F.concat(F.lit("6'h"), F.lower(F.hex(x))), "cut": text("3'd"), "plain": text(""), "negative": F.lit("-a"), "nothing": F.lit("!a")}
+    rows = catalog._pairs(spark, sf_dir).withColumn("env", F.create_map(F.lit("a"), F.col("a")))
+    for name, e in said.items():
+        rows = compiled.evaluated(rows.withColumn("expression", e), name)
+    return rows.select("seq", *said)
 
 
 #: Bits that may be unknown, of two widths: the last bit of every third value is x, the first of every fifth z.
@@ -223,18 +225,23 @@ array_to_string([CASE WHEN a[i] IN ('x', 'z') THEN 'x' WHEN a[i] = c[i] THEN '0'
 CASE WHEN a = c THEN '1' ELSE '0' END AS same, CASE WHEN a <> c THEN '1' ELSE '0' END AS other, CASE WHEN contains(a, 'x') OR contains(a, 'z') THEN NULL WHEN a >= c THEN '1' ELSE '0' END AS atleast,
 CASE WHEN contains(a, 'x') OR contains(a, 'z') THEN NULL ELSE concat('0', a[1:3]) END AS halved, CASE WHEN contains(a, 'x') OR contains(a, 'z') OR NOT contains(a, '1') THEN '1' ELSE '0' END AS nothing FROM w""")
 def e06u(spark, sf_dir):
-    told, env = evaluate_udf(), F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))
+    rows = _mixed(spark, sf_dir).withColumn("env", F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b")))
     a, b = F.col("a"), F.col("b")
-    said = {"same": "a === b", "other": "a != b", "atleast": "a >= b", "halved": "a >> 1'b1", "nothing": "!a"}
-    return _mixed(spark, sf_dir).select("seq", bits.bit_and(a, b).alias("and"), told(F.lit("a | b"), env).alias("or"), bits.bit_xor(a, b).alias("xor"), *(told(F.lit(e), env).alias(n) for n, e in said.items()))
+    said = {"or": "a | b", "same": "a === b", "other": "a != b", "atleast": "a >= b", "halved": "a >> 1'b1", "nothing": "!a"}
+    for name, text in said.items():
+        rows = compiled.evaluated_text(rows, name, text)
+    return rows.select("seq", bits.bit_and(a, b).alias("and"), bits.bit_xor(a, b).alias("xor"), *said)
 
 
 @query("e19_names", f"""WITH {WAVE}, {VALUES} SELECT seq, a AS exact, b AS dotted, a AS scored FROM p""")
 def e19(spark, sf_dir):
     """q is itself where there is one, else what ends with .q, else what ends with _q; my_q comes before q by name."""
-    p, told = catalog._pairs(spark, sf_dir), evaluate_udf()
     env = lambda *pairs: F.create_map(*(x for name, c in pairs for x in (F.lit(name), F.col(c))))
-    return p.select("seq", told(F.lit("q"), env(("my_q", "b"), ("q", "a"), ("z.q", "b"))).alias("exact"), told(F.lit("q"), env(("a_q", "a"), ("top.q", "b"))).alias("dotted"), told(F.lit("q"), env(("top.m.my_q", "a"))).alias("scored"))
+    said = {"exact": env(("my_q", "b"), ("q", "a"), ("z.q", "b")), "dotted": env(("a_q", "a"), ("top.q", "b")), "scored": env(("top.m.my_q", "a"))}
+    rows = catalog._pairs(spark, sf_dir)
+    for name, e in said.items():
+        rows = compiled.evaluated_text(rows.withColumn("env", e), name, "q")
+    return rows.select("seq", *said)
 
 
 @query("c02_names", f"""WITH {WAVE}, {VALUES} SELECT seq, a AS original, translate(a, '01', '10') AS perturbed, true AS causal, 1.0::DOUBLE AS score FROM p""")
