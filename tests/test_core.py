@@ -278,9 +278,11 @@ def test_depths_are_least_distances(spark):
     r = random.Random(7)
     rows = [(i, f"s{r.randint(0, 40)}", f"s{r.randint(0, 40)}", r.choice(["sequential", "combinational"])) for i in range(90)]
     deps = spark.createDataFrame(rows, "dep_id long, target string, source string, dep_type string")
-    seeds = spark.createDataFrame([("t", "s1", 4), ("u", "s2", 2)], "trace_id string, signal string, cycle int")
+    # an endpoint that two traces share at different cycles, and a trace with several
+    asked = [("t", "s1", 4), ("u", "s2", 2), ("v", "s1", 1), ("v", "s1", 0), ("u", "s1", 7)]
+    seeds = spark.createDataFrame(asked, "trace_id string, signal string, cycle int")
     for most in (0, 1, 4, 20):
-        want, links = {("t", "s1", 4): 0, ("u", "s2", 2): 0}, {}
+        want, links = dict.fromkeys(asked, 0), {}
         front = list(want)
         for depth in range(most + 1):
             fresh = []

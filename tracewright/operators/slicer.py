@@ -1,6 +1,6 @@
 """Backward slicing through time, level by level, for many endpoints at once.
 
-Each level is one join of the frontier with the dependencies. Depth is the least distance. A level is
+Each level is one join of the frontier with the dependencies; an endpoint that many traces share is sliced once. Depth is the least distance. A level is
 written to the shared folder before the next reads it, so lineage stays short.
 """
 
@@ -53,9 +53,12 @@ PAIR = ["trace_id", "source", "source_cycle", "target", "target_cycle"]
 class _Visited:
     """Nodes seen so far, in tables whose sizes double: a level is written once for each doubling of what is known."""
 
-    def __init__(self, first: DataFrame):
+    def __init__(self, first: DataFrame, written: bool = False):
         self.spark, self.parts = first.sparkSession, []
-        self.add(first)
+        if written:
+            self.parts.append((first.count(), first, ""))
+        else:
+            self.add(first)
 
     def add(self, rows: DataFrame) -> tuple[DataFrame, int]:
         counted = Observation()  # by the write itself
@@ -76,6 +79,45 @@ class _Visited:
         return out
 
 
+def _levels(known: DataFrame, seeds: DataFrame, last: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes with depth, edges PAIR, dep_id, dep_type) backwards from seeds, nodes at depths up to last sliced. Nothing is decided between levels, so
+    some go in one job: their nodes are told apart from those seen before it, and by their least depth."""
+    visited = _Visited(seeds.select(*KEY).distinct().withColumn("depth", F.lit(0)))
+    edges, frontier, depth = None, visited.parts[0][1], 0
+    while depth <= last:
+        levels, now = [], frontier
+        for i in range(min(LEVELS, last + 1 - depth)):
+            step = now.select("trace_id", F.col("signal").alias("target"), F.col("cycle").alias("target_cycle")).join(known, "target")
+            step = step.withColumn("source_cycle", parent_cycle(F.col("dep_type"), F.col("target_cycle")))
+            levels.append(step.groupBy(*PAIR).agg(F.min(F.struct("dep_id", "dep_type")).alias("dep")).withColumn("_depth", F.lit(depth + i)))
+            now = levels[-1].select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct().join(visited.all(), KEY, "left_anti")
+        found = reduce(DataFrame.union, levels)
+        if len(levels) > 1:  # a node met at several of these depths was sliced at each
+            found = found.groupBy(*PAIR).agg(F.min("dep").alias("dep"), F.min("_depth").alias("_depth"))
+        found = table(found.select(*PAIR, "dep.*", "_depth"))
+        edges = found if edges is None else edges.union(found)
+        fresh = found.groupBy("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).agg((F.min("_depth") + 1).alias("depth"))
+        fresh, n = visited.add(fresh.join(visited.all(), KEY, "left_anti"))
+        if not n:
+            break
+        depth += len(levels)
+        frontier = fresh.where(F.col("depth") == depth)
+    return visited.all(), edges.drop("_depth")
+
+
+def _shared(known: DataFrame, seeds: DataFrame, last: int) -> tuple[DataFrame, DataFrame]:
+    """The same, with each endpoint sliced once, however many traces and cycles it is asked at: from its latest cycle. Cycles of dependencies are
+    differences, so a trace's slice is that one moved to its own cycle; what would fall before cycle 0 is at 0 there, too."""
+    seeds = seeds.select(*KEY).distinct()
+    tops = table(seeds.groupBy("signal").agg(F.max("cycle").alias("_top")))
+    nodes, edges = _levels(known, tops.select(F.col("signal").alias("trace_id"), "signal", F.col("_top").alias("cycle")), last)
+    asked = seeds.join(tops, "signal").select(F.col("signal").alias("_end"), F.col("trace_id").alias("_trace"), (F.col("_top") - F.col("cycle")).alias("_back"))
+    moved = lambda rows, *cycles: rows.join(asked, rows["trace_id"] == asked["_end"]).drop("trace_id", "_end").withColumnRenamed("_trace", "trace_id").withColumns({c: F.greatest(F.col(c) - F.col("_back"), F.lit(0)).cast(rows.schema[c].dataType) for c in cycles})
+    nodes = moved(nodes, "cycle").groupBy(*KEY).agg(F.min("depth").alias("depth"))
+    edges = moved(edges, "source_cycle", "target_cycle").groupBy(*PAIR).agg(F.min(F.struct("dep_id", "dep_type")).alias("dep")).select(*PAIR, "dep.*")
+    return table(nodes), table(edges)
+
+
 def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, judge=None, later: DataFrame | None = None, closed: DataFrame | None = None, free: int = 0) -> Slice:
     """Nodes and edges reachable backwards from seeds(trace_id, signal, cycle) in up to max_depth + 1 steps.
 
@@ -89,42 +131,39 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
     """
     source, target = (names.base(F.col(c).cast("string")) for c in ("source", "target"))
     known = table(deps.where((source != target) & ~source.isin(*IGNORED)))
-    nodes = seeds.select(*KEY).distinct().withColumn("depth", F.lit(0))
-    if later is not None:
-        nodes = nodes.union(later.select(*KEY).distinct().join(seeds.select(*KEY), KEY, "left_anti").withColumn("depth", F.lit(1)))
-    visited = _Visited(nodes)
-    first = visited.parts[0][1]
-    waiting, frontier = first.where("depth = 1"), first.where("depth = 0")
-    if closed is not None:
-        frontier = frontier.join(closed.select("trace_id"), "trace_id", "left_anti")
     told = ["dep_id", "dep_type", "score", "kind", "example"]
-    edges, unjudged, lost, cut, depth = None, None, None, None, 0
+    edges, unjudged, lost, cut, depth, waiting = None, None, None, None, 0, None
+    ahead = max_depth if judge is None else min(free - 1, max_depth)
+    if max_nodes is None and later is None and closed is None and ahead >= 0:
+        nodes, unjudged = _shared(known, seeds, ahead)
+        visited, depth = _Visited(nodes, written=True), ahead + 1
+        frontier = nodes.where(F.col("depth") == depth)
+        if judge is not None and depth <= max_depth and frontier.isEmpty():
+            depth = max_depth + 1
+    else:
+        nodes = seeds.select(*KEY).distinct().withColumn("depth", F.lit(0))
+        if later is not None:
+            nodes = nodes.union(later.select(*KEY).distinct().join(seeds.select(*KEY), KEY, "left_anti").withColumn("depth", F.lit(1)))
+        visited = _Visited(nodes)
+        first = visited.parts[0][1]
+        waiting, frontier = first.where("depth = 1"), first.where("depth = 0")
+        if closed is not None:
+            frontier = frontier.join(closed.select("trace_id"), "trace_id", "left_anti")
     while depth <= max_depth:
-        plain = judge is None or depth < free
-        # levels that nothing is decided on between go in one job: their nodes are told apart from those seen before it, and by their least depth
-        stride = LEVELS if plain and max_nodes is None and later is None else 1
-        levels, now = [], frontier
-        for i in range(min(stride, (max_depth + 1 if judge is None else max(free, depth + 1)) - depth)):
-            step = now.select("trace_id", F.col("signal").alias("target"), F.col("cycle").alias("target_cycle")).join(known, "target")
-            step = step.withColumn("source_cycle", parent_cycle(F.col("dep_type"), F.col("target_cycle")))
-            if plain:
-                levels.append(step.groupBy(*PAIR).agg(F.min(F.struct("dep_id", "dep_type")).alias("dep")).withColumn("_depth", F.lit(depth + i)))
-                now = levels[-1].select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct().join(visited.all(), KEY, "left_anti")
-        if plain:
-            found = reduce(DataFrame.union, levels)
-            if len(levels) > 1:  # a node met at several of these depths was sliced at each
-                found = found.groupBy(*PAIR).agg(F.min("dep").alias("dep"), F.min("_depth").alias("_depth"))
-            found = table(found.select(*PAIR, "dep.*", "_depth"))
+        step = frontier.select("trace_id", F.col("signal").alias("target"), F.col("cycle").alias("target_cycle")).join(known, "target")
+        step = step.withColumn("source_cycle", parent_cycle(F.col("dep_type"), F.col("target_cycle")))
+        if judge is None or depth < free:
+            found = table(step.groupBy(*PAIR).agg(F.min(F.struct("dep_id", "dep_type")).alias("dep")).select(*PAIR, "dep.*"))
             unjudged = found if unjudged is None else unjudged.union(found)
         else:
             order = F.struct(F.col("score").isNull().alias("rejected"), *told)
             found = judge(step, depth).groupBy(*PAIR).agg(F.min(order).alias("first"))
-            found = table(found.select(*PAIR, *(F.col(f"first.{c}").alias(c) for c in told), F.lit(depth).alias("_depth")))
+            found = table(found.select(*PAIR, *(F.col(f"first.{c}").alias(c) for c in told)))
             rejected = found.where("score is null").select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle"), F.lit(depth + 1).alias("depth"))
             lost = rejected if lost is None else lost.union(rejected)
             found = found.where("score is not null")
-            edges = found.drop("_depth") if edges is None else edges.union(found.drop("_depth"))
-        fresh = found.groupBy("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).agg((F.min("_depth") + 1).alias("depth")).join(visited.all(), KEY, "left_anti")
+            edges = found if edges is None else edges.union(found)
+        fresh = found.select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct().join(visited.all(), KEY, "left_anti").withColumn("depth", F.lit(depth + 1))
         if max_nodes is not None:
             w = Window.partitionBy("trace_id").orderBy("cycle", "signal")
             have = visited.all().groupBy("trace_id").agg(F.count("*").alias("_have"))
@@ -132,14 +171,12 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
             over = fresh.where("not _in").select("trace_id")
             cut = over if cut is None else cut.union(over)
             fresh = fresh.where("_in").drop("_n", "_have", "_in")
-        found_now, n = visited.add(fresh)
-        last = depth + (len(levels) or 1)
-        frontier = found_now.where(F.col("depth") == last) if len(levels) > 1 else found_now
+        frontier, n = visited.add(fresh)
         if depth == 0 and later is not None:
             frontier = frontier.unionByName(waiting)
         if not n and (depth or later is None or waiting.isEmpty()):
             break
-        depth = last
+        depth += 1
     if judge is None:
         edges = unjudged.select(*PAIR, "dep_type")
     elif unjudged is not None:

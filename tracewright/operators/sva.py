@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 #: Parts of names that tell a consequent where the property's text has none.
 LATE_WORDS = ("eating", "done", "ready", "valid", "complete", "finish", "state")
 #: Words of properties that are no signals.
@@ -34,11 +36,11 @@ def consequent_signals(text: Column, sources: Column | None = None) -> Column:
 
 
 def trigger_cycle(truth: DataFrame) -> DataFrame:
-    """truth(trace_id, cycle, holds) up to the last cycle asked: the first cycle of the latest run that holds."""
-    w = Window.partitionBy("trace_id").orderBy("cycle")
-    runs = truth.withColumn("holds", F.coalesce("holds", F.lit(False))).withColumn("run", F.sum((~F.col("holds")).cast("int")).over(w))
-    starts = runs.where("holds").groupBy("trace_id", "run").agg(F.min("cycle").alias("cycle"))
-    return starts.groupBy("trace_id").agg(F.max("cycle").alias("trigger_cycle"))
+    """truth(trace_id, cycle, holds) up to the last cycle asked: the first cycle of the latest run that holds. A run begins where the cycle before
+    doesn't hold, so only neighbours are compared; a long trace is many tasks."""
+    told = ordered.beside(truth.select("trace_id", "cycle", F.coalesce("holds", F.lit(False)).alias("holds")), ["trace_id"], ["cycle"], ["holds"], crowd=ordered.CROWD)
+    begins = told.where(F.col("holds") & ~F.coalesce(F.col("_beside.holds"), F.lit(False)))
+    return begins.groupBy("trace_id").agg(F.max("cycle").alias("trigger_cycle"))
 
 
 def window_samples(windows: DataFrame) -> DataFrame:
