@@ -180,8 +180,9 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
     if judge is None:
         edges = unjudged.select(*PAIR, "dep_type")
     elif unjudged is not None:
-        judged = judge(unjudged.select("trace_id", "source_cycle", "target_cycle", "dep_id").join(known, "dep_id"), 0)
-        judged = table(judged.select(*PAIR, *told))
+        judged = judge(unjudged.select("trace_id", "source_cycle", "target_cycle", "dep_id", "dep_type").join(known, ["dep_id", "dep_type"]), 0)
+        judged = judged.groupBy(*PAIR).agg(F.min(F.struct(*told)).alias("first"))  # a dependency may be there twice
+        judged = table(judged.select(*PAIR, *(F.col(f"first.{c}").alias(c) for c in told)))
         edges = judged if edges is None else judged.unionByName(edges)
     nodes = visited.all()
     orphan = F.lit(False).alias("is_orphan")

@@ -68,7 +68,7 @@ def analyse(
     deps = names.bind(known, rtl.read_instances(spark, *sources), signals.select("signal"))
     # an id that a rerun finds again: by place in the sources
     deps = deps.withColumn("dep_id", F.struct("file", "line", "target", "source", "expression"))
-    graph, windows, consequents = build.assertion_graph(deps, trace.cycle_values(changes, edges), ends, max_depth, max_nodes)
+    graph, windows, consequents = build.assertion_graph(deps, None, ends, max_depth, max_nodes, runs=slicer.table(trace.cycle_runs(changes, edges)))
     stats = slicer.table(build.statistics(graph.nodes, graph.edges, graph.cut, max_depth))
     about = trace.metadata(changes, edges, ticks, vcd.read_headers(spark, *traces))
     meta = slicer.table(report.meta(stats, ends, about, windows, consequents, sources, max_depth, max_nodes, time.time() - began, seed))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, compiled
-from ..operators import slicer
+from ..operators import ordered, slicer
 from ..operators.slicer import PAIR
 
 
@@ -28,6 +28,20 @@ def with_before(samples: DataFrame) -> DataFrame:
     return samples.select("trace_id", "signal", "cycle", "value", F.when(F.lag("cycle").over(w) == F.col("cycle") - 1, F.lag("value").over(w)).alias("before"))
 
 
+def values_at(points: DataFrame, runs: DataFrame) -> DataFrame:
+    """with_before() of the samples at points(trace_id, signal, cycle) alone, from trace.cycle_runs(): each point meets the run it lies in, and no cycle
+    that isn't asked is written out. Before a signal's first run it is x; signals without runs and cycles behind the trace have no row."""
+    key = ["trace_id", "signal"]
+    asked = points.select(*key, F.col("cycle").cast("bigint").alias("cycle")).where("cycle >= 0").distinct().join(runs.select(*key).distinct(), key, "left_semi")
+    told = ordered.beside(runs.join(asked.select(*key).distinct(), key, "left_semi"), key, ["cycle_from"], ["value"])
+    told = told.select(*key, F.col("cycle_from").alias("_from"), "cycle_to", "value", F.coalesce("_beside.value", F.when(F.col("cycle_from") > 0, F.lit("x"))).alias("_earlier"))
+    marks = runs.select(*key, F.col("cycle_from").alias("cycle"), F.col("cycle_from").alias("_from"))
+    met = ordered.as_of(asked, marks, key, "cycle", "_from").join(told, [*key, "_from"], "left").where("_from is null or cycle <= cycle_to")
+    value = F.when(F.col("_from").isNull(), F.lit("x")).otherwise(F.col("value"))
+    before = F.when(F.col("cycle") > 0, F.when(F.col("cycle") == F.col("_from"), F.col("_earlier")).otherwise(value))
+    return met.select(*key, "cycle", value.alias("value"), before.alias("before"))
+
+
 #: An edge's example: how it was judged. Fields that don't belong to its type are null.
 EXAMPLE = (
     "struct<type:string,source_original:string,source_perturbed:string,target_original:string,target_perturbed:string,expression:string,source_before:string,source_after:string,"
@@ -41,8 +55,8 @@ def _example(kind: str, **fields: Column | str) -> Column:
     return F.struct(*(told.get(n, F.lit(None)).alias(n) for n in names)).cast(EXAMPLE)
 
 
-def judge(deps: DataFrame, samples: DataFrame, max_depth: int, triggers: DataFrame | None = None):
-    """A judge for backward_slice(). samples: of with_before().
+def judge(deps: DataFrame, samples: DataFrame | None, max_depth: int, triggers: DataFrame | None = None, runs: DataFrame | None = None):
+    """A judge for backward_slice(). samples: of with_before(); or runs, of trace.cycle_runs(), from which a step takes the values it needs.
 
     Counterfactual score, or 0.7 where the expression says nothing and source and target both toggled; else 0.85 for the antecedent
     at a trigger cycle of triggers(trace_id, trigger_cycle), else 0.3 in the upper half of the depth; the rest is rejected.
@@ -54,21 +68,26 @@ def judge(deps: DataFrame, samples: DataFrame, max_depth: int, triggers: DataFra
     def told(step: DataFrame, depth: int) -> DataFrame:
         # one environment for each target and cycle, not for each edge
         wanted = step.select("trace_id", "target", "source_cycle").distinct().join(sources, "target")
-        wanted = _valued(wanted, samples, "_of", F.col("source_cycle"), "_value").where("_value is not null")
+        known = samples
+        if runs is not None:
+            ends = [step.select("trace_id", F.col(x).alias("signal"), F.col(f"{x}_cycle").alias("cycle")) for x in ("source", "target")]
+            asked = wanted.select("trace_id", F.col("_of").alias("signal"), F.col("source_cycle").alias("cycle")).union(ends[0]).union(ends[1])
+            known = slicer.table(values_at(asked, runs))
+        wanted = _valued(wanted, known, "_of", F.col("source_cycle"), "_value").where("_value is not null")
         env = wanted.groupBy("trace_id", "target", "source_cycle", "_as").agg(F.min("_value").alias("_value"))
         env = env.groupBy("trace_id", "target", "source_cycle").agg(F.map_from_entries(F.collect_list(F.struct("_as", "_value"))).alias("env"))
         rows = step.join(env, ["trace_id", "target", "source_cycle"], "left")
         for end, name in (("source", "s"), ("target", "t")):
-            here = samples.select("trace_id", F.col("signal").alias(end), F.col("cycle").alias(f"{end}_cycle"), F.col("before").alias(f"_{name}0"), F.col("value").alias(f"_{name}1"))
+            here = known.select("trace_id", F.col("signal").alias(end), F.col("cycle").alias(f"{end}_cycle"), F.col("before").alias(f"_{name}0"), F.col("value").alias(f"_{name}1"))
             rows = rows.join(here, ["trace_id", end, f"{end}_cycle"], "left")
         rows = slicer.counterfactuals(rows.withColumn("env", F.coalesce("env", F.create_map().cast("map<string,string>"))), "source_name", shapes)
         silent = F.col("original").isNull()
-        known = F.col("_s1").isNotNull() & F.col("_t1").isNotNull()
+        both_known = F.col("_s1").isNotNull() & F.col("_t1").isNotNull()
         both = [F.coalesce(bits.values_differ(F.col(f"_{x}0"), F.col(f"_{x}1")), F.lit(False)) for x in "st"]
-        toggled = silent & known & both[0] & both[1]
+        toggled = silent & both_known & both[0] & both[1]
         told_apart = _example("counterfactual", source_original=F.col("_s1"), source_perturbed=bits.invert(F.col("_s1")), target_original=F.col("original"), target_perturbed=F.col("perturbed"), expression=F.col("expression"))
         moved = _example("toggle_correlation", source_before=F.col("_s0"), source_after=F.col("_s1"), target_before=F.col("_t0"), target_after=F.col("_t1"))
-        verdict = F.when(known & F.col("causal"), F.struct(F.col("score").alias("score"), told_apart.alias("example"))).when(toggled, F.struct(F.lit(0.7).alias("score"), moved.alias("example")))
+        verdict = F.when(both_known & F.col("causal"), F.struct(F.col("score").alias("score"), told_apart.alias("example"))).when(toggled, F.struct(F.lit(0.7).alias("score"), moved.alias("example")))
         if triggers is not None:
             rows = rows.join(triggers.select("trace_id", "trigger_cycle"), "trace_id", "left")
             fired = _example("sva_antecedent", trigger_cycle=F.col("trigger_cycle"), expression=F.col("expression"), signal=F.col("source"), value=F.coalesce("_s1", F.lit("x")))
@@ -93,11 +112,11 @@ class CausalGraph(NamedTuple):
 EVIDENCE = "struct<file:string,line:int,line_end:int,snippet:string,expression:string,condition:string>"
 
 
-def causal_graph(deps: DataFrame, samples: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, triggers: DataFrame | None = None, late: tuple[DataFrame, DataFrame] | None = None) -> CausalGraph:
+def causal_graph(deps: DataFrame, samples: DataFrame | None, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None, triggers: DataFrame | None = None, late: tuple[DataFrame, DataFrame] | None = None, runs: DataFrame | None = None) -> CausalGraph:
     """The causes of seeds(trace_id, signal, cycle).
 
     deps: dep_id, target, source, dep_type, expression, condition and, if there are any, source_name, file, line, line_end, snippet;
-    samples: trace_id, signal, cycle, value. A node's value is x where unknown; rtl_refs are the places of the dependencies of its signal;
+    samples: trace_id, signal, cycle, value, of all cycles; or None, and runs, of trace.cycle_runs(). A node's value is x where unknown; rtl_refs are the places of the dependencies of its signal;
     an orphan is what only rejected edges lead from. An edge's evidence is its dependency's place and text.
     late: (seeds, edges) of sva.window_graph(). Its traces are sliced from those seeds, not from their endpoints; its edges have no dep_id
     and don't count in suspect_score.
@@ -105,10 +124,15 @@ def causal_graph(deps: DataFrame, samples: DataFrame, seeds: DataFrame, max_dept
     if "source_name" not in deps.columns:
         deps = deps.withColumn("source_name", F.col("source"))
     # every level joins with both, so neither is worked out again
-    deps, samples = slicer.table(deps), slicer.table(with_before(samples))
+    deps, samples = slicer.table(deps), None if runs is not None else slicer.table(with_before(samples))
     more, said = late or (None, None)
     closed = None if said is None else said.select("trace_id").distinct()
-    nodes, edges, cut = slicer.backward_slice(deps, seeds, max_depth, max_nodes, judge(deps, samples, max_depth, triggers), more, closed, free=max_depth // 2)
+    nodes, edges, cut = slicer.backward_slice(deps, seeds, max_depth, max_nodes, judge(deps, samples, max_depth, triggers, runs), more, closed, free=max_depth // 2)
+    if runs is not None:
+        asked = nodes.select("trace_id", "signal", "cycle")
+        if said is not None:
+            asked = asked.union(said.select("trace_id", "source", "source_cycle"))
+        samples = slicer.table(values_at(asked, runs))
     place = [F.col(c) if c in deps.columns else F.lit(None).alias(c) for c in ("file", "line", "line_end", "snippet")]
     told = deps.select("dep_id", F.struct(*place, "expression", "condition").cast(EVIDENCE).alias("evidence"))
     refs = deps.select("target", F.struct(*place[:2], F.col("dep_type").alias("type")).cast("struct<file:string,line:int,type:string>").alias("_ref"))
@@ -167,24 +191,24 @@ def has_cycle(edges: DataFrame, most: int = 200) -> DataFrame:
     return left.select("trace_id").distinct()
 
 
-def assertion_graph(deps: DataFrame, samples: DataFrame, ends: DataFrame, max_depth: int = 20, max_nodes: int | None = None) -> tuple[CausalGraph, DataFrame, DataFrame]:
+def assertion_graph(deps: DataFrame, samples: DataFrame | None, ends: DataFrame, max_depth: int = 20, max_nodes: int | None = None, runs: DataFrame | None = None) -> tuple[CausalGraph, DataFrame, DataFrame]:
     """(graph, windows, consequents) of the failures ends(trace_id, signal, cycle), one in a trace.
 
     Implications that have a delay, a trigger and consequents are sliced from their window and trigger, the rest from the endpoint.
-    windows: trace_id, endpoint, trigger, least, most, fail of every implication; consequents: trace_id, signal.
+    windows: trace_id, endpoint, trigger, least, most, fail of every implication; consequents: trace_id, signal. samples or runs: as causal_graph() takes them.
     """
     from ..operators import sva, trace
 
-    deps, samples = slicer.table(deps), slicer.table(samples)
-    windows, consequents = (slicer.table(x) for x in failed_windows(deps, samples, ends))
+    deps, samples = slicer.table(deps), None if runs is not None else slicer.table(samples)
+    windows, consequents = (slicer.table(x) for x in failed_windows(deps, samples, ends, runs))
     taken = windows.where("least is not null and trigger is not null").join(consequents, "trace_id", "left_semi")
-    moved = trace.value_changes(samples.join(consequents, ["trace_id", "signal"], "left_semi"))
+    moved = trace.value_changes(samples.join(consequents, ["trace_id", "signal"], "left_semi")) if runs is None else trace.run_changes(runs.join(consequents, ["trace_id", "signal"], "left_semi"))
     late = tuple(slicer.table(x) for x in sva.window_graph(taken, consequents, moved))
     triggers = windows.where("trigger is not null").select("trace_id", F.col("trigger").alias("trigger_cycle"))
-    return causal_graph(deps, samples, ends, max_depth, max_nodes, triggers, late), windows, consequents
+    return causal_graph(deps, samples, ends, max_depth, max_nodes, triggers, late, runs), windows, consequents
 
 
-def failed_windows(deps: DataFrame, samples: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+def failed_windows(deps: DataFrame, samples: DataFrame | None, ends: DataFrame, runs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(windows, consequents) for sva.window_graph(), of the implications that failed at ends(trace_id, signal, cycle).
 
     windows: trace_id, endpoint, trigger, least, most, fail. The trigger starts the latest run of cycles, up to the failure less the greatest delay,
@@ -198,7 +222,10 @@ def failed_windows(deps: DataFrame, samples: DataFrame, ends: DataFrame) -> tupl
     last = (F.col("fail") - F.coalesce("most", F.lit(0))).cast("bigint")
     cycles = failed.where(last >= 0).select("trace_id", "signal", F.substring_index("expression", "|->", 1).alias("before"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("cycle"))
     sources = deps.select(F.col("target").alias("signal"), F.col("source").alias("_of")).distinct()
-    env = _valued(cycles.join(sources, "signal"), samples, "_of", F.col("cycle"), "_value").where("_value is not null")
+    seen = cycles.join(sources, "signal")
+    if runs is not None:
+        samples = values_at(seen.select("trace_id", F.col("_of").alias("signal"), "cycle"), runs)
+    env = _valued(seen, samples, "_of", F.col("cycle"), "_value").where("_value is not null")
     env = env.groupBy("trace_id", "before", "cycle").agg(F.map_from_entries(F.collect_set(F.struct("_of", "_value"))).alias("env"))
     env = cycles.join(env, ["trace_id", "before", "cycle"], "left")  # a cycle without values ends a run too
     shapes = compiled.shapes_in(props.select(F.substring_index("expression", "|->", 1).alias("before")), "before")
