@@ -14,6 +14,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -27,6 +28,12 @@ from . import common
 TOKEN = re.compile(r"[A-Za-z0-9]+")
 
 
+def tokens_of(key: str) -> set[str]:
+    """A URL's tokens as they are and in lower case: a rule's own may be of either kind."""
+    found = set(TOKEN.findall(key))
+    return found.union(t.lower() for t in found)
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -58,12 +65,17 @@ def pattern_rule(action: str, name: str, regex: str, tokens: tuple[str, ...] = (
     return Rule(name, action, regex, tokens, False)
 
 
-def list_rule(line: str) -> Rule | None:
+#: Conditions of list rules that hold for a page's own address.
+OWN = frozenset(("all", "document", "doc", "important", "match-case"))
+
+
+def list_rule(line: str, conditional: bool = True) -> Rule | None:
     """A rule in the syntax that public filter lists share; None for comments, blanks and rules on page elements.
 
     ``||name^`` fits a host and its subdomains, ``|`` an end, ``*`` anything, ``^`` a separator or the end, ``/.../`` is a regular
-    expression, a leading ``@@`` allows. What follows ``$`` are conditions of browsers; they don't count here. Lists are written against whole
-    URLs; here they fit host and path.
+    expression, a leading ``@@`` allows. What follows ``$`` are conditions of browsers (who asks, and what for), which a URL alone can't tell: they
+    don't count, or, if not ``conditional``, the rule doesn't. Lists are written against whole URLs; here they fit host and path. A regular expression
+    that can't be read raises re.error.
     """
     text = line.strip()
     if not text or text[0] in "!#[" or "##" in text or "#@#" in text:
@@ -71,25 +83,35 @@ def list_rule(line: str) -> Rule | None:
     action = "allow" if text.startswith("@@") else "block"
     body = text.removeprefix("@@")
     if len(body) > 1 and body[0] == body[-1] == "/":
+        re.compile(body[1:-1])
         return pattern_rule(action, text, f".*?(?:{body[1:-1]})")
-    body = re.sub(r"\$[\w~,=|.-]+$", "", body)
+    asked = re.search(r"\$([\w~,=|.-]+)$", body)
+    if asked:
+        if not conditional and not OWN.issuperset(asked[1].split(",")):
+            return None
+        body = body[: asked.start()]
     body = re.sub(r"^\|(?:https?:|\*:)?//", "|", body)
     host, begin, end = body.startswith("||"), body.startswith("|"), body.endswith("|")
     core = body.strip("|")
     if not core.strip("*^"):
         return None
     regex = "".join({"*": ".*?", "^": r"(?:[^A-Za-z0-9_.%-]|$)"}.get(c) or re.escape(c.lower()) for c in core)
-    regex = (r"(?:[^/]*\.)?" if host else "" if begin else ".*?") + f"(?i:{regex})" + ("$" if end else "")
+    regex = (r"(?:[^/]*\.)?" if host else "" if begin else ".*?") + f"(?ai:{regex})" + ("$" if end else "")
     # a token that the rule's own text holds whole: nothing may go on at its ends
     whole = [m[0].lower() for m in re.finditer(r"(?<![A-Za-z0-9*])[A-Za-z0-9]+(?![A-Za-z0-9*])", core) if (m.start() > 0 or host or begin) and (m.end() < len(core) or end)]
-    # upper case in a path may fit in lower case, so only the host's tokens are sure
-    hosted = core.split("/")[0].split("^")[0]
-    return Rule(text, action, regex, tuple(t for t in whole if host and re.search(rf"(?<![A-Za-z0-9]){t}(?![A-Za-z0-9])", hosted.lower())), False)
+    return Rule(text, action, regex, tuple(whole), False)
 
 
-def list_rules(lines: Iterable[str]) -> tuple[Rule, ...]:
-    """The rules of a filter list. A list is what one machine holds; each executor gets it whole."""
-    return tuple(r for r in map(list_rule, lines) if r)
+def list_rules(lines: Iterable[str], conditional: bool = True) -> tuple[Rule, ...]:
+    """The rules of a filter list; lines that can't be read are left out with a warning. A list is what one machine holds; each executor
+    gets it whole."""
+    rules = []
+    for line in lines:
+        try:
+            rules.append(list_rule(line, conditional))
+        except re.error as why:
+            warnings.warn(f"filter rule left out: {line.strip()[:200]}: {why}", stacklevel=2)
+    return tuple(r for r in rules if r)
 
 
 SITE_RULES = (
@@ -121,7 +143,7 @@ def token_counts(pages: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
         seen: Counter = Counter()
         for batch in batches:
             for (key,) in common.rows_of(batch, "key"):
-                seen.update(wanted.intersection(TOKEN.findall(key)))
+                seen.update(wanted.intersection(tokens_of(key)))
         yield pa.RecordBatch.from_pydict({"token": list(seen), "n": list(seen.values())}, pa.schema([("token", pa.string()), ("n", pa.int64())]))
 
     host, path = host_path(F.col("url"))
@@ -155,7 +177,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + GENERAL_RULES
             for host, path in common.rows_of(batch, "host", "path"):
                 key = host + path
                 fetched = set(always)
-                for token in set(TOKEN.findall(key)):
+                for token in tokens_of(key):
                     fetched.update(index.get(token, ()))
                 best = next((i for i in sorted(fetched, key=rank.__getitem__) if compiled[i].match(key)), None)
                 names.append(rules[best].name if best is not None and rules[best].site else None)
