@@ -161,7 +161,8 @@ def w09(spark, sf_dir):
 
 @query("w10_find_signal", f"WITH {WAVE} SELECT trace_id, signal FROM signals WHERE lower(signal) LIKE '%view%' ORDER BY signal LIMIT 5")
 def w10(spark, sf_dir):
-    return trace.find_signal(adapters.wave(spark, sf_dir).select("trace_id", "signal").distinct(), "VIEW", 5)
+    known = adapters.wave(spark, sf_dir).select("trace_id", "signal").distinct()
+    return trace.find_signal(known, "VIEW", 5, trace.name_index(known))
 
 
 @query("w11_snapshot", f"WITH {WAVE} SELECT signal, value FROM cv WHERE cycle = 7")
@@ -394,6 +395,41 @@ def g02(spark, sf_dir):
     return _slice(spark, sf_dir)[0].select("signal", "cycle")
 
 
+@query("g06_depth_bound", f"""WITH RECURSIVE {DEPS}, steps AS (SELECT DISTINCT target, source, dep_type FROM deps WHERE source <> target),
+r AS (SELECT 0 AS signal, 5 AS cycle, 0 AS depth UNION
+  SELECT s.source, CASE WHEN s.dep_type = 'sequential' THEN greatest(r.cycle - 1, 0) ELSE r.cycle END, depth + 1 FROM r JOIN steps s ON s.target = r.signal WHERE depth <= 4)
+SELECT signal, cycle, min(depth) AS depth FROM r GROUP BY signal, cycle""")
+def g06(spark, sf_dir):
+    """A slice that its greatest depth cuts: nodes at that depth are still sliced, those behind it aren't."""
+    seeds = spark.range(1).select(F.lit("events").alias("trace_id"), F.lit(0).alias("signal"), F.lit(5).alias("cycle"))
+    return slicer.backward_slice(adapters.deps(spark, sf_dir), seeds, max_depth=4)[0].select("signal", "cycle", "depth")
+
+
+def _bounded_sql(levels: int, most: int) -> str:
+    """Level by level: of the nodes that are new, the first by cycle and signal until there are ``most``."""
+    out = "n0 AS (SELECT 0 AS signal, 5 AS cycle, 0 AS depth)"
+    for k in range(levels):
+        out += f""", f{k} AS (SELECT DISTINCT s.source AS signal, CASE WHEN s.dep_type = 'sequential' THEN greatest(n.cycle - 1, 0) ELSE n.cycle END AS cycle FROM n{k} n JOIN steps s ON s.target = n.signal WHERE n.depth = {k}),
+n{k + 1} AS (SELECT * FROM n{k} UNION ALL SELECT signal, cycle, {k + 1} FROM (SELECT *, row_number() OVER (ORDER BY cycle, signal) AS n FROM f{k} ANTI JOIN n{k} USING (signal, cycle)) WHERE n <= {most} - (SELECT count(*) FROM n{k}))"""
+    return out
+
+
+@query("g07_node_bound", f"""WITH {DEPS}, steps AS (SELECT DISTINCT target, source, dep_type FROM deps WHERE source <> target),
+{_bounded_sql(7, 90)} SELECT signal, cycle, depth, (SELECT count(*) FROM n7) >= 90 AS is_cut FROM n7""")
+def g07(spark, sf_dir):
+    """A slice that its number of nodes cuts."""
+    seeds = spark.range(1).select(F.lit("events").alias("trace_id"), F.lit(0).alias("signal"), F.lit(5).alias("cycle"))
+    nodes, _, cut = slicer.backward_slice(adapters.deps(spark, sf_dir), seeds, max_depth=6, max_nodes=90)
+    return nodes.join(cut.withColumn("is_cut", F.lit(True)), "trace_id", "left").select("signal", "cycle", "depth", F.coalesce("is_cut", F.lit(False)).alias("is_cut"))
+
+
+@query("a09_last_cycle", f"WITH {WAVE} SELECT trace_id, count(*) - 1 AS cycle, max(t_start) AS t_start FROM edges GROUP BY trace_id")
+def a09(spark, sf_dir):
+    """Where an analysis that asks for the last cycle begins."""
+    edges = _trace(spark, sf_dir)[1]
+    return edges.join(trace.cycle_count(edges).select("trace_id", (F.col("cycles") - 1).alias("cycle")), ["trace_id", "cycle"])
+
+
 @query("g05_slice_edges", f"""WITH RECURSIVE {DEPS}, {SLICE} SELECT DISTINCT s.source, CASE WHEN s.dep_type = 'sequential' THEN greatest(r.cycle - 1, 0) ELSE r.cycle END AS source_cycle, s.target, r.cycle AS target_cycle FROM r JOIN steps s ON s.target = r.signal""")
 def g05(spark, sf_dir):
     return _slice(spark, sf_dir).edges.select("source", "source_cycle", "target", "target_cycle")

@@ -40,6 +40,19 @@ def p04(spark, sf_dir):
     return rtl.parse_dependencies(adapters.design_texts(spark, sf_dir)).drop("snippet")
 
 
+@query("p07_case", """WITH k AS (SELECT concat('q', p_partkey) AS module, CAST(p_size AS VARCHAR) AS n, p_size % 3 + 1 AS m FROM part),
+arm AS (SELECT module, n, m, unnest(range(m)) AS i FROM k),
+r AS (SELECT module, 'a' AS source, 'y' AS target, 'sequential' AS dep_type, concat('a + ', n, '''h', i) AS expression, concat('s==2''d', i) AS condition, 4 + i AS line FROM arm
+UNION ALL SELECT module, 's', 'y', 'sequential', concat('s==2''d', i), concat('s==2''d', i), 4 + i FROM arm
+UNION ALL SELECT module, t.* EXCLUDE (ahead), m + ahead FROM k, (VALUES ('b', 'y', 'sequential', 'b', 'default', 4), ('s', 'y', 'sequential', 'default', 'default', 4),
+  ('s', 'z', 'combinational', 's', 'b', 7), ('b', 'z', 'combinational', 'b', 'b', 7), ('a', 'z', 'combinational', 'a', '!(b)', 7), ('b', 'z', 'combinational', '!(b)', '!(b)', 7)) t(source, target, dep_type, expression, condition, ahead))
+SELECT module, source, target, dep_type, expression, condition, CAST(line AS INTEGER) AS line FROM r""")
+def p07(spark, sf_dir):
+    """Arms of a case, its default arm and an else."""
+    found = rtl.parse_dependencies(adapters.case_texts(spark, sf_dir))
+    return found.select("module", "source", "target", "dep_type", "expression", "condition", "line")
+
+
 @query("p09_instance_ports", f"WITH {RTL} SELECT module, source, target, dep_type FROM d WHERE dep_type LIKE 'port%'")
 def p09(spark, sf_dir):
     return rtl.parse_dependencies(adapters.design_texts(spark, sf_dir)).where("dep_type like 'port%'").select("module", "source", "target", "dep_type")

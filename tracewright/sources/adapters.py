@@ -76,3 +76,12 @@ def design_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     text = F.concat_ws("\n", *(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in line)) for line in lines))
     return table(spark, sf_dir, "part").select(F.concat(F.lit("m"), k, F.lit(".sv")).alias("path"), text.alias("value"))
+
+
+def case_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, value): a module for each part, with one to three arms of a case by its size, and a default arm."""
+    k, n, arms = F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.sequence(F.lit(0), F.col("p_size") % 3)
+    lines = F.transform(arms, lambda i: F.concat(F.lit("      2'd"), i.cast("string"), F.lit(": y <= a + "), n, F.lit("'h"), i.cast("string"), F.lit(";")))
+    head = F.concat(F.lit("module q"), k, F.lit("(input clock, input [1:0] s, input a, b, output reg y, output reg z);\n  always @(posedge clock) begin\n    case (s)\n"))
+    rest = "\n      default: y <= b;\n    endcase\n  end\n  always @(*) if (b) z = s; else z = a;\nendmodule"
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("q"), k, F.lit(".sv")).alias("path"), F.concat(head, F.array_join(lines, "\n"), F.lit(rest)).alias("value"))
