@@ -80,3 +80,13 @@ def test_wide_vectors(spark):
     for x in df.select("a", "b", bits.negate(a).alias("neg"), *(c.alias(op) for op, c in told.items())).collect():
         assert {op: x[op] for op in told} == {op: expr.run((op, ("literal", x.a), ("literal", x.b)), {}) for op in told}
         assert x.neg == expr.run(("u-", ("literal", x.a)), {})
+
+
+def test_find_signal_by_its_index(spark):
+    names = ["top.View", "top.u.preview_x", "VIE", "vi", "top.viewview", "ew.vie", "", "tÖp.öx"]
+    df = spark.createDataFrame([("t", n) for n in names], "trace_id string, signal string")
+    index = trace.name_index(df)
+    for pattern in ("VIEW", "vi", "view", "viewview", "öx", "TÖP", "nothing", "", ".v"):
+        plain, told = ([r.signal for r in trace.find_signal(df, pattern, 5, i).collect()] for i in (None, index))
+        assert plain == told
+    assert [r.signal for r in trace.find_signal(df, "view", 2, index).collect()] == ["top.View", "top.u.preview_x"]
