@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bits, compiled
+from ..functions import bits, compiled, expr
 from ..operators import names, slicer, sva, trace
 from ..sources import adapters, dump
 from . import build, report
@@ -262,12 +262,17 @@ ARITHMETIC = {"plus": "+", "minus": "-", "times": "*", "over": "/", "rest": "%"}
 COMPARED = {"less": "<", "more": ">", "upto": "<=", "least": ">="}
 
 
+def _spread(pairs: DataFrame) -> DataFrame:
+    """The pairs dealt over all tasks: behind the window they lie in as many as there are signals, at most."""
+    return pairs.repartition("seq")
+
+
 def _all_operators(operands: DataFrame) -> DataFrame:
-    """Every arithmetic operator and comparison on operands(seq, bits, a, b)."""
+    """Every arithmetic operator and comparison on operands(seq, bits, a, b); what carries from bit to bit goes by whole columns to Python's integers."""
     a, b = F.col("a"), F.col("b")
-    told = [bits.arithmetic(a, op, b).alias(n) for n, op in ARITHMETIC.items()] + [bits.compare(a, op, b).alias(n) for n, op in COMPARED.items()]
+    told = [expr.operator_udf(op)(a, b).alias(n) for n, op in ARITHMETIC.items()] + [bits.compare(a, op, b).alias(n) for n, op in COMPARED.items()]
     moved = [bits.arithmetic(a, "<<", F.lit("101")).alias("shifted"), bits.arithmetic(a, ">>>", F.lit("111")).alias("back")]
-    return operands.select("seq", "bits", *told, *moved, bits.equal(a, b).alias("same"), bits.negate(a).alias("negative"))
+    return operands.select("seq", "bits", *told, *moved, bits.equal(a, b).alias("same"), expr.operator_udf("u-")(a).alias("negative"))
 
 
 def _all_operators_sql(n: int, a: str, b: str) -> str:
@@ -285,7 +290,7 @@ def _all_operators_sql(n: int, a: str, b: str) -> str:
 UNION ALL {_all_operators_sql(64, "a", "b").format(a=f"(x * 16 + y)::HUGEINT * {((1 << 64) - 1) // 255}", b=f"(y * 256 + x)::HUGEINT * {((1 << 64) - 1) // 65535}")}""")
 def e09w(spark, sf_dir):
     """Operands of 60 and 64 bits: patterns of the trace's values."""
-    p, zeros = _pairs(spark, sf_dir), F.lit("0000")
+    p, zeros = _spread(_pairs(spark, sf_dir)), F.lit("0000")
     sixty = p.select("seq", F.lit(60).alias("bits"), F.repeat("a", F.lit(15)).alias("a"), F.repeat(F.concat(zeros, zeros, "b"), F.lit(5)).alias("b"))
     more = p.select("seq", F.lit(64).alias("bits"), F.repeat(F.concat("a", "b"), F.lit(8)).alias("a"), F.repeat(F.concat(zeros, "b", zeros, "a"), F.lit(4)).alias("b"))
     return _all_operators(sixty.unionByName(more))
@@ -308,9 +313,9 @@ CASE WHEN x = 0 THEN repeat('0', 200) ELSE {_pattern("15 - x", "16 - x")} END AS
 CASE WHEN x < y THEN '1' ELSE '0' END AS less, CASE WHEN x >= y THEN '1' ELSE '0' END AS least,
 repeat(lpad(bin(x), 4, '0'), 50 - y) || repeat('0000', y) AS shifted, repeat('0', 4 * x + 3) || substring(repeat(lpad(bin(y), 4, '0'), 50), 1, 197 - 4 * x) AS back FROM n4""")
 def e09v(spark, sf_dir):
-    p = _pairs(spark, sf_dir).select("seq", F.repeat("a", F.lit(50)).alias("a"), F.repeat("b", F.lit(50)).alias("b"), F.col("a").alias("x"), F.col("b").alias("y"))
+    p = _spread(_pairs(spark, sf_dir)).select("seq", F.repeat("a", F.lit(50)).alias("a"), F.repeat("b", F.lit(50)).alias("b"), F.col("a").alias("x"), F.col("b").alias("y"))
     a, b = F.col("a"), F.col("b")
-    told = [bits.arithmetic(a, op, b).alias(n) for n, op in ARITHMETIC.items() if n != "times"] + [bits.arithmetic(a, "*", F.col("y")).alias("times"), bits.negate(a).alias("negative")]
+    told = [expr.operator_udf(op)(a, b).alias(n) for n, op in ARITHMETIC.items() if n != "times"] + [expr.operator_udf("*")(a, F.col("y")).alias("times"), expr.operator_udf("u-")(a).alias("negative")]
     moved = [bits.arithmetic(a, "<<", F.concat("y", F.lit("00"))).alias("shifted"), bits.arithmetic(b, ">>", F.concat("x", F.lit("11"))).alias("back")]
     return p.select("seq", *told, bits.compare(a, "<", b).alias("less"), bits.compare(a, ">=", b).alias("least"), *moved)
 
