@@ -52,6 +52,16 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.lit("events").alias("trace_id"), F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("signal"), (F.col("l_linenumber") - 1).cast("int").alias("cycle"), F.lpad(F.bin(F.col("q") % 16), 4, "0").alias("value"))
 
 
+#: Sources that a task makes and reads.
+TEXTS = 5000
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and sizes of the parts, dealt over tasks: the table is small, and a task or two would read it, where the texts made of it take long to parse."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return parts.repartition(max(1, -(-parts.count() // TEXTS)), "p_partkey")
+
+
 def design_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, value): a source text of two modules for each part, with its size as a width and a delay."""
     k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
@@ -75,7 +85,7 @@ def design_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("endmodule",),
     )
     text = F.concat_ws("\n", *(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in line)) for line in lines))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("m"), k, F.lit(".sv")).alias("path"), text.alias("value"))
+    return _parts(spark, sf_dir).select(F.concat(F.lit("m"), k, F.lit(".sv")).alias("path"), text.alias("value"))
 
 
 def case_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +94,4 @@ def case_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(arms, lambda i: F.concat(F.lit("      2'd"), i.cast("string"), F.lit(": y <= a + "), n, F.lit("'h"), i.cast("string"), F.lit(";")))
     head = F.concat(F.lit("module q"), k, F.lit("(input clock, input [1:0] s, input a, b, output reg y, output reg z);\n  always @(posedge clock) begin\n    case (s)\n"))
     rest = "\n      default: y <= b;\n    endcase\n  end\n  always @(*) if (b) z = s; else z = a;\nendmodule"
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("q"), k, F.lit(".sv")).alias("path"), F.concat(head, F.array_join(lines, "\n"), F.lit(rest)).alias("value"))
+    return _parts(spark, sf_dir).select(F.concat(F.lit("q"), k, F.lit(".sv")).alias("path"), F.concat(head, F.array_join(lines, "\n"), F.lit(rest)).alias("value"))
