@@ -92,7 +92,7 @@ SELECT asked.module, asked.signal, sig.name IS NOT NULL AS found, sig.signal_typ
 FROM asked LEFT JOIN sig ON sig.module = asked.module AND sig.name = asked.signal JOIN n ON n.module = asked.module AND n.signal = asked.signal""")
 def p19(spark, sf_dir):
     texts = adapters.design_texts(spark, sf_dir)
-    d = rtl.parse_dependencies(texts)
+    d = slicer.table(rtl.parse_dependencies(texts).select("module", "target", "source", "dep_type", "file", "line"))  # read twice, parsed once
     told = names.rtl_context(d.select("module", F.col("target").alias("signal")), rtl.parse_signals(texts), d)
     return told.select("module", "signal", "found", F.col("definition.signal_type").alias("type"), F.col("definition.width").alias("width"), F.size("dependencies").cast("bigint").alias("dependencies"), F.size("rtl_refs").cast("bigint").alias("refs"), F.col("rtl_refs")[0]["line"].alias("first_line"))
 
