@@ -89,9 +89,10 @@ def owning_module(scopes: DataFrame, modules: DataFrame, instances: DataFrame) -
     """
     single = instances.groupBy(F.col("instance").alias("part")).agg(F.countDistinct("module").alias("n"), F.min("module").alias("module")).where("n = 1")
     known = modules.select(F.col("module").alias("part"), "module", F.lit(1).alias("exact")).distinct().unionByName(single.select("part", "module", F.lit(0).alias("exact")))
-    parts = scopes.select("scope").distinct().select("scope", F.posexplode(F.split("scope", r"\.")).alias("place", "part")).join(known, "part")
+    # sorted joins: each side may be as large as a design, whatever Spark takes it for
+    parts = scopes.select("scope").distinct().select("scope", F.posexplode(F.split("scope", r"\.")).alias("place", "part")).join(known.hint("merge"), "part")
     best = parts.groupBy("scope").agg(F.max_by("module", F.struct("place", "exact")).alias("owner"))
-    return scopes.join(best, "scope", "left").withColumn("owner", F.coalesce("owner", F.element_at(F.split("scope", r"\."), 1)))
+    return scopes.join(best.hint("merge"), "scope", "left").withColumn("owner", F.coalesce("owner", F.element_at(F.split("scope", r"\."), 1)))
 
 
 def rtl_context(wanted: DataFrame, signals: DataFrame, deps: DataFrame) -> DataFrame:
@@ -102,10 +103,10 @@ def rtl_context(wanted: DataFrame, signals: DataFrame, deps: DataFrame) -> DataF
     asked = wanted.select("module", "signal").distinct()
     key = ["module", "signal"]
     place = F.struct("file", "line", F.lit("definition").alias("type"))
-    known = signals.withColumnRenamed("name", "signal").join(asked, key, "left_semi").groupBy(*key).agg(F.min(F.struct("signal_type", "width", "file", "line")).alias("definition"), F.min(place).alias("_first"))
-    few = deps.withColumnRenamed("target", "signal").join(asked, key, "left_semi")
+    known = signals.withColumnRenamed("name", "signal").join(asked.hint("merge"), key, "left_semi").groupBy(*key).agg(F.min(F.struct("signal_type", "width", "file", "line")).alias("definition"), F.min(place).alias("_first"))
+    few = deps.withColumnRenamed("target", "signal").join(asked.hint("merge"), key, "left_semi")
     told = few.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("line", "source", "dep_type", "file"))).alias("dependencies"))
-    rows = asked.join(known, key, "left").join(told, key, "left")
+    rows = asked.join(known.hint("merge"), key, "left").join(told.hint("merge"), key, "left")
     refs = F.transform("dependencies", lambda d: F.struct(d["file"].alias("file"), d["line"].alias("line"), d["dep_type"].alias("type")))
     first = F.when(F.col("_first").isNotNull(), F.array("_first"))
     both = F.concat(F.coalesce(first, F.array().cast("array<struct<file:string,line:int,type:string>>")), F.coalesce(refs, F.array().cast("array<struct<file:string,line:int,type:string>>")))
