@@ -36,6 +36,11 @@ def table(df: DataFrame) -> DataFrame:
     return tables.save(df)[0]
 
 
+def large(df: DataFrame) -> DataFrame:
+    """df for a join that sorts and never broadcasts it: tables of save() are compressed, and what they hold is many times the size that Spark goes by."""
+    return df.hint("merge")
+
+
 class Slice(NamedTuple):
     """What backward_slice() gives."""
 
@@ -87,17 +92,17 @@ def _levels(known: DataFrame, seeds: DataFrame, last: int) -> tuple[DataFrame, D
     while depth <= last:
         levels, now = [], frontier
         for i in range(min(LEVELS, last + 1 - depth)):
-            step = now.select("trace_id", F.col("signal").alias("target"), F.col("cycle").alias("target_cycle")).join(known, "target")
+            step = now.select("trace_id", F.col("signal").alias("target"), F.col("cycle").alias("target_cycle")).join(large(known), "target")
             step = step.withColumn("source_cycle", parent_cycle(F.col("dep_type"), F.col("target_cycle")))
             levels.append(step.groupBy(*PAIR).agg(F.min(F.struct("dep_id", "dep_type")).alias("dep")).withColumn("_depth", F.lit(depth + i)))
-            now = levels[-1].select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct().join(visited.all(), KEY, "left_anti")
+            now = levels[-1].select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct().join(large(visited.all()), KEY, "left_anti")
         found = reduce(DataFrame.union, levels)
         if len(levels) > 1:  # a node met at several of these depths was sliced at each
             found = found.groupBy(*PAIR).agg(F.min("dep").alias("dep"), F.min("_depth").alias("_depth"))
         found = table(found.select(*PAIR, "dep.*", "_depth"))
         edges = found if edges is None else edges.union(found)
         fresh = found.groupBy("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).agg((F.min("_depth") + 1).alias("depth"))
-        fresh, n = visited.add(fresh.join(visited.all(), KEY, "left_anti"))
+        fresh, n = visited.add(fresh.join(large(visited.all()), KEY, "left_anti"))
         if not n:
             break
         depth += len(levels)
@@ -111,8 +116,8 @@ def _shared(known: DataFrame, seeds: DataFrame, last: int) -> tuple[DataFrame, D
     seeds = seeds.select(*KEY).distinct()
     tops = table(seeds.groupBy("signal").agg(F.max("cycle").alias("_top")))
     nodes, edges = _levels(known, tops.select(F.col("signal").alias("trace_id"), "signal", F.col("_top").alias("cycle")), last)
-    asked = seeds.join(tops, "signal").select(F.col("signal").alias("_end"), F.col("trace_id").alias("_trace"), (F.col("_top") - F.col("cycle")).alias("_back"))
-    moved = lambda rows, *cycles: rows.join(asked, rows["trace_id"] == asked["_end"]).drop("trace_id", "_end").withColumnRenamed("_trace", "trace_id").withColumns({c: F.greatest(F.col(c) - F.col("_back"), F.lit(0)).cast(rows.schema[c].dataType) for c in cycles})
+    asked = seeds.join(large(tops), "signal").select(F.col("signal").alias("_end"), F.col("trace_id").alias("_trace"), (F.col("_top") - F.col("cycle")).alias("_back"))
+    moved = lambda rows, *cycles: rows.join(large(asked), rows["trace_id"] == asked["_end"]).drop("trace_id", "_end").withColumnRenamed("_trace", "trace_id").withColumns({c: F.greatest(F.col(c) - F.col("_back"), F.lit(0)).cast(rows.schema[c].dataType) for c in cycles})
     nodes = moved(nodes, "cycle").groupBy(*KEY).agg(F.min("depth").alias("depth"))
     edges = moved(edges, "source_cycle", "target_cycle").groupBy(*PAIR).agg(F.min(F.struct("dep_id", "dep_type")).alias("dep")).select(*PAIR, "dep.*")
     return table(nodes), table(edges)
@@ -150,7 +155,7 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
         if closed is not None:
             frontier = frontier.join(closed.select("trace_id"), "trace_id", "left_anti")
     while depth <= max_depth:
-        step = frontier.select("trace_id", F.col("signal").alias("target"), F.col("cycle").alias("target_cycle")).join(known, "target")
+        step = frontier.select("trace_id", F.col("signal").alias("target"), F.col("cycle").alias("target_cycle")).join(large(known), "target")
         step = step.withColumn("source_cycle", parent_cycle(F.col("dep_type"), F.col("target_cycle")))
         if judge is None or depth < free:
             found = table(step.groupBy(*PAIR).agg(F.min(F.struct("dep_id", "dep_type")).alias("dep")).select(*PAIR, "dep.*"))
@@ -163,7 +168,7 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
             lost = rejected if lost is None else lost.union(rejected)
             found = found.where("score is not null")
             edges = found if edges is None else edges.union(found)
-        fresh = found.select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct().join(visited.all(), KEY, "left_anti").withColumn("depth", F.lit(depth + 1))
+        fresh = found.select("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).distinct().join(large(visited.all()), KEY, "left_anti").withColumn("depth", F.lit(depth + 1))
         if max_nodes is not None:
             w = Window.partitionBy("trace_id").orderBy("cycle", "signal")
             have = visited.all().groupBy("trace_id").agg(F.count("*").alias("_have"))
@@ -180,14 +185,14 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
     if judge is None:
         edges = unjudged.select(*PAIR, "dep_type")
     elif unjudged is not None:
-        judged = judge(unjudged.select("trace_id", "source_cycle", "target_cycle", "dep_id", "dep_type").join(known, ["dep_id", "dep_type"]), 0)
+        judged = judge(unjudged.select("trace_id", "source_cycle", "target_cycle", "dep_id", "dep_type").join(large(known), ["dep_id", "dep_type"]), 0)
         judged = judged.groupBy(*PAIR).agg(F.min(F.struct(*told)).alias("first"))  # a dependency may be there twice
         judged = table(judged.select(*PAIR, *(F.col(f"first.{c}").alias(c) for c in told)))
         edges = judged if edges is None else judged.unionByName(edges)
     nodes = visited.all()
     orphan = F.lit(False).alias("is_orphan")
     if lost is not None:
-        lost = lost.groupBy(*KEY).agg(F.min("depth").alias("depth")).join(nodes, KEY, "left_anti")
+        lost = lost.groupBy(*KEY).agg(F.min("depth").alias("depth")).join(large(nodes), KEY, "left_anti")
         nodes = nodes.select(*KEY, "depth", orphan).union(lost.select(*KEY, "depth", F.lit(True)))
         if max_nodes is not None:  # orphans come after all others
             w = Window.partitionBy("trace_id").orderBy("is_orphan", "depth", "cycle", "signal")
@@ -197,7 +202,7 @@ def backward_slice(deps: DataFrame, seeds: DataFrame, max_depth: int = 20, max_n
     else:
         nodes = nodes.select(*KEY, "depth", orphan)
     if max_nodes is not None:
-        edges = edges.join(nodes.select("trace_id", F.col("signal").alias("source"), F.col("cycle").alias("source_cycle")), ["trace_id", "source", "source_cycle"], "left_semi")
+        edges = edges.join(large(nodes.select("trace_id", F.col("signal").alias("source"), F.col("cycle").alias("source_cycle"))), ["trace_id", "source", "source_cycle"], "left_semi")
     # a node is sliced once, at its least depth, so no edge comes twice
     return Slice(nodes, edges, nodes.select("trace_id").limit(0) if cut is None else cut.distinct())
 
@@ -211,7 +216,7 @@ def self_loops(deps: DataFrame) -> DataFrame:
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that nothing leads to, endpoints apart; what only rejected edges lead from is one, too."""
     led = edges.select("trace_id", F.col("target").alias("signal"), F.col("target_cycle").alias("cycle"))
-    return nodes.where("depth > 0").join(led, ["trace_id", "signal", "cycle"], "left_anti")
+    return nodes.where("depth > 0").join(large(led), ["trace_id", "signal", "cycle"], "left_anti")
 
 
 def toggle_correlation(changes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ..operators.slicer import PAIR
 def _valued(rows: DataFrame, samples: DataFrame, signal: str, cycle: Column, name: str) -> DataFrame:
     """rows with the value of a signal at a cycle; null where the trace has none."""
     at = samples.select("trace_id", F.col("signal").alias(signal), F.col("cycle").alias("_cycle"), F.col("value").alias(name))
-    return rows.withColumn("_cycle", cycle).join(at, ["trace_id", signal, "_cycle"], "left").drop("_cycle")
+    return rows.withColumn("_cycle", cycle).join(slicer.large(at), ["trace_id", signal, "_cycle"], "left").drop("_cycle")
 
 
 def with_before(samples: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def judge(deps: DataFrame, samples: DataFrame | None, max_depth: int, triggers:
 
     def told(step: DataFrame, depth: int) -> DataFrame:
         # one environment for each target and cycle, not for each edge
-        wanted = step.select("trace_id", "target", "source_cycle").distinct().join(sources, "target")
+        wanted = step.select("trace_id", "target", "source_cycle").distinct().join(slicer.large(sources), "target")
         known = samples
         if runs is not None:
             ends = [step.select("trace_id", F.col(x).alias("signal"), F.col(f"{x}_cycle").alias("cycle")) for x in ("source", "target")]
@@ -76,10 +76,10 @@ def judge(deps: DataFrame, samples: DataFrame | None, max_depth: int, triggers:
         wanted = _valued(wanted, known, "_of", F.col("source_cycle"), "_value").where("_value is not null")
         env = wanted.groupBy("trace_id", "target", "source_cycle", "_as").agg(F.min("_value").alias("_value"))
         env = env.groupBy("trace_id", "target", "source_cycle").agg(F.map_from_entries(F.collect_list(F.struct("_as", "_value"))).alias("env"))
-        rows = step.join(env, ["trace_id", "target", "source_cycle"], "left")
+        rows = step.join(slicer.large(env), ["trace_id", "target", "source_cycle"], "left")
         for end, name in (("source", "s"), ("target", "t")):
             here = known.select("trace_id", F.col("signal").alias(end), F.col("cycle").alias(f"{end}_cycle"), F.col("before").alias(f"_{name}0"), F.col("value").alias(f"_{name}1"))
-            rows = rows.join(here, ["trace_id", end, f"{end}_cycle"], "left")
+            rows = rows.join(slicer.large(here), ["trace_id", end, f"{end}_cycle"], "left")
         rows = slicer.counterfactuals(rows.withColumn("env", F.coalesce("env", F.create_map().cast("map<string,string>"))), "source_name", shapes)
         silent = F.col("original").isNull()
         both_known = F.col("_s1").isNotNull() & F.col("_t1").isNotNull()
@@ -139,7 +139,7 @@ def causal_graph(deps: DataFrame, samples: DataFrame | None, seeds: DataFrame, m
     defined = refs.groupBy(F.col("target").alias("signal")).agg(F.array_sort(F.collect_set("_ref")).alias("rtl_refs"))
     scores = edges.groupBy("trace_id", F.col("source").alias("signal"), F.col("source_cycle").alias("cycle")).agg((F.max("score") * 0.9).alias("_suspect"))
     reason = F.concat_ws(" ", F.col("source"), F.lit("affects"), F.col("target"), F.lit("via"), F.col("dep_type"))
-    edges = edges.withColumn("reason", reason).join(told, "dep_id", "left")
+    edges = edges.withColumn("reason", reason).join(slicer.large(told), "dep_id", "left")
     if said is not None:
         none = F.lit(None).cast(edges.schema["dep_id"].dataType)
         value = samples.select("trace_id", F.col("signal").alias("source"), F.col("cycle").alias("source_cycle"), F.col("value").alias("_value"))
@@ -150,7 +150,7 @@ def causal_graph(deps: DataFrame, samples: DataFrame | None, seeds: DataFrame, m
     led = edges.select("trace_id", F.col("target").alias("signal"), F.col("target_cycle").alias("cycle"), F.lit(True).alias("_led")).distinct()
     rows = _valued(nodes, samples, "signal", F.col("cycle"), "value").withColumn("value", F.coalesce("value", F.lit("x")))
     key = ["trace_id", "signal", "cycle"]
-    rows = rows.join(scores, key, "left").join(led, key, "left").join(defined, "signal", "left")
+    rows = rows.join(slicer.large(scores), key, "left").join(slicer.large(led), key, "left").join(slicer.large(defined), "signal", "left")
     first = F.col("depth") == 0
     # seeds are endpoints: score 1, never roots
     rows = rows.select(
@@ -171,7 +171,7 @@ def causal_graph(deps: DataFrame, samples: DataFrame | None, seeds: DataFrame, m
     ids = rows.select("trace_id", "signal", "cycle", "id")
     named = edges
     for end in ("source", "target"):
-        named = named.join(ids.select("trace_id", F.col("signal").alias(end), F.col("cycle").alias(f"{end}_cycle"), F.col("id").alias(f"{end}_id")), ["trace_id", end, f"{end}_cycle"])
+        named = named.join(slicer.large(ids.select("trace_id", F.col("signal").alias(end), F.col("cycle").alias(f"{end}_cycle"), F.col("id").alias(f"{end}_id"))), ["trace_id", end, f"{end}_cycle"])
     told = named.select("trace_id", "source", "source_cycle", "source_id", "target", "target_cycle", "target_id", "dep_id", F.col("kind").alias("type"), "score", "reason", "example", "evidence")
     return CausalGraph(rows, told, cut)
 

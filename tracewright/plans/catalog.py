@@ -535,7 +535,7 @@ def k01(spark, sf_dir):
     read = F.from_json("line", "src_node_id string, contribution_score double, id string, cycle int").alias("r")
     told = lines.select("part", read).select("part", "r.*")
     ends = told.where("part = 'edge'").select("src_node_id", "contribution_score")
-    met = ends.join(told.where("part = 'node'").select(F.col("id").alias("src_node_id"), "cycle"), "src_node_id")
+    met = ends.join(slicer.large(told.where("part = 'node'").select(F.col("id").alias("src_node_id"), "cycle")), "src_node_id")
     return met.groupBy("cycle").agg(F.count("*").alias("edges"), F.sum(F.round(F.col("contribution_score") * 100).cast("bigint")).alias("hundredths"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.slicer import large
+
 #: Colour of each kind of edge.
 EDGE_COLOURS = {"expr_eval": "blue", "toggle": "green", "state": "purple", "conditional": "orange", "direct": "darkgreen", "unknown": "black"}
 #: Attributes of each style of node.
@@ -176,9 +178,9 @@ def summary_lines(nodes: DataFrame, edges: DataFrame, stats: DataFrame, meta: Da
 def evidence(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each of wanted(trace_id, id): found, its node's flags and rtl_refs, and its incoming and outgoing edges by dep_id, each with evidence and example."""
     asked = wanted.select("trace_id", "id").distinct()
-    rows = asked.join(nodes.select("trace_id", "id", "signal", "cycle", "is_root", "is_endpoint", "rtl_refs", F.lit(True).alias("found")), ["trace_id", "id"], "left")
+    rows = asked.join(large(nodes.select("trace_id", "id", "signal", "cycle", "is_root", "is_endpoint", "rtl_refs", F.lit(True).alias("found"))), ["trace_id", "id"], "left")
     for end, other, name in (("target_id", "source_id", "incoming"), ("source_id", "target_id", "outgoing")):
-        few = edges.withColumnRenamed(end, "id").join(asked, ["trace_id", "id"], "left_semi")
+        few = edges.withColumnRenamed(end, "id").join(large(asked), ["trace_id", "id"], "left_semi")
         told = few.groupBy("trace_id", "id").agg(F.array_sort(F.collect_list(F.struct("dep_id", other, "type", "score", "reason", "evidence", "example"))).alias(name))
-        rows = rows.join(told, ["trace_id", "id"], "left")
+        rows = rows.join(large(told), ["trace_id", "id"], "left")
     return rows.withColumn("found", F.coalesce("found", F.lit(False)))
