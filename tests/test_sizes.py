@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import names, slicer
+from tracewright.llm import topk
+from tracewright.operators import slicer
 from tracewright.plans import designs, report
 from tracewright.sources import adapters, rtl
 
@@ -55,3 +56,15 @@ def test_slices_send_no_table_to_the_driver(spark):
     one = nodes.select("trace_id", F.col("signal").cast("string").alias("id"), "signal", "cycle", F.lit(True).alias("is_root"), F.lit(False).alias("is_endpoint"), F.lit(None).cast("string").alias("rtl_refs"))
     led = edges.select("trace_id", F.col("source").cast("string").alias("source_id"), F.col("target").cast("string").alias("target_id"), F.lit(1).alias("dep_id"), *(F.lit("").alias(c) for c in ("type", "score", "reason", "evidence", "example")))
     assert "Broadcast" not in joins(report.evidence(one, led, one))
+
+
+def test_search_sends_no_queries_to_the_driver(spark):
+    """Few queries, which each group of candidates gets a copy of, aren't broadcast once Spark knows their number."""
+    rows = spark.range(400).select("id", F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: ((F.col("id") * i * 7919) % 257 - 128).cast("double")).alias("values"))
+    found = topk.top_k(rows.where("id % 50 = 0"), rows, k=5)
+    got = found.collect()
+    assert len(got) == 8 * 5 and "Broadcast" not in joins(found)
+    vectors = {r.id: [int(x) for x in r["values"]] for r in rows.collect()}
+    for q in range(0, 400, 50):
+        best = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q)[:5]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, -s) for s, i in best]

@@ -150,7 +150,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = 8,
     left = left.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = tiles(candidates, rows).withColumn("group", F.pmod(F.xxhash64("tile"), F.lit(groups)).cast("int"))
     right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-    pairs = right.join(left, ["dim", "part", "group"])
+    # sorted, never broadcast: Spark takes the queries for what they were before each group got them all
+    pairs = right.join(left.hint("merge"), ["dim", "part", "group"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
