@@ -23,10 +23,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: sets of five-word shingles of similarity 0.8 or more. Of a group the least doc_id
-    stays, null ids last; texts without words are alike; repeated rows are a group."""
+    """One document of each group of near duplicates: SimHash fingerprints of five-word shingles that differ in 4 of 64 bits or fewer, or sets of
+    these shingles of similarity 0.8 or more, which fingerprints at 4 bits miss half of. Of a group the least doc_id stays, null ids last; texts without
+    words are alike; repeated rows are a group."""
     common.small_batches(spark)
-    return neardup.keep_one(docs, shingle=5, least=0.8)
+    return neardup.keep_one(docs, shingle=5, least=0.8, radius=4)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_documents),
-    ("near-dedup by shingle similarity", without_near_duplicates),
+    ("near-dedup by SimHash and similarity", without_near_duplicates),
     ("PII", without_personal_data),
     ("mixing sources", mixed_sources),
     ("best-fit packing", packed),

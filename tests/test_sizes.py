@@ -68,3 +68,19 @@ def test_search_sends_no_queries_to_the_driver(spark):
     for q in range(0, 400, 50):
         best = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q)[:5]
         assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, -s) for s, i in best]
+
+
+def test_pipeline_links_fingerprints_and_similar_sets(spark, monkeypatch):
+    """A group may hang together by fingerprints at one link and by shingle similarity at the next."""
+    import corpus_pipeline
+    from tracewright.llm import neardup
+
+    docs = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three"), (4, "four"), (5, "five")], "doc_id long, text string").coalesce(1)
+    key = {r.doc_id: r._key for r in docs.select("doc_id", F.monotonically_increasing_id().alias("_key")).collect()}
+    alike = [(key[d], c) for d, c in ((1, 70), (2, 70), (3, 60), (4, 50), (5, 40))]
+    near = [(10, 1), (20, 2), (21, 2), (30, 4), (40, 5)]  # 2 and 3 are near by fingerprint
+    fp = {1: 10, 2: 20, 3: 21, 4: 30, 5: 40}
+    monkeypatch.setattr(neardup, "components", lambda *a: spark.createDataFrame(alike, "_key long, component long"))
+    monkeypatch.setattr(neardup.simhash, "fingerprints", lambda *a: spark.createDataFrame([(key[d], f) for d, f in fp.items()], "_key long, fp long"))
+    monkeypatch.setattr(neardup.simhash, "components", lambda prints, radius: spark.createDataFrame([(f, key[d]) for f, d in near], "fp long, component_id long"))
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()) == [1, 4, 5]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graph
+from . import common, graph, simhash
 
 BANDS, VALUES = 32, 5
 
@@ -205,7 +205,15 @@ def components(keyed: DataFrame, shingle: int = 5, least: float = 0.8, weight: i
     return signed.select("_key", "class").join(linked, signed["class"] == linked.id, "left").select("_key", F.coalesce("component", "class").alias("component"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """docs without near-duplicates: the least row of each component stays."""
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int | None = None) -> DataFrame:
+    """docs without near-duplicates: the least row of each component stays. radius: rows whose SimHash fingerprints differ in so many bits or
+    fewer are linked, too, and components are those of both kinds of links."""
     rows, told = common.with_keys(docs)
-    return common.least_rows(rows, told, components(told, shingle, least))
+    found = components(told, shingle, least)
+    if radius is not None:
+        prints, _ = common.save(simhash.fingerprints(told, shingle, "_key"))
+        near = prints.join(simhash.components(prints.withColumnRenamed("_key", "doc_id"), radius), "fp").select("_key", F.col("component_id").alias("first"))
+        alike = found.join(found.groupBy("component").agg(F.min("_key").alias("first")), "component").select("_key", "first")
+        linked = graph.components(near.union(alike).select(F.col("_key").alias("a"), F.col("first").alias("b")))
+        found = told.select("_key").join(linked.withColumnRenamed("id", "_key"), "_key", "left").select("_key", F.coalesce("component", "_key").alias("component"))
+    return common.least_rows(rows, told, found)
