@@ -37,6 +37,18 @@ def test_parsed_rows_come_in_batches(spark, monkeypatch):
     assert found.count() == sum(i % 7 != 3 for i in range(6000))
 
 
+def test_a_text_is_cleaned_once_and_its_patterns_kept(monkeypatch):
+    """Parsing costs no second pass over the text, and no pattern is looked up again for each word."""
+    texts, clean = [], rtl.sanitize
+    monkeypatch.setattr(rtl, "sanitize", lambda text: texts.append(text) or clean(text))
+    looked, found = [], rtl.re.compile
+    monkeypatch.setattr(rtl.re, "compile", lambda *a: looked.append(a[0]) or found(*a))
+    body = "\n".join(f"    if (e{i}) y <= (a{i} + (b & {{c, d}}));" for i in range(50))
+    rows = rtl.parse_design(f"module m(input c, output reg y);\n  always @(posedge c) begin\n{body}\n  end\nendmodule")
+    assert len(texts) == 1 and len(looked) < 50
+    assert [r["source"] for r in rows[:5]] == ["a0", "b", "c", "d", "e0"] and len(rows) == 250
+
+
 def test_owners_and_contexts_send_nothing_to_the_driver(spark, tmp_path):
     folder = parts(spark, tmp_path)
     assert "Broadcast" not in joins(designs.p15(spark, folder))
