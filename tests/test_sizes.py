@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracewright.llm import topk
-from tracewright.operators import slicer
+from tracewright.operators import names, slicer
 from tracewright.plans import designs, report
 from tracewright.sources import adapters, rtl
 
@@ -49,6 +49,29 @@ def test_a_text_is_cleaned_once_and_its_patterns_kept(monkeypatch):
     assert [r["source"] for r in rows[:5]] == ["a0", "b", "c", "d", "e0"] and len(rows) == 250
 
 
+def test_names_are_resolved_in_one_exchange(spark, monkeypatch):
+    """However many signals end alike, a sample and a name are dealt once; where a name's own signal has no sample at a cycle, the next one counts."""
+    held = [("t", f"T.u{i}.q", c, f"{i}{c}") for i in range(6) for c in range(4) if (i, c) != (3, 2)] + [("t", "q", 1, "own"), ("t", "T.v.q [1:0]", 0, None), (None, "T.u0.q", 0, "no"), ("s", "T.u0.q", 0, "11")]
+    samples = spark.createDataFrame(held, "trace_id string, signal string, cycle int, value string")
+    asked = [("t", "q", c, f"T.u{i}") for i in range(7) for c in range(5)] + [("t", "u4.q", 0, "T"), ("t", "u4.q", 0, "x"), ("t", "q", 0, "T.v"), ("t", None, 1, "q"), ("t", "q", 1, None), (None, "q", 0, "T.u0"), ("s", "q", 0, "T.u5")]
+    wanted = spark.createDataFrame(asked + asked[:3], "trace_id string, signal string, cycle long, scope string")
+    monkeypatch.setattr(names, "MET", 10, raising=False)
+    found = names.resolve(samples, wanted)
+    assert joins(found).count("Exchange") == 1
+    rows = found.collect()
+    got = {(r.trace_id, r.signal, r.cycle, r.scope): (r.resolved, r.value) for r in rows}
+    there = {(s, c): v for t, s, c, v in held if t == "t"}
+    want = {}
+    for i in range(7):
+        for c in range(5):
+            full = next((f for f in (f"T.u{i}.q", "q", *(f"T.u{j}.q" for j in range(6))) if (f, c) in there), None)
+            want["t", "q", c, f"T.u{i}"] = (full, there.get((full, c), "x"))
+    want |= {("t", "u4.q", 0, "T"): ("T.u4.q", "40"), ("t", "u4.q", 0, "x"): ("T.u4.q", "40"), ("t", "q", 0, "T.v"): ("T.v.q [1:0]", "x"), ("t", None, 1, "q"): ("q", "own"), ("t", "q", 1, None): ("q", "own"), (None, "q", 0, "T.u0"): (None, "x"), ("s", "q", 0, "T.u5"): ("T.u0.q", "11")}
+    assert len(rows) == len(want) and got == want
+    alone = names.resolve(samples.where("trace_id = 's'").drop("trace_id"), wanted.where("scope = 'T.u5'").drop("trace_id"))
+    assert alone.columns == ["signal", "cycle", "scope", "resolved", "value"] and {(r.cycle, r.resolved, r.value) for r in alone.collect()} == {(0, "T.u0.q", "11"), *((c, None, "x") for c in range(1, 5))}
+
+
 def test_owners_and_contexts_send_nothing_to_the_driver(spark, tmp_path):
     folder = parts(spark, tmp_path)
     assert "Broadcast" not in joins(designs.p15(spark, folder))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of samples and names that a task of resolve() brings together.
+MET = 500_000
+
+
 def base(name: Column) -> Column:
     """The last part, without a width suffix."""
     return F.element_at(F.split(F.regexp_replace(name, r"\s*\[[^\]]*\]$", ""), r"\."), -1)
@@ -60,21 +64,22 @@ def resolve(samples: DataFrame, wanted: DataFrame) -> DataFrame:
     name that ends with it after a dot; else unknown. Width suffixes of the trace's names don't count. trace_id may be left out
     of wanted, for samples of one trace."""
     given = "trace_id" in wanted.columns
-    key = ["trace_id", "signal", "cycle", "scope"] if given else ["signal", "cycle", "scope"]
-    trace = [F.col("trace_id").alias("_trace")] if given else []
-    named = samples.select(*trace, F.col("signal").alias("_full")).distinct()
-    keys = named.select("*", F.posexplode(suffixes(plain(F.col("_full")))).alias("_n", "_name")).select(*(["_trace"] if given else []), "_full", "_name", (F.col("_n") > 0).alias("_part"))
-    both = F.array(F.struct(F.lit(0).alias("n"), F.concat_ws(".", "scope", "signal").alias("name")), F.struct(F.lit(1).alias("n"), F.col("signal").alias("name")))
-    tries = wanted.select(*key).distinct().withColumn("_try", F.explode(both))
-    same = F.col("_try.name") == F.col("_name")
-    met = tries.join(keys, (same & (F.col("trace_id") == F.col("_trace"))) if given else same)
-    met = met.where(~F.col("_part") | (F.col("_try.n") == 1)).withColumn("_rank", F.when(F.col("_part"), 2).otherwise(F.col("_try.n")))
-    at = samples.select(*trace, F.col("signal").alias("_full"), F.col("cycle").alias("_cycle"), "value")
-    on = ["_full", *(["_trace"] if given else [])]
-    met = met.drop("_name").join(at, on).where(F.col("cycle") == F.col("_cycle"))
-    best = met.groupBy(*key).agg(F.min(F.struct("_rank", "_full", "value")).alias("best"))
-    rows = wanted.select(*key).distinct().alias("w").join(best.alias("b"), [F.col(f"w.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "left")
-    return rows.select(*(F.col(f"w.{k}") for k in key), F.col("best._full").alias("resolved"), F.coalesce("best.value", F.lit("x")).alias("value"))
+    trace = ["trace_id"] if given else []
+    last = lambda name: F.element_at(F.split(name, r"\."), -1)
+    scoped, text = F.concat_ws(".", "scope", "signal"), lambda: F.lit(None).cast("string")
+    # a name and all that it may stand for end alike, so rows meet where they are dealt by that end; no row is sent twice
+    asked = wanted.select(*trace, "cycle", last(scoped).alias("_last"), "signal", "scope", text().alias("_full"), text().alias("value"), F.lit(True).alias("_asked"))
+    known = samples.select(*trace, "cycle", last(plain(F.col("signal"))).alias("_last"), text().alias("signal"), text().alias("scope"), F.col("signal").alias("_full"), "value", F.lit(False).alias("_asked"))
+    known = known.where(" and ".join(f"{c} is not null" for c in [*trace, "cycle", "_full"]))
+    parts = max(1, -(-(wanted.count() + samples.count()) // MET))
+    met = asked.unionByName(known).repartition(parts, *trace, "cycle", "_last")
+    met = met.select("*", F.posexplode(F.when(F.col("_asked"), F.array(scoped, "signal")).otherwise(suffixes(plain(F.col("_full"))))).alias("_n", "_name"))
+    near = Window.partitionBy(*trace, "cycle", "_last", "_name")
+    first = lambda told: F.min(F.when(~F.col("_asked") & told, F.struct("_full", "value"))).over(near)
+    met = met.select("*", first(F.col("_n") == 0).alias("_same"), first(F.col("_n") > 0).alias("_ends")).where("_asked")
+    best = F.when(F.col("_same").isNotNull(), F.struct(F.col("_n").alias("rank"), F.col("_same").alias("of"))).when((F.col("_n") == 1) & F.col("_ends").isNotNull(), F.struct(F.lit(2).alias("rank"), F.col("_ends").alias("of")))
+    rows = met.groupBy(*trace, "cycle", "_last", "signal", "scope").agg(F.min(best).alias("_best"))
+    return rows.select(*trace, "signal", F.col("cycle").cast(wanted.schema["cycle"].dataType).alias("cycle"), "scope", F.col("_best.of._full").alias("resolved"), F.coalesce("_best.of.value", F.lit("x")).alias("value"))
 
 
 def plain(name: Column) -> Column:
