@@ -68,11 +68,10 @@ def judge(deps: DataFrame, samples: DataFrame | None, max_depth: int, triggers:
     def told(step: DataFrame, depth: int) -> DataFrame:
         # one environment for each target and cycle, not for each edge
         wanted = step.select("trace_id", "target", "source_cycle").distinct().join(slicer.large(sources), "target")
-        known = samples
-        if runs is not None:
-            ends = [step.select("trace_id", F.col(x).alias("signal"), F.col(f"{x}_cycle").alias("cycle")) for x in ("source", "target")]
-            asked = wanted.select("trace_id", F.col("_of").alias("signal"), F.col("source_cycle").alias("cycle")).union(ends[0]).union(ends[1])
-            known = slicer.table(values_at(asked, runs))
+        # the points that the step asks for: all joins meet these few values, and the samples are read once
+        ends = [step.select("trace_id", F.col(x).alias("signal"), F.col(f"{x}_cycle").alias("cycle")) for x in ("source", "target")]
+        asked = wanted.select("trace_id", F.col("_of").alias("signal"), F.col("source_cycle").alias("cycle")).union(ends[0]).union(ends[1])
+        known = slicer.table(values_at(asked, runs) if runs is not None else samples.join(slicer.large(asked.distinct()), ["trace_id", "signal", "cycle"], "left_semi"))
         wanted = _valued(wanted, known, "_of", F.col("source_cycle"), "_value").where("_value is not null")
         env = wanted.groupBy("trace_id", "target", "source_cycle", "_as").agg(F.min("_value").alias("_value"))
         env = env.groupBy("trace_id", "target", "source_cycle").agg(F.map_from_entries(F.collect_list(F.struct("_as", "_value"))).alias("env"))
