@@ -130,3 +130,25 @@ def test_pipeline_links_fingerprints_and_similar_sets(spark, monkeypatch):
     monkeypatch.setattr(neardup.simhash, "fingerprints", lambda *a: spark.createDataFrame([(key[d], f) for d, f in fp.items()], "_key long, fp long"))
     monkeypatch.setattr(neardup.simhash, "components", lambda prints, radius: spark.createDataFrame([(f, key[d]) for f, d in near], "fp long, component_id long"))
     assert sorted(r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()) == [1, 4, 5]
+
+
+def test_what_is_not_asked_of_a_text_is_not_made(spark, tmp_path):
+    """p04 makes no snippets; a text is walked in place, not copied for each of its blocks; labels, instances and words that only look like such are as before."""
+    plan = joins(designs.p04(spark, parts(spark, tmp_path)))
+    assert "MapInArrow" in plan and "snippet" not in plan
+
+    class Text(str):
+        copied = 0
+
+        def __getitem__(self, at):
+            Text.copied += len(got := str.__getitem__(self, at))
+            return got
+
+    body = Text("".join(f"  always @(posedge c) if (e{i}) y{i} <= a{i};\n" for i in range(200)))
+    made = []
+    for a in rtl.ALWAYS.finditer(body):
+        rtl.Statements(body, a.end(), lambda target, *said, **more: made.append((target, said[2], str(body)[said[3] : said[4]])), "sequential").one("")
+    assert made == [(f"y{i}", f"e{i}", f"y{i} <= a{i}") for i in range(200)] and Text.copied < 2 * len(body)
+    text = "module m(input a, output b);\n  one : \n assert property (a);\n  xassert property (b); q: myassert property(a);\n  reassign b = a; assign b = a;\n  n u ( .i(a)); u ( .i(b)); n\n  v(.i(b));\nendmodule\nmodule n(input i); endmodule"
+    got = [(r["source"], r["target"], r["dep_type"], r["line"], r["line_end"]) for r in rtl.parse_design(text)]
+    assert got == [("a", "one", "assertion", 2, 3), ("b", "assert_1", "assertion", 4, 4), ("a", "assert_2", "assertion", 4, 4), ("a", "b", "combinational", 5, 5), ("a", "u.i", "port_input", 6, 6), ("b", "v.i", "port_input", 6, 6)]

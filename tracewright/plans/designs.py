@@ -37,7 +37,7 @@ def p01(spark, sf_dir):
 
 @query("p04_dependencies", f"WITH {RTL} SELECT module, source, target, dep_type, expression, condition, line, line_end, file FROM d")
 def p04(spark, sf_dir):
-    return rtl.parse_dependencies(adapters.design_texts(spark, sf_dir)).drop("snippet")
+    return rtl.parse_dependencies(adapters.design_texts(spark, sf_dir), snippets=False)
 
 
 @query("p07_case", """WITH k AS (SELECT concat('q', p_partkey) AS module, CAST(p_size AS VARCHAR) AS n, p_size % 3 + 1 AS m FROM part),
@@ -49,7 +49,7 @@ UNION ALL SELECT module, t.* EXCLUDE (ahead), m + ahead FROM k, (VALUES ('b', 'y
 SELECT module, source, target, dep_type, expression, condition, CAST(line AS INTEGER) AS line FROM r""")
 def p07(spark, sf_dir):
     """Arms of a case, its default arm and an else."""
-    found = rtl.parse_dependencies(adapters.case_texts(spark, sf_dir))
+    found = rtl.parse_dependencies(adapters.case_texts(spark, sf_dir), snippets=False)
     return found.select("module", "source", "target", "dep_type", "expression", "condition", "line")
 
 
@@ -92,7 +92,7 @@ SELECT asked.module, asked.signal, sig.name IS NOT NULL AS found, sig.signal_typ
 FROM asked LEFT JOIN sig ON sig.module = asked.module AND sig.name = asked.signal JOIN n ON n.module = asked.module AND n.signal = asked.signal""")
 def p19(spark, sf_dir):
     texts = adapters.design_texts(spark, sf_dir)
-    d = slicer.table(rtl.parse_dependencies(texts).select("module", "target", "source", "dep_type", "file", "line"))  # read twice, parsed once
+    d = slicer.table(rtl.parse_dependencies(texts, snippets=False).select("module", "target", "source", "dep_type", "file", "line"))  # read twice, parsed once
     told = names.rtl_context(d.select("module", F.col("target").alias("signal")), rtl.parse_signals(texts), d)
     return told.select("module", "signal", "found", F.col("definition.signal_type").alias("type"), F.col("definition.width").alias("width"), F.size("dependencies").cast("bigint").alias("dependencies"), F.size("rtl_refs").cast("bigint").alias("refs"), F.col("rtl_refs")[0]["line"].alias("first_line"))
 
@@ -107,7 +107,7 @@ def p15(spark, sf_dir):
 
 @query("r04_sources", f"WITH {RTL} SELECT module, target AS signal, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM d GROUP BY module, target")
 def r04(spark, sf_dir):
-    d = rtl.parse_dependencies(adapters.design_texts(spark, sf_dir))
+    d = rtl.parse_dependencies(adapters.design_texts(spark, sf_dir), snippets=False)
     return names.sources_of(d).select("module", "signal", F.array_join("sources", ",").alias("sources"))
 
 
