@@ -152,3 +152,14 @@ def test_what_is_not_asked_of_a_text_is_not_made(spark, tmp_path):
     text = "module m(input a, output b);\n  one : \n assert property (a);\n  xassert property (b); q: myassert property(a);\n  reassign b = a; assign b = a;\n  n u ( .i(a)); u ( .i(b)); n\n  v(.i(b));\nendmodule\nmodule n(input i); endmodule"
     got = [(r["source"], r["target"], r["dep_type"], r["line"], r["line_end"]) for r in rtl.parse_design(text)]
     assert got == [("a", "one", "assertion", 2, 3), ("b", "assert_1", "assertion", 4, 4), ("a", "assert_2", "assertion", 4, 4), ("a", "b", "combinational", 5, 5), ("a", "u.i", "port_input", 6, 6), ("b", "v.i", "port_input", 6, 6)]
+
+
+def test_rows_that_a_query_leaves_out_are_not_made(spark, tmp_path):
+    """p09's tasks give the rows of ports alone; a text that can't be parsed elsewhere still gives none."""
+    assert "StartsWith" not in joins(designs.p09(spark, parts(spark, tmp_path)))
+    good = "module c(input i, output o);\nendmodule\nmodule m(input a, output b);\n  assign b = a;\n  c u (.i(a), .o(b));\n  always @(*) if (a) b = a;\nendmodule"
+    texts = [("good", good), ("if", good.replace("if (a)", "if (a")), ("assert", good.replace("assign", "assert property (x; assign"))]
+    ports = lambda kind, _: kind.startswith("port")
+    found = rtl.parse_dependencies(spark.createDataFrame(texts, "path string, value string"), ports, snippets=False)
+    assert sorted((r.file, r.source, r.target, r.dep_type) for r in found.collect()) == [("good", "a", "u.i", "port_input"), ("good", "u.o", "b", "port_output")]
+    assert rtl.parse_design(good, ports) == [r for r in rtl.parse_design(good) if r["dep_type"].startswith("port")]

@@ -55,12 +55,12 @@ def p07(spark, sf_dir):
 
 @query("p09_instance_ports", f"WITH {RTL} SELECT module, source, target, dep_type FROM d WHERE dep_type LIKE 'port%'")
 def p09(spark, sf_dir):
-    return rtl.parse_dependencies(adapters.design_texts(spark, sf_dir)).where("dep_type like 'port%'").select("module", "source", "target", "dep_type")
+    return rtl.parse_dependencies(adapters.design_texts(spark, sf_dir), lambda kind, _: kind.startswith("port"), snippets=False).select("module", "source", "target", "dep_type")
 
 
 @query("p10_assertion_dependencies", f"WITH {RTL} SELECT module, target AS label, source, condition FROM d WHERE dep_type = 'assertion'")
 def p10(spark, sf_dir):
-    d = rtl.parse_dependencies(adapters.design_texts(spark, sf_dir)).where("dep_type = 'assertion'")
+    d = rtl.parse_dependencies(adapters.design_texts(spark, sf_dir), lambda kind, _: kind == "assertion", snippets=False)
     return d.select("module", F.col("target").alias("label"), "source", "condition")
 
 
