@@ -163,3 +163,16 @@ def test_rows_that_a_query_leaves_out_are_not_made(spark, tmp_path):
     found = rtl.parse_dependencies(spark.createDataFrame(texts, "path string, value string"), ports, snippets=False)
     assert sorted((r.file, r.source, r.target, r.dep_type) for r in found.collect()) == [("good", "a", "u.i", "port_input"), ("good", "u.o", "b", "port_output")]
     assert rtl.parse_design(good, ports) == [r for r in rtl.parse_design(good) if r["dep_type"].startswith("port")]
+
+
+def test_a_signal_looks_up_no_pattern(monkeypatch):
+    """Patterns of the signals' parser are made once, not looked up for each port; widths and lines are those of plain text."""
+    looked = []
+    for name in ("search", "match", "fullmatch", "sub", "finditer", "findall"):
+        monkeypatch.setattr(rtl.re, name, lambda *a, _f=getattr(rtl.re, name), **k: looked.append(a[0]) or _f(*a, **k))
+    ports = ",\n".join(f"  input [{i}:0] a{i}, b{i}" for i in range(60))
+    text = f"module m(\n{ports}, output reg y);\n  xwire [3:0] n;\n  logic signed [ 7 :0] p, q; reg r = a1;\n  wire [1:4] w;\nendmodule"
+    rows = [(r["name"], r["signal_type"], r["width"], r["line"]) for r in rtl.signals_in(text)]
+    assert rows[:120] == [(f"{x}{i}", "in", i + 1, i + 2) for i in range(60) for x in "ab"]
+    assert rows[120:] == [("y", "out", 1, 61), ("p", "reg", 8, 63), ("q", "reg", 8, 63), ("r", "reg", 1, 63), ("w", "reg", 4, 64)]
+    assert len(looked) < 20
