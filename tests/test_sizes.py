@@ -176,3 +176,18 @@ def test_a_signal_looks_up_no_pattern(monkeypatch):
     assert rows[:120] == [(f"{x}{i}", "in", i + 1, i + 2) for i in range(60) for x in "ab"]
     assert rows[120:] == [("y", "out", 1, 61), ("p", "reg", 8, 63), ("q", "reg", 8, 63), ("r", "reg", 1, 63), ("w", "reg", 4, 64)]
     assert len(looked) < 20
+
+
+def test_snippets_are_made_for_the_rows_that_are_asked(spark, tmp_path):
+    """p20's tasks leave out the rest before they make snippets; a snippet is made once for the sources of a statement."""
+    folder = parts(spark, tmp_path, 7)
+    found = designs.p20(spark, folder)
+    plan = joins(found)
+    assert plan.count("snippet") and "assertion" not in plan.split("MapInArrow")[0]
+    assert sorted((r.module, r.source, r.target, r.snippet) for r in found.where("module = 'm3'").collect()) == [("m3", "a", "p3", TOLD), ("m3", "q", "w", "  assign w = q ^ v;"), ("m3", "v", "w", "  assign w = q ^ v;"), ("m3", "y", "p3", TOLD)]
+    wide = "module m(input a, output b);\n  assign b = a\n" + "\n".join(f"    & c{i}" for i in range(50)) + ";\nendmodule"
+    rows = rtl.parse_design(wide)
+    assert len(rows) == 51 and {r["snippet"] for r in rows} == {"  assign b = a\n    & c0\n    & c1\n    & c2\n    & c3"} and len({id(r["snippet"]) for r in rows}) == 1
+
+
+TOLD = "  p3:\n    assert property (@(posedge clock) disable iff (~hasBeenReset) a |-> ##[1:4] y);"

@@ -67,8 +67,8 @@ def p10(spark, sf_dir):
 @query("p20_snippets", f"""WITH {RTL} SELECT module, source, target, CASE dep_type WHEN 'assertion' THEN concat('  p', k, ':', chr(10), '    assert property (@(posedge clock) disable iff (~hasBeenReset) a |-> ##[1:', n, '] y);') ELSE '  assign w = q ^ v;' END AS snippet
 FROM d WHERE dep_type = 'assertion' OR target = 'w'""")
 def p20(spark, sf_dir):
-    d = rtl.parse_dependencies(adapters.design_texts(spark, sf_dir))
-    return d.where("dep_type = 'assertion' or target = 'w'").select("module", "source", "target", "snippet")
+    d = rtl.parse_dependencies(adapters.design_texts(spark, sf_dir), lambda kind, target: kind == "assertion" or target == "w")
+    return d.select("module", "source", "target", "snippet")
 
 
 @query("s08_assertions", f"WITH {RTL} SELECT concat('p', k) AS label, '@(posedge clock)' AS clock, '~hasBeenReset' AS disable, concat('a |-> ##[1:', n, '] y') AS body, CAST(15 AS INTEGER) AS line, concat('m', k, '.sv') AS file FROM k")
